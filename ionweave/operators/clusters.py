@@ -82,7 +82,9 @@ def precursor_consensus(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     totals = rows.groupBy(*keys).agg(
         F.count("*").alias("n_members"),
-        F.round(F.sum(F.col("weight") * F.col("precursor_mz")) / F.sum("weight"), 6).alias("consensus_precursor_mz"),
+        # representation noise goes first, so that exact halves round up
+        F.round(F.round(F.sum(F.col("weight") * F.col("precursor_mz")) / F.sum("weight"), 9), 6)
+        .alias("consensus_precursor_mz"),
         F.round(F.avg("rt"), 3).alias("consensus_rt"))
     files = rows.groupBy(*keys).agg(F.countDistinct("source_file").alias("n_source_files"))
     return totals.join(files, list(keys)).join(modal_charges(rows, keys), list(keys))

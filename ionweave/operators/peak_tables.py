@@ -102,12 +102,12 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
 
     ``pairs`` has ``(pair_id, idx_a, idx_b, delta)``.  For every peak of a, a peak of b
     must lie within ``tol`` of it (unshifted), or of it moved by the delta either way
-    (shifted).  The b side is reduced to the lowest and highest peak per cell of width
-    ``tol``: those two decide whether any peak of the cell is in reach, so the band
-    test becomes an equality join that never lists peak pairs.
+    (shifted).  The b side is reduced to the lowest and highest peak per cell a little
+    wider than ``tol``: those two decide whether any peak of the cell is in reach, so
+    the band test becomes an equality join that never lists peak pairs.
     """
     def cell(col):
-        return F.floor(col / F.lit(tol))
+        return F.floor(col / F.lit(tol * 1.001))
 
     pa = pairs.select("pair_id", F.col("idx_a").alias("idx"), "delta")
     pb = pairs.select("pair_id", F.col("idx_b").alias("idx"))

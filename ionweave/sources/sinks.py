@@ -18,6 +18,11 @@ CLUSTER_COLUMNS = ["cluster_id", "parent_cluster_id", "scan_id", "source_file",
 NOISE_COLUMNS = ["scan_id", "source_file", "precursor_mz", "precursor_charge"]
 
 
+def _decimals(col: str):
+    """Four decimals; representation noise is removed first, so exact halves round up."""
+    return F.format_string("%.4f", F.round(col, 8))
+
+
 def _flag(col: str):
     return F.when(F.col(col), "True").otherwise("False")
 
@@ -30,18 +35,18 @@ def cluster_rows(result: Reranked, spectra: DataFrame) -> DataFrame:
     rows = members.join(clusters, "cluster_id")
     return rows.select(
         F.col("quality_score").alias("quality"), "pos", "idx", "cluster_id", "parent_cluster_id", "scan_id",
-        "source_file", F.format_string("%.4f", "precursor_mz").alias("precursor_mz"), "precursor_charge",
+        "source_file", _decimals("precursor_mz").alias("precursor_mz"), "precursor_charge",
         F.col("quality_score").cast("string").alias("quality_score"), "confidence", _flag("ptm_flag").alias("ptm_flag"),
-        "ptm_delta_label", F.format_string("%.4f", "ptm_delta_mass").alias("ptm_delta_mass"),
+        "ptm_delta_label", _decimals("ptm_delta_mass").alias("ptm_delta_mass"),
         _flag("heterogeneous_flag").alias("heterogeneous_flag"), "n_source_files",
-        F.format_string("%.4f", "within_var").alias("within_var"),
-        F.format_string("%.4f", "mean_similarity").alias("mean_similarity"))
+        _decimals("within_var").alias("within_var"),
+        _decimals("mean_similarity").alias("mean_similarity"))
 
 
 def noise_rows(labels: DataFrame, spectra: DataFrame) -> DataFrame:
     """Unclustered spectra with ``idx`` as sort key."""
     return (labels.filter("label = -1").select("idx").join(spectra, "idx")
-            .select("idx", "scan_id", "source_file", F.format_string("%.4f", "precursor_mz").alias("precursor_mz"),
+            .select("idx", "scan_id", "source_file", _decimals("precursor_mz").alias("precursor_mz"),
                     "precursor_charge"))
 
 
