@@ -244,9 +244,9 @@ split AS (SELECT peptide, row_number() OVER (ORDER BY md5(concat('42:', peptide)
 
 
 def _mix(*parts: str) -> str:
-    h = "17"
+    h = "cast(17 AS bigint)"
     for p in parts:
-        h = f"(({h}) * 48271 + ({p}) * 69621 + 11) % 2147483647"
+        h = f"(({h}) * 48271 + cast({p} AS bigint) * 69621 + 11) % 2147483647"
         h = f"(({h}) * ((({h}) % 65537) + 3)) % 2147483647"
     return f"({h})"
 

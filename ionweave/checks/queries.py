@@ -177,24 +177,24 @@ def _vectors(spark, d):
 
 @query
 def embedding_centroid(spark, d):
-    c = K.centroids(_vectors(spark, d), ["label"], DIM)
+    c = K.centroids(_vectors(spark, d), ["label"])
     return c.select("label", F.posexplode("centroid").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query
 def within_variance(spark, d):
-    return K.centroids(_vectors(spark, d), ["label"], DIM).select("label", "n", F.round("variance", 6).alias("variance"))
+    return K.centroids(_vectors(spark, d), ["label"]).select("label", "n", F.round("variance", 6).alias("variance"))
 
 
 @query
 def cluster_quality(spark, d):
-    return K.cluster_quality(_vectors(spark, d).withColumn("label", F.floor(F.col("idx") / 2)), ["label"], DIM)
+    return K.cluster_quality(_vectors(spark, d).withColumn("label", F.floor(F.col("idx") / 2)), ["label"])
 
 
 @query
 def member_weights(spark, d):
     v = _vectors(spark, d)
-    scored = K.member_similarity(v, K.centroids(v, ["label"], DIM), ["label"])
+    scored = K.member_similarity(v, K.centroids(v, ["label"]), ["label"])
     from ionweave.functions.scoring import member_weight
     return scored.select("idx", "label", F.round("similarity", 6).alias("similarity"),
                          F.round(member_weight("similarity"), 6).alias("weight"))
@@ -203,7 +203,7 @@ def member_weights(spark, d):
 @query
 def representative(spark, d):
     v = _vectors(spark, d)
-    return K.representatives(K.member_similarity(v, K.centroids(v, ["label"], DIM), ["label"]), ["label"])
+    return K.representatives(K.member_similarity(v, K.centroids(v, ["label"]), ["label"]), ["label"])
 
 
 @query
@@ -265,18 +265,18 @@ def density_core_border(spark, d):
 
 @query
 def dynamic_split(spark, d):
-    return R.dynamic_split(_vectors(spark, d).select("idx", "label", "embedding"), ClusterConfig(), 1.2, 0.04, DIM)
+    return R.dynamic_split(_vectors(spark, d).select("idx", "label", "embedding"), ClusterConfig(), 1.2, 0.04)
 
 
 @query
 def dynamic_merge(spark, d):
     v = _vectors(spark, d).select("idx", F.floor(F.col("idx") / 3).alias("label"), "embedding")
-    return R.dynamic_merge(v, ClusterConfig(merge_dist_threshold=0.62), DIM)
+    return R.dynamic_merge(v, ClusterConfig(merge_dist_threshold=0.62))
 
 
 @query
 def class_separation(spark, d):
-    s = L.separation(_vectors(spark, d), DIM)
+    s = L.separation(_vectors(spark, d))
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
@@ -403,8 +403,7 @@ def cluster_stage_two(spark, d):
 
 def reranked(spark, d):
     spectra = view(spark, d, "fx_spectra")
-    return B.rerank(spectra.select("idx", "label"), spectra, projected_vectors(spark, d), view(spark, d, "fx_peaks"),
-                    dim=PROJECTED)
+    return B.rerank(spectra.select("idx", "label"), spectra, projected_vectors(spark, d), view(spark, d, "fx_peaks"))
 
 
 CLUSTER_OUTPUT = ["cluster_id", "parent_cluster_id", "n_members", "quality_score", "confidence", "within_var",

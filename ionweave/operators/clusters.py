@@ -17,37 +17,35 @@ from ionweave.functions.vectors import dot, norm, unit
 from ionweave.operators.tiles import COSINE_DIGITS
 
 
-def dimension(vectors: DataFrame) -> int:
-    """Vector length, read from one row."""
-    row = vectors.select(F.size("embedding").alias("d")).first()
-    return 0 if row is None else row["d"]
+def mean_vectors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Member count and mean vector per key.
 
-
-def mean_vectors(rows: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
-    """Member count and mean vector per key; sums combine map-side, one column per position."""
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.col("embedding")[p].cast("double")).alias(f"_s{p}") for p in range(dim)])
-    return sums.select(*keys, "n", F.array(*[F.col(f"_s{p}") / F.col("n") for p in range(dim)]).alias("mean"))
+    The sums per key and position combine map-side; a key has one row per position after that.
+    """
+    parts = (rows.select(*keys, F.posexplode("embedding").alias("_pos", "_x"))
+             .groupBy(*keys, "_pos").agg(F.count("*").alias("_n"), F.avg(F.col("_x").cast("double")).alias("_x")))
+    return parts.groupBy(*keys).agg(
+        F.max("_n").alias("n"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_x"))), lambda p: p["_x"]).alias("mean"))
 
 
-def centroids(rows: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+def centroids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(*keys, n, centroid, mean_similarity, variance)``.
 
     Mean similarity is over unit members; a group below two members, or with a zero
     mean, has variance 0.
     """
-    means = mean_vectors(rows, keys, dim).withColumn("_len", norm("mean"))
+    means = mean_vectors(rows, keys).withColumn("_len", norm("mean"))
     return means.select(
         *keys, "n", unit("mean").alias("centroid"), F.col("_len").alias("mean_similarity"),
         F.when((F.col("n") < 2) | (F.col("_len") == 0), F.lit(0.0)).otherwise(1.0 - F.col("_len")).alias("variance"))
 
 
-def cluster_quality(rows: DataFrame, keys: Sequence[str], dim: int, sigma: float = 0.10,
+def cluster_quality(rows: DataFrame, keys: Sequence[str], sigma: float = 0.10,
                     high: float = 0.80, medium: float = 0.50) -> DataFrame:
     """Mean similarity, variance, quality score and confidence; scores rounded to 4 digits."""
     q = scoring.quality("mean_similarity", sigma)
-    return centroids(rows, keys, dim).select(
+    return centroids(rows, keys).select(
         *keys, "n", F.round("mean_similarity", 4).alias("mean_similarity"),
         F.round(1.0 - F.col("mean_similarity"), 4).alias("within_var"),
         F.round(q, 4).alias("quality_score"), scoring.confidence(q, high, medium).alias("confidence"))

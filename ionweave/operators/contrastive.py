@@ -8,38 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.functions import peaks as P
-from ionweave.operators.clusters import dimension
 from ionweave.operators.tiles import matrix
 
 
-def separation(rows: DataFrame, dim: int = None) -> DataFrame:
+def separation(rows: DataFrame) -> DataFrame:
     """Mean similarity inside classes, between classes, and their difference, as one row.
 
     ``rows`` has ``(label, embedding)``.  The sum over the pairs of a set of vectors is
     (|sum|^2 - sum of |x|^2) / 2, so per-class sums replace the pairs.  Inside is the mean
     over classes with at least two rows, between the mean over all pairs of two classes.
     """
-    dim = dim or dimension(rows)
-    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    sums = rows.groupBy("label").agg(
-        F.count("*").cast("double").alias("n"), F.sum(square).alias("sq"),
-        *[F.sum(F.col("embedding")[p].cast("double")).alias(f"_s{p}") for p in range(dim)])
-
-    def length2(prefix):
-        total = F.lit(0.0)
-        for p in range(dim):
-            total = total + F.col(f"{prefix}{p}") * F.col(f"{prefix}{p}")
-        return total
-
-    per_class = sums.withColumn("inside", length2("_s") - F.col("sq")).withColumn("pairs", F.col("n") * (F.col("n") - 1))
-    total = per_class.agg(
-        F.avg(F.when(F.col("n") >= 2, F.col("inside") / F.col("pairs"))).alias("_intra"),
-        F.sum("inside").alias("_in"), F.sum("pairs").alias("_in_pairs"), F.sum("sq").alias("_sq"), F.sum("n").alias("_n"),
-        *[F.sum(f"_s{p}").alias(f"_t{p}") for p in range(dim)])
-    between = length2("_t") - F.col("_sq") - F.col("_in")
-    pairs = F.col("_n") * (F.col("_n") - 1) - F.col("_in_pairs")
-    out = total.select(F.coalesce("_intra", F.lit(0.0)).alias("intra"),
-                       F.when(pairs > 0, between / pairs).otherwise(0.0).alias("inter"))
+    sums = (rows.select("label", F.posexplode("embedding").alias("pos", "x"))
+            .withColumn("x", F.col("x").cast("double")).groupBy("label", "pos")
+            .agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("sq")))
+    per_class = (sums.groupBy("label").agg(F.max("n").alias("n"), (F.sum(F.col("s") * F.col("s")) - F.sum("sq")).alias("inside"))
+                 .withColumn("pairs", F.col("n") * (F.col("n") - 1)))
+    inside = per_class.agg(F.coalesce(F.avg(F.when(F.col("n") >= 2, F.col("inside") / F.col("pairs"))), F.lit(0.0)).alias("intra"),
+                           F.sum("inside").alias("in_sum"), F.sum("pairs").alias("in_pairs"), F.sum("n").alias("total"))
+    whole = (sums.groupBy("pos").agg(F.sum("s").alias("s"), F.sum("sq").alias("sq"))
+             .agg((F.sum(F.col("s") * F.col("s")) - F.sum("sq")).alias("all_sum")))
+    pairs = F.col("total") * (F.col("total") - 1) - F.col("in_pairs")
+    out = inside.join(whole, F.lit(True)).select(  # one row on each side
+        "intra", F.when(pairs > 0, (F.col("all_sum") - F.col("in_sum")) / pairs).otherwise(0.0).alias("inter"))
     return out.withColumn("separation", F.col("intra") - F.col("inter"))
 
 

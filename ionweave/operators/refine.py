@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.config import ClusterConfig
-from ionweave.operators.clusters import centroids, dimension
+from ionweave.operators.clusters import centroids
 from ionweave.operators.density import density_clusters
 from ionweave.operators.graph import connected_components
 from ionweave.operators.tiles import TILE_ROWS, reach_links
@@ -22,7 +22,7 @@ def split_limit(cfg: ClusterConfig) -> int:
 
 
 def dynamic_split(rows: DataFrame, cfg: ClusterConfig, eps: float = None, var_threshold: float = None,
-                  dim: int = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
     """Re-cluster loose clusters of rows ``(idx, label, embedding)``; returns ``(idx, label)``.
 
     A cluster of 4 up to :func:`split_limit` members whose variance is above the limit is
@@ -31,8 +31,7 @@ def dynamic_split(rows: DataFrame, cfg: ClusterConfig, eps: float = None, var_th
     """
     eps = cfg.dbscan_eps if eps is None else eps
     var_threshold = cfg.split_var_threshold if var_threshold is None else var_threshold
-    dim = dim or dimension(rows)
-    loose = (centroids(rows.filter("label >= 0"), ["label"], dim)
+    loose = (centroids(rows.filter("label >= 0"), ["label"])
              .filter((F.col("n") >= 4) & (F.col("n") <= split_limit(cfg)) & (F.col("variance") > var_threshold))
              .select("label"))
     again = density_clusters(rows.join(loose, "label", "left_semi").select("idx", "label", "embedding")
@@ -42,13 +41,12 @@ def dynamic_split(rows: DataFrame, cfg: ClusterConfig, eps: float = None, var_th
     return kept.unionByName(again.select("idx", "label"))
 
 
-def dynamic_merge(rows: DataFrame, cfg: ClusterConfig, dim: int = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def dynamic_merge(rows: DataFrame, cfg: ClusterConfig, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Merge clusters whose centroids are closer than the threshold, transitively.
 
     The smallest label of a merged set survives.
     """
-    dim = dim or dimension(rows)
-    centers = centroids(rows.filter("label >= 0"), ["label"], dim).select(
+    centers = centroids(rows.filter("label >= 0"), ["label"]).select(
         F.col("label").alias("idx"), F.col("centroid").alias("embedding"))
     members, links = reach_links(centers, cfg.merge_dist_threshold, (), 1, True, tile_rows)
     # equal centroids share a vid without needing a link, unless both are zero

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ionweave.config import ClusterConfig
 from ionweave.functions import scoring
 from ionweave.functions.mass import MODIFICATION_SHIFTS, MODIFICATION_TOLERANCE, modification_name, neutral_mass
-from ionweave.operators.clusters import centroids, dimension, member_similarity, precursor_consensus, representatives
+from ionweave.operators.clusters import centroids, member_similarity, precursor_consensus, representatives
 from ionweave.operators.mass_groups import mass_groups, numbered_groups
 from ionweave.operators.peak_tables import consensus_peaks, fragment_confirmation
 from ionweave.session import checkpoint, ordered_index
@@ -76,20 +76,19 @@ def adjacent_pairs(groups: DataFrame) -> DataFrame:
 
 
 def rerank(labels: DataFrame, spectra: DataFrame, vectors: DataFrame, peaks: DataFrame,
-           cfg: ClusterConfig = ClusterConfig(), dim: int = None) -> Reranked:
+           cfg: ClusterConfig = ClusterConfig()) -> Reranked:
     """Score the clusters of ``labels (idx, label)``.
 
     ``spectra`` has ``(idx, precursor_mz, precursor_charge, rt, source_file)``, ``vectors``
     ``(idx, embedding)`` for every labelled spectrum, ``peaks`` ``(idx, mz, intensity)``.
     """
-    dim = dim or dimension(vectors)
     meta = spectra.select("idx", "precursor_mz", "precursor_charge", "rt", "source_file")
     labelled = labels.filter("label >= 0").select("idx", F.col("label").cast("bigint").alias("label")).join(meta, "idx")
     masses = labelled.select("idx", "label", neutral_mass("precursor_mz", "precursor_charge").alias("mass"))
     assigned, groups = cluster_groups(masses, cfg)
 
     rows = checkpoint(assigned.join(meta, "idx").join(vectors.select("idx", "embedding"), "idx"))
-    centers = centroids(rows, ["cluster_id"], dim)
+    centers = centroids(rows, ["cluster_id"])
     scored = member_similarity(rows, centers, ["cluster_id"]).withColumn("weight", scoring.member_weight("similarity"))
     members = checkpoint(scored.drop("embedding"))
 

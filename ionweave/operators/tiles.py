@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.session import small_or_none
+from ionweave.session import small_rows
 
 TILE_ROWS = 4096
 CHUNK_ROWS = 512
@@ -48,8 +48,8 @@ def tile_pairs(df: DataFrame, block: Sequence[str], row_id: str, tile_rows: int
     hot = (df.groupBy(*block).agg(F.count("*").alias("_rows"))
            .filter(F.col("_rows") > tile_rows)
            .select(*block, F.ceil(F.col("_rows") / tile_rows).cast("int").alias("_tiles")))
-    local = small_or_none(hot, HOT_BLOCK_LIMIT)
-    if local is not None and local.isEmpty():
+    n_hot, local = small_rows(hot, HOT_BLOCK_LIMIT)
+    if n_hot == 0:
         return df.withColumn("tile", F.lit(0)).withColumn("ta", F.lit(0)).withColumn("tb", F.lit(0))
     sized = df.join(hot if local is None else F.broadcast(local), list(block), "left")
     tiles = F.coalesce(F.col("_tiles"), F.lit(1))

@@ -78,7 +78,7 @@ def epoch_batches(data: DataFrame, cfg: PretrainConfig, epoch: int) -> DataFrame
 def validate(data: DataFrame, cfg: PretrainConfig, parameters: dict) -> dict:
     tokens = training_tokens(data, cfg, False).select("idx", "tokens")
     vectors = encode_tokens(tokens, cfg, checked_parameters(parameters, cfg))
-    row = separation(vectors.join(data.select("idx", F.col("label_idx").alias("label")), "idx"), cfg.embed_dim).first()
+    row = separation(vectors.join(data.select("idx", F.col("label_idx").alias("label")), "idx")).first()
     return row.asDict()
 
 

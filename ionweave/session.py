@@ -82,9 +82,13 @@ def ordered_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return slices.withColumn(name, base + within).drop("_mid")
 
 
-def small_or_none(df: DataFrame, max_rows: int):
-    """Rows of ``df`` as a local, size-checked DataFrame, or None beyond ``max_rows``."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def small_rows(df: DataFrame, max_rows: int):
+    """``(count, local)``: the rows as a local, size-checked DataFrame.
+
+    ``local`` is None when there are none or more than ``max_rows``; only a count comes
+    back in those cases.
+    """
+    n = df.count()
+    if n == 0 or n > max_rows:
+        return n, None
+    return n, df.sparkSession.createDataFrame(df.collect(), df.schema)

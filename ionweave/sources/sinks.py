@@ -23,6 +23,11 @@ def _decimals(col: str):
     return F.format_string("%.4f", F.round(col, 8))
 
 
+def _short(col: str):
+    """A value of at most four decimals without trailing zeros, but with one decimal at least."""
+    return F.regexp_replace(_decimals(col), r"(\.\d+?)0+$", "$1")
+
+
 def _flag(col: str):
     return F.when(F.col(col), "True").otherwise("False")
 
@@ -36,7 +41,7 @@ def cluster_rows(result: Reranked, spectra: DataFrame) -> DataFrame:
     return rows.select(
         F.col("quality_score").alias("quality"), "pos", "idx", "cluster_id", "parent_cluster_id", "scan_id",
         "source_file", _decimals("precursor_mz").alias("precursor_mz"), "precursor_charge",
-        F.col("quality_score").cast("string").alias("quality_score"), "confidence", _flag("ptm_flag").alias("ptm_flag"),
+        _short("quality_score").alias("quality_score"), "confidence", _flag("ptm_flag").alias("ptm_flag"),
         "ptm_delta_label", _decimals("ptm_delta_mass").alias("ptm_delta_mass"),
         _flag("heterogeneous_flag").alias("heterogeneous_flag"), "n_source_files",
         _decimals("within_var").alias("within_var"),
