@@ -28,7 +28,8 @@ def separation(rows: DataFrame) -> DataFrame:
     whole = (sums.groupBy("pos").agg(F.sum("s").alias("s"), F.sum("sq").alias("sq"))
              .agg((F.sum(F.col("s") * F.col("s")) - F.sum("sq")).alias("all_sum")))
     pairs = F.col("total") * (F.col("total") - 1) - F.col("in_pairs")
-    out = inside.join(whole, F.lit(True)).select(  # one row on each side
+    one = F.lit(1)  # both sides have a single row
+    out = inside.withColumn("_k", one).join(whole.withColumn("_k", one), "_k").select(
         "intra", F.when(pairs > 0, (F.col("all_sum") - F.col("in_sum")) / pairs).otherwise(0.0).alias("inter"))
     return out.withColumn("separation", F.col("intra") - F.col("inter"))
 

@@ -78,4 +78,6 @@ def label_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     def counts(df, name):
         return df.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias(f"clusters_{name}"),
                       F.count_if(F.col("label") < 0).alias(f"noise_{name}"))
-    return counts(before, "before").join(counts(after, "after"), F.lit(True))
+    one = F.lit(1)  # both sides have a single row
+    return (counts(before, "before").withColumn("_k", one)
+            .join(counts(after, "after").withColumn("_k", one), "_k").drop("_k"))

@@ -144,4 +144,5 @@ def run_summary(clusters: DataFrame, labels: DataFrame) -> DataFrame:
         F.count_if(F.col("n_source_files") > 1).alias("n_cross_file"),
         F.coalesce(F.avg("n_members"), F.lit(0.0)).alias("avg_size"),
         F.coalesce(F.max("n_members"), F.lit(0)).alias("max_size"))
-    return totals.join(counts, F.lit(True))  # one row on each side
+    one = F.lit(1)  # both sides have a single row
+    return totals.withColumn("_k", one).join(counts.withColumn("_k", one), "_k").drop("_k")
