@@ -125,3 +125,17 @@ def test_components_stay_apart_in_spectral_space(spark):
     out = spectral_embedding(both, 30)
     assert out.select("component").distinct().count() == 2
     assert out.filter(F.size("embedding") == 0).count() == 0
+
+
+def test_groups_inside_two_components_are_found(spark):
+    # per component two tight groups joined by a weak bridge: the bridge vectors separate them
+    w = np.kron(np.eye(2), np.ones((5, 5))) * 0.9
+    np.fill_diagonal(w, 0)
+    w[4, 5] = w[5, 4] = 0.05
+    both = edges_of(spark, w).union(edges_of(spark, w, 20))
+    from ionweave.operators.density import density_clusters
+    z = spectral_embedding(both, 3)
+    label = dict(map(tuple, density_clusters(z, 0.3, 2, ["component"]).select("idx", "label").collect()))
+    groups = [range(5), range(5, 10), range(20, 25), range(25, 30)]
+    assert [len({label[i] for i in g}) for g in groups] == [1, 1, 1, 1]
+    assert len(set(label.values())) == 4
