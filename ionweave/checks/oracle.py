@@ -382,9 +382,9 @@ ORACLE: dict[str, str] = {
     "bar_clusters": _with(*BAR, select="SELECT * REPLACE (cast(cluster_id AS bigint) AS cluster_id) FROM clusters"),
     "run_summary": _with(*BAR, select="""SELECT (SELECT count(*) FROM fx_spectra) AS n_total,
         (SELECT count(*) FROM fx_spectra WHERE label < 0) AS n_noise, count(*) AS n_clusters,
-        count_if(confidence = 'HIGH') AS n_high, count_if(confidence = 'MEDIUM') AS n_medium, count_if(confidence = 'LOW') AS n_low,
-        count_if(ptm_flag AND n_members >= 2) AS n_ptm, count_if(heterogeneous_flag) AS n_heterogeneous,
-        count_if(parent_cluster_id >= 0) AS n_split, count_if(n_source_files > 1) AS n_cross_file,
+        cast(count_if(confidence = 'HIGH') AS bigint) AS n_high, cast(count_if(confidence = 'MEDIUM') AS bigint) AS n_medium, cast(count_if(confidence = 'LOW') AS bigint) AS n_low,
+        cast(count_if(ptm_flag AND n_members >= 2) AS bigint) AS n_ptm, cast(count_if(heterogeneous_flag) AS bigint) AS n_heterogeneous,
+        cast(count_if(parent_cluster_id >= 0) AS bigint) AS n_split, cast(count_if(n_source_files > 1) AS bigint) AS n_cross_file,
         round(avg(n_members), 6) AS avg_size, max(n_members) AS max_size FROM clusters"""),
     "clusters_tsv_rows": _with(*BAR, select="""SELECT cast(c.cluster_id AS bigint) AS cluster_id, c.parent_cluster_id, s.scan_id, s.source_file,
         printf('%.4f', cast(cast(s.precursor_mz AS decimal(18, 8)) AS decimal(18, 4))) AS precursor_mz, s.precursor_charge,
@@ -408,6 +408,23 @@ ORACLE: dict[str, str] = {
           any_value(c.consensus_precursor_charge) AS precursor_charge, any_value(c.consensus_rt) AS rt,
           cast(count(*) AS int) AS n_peaks, round(max(k.intensity), 1) AS base_peak
         FROM clusters c JOIN consensus k ON k.cluster_id = c.cluster_id WHERE c.confidence IN ('HIGH', 'MEDIUM') GROUP BY c.cluster_id"""),
+    "mgf_file_scan": _with("fx_spectra", "fx_peaks", select="""
+        SELECT s.scan_id, round(any_value(s.precursor_mz), 6) AS precursor_mz, any_value(s.precursor_charge) AS precursor_charge,
+          any_value(s.rt) AS rt, cast(count(*) AS int) AS n_peaks, round(min(cast(cast(p.mz AS float) AS double)), 4) AS first_mz,
+          round(max(cast(cast(p.mz AS float) AS double)), 4) AS last_mz,
+          round(max(cast(cast(p.intensity AS float) AS double)), 2) AS top_intensity
+        FROM fx_spectra s JOIN fx_peaks p ON p.idx = s.idx GROUP BY s.scan_id"""),
+    "scan_key_dedup": _with("fx_spectra", select="""
+        SELECT scan_id, max(idx) AS idx FROM (SELECT idx, cast(idx % 4000 AS varchar) AS scan_id FROM fx_spectra WHERE idx % 3 < 2)
+        GROUP BY scan_id"""),
+    "first_spectra": _with("fx_spectra", "fx_peaks", select="""
+        SELECT idx, scan_id FROM fx_spectra WHERE idx IN (SELECT idx FROM fx_peaks GROUP BY idx
+          HAVING count(*) >= 5 AND max(mz) - min(mz) >= 250) ORDER BY idx LIMIT 1000"""),
+    "label_changes": _with(*_density(EPS, 2), f"after AS ({DENSITY_SELECT})", select="""
+        SELECT (SELECT count(DISTINCT label) FROM fx_vectors WHERE label >= 0) AS clusters_before,
+          (SELECT count(*) FROM fx_vectors WHERE label < 0) AS noise_before,
+          (SELECT count(DISTINCT label) FROM after WHERE label >= 0) AS clusters_after,
+          (SELECT count(*) FROM after WHERE label < 0) AS noise_after"""),
     "psm_best_hit": _with("fx_psm", BEST.format(fdr="0.01"), select="SELECT scan_id, peptide FROM best"),
     "psm_generic": _with("fx_psm", select="SELECT DISTINCT scan_id, peptide FROM fx_psm WHERE q_value <= 0.01::double"),
     "psm_discoverer": _with("fx_psm", select="""SELECT scan_id, peptide FROM (SELECT scan_id, peptide, row_number() OVER (

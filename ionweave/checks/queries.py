@@ -447,6 +447,47 @@ def mgf_round_trip(spark, d):
                       F.size("mz").alias("n_peaks"), F.round(F.array_max(F.col("intensity").cast("array<double>")), 1).alias("base_peak"))
 
 
+@query
+def mgf_file_scan(spark, d):
+    """All spectra written as MGF text and read back from the files."""
+    import uuid
+    from ionweave.session import checkpoint_dir
+    from ionweave.sources.mgf import read_mgf
+    folder = f"{checkpoint_dir(spark)}/mgf-{uuid.uuid4().hex}"
+    sinks.spectrum_blocks(_spectrum_rows(spark, d)).select("block").write.text(folder)
+    got = read_mgf(spark, f"{folder}/part-*")
+    m, i = F.col("mz").cast("array<double>"), F.col("intensity").cast("array<double>")
+    return got.select("scan_id", F.round("precursor_mz", 6).alias("precursor_mz"), "precursor_charge", "rt",
+                      F.size("mz").alias("n_peaks"), F.round(F.array_min(m), 4).alias("first_mz"),
+                      F.round(F.array_max(m), 4).alias("last_mz"), F.round(F.array_max(i), 2).alias("top_intensity"))
+
+
+@query
+def scan_key_dedup(spark, d):
+    """Training keys of all spectra; the last spectrum of a key stays."""
+    from ionweave.sources.mgf import training_spectra
+    key = (F.col("idx") % 4000).cast("string")
+    rows = view(spark, d, "fx_spectra").select(
+        "idx", "scan_id", F.when(F.col("idx") % 3 == 0, F.concat(key, F.lit("|x"))).alias("scans"),
+        F.when(F.col("idx") % 3 == 1, F.concat(F.lit("run NewScan:"), key)).otherwise(F.lit("no number")).alias("title"))
+    return training_spectra(rows).select("scan_id", "idx")
+
+
+@query
+def first_spectra(spark, d):
+    """The first spectra in reading order after the quality filter."""
+    from ionweave.sources.mgf import first_spectra as first
+    good = PT.quality_filter(view(spark, d, "fx_peaks")).select("idx")
+    rows = view(spark, d, "fx_spectra").join(good, "idx", "left_semi").select("idx", "scan_id")
+    return first(rows, 1000)
+
+
+@query
+def label_changes(spark, d):
+    v = _vectors(spark, d)
+    return R.label_changes(v.select("idx", "label"), density_clusters(v.select("idx", "embedding"), EPS, 2))
+
+
 # --- peptide matches and classes ---------------------------------------------------
 
 

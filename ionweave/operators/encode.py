@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ionweave.config import ClusterConfig
 from ionweave.functions import peaks as P
-from ionweave.functions.vectors import unit
 from ionweave.operators.tiles import vector_column
 
 # Fixed values of the integer-hash projection.
@@ -34,57 +33,69 @@ def _cleaned(cfg) -> "Column":
     return zipped
 
 
-def encode_projection(spectra: DataFrame, cfg: ClusterConfig) -> DataFrame:
-    """``(idx, embedding)`` by projecting binned spectra.
+def _sparse_rows(batch: pa.RecordBatch):
+    """(row, bin, value) of a batch's bin lists in row and bin order.
 
-    Binning is done on the JVM side and stays sparse.  The projection has a fixed size
-    (bins x dimensions, 37 MB by default) and is broadcast.
+    Several peaks in one bin count once, with the largest value.
     """
-    shared = spectra.sparkSession.sparkContext.broadcast(projection_matrix(cfg))
+    lists = batch.column("bins")
+    flat = lists.flatten()
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+    bins = flat.field("bin").to_numpy(zero_copy_only=False).astype(np.int64)
+    value = flat.field("v").to_numpy(zero_copy_only=False)
+    order = np.lexsort((-value, bins, row))
+    row, bins, value = row[order], bins[order], value[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])
+    return row[first], bins[first], value[first]
+
+
+def _projected(lists: DataFrame, dim: int, rows_of, kind) -> DataFrame:
+    """Unit rows of sparse bins times a matrix whose rows ``rows_of(bins)`` supplies."""
 
     def run(batches):
-        proj = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            lists = batch.column("bins")
-            flat = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
-            bins = flat.field("bin").to_numpy(zero_copy_only=False).astype(np.int64)
-            value = flat.field("v").to_numpy(zero_copy_only=False)
-            # several peaks in one bin count once, with the largest value
-            order = np.lexsort((-value, bins, row))
-            row, bins, value = row[order], bins[order], value[order]
-            first = np.ones(len(row), dtype=bool)
-            first[1:] = (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])
-            row, bins, value = row[first], bins[first], value[first]
-            total = np.zeros((batch.num_rows, proj.shape[1]))
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+            row, bins, value = _sparse_rows(batch)
+            total = np.zeros((batch.num_rows, dim))
             if len(row):
-                total[row[starts]] = np.add.reduceat(proj[bins] * value[:, None], starts, axis=0)
+                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                total[row[starts]] = np.add.reduceat(rows_of(bins) * value[:, None], starts, axis=0)
             yield pa.RecordBatch.from_pydict(
-                {"idx": batch.column("idx"), "embedding": vector_column(_unit_rows(total), pa.float32())})
+                {"idx": batch.column("idx"), "embedding": vector_column(_unit_rows(total), kind)})
+
+    name = "float" if kind == pa.float32() else "double"
+    return lists.mapInArrow(run, f"idx long, embedding array<{name}>")
 
+
+def encode_projection(spectra: DataFrame, cfg: ClusterConfig) -> DataFrame:
+    """``(idx, embedding)`` by projecting binned spectra.
+
+    Binning is done on the JVM side and stays sparse.  The projection has a fixed size
+    (bins x dimensions, 37 MB by default) and is broadcast.
+    """
+    shared = spectra.sparkSession.sparkContext.broadcast(projection_matrix(cfg))
     sparse = spectra.select("idx", P.binned(P.zipped(), cfg.top_k_peaks, cfg.mz_min, cfg.bin_width,
                                             cfg.n_bins).alias("bins"))
-    return sparse.mapInArrow(run, "idx long, embedding array<float>")
+    return _projected(sparse, cfg.embed_dim, lambda bins: shared.value[bins], pa.float32())
 
 
 def signed_projection(bins: DataFrame, dim: int) -> DataFrame:
-    """``(idx, embedding)`` from sparse bins with integer-hash signs, all in the JVM.
+    """``(idx, embedding)`` from sparse bins ``(idx, bin, v)`` with integer-hash signs.
 
-    The projection is never materialised: each output position is one aggregate whose
-    sign comes from the bin number, so partial sums combine before the shuffle.
+    The projection is never materialised: the sign of a bin at an output position comes
+    from the two numbers.  A spectrum has at most top-k bins, which bounds its list.
     """
     a, b, c, m = _SIGN
-    bin_ = F.col("bin").cast("bigint")
+    place = np.arange(dim, dtype=np.int64)[None, :]
 
-    def sign(d: int):
-        mixed = (bin_ * a + F.lit(d * b + c)) * (bin_ + F.lit(d + 1)) % m
-        return F.when(F.floor(mixed / 64) % 2 == 0, F.col("v")).otherwise(-F.col("v"))
+    def signs(bins):
+        at = bins[:, None]
+        return np.where((at * a + (place * b + c)) * (at + place + 1) % m // 64 % 2 == 0, 1.0, -1.0)
 
-    sums = bins.groupBy("idx").agg(*[F.sum(sign(d)).alias(f"_s{d}") for d in range(dim)])
-    return sums.select("idx", unit(F.array(*[F.col(f"_s{d}") for d in range(dim)])).alias("embedding"))
+    lists = bins.groupBy("idx").agg(F.collect_list(F.struct("bin", "v")).alias("bins"))
+    return _projected(lists, dim, signs, pa.float64())
 
 
 # --- transformer -------------------------------------------------------------------

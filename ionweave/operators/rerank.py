@@ -88,7 +88,7 @@ def rerank(labels: DataFrame, spectra: DataFrame, vectors: DataFrame, peaks: Dat
     assigned, groups = cluster_groups(masses, cfg)
 
     rows = checkpoint(assigned.join(meta, "idx").join(vectors.select("idx", "embedding"), "idx"))
-    centers = centroids(rows, ["cluster_id"])
+    centers = checkpoint(centroids(rows, ["cluster_id"]))
     scored = member_similarity(rows, centers, ["cluster_id"]).withColumn("weight", scoring.member_weight("similarity"))
     members = checkpoint(scored.drop("embedding"))
 
