@@ -1,0 +1,204 @@
+"""Loss gradient of one training batch.
+
+A batch is P x K spectra, so this is a bounded piece of work inside a task; batches are
+spread over the tasks by Spark and only summed gradients, of the size of the model, come
+back.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ionweave.operators.encode import parameter_shapes, random_parameters
+
+
+def training_shapes(cfg) -> dict[str, tuple[int, ...]]:
+    """Encoder parameters plus the projection head used by the loss."""
+    d = cfg.embed_dim
+    return {**parameter_shapes(cfg), "proj_head.0.weight": (2 * d, d), "proj_head.0.bias": (2 * d,),
+            "proj_head.2.weight": (256, 2 * d), "proj_head.2.bias": (256,)}
+
+
+def initial_parameters(cfg) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(cfg.seed + 1)
+    out = random_parameters(cfg, cfg.seed)
+    for name, shape in training_shapes(cfg).items():
+        if name not in out:
+            bound = shape[-1] ** -0.5
+            out[name] = rng.uniform(-bound, bound, shape) if len(shape) == 2 else np.zeros(shape)
+    return out
+
+
+def flatten(parameters: dict, cfg) -> np.ndarray:
+    return np.concatenate([np.ravel(parameters[n]) for n in training_shapes(cfg)])
+
+
+def unflatten(vector: np.ndarray, cfg) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, shape in training_shapes(cfg).items():
+        size = int(np.prod(shape))
+        out[name] = vector[at:at + size].reshape(shape)
+        at += size
+    return out
+
+
+class _Tape:
+    """Backward steps in reverse order of the forward ones, with their parameter gradients."""
+
+    def __init__(self, parameters):
+        self.par, self.grad, self.steps = parameters, {}, []
+
+    def linear(self, x, weight, bias):
+        w = self.par[weight]
+
+        def back(g):
+            flat_g, flat_x = g.reshape(-1, g.shape[-1]), x.reshape(-1, x.shape[-1])
+            self.grad[weight] = flat_g.T @ flat_x
+            self.grad[bias] = flat_g.sum(0)
+            return g @ w
+        return x @ w.T + self.par[bias], back
+
+    def norm(self, x, weight, bias):
+        centred = x - x.mean(-1, keepdims=True)
+        scale = 1.0 / np.sqrt((centred * centred).mean(-1, keepdims=True) + 1e-5)
+        unit = centred * scale
+
+        def back(g):
+            self.grad[weight] = (g * unit).reshape(-1, g.shape[-1]).sum(0)
+            self.grad[bias] = g.reshape(-1, g.shape[-1]).sum(0)
+            g = g * self.par[weight]
+            return scale * (g - g.mean(-1, keepdims=True) - unit * (g * unit).mean(-1, keepdims=True))
+        return unit * self.par[weight] + self.par[bias], back
+
+
+def _rectified(x):
+    return np.maximum(x, 0.0), lambda g: g * (x > 0)
+
+
+def _dropped(x, rate, rng):
+    if rate <= 0 or rng is None:
+        return x, lambda g: g
+    keep = (rng.random(x.shape) >= rate) / (1.0 - rate)
+    return x * keep, lambda g: g * keep
+
+
+def _unit(x):
+    length = np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    y = x / length
+    return y, lambda g: (g - y * (g * y).sum(-1, keepdims=True)) / length
+
+
+def _attention(tape, x, prefix, heads, hidden, rate, rng):
+    rows, length, d = x.shape
+    qkv, back_in = tape.linear(x, prefix + "in_proj_weight", prefix + "in_proj_bias")
+
+    def split(part):
+        return part.reshape(rows, length, heads, d // heads).transpose(0, 2, 1, 3)
+
+    def join(part):
+        return part.transpose(0, 2, 1, 3).reshape(rows, length, d)
+
+    q, k, v = (split(p) for p in np.split(qkv, 3, axis=-1))
+    scale = (d // heads) ** -0.5
+    score = q @ k.transpose(0, 1, 3, 2) * scale + hidden
+    prob = np.exp(score - score.max(-1, keepdims=True))
+    prob /= prob.sum(-1, keepdims=True)
+    used, back_drop = _dropped(prob, rate, rng)
+    out, back_out = tape.linear(join(used @ v), prefix + "out_proj.weight", prefix + "out_proj.bias")
+
+    def back(g):
+        g = split(back_out(g))
+        g_prob = back_drop(g @ v.transpose(0, 1, 3, 2))
+        g_score = prob * (g_prob - (g_prob * prob).sum(-1, keepdims=True)) * scale
+        parts = [join(g_score @ k), join(g_score.transpose(0, 1, 3, 2) @ q), join(used.transpose(0, 1, 3, 2) @ g)]
+        return back_in(np.concatenate(parts, axis=-1))
+    return out, back
+
+
+def loss_and_slope(vec: np.ndarray, label: np.ndarray, temperature: float, uniformity: float):
+    """(loss, supcon, uniform, slope with respect to ``vec``)."""
+    n = len(vec)
+    cos = vec @ vec.T
+    same = label[:, None] == label[None, :]
+    off = ~np.eye(n, dtype=bool)
+    positive = same & off
+    anchors = positive.any(1)
+    if not anchors.any():
+        return 0.0, 0.0, 0.0, np.zeros_like(vec)
+    logits = np.where(off, cos / temperature, -np.inf)
+    top = logits.max(1, keepdims=True)
+    soft = np.exp(logits - top)
+    total = soft.sum(1, keepdims=True)
+    soft /= total
+    log_prob = np.where(positive, cos / temperature - top - np.log(total), 0.0)
+    count = np.maximum(positive.sum(1, keepdims=True), 1)
+    supcon = -(log_prob.sum(1, keepdims=True) / count)[anchors].mean()
+    slope = np.where(anchors[:, None], soft - positive / count, 0.0) / anchors.sum() / temperature
+    negative, spread = ~same, 0.0
+    if negative.any():
+        near = np.where(negative, np.exp(-4.0 + 4.0 * cos), 0.0)
+        mean = near.sum() / negative.sum()
+        spread = float(np.log(mean + 1e-8))
+        slope = slope + uniformity * 4.0 * near / negative.sum() / (mean + 1e-8)
+    return float(supcon + uniformity * spread), float(supcon), spread, (slope + slope.T) @ vec
+
+
+def batch_gradient(tokens: np.ndarray, padding: np.ndarray, label: np.ndarray, parameters: dict, heads: int,
+                   temperature: float, uniformity: float, dropout: float = 0.1, seed: int = None):
+    """(loss, supcon, uniform, gradients by name) of one batch."""
+    tape = _Tape(parameters)
+    rng = None if seed is None else np.random.default_rng(seed)
+    backs = []
+    x, back = tape.linear(tokens, "input_proj.weight", "input_proj.bias")
+    backs.append(back)
+    hidden = np.where(padding & ~padding.all(1)[:, None], -np.inf, 0.0)[:, None, None, :]
+    layer = 0
+    while f"encoder.layers.{layer}.norm1.weight" in parameters:
+        p = f"encoder.layers.{layer}."
+        y, b1 = tape.norm(x, p + "norm1.weight", p + "norm1.bias")
+        y, b2 = _attention(tape, y, p + "self_attn.", heads, hidden, dropout, rng)
+        y, b3 = _dropped(y, dropout, rng)
+        x = x + y
+        backs.append(lambda g, b1=b1, b2=b2, b3=b3: g + b1(b2(b3(g))))
+        y, c1 = tape.norm(x, p + "norm2.weight", p + "norm2.bias")
+        y, c2 = tape.linear(y, p + "linear1.weight", p + "linear1.bias")
+        y, c3 = _rectified(y)
+        y, c4 = _dropped(y, dropout, rng)
+        y, c5 = tape.linear(y, p + "linear2.weight", p + "linear2.bias")
+        y, c6 = _dropped(y, dropout, rng)
+        x = x + y
+        backs.append(lambda g, c=(c1, c2, c3, c4, c5, c6): g + c[0](c[1](c[2](c[3](c[4](c[5](g)))))))
+        layer += 1
+    valid = (~padding)[:, :, None].astype(float)
+    share = valid / np.maximum(valid.sum(1, keepdims=True), 1)
+    backs.append(lambda g: g[:, None, :] * share)
+    y = (x * share).sum(1)
+    for step in (lambda v: tape.linear(v, "proj_norm.0.weight", "proj_norm.0.bias"),
+                 lambda v: tape.norm(v, "proj_norm.1.weight", "proj_norm.1.bias"), _unit,
+                 lambda v: tape.linear(v, "proj_head.0.weight", "proj_head.0.bias"), _rectified,
+                 lambda v: tape.linear(v, "proj_head.2.weight", "proj_head.2.bias"), _unit):
+        y, back = step(y)
+        backs.append(back)
+    loss, supcon, spread, slope = loss_and_slope(y, label, temperature, uniformity)
+    for back in reversed(backs):
+        slope = back(slope)
+    return loss, supcon, spread, tape.grad
+
+
+class AdamW:
+    """Adam with decoupled decay on matrices only, after clipping the gradient's length."""
+
+    def __init__(self, cfg, decay: float, clip: float = 1.0):
+        shapes = training_shapes(cfg)
+        self.decay = np.concatenate([np.full(int(np.prod(s)), decay if len(s) > 1 else 0.0) for s in shapes.values()])
+        self.clip, self.t = clip, 0
+        self.m = np.zeros(len(self.decay))
+        self.v = np.zeros(len(self.decay))
+
+    def update(self, vector: np.ndarray, grad: np.ndarray, lr: float) -> np.ndarray:
+        grad = grad * min(1.0, self.clip / (np.linalg.norm(grad) + 1e-6))
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * grad
+        self.v = 0.999 * self.v + 0.001 * grad * grad
+        step = (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
+        return vector * (1.0 - lr * self.decay) - lr * step

@@ -154,3 +154,59 @@ def test_augmentation_is_seeded_and_bounded(spark):
     assert all(50 <= p["mz"] <= 1500 and p["intensity"] >= 0 for v in one.values() for p in v)
     single = df.limit(1).select(L.augmented(zipped(), F.col("idx"), drop=1.0).alias("a")).first()["a"]
     assert len(single) == 50
+
+
+def test_gradient_equals_finite_differences():
+    from ionweave.operators import gradient as D
+    from ionweave.operators.encode import transformer_forward
+    cfg = PretrainConfig(embed_dim=8, ff_dim=6, n_heads=2, n_layers=2)
+    par = D.initial_parameters(cfg)
+    rng = np.random.default_rng(0)
+    par = {n: v + rng.normal(size=v.shape) * 0.1 for n, v in par.items()}
+    tokens, label = rng.random((6, 4, 2)), np.array([0, 0, 1, 1, 2, 2])
+    pad = np.zeros((6, 4), bool)
+    pad[1, 2:] = True
+    args = (tokens, pad, label)
+    loss, supcon, spread, grad = D.batch_gradient(*args, par, 2, 0.2, 0.15)
+    flat, slope = D.flatten(par, cfg), D.flatten(grad, cfg)
+    for at in rng.choice(len(flat), 60, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        want = (D.batch_gradient(*args, D.unflatten(up, cfg), 2, 0.2, 0.15)[0]
+                - D.batch_gradient(*args, D.unflatten(down, cfg), 2, 0.2, 0.15)[0]) / 2e-5
+        assert abs(want - slope[at]) < 1e-6 * max(1, abs(want))
+    backbone = transformer_forward(tokens, pad, par, 2)
+    head = np.maximum(backbone @ par["proj_head.0.weight"].T + par["proj_head.0.bias"], 0)
+    head = head @ par["proj_head.2.weight"].T + par["proj_head.2.bias"]
+    head /= np.linalg.norm(head, axis=1, keepdims=True)
+    a, b, _ = L.contrastive_loss(head, label, 0.2)
+    assert abs(a - supcon) < 1e-12 and abs(b - spread) < 1e-12
+
+
+def test_training_improves_separation(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows, hits = [], []
+    for c in range(8):
+        base = np.sort(rng.uniform(100, 1400, 12))
+        for k in range(5):
+            i = len(rows)
+            rows.append((i, str(i), 500.0 + c, 2, [float(v) for v in base + rng.normal(size=12) * 0.01],
+                         [float(v) for v in rng.uniform(50, 100, 12)]))
+            hits.append((str(i), f"PEP{c}"))
+    spectra = spark.createDataFrame(rows, "idx long, scan_id string, precursor_mz double, precursor_charge int, mz array<float>, intensity array<float>")
+    psm = spark.createDataFrame(hits, "scan_id string, peptide string")
+    cfg = PretrainConfig(embed_dim=16, ff_dim=16, n_heads=2, n_layers=1, epochs=3, lr=3e-3, warmup_epochs=1, val_split=0.4,
+                         pk_classes_per_batch=4, pk_samples_per_class=3, augment=False, output_path=str(tmp_path / "enc.npz"))
+    data = pretrain.prepare(spectra, psm, cfg)
+    sides = [{r["label"].rsplit("|z", 1)[0] for r in part.collect()} for part in (data.train, data.validation)]
+    assert not sides[0] & sides[1] and len(sides[0] | sides[1]) == 8
+    best = pretrain.train(data, cfg, batches_per_step=2)
+    assert best["val_separation"] > 0 and (tmp_path / "enc.npz").exists()
+    from ionweave.sources.store import describe_checkpoint
+    assert describe_checkpoint(spark, cfg.output_path).first()["epoch"] == best["epoch"]
+    p = pretrain.Patience(2)
+    assert [p.better(i, v) for i, v in enumerate([1.0, 0.5, 2.0, 1.0, 1.0])] == [True, False, True, False, False] and p.exhausted
+    from ionweave.plans.cluster import encode
+    from ionweave.config import ClusterConfig as CC
+    assert encode(spectra, CC(embed_dim=16, ff_dim=16, n_heads=2, n_layers=1, encoder_weights=cfg.output_path)).count() == 40
