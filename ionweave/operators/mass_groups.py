@@ -103,19 +103,23 @@ def _slice_starts(slices: DataFrame, step) -> DataFrame:
                     "pid": [pid], "head": [head], "label": [tail.label], "start": [tail.start], "last": [tail.last]})
         return run
 
-    # one row per slice comes back
+    # one row per slice comes back; after the first round only slices with a new input run
     carries: dict[int, Open] = {}
+    known, todo = {}, slices
     while True:
-        rows = slices.mapInArrow(summary(carries),
-                                 "pid long, head long, label long, start double, last double").collect()
-        rows.sort(key=lambda r: r["pid"])
+        for row in todo.mapInArrow(summary(carries),
+                                   "pid long, head long, label long, start double, last double").collect():
+            known[row["pid"]] = row
+        rows = [known[pid] for pid in sorted(known)]
         updated = {}
         for before, row in zip(rows, rows[1:]):
             if before["label"] == row["head"]:
                 updated[row["pid"]] = Open(before["label"], before["start"], before["last"])
-        if updated == carries:
-            break
+        changed = [pid for pid, carry in updated.items() if carries.get(pid) != carry]
         carries = updated
+        if not changed:
+            break
+        todo = slices.filter(F.spark_partition_id().isin(changed))
 
     def assign(batches):
         pid = TaskContext.get().partitionId()

@@ -72,22 +72,18 @@ def consensus_peaks(members: DataFrame, peaks: DataFrame, mz_min: float = 50.0,
                     n_bins: int = 72_500) -> DataFrame:
     """Consensus spectrum per cluster as rows ``(cluster_id, bin, mz, intensity)``.
 
-    ``members`` has ``(cluster_id, idx, weight)``.  Peaks are first summed per spectrum
-    and bin, so the join sees at most ``n_bins`` rows per spectrum; the cluster sums are
-    then combined map-side.  Weights need no normalising: the factor cancels in both
-    the m/z ratio and the scaling to 999.
+    ``members`` has ``(cluster_id, idx, weight)``.  The cluster sums combine map-side right
+    after the join.  Weights need no normalising: the factor cancels in both the m/z
+    ratio and the scaling to 999.
     """
     top = peaks.groupBy("idx").agg(F.max("intensity").alias("peak_max")).filter(F.col("peak_max") > 0)
-    per_bin = (peaks.withColumn("bin", P.bin_index("mz", mz_min, width))
-               .filter((F.col("bin") >= 0) & (F.col("bin") < n_bins))
-               .groupBy("idx", "bin")
-               .agg(F.sum(F.sqrt("intensity")).alias("root"),
-                    F.sum(F.sqrt("intensity") * F.col("mz")).alias("root_mz")))
     scale = members.join(top, "idx").select(
         "cluster_id", "idx", (F.col("weight") / F.sqrt("peak_max")).alias("scale"))
-    sums = (per_bin.join(scale, "idx").groupBy("cluster_id", "bin")
+    placed = (peaks.select("idx", "mz", P.bin_index("mz", mz_min, width).alias("bin"), F.sqrt("intensity").alias("root"))
+              .filter((F.col("bin") >= 0) & (F.col("bin") < n_bins)))
+    sums = (placed.join(scale, "idx").groupBy("cluster_id", "bin")
             .agg(F.sum(F.col("scale") * F.col("root")).alias("acc"),
-                 F.sum(F.col("scale") * F.col("root_mz")).alias("acc_mz"))
+                 F.sum(F.col("scale") * F.col("root") * F.col("mz")).alias("acc_mz"))
             .filter(F.col("acc") > 0))
     # a cluster has at most n_bins rows here
     base = F.max("acc").over(Window.partitionBy("cluster_id"))

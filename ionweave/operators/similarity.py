@@ -11,7 +11,7 @@ from ionweave.config import ClusterConfig
 from ionweave.functions.mass import edge_weight
 from ionweave.functions.vectors import hash_bit_count
 from ionweave.operators.graph import symmetric
-from ionweave.operators.tiles import TILE_ROWS, matrix, nearest, vector_column
+from ionweave.operators.tiles import TILE_ROWS, matrix, nearest, nearest_of_copies, ranked_copies, vector_column
 
 # Fixed values of the integer-hash planes.
 _PLANE = (48271, 69621, 40692, 2147483647)
@@ -102,8 +102,9 @@ def candidate_pairs(vectors: DataFrame, k: int, coded: bool = False, floor: floa
     carried = ["precursor_mz", "precursor_charge"]
     if not coded:
         return nearest(vectors.select("idx", "embedding", *carried), k, (), carried, floor, tile_rows)
-    near = nearest(bucketed_rows(vectors.select("idx", "embedding", *carried, "codes")), k,
-                   ("rep", "code"), carried, floor, tile_rows)
+    # copies share their codes, so they are found once and not again in every repeat
+    rows = bucketed_rows(ranked_copies(vectors.select("idx", "embedding", *carried, "codes"), ["codes"]))
+    near = nearest_of_copies(rows, k, ("rep", "code"), carried, floor, tile_rows)
     return near.groupBy("i", "j").agg(
         F.max("cos").alias("cos"), *[F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in carried for s in "ij"])
 

@@ -124,6 +124,12 @@ def _knn_kernel(block: Sequence[str], carried: Sequence[str], k: int, floor: flo
     return kernel
 
 
+def ranked_copies(vectors: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Adds ``vid`` and the 1-based number ``copy`` of a row among its copies, by id."""
+    rows = collapse_copies(vectors, within)
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(*within, "vid").orderBy("idx")))
+
+
 def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequence[str] = (),
             floor: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
     """k nearest neighbours by cosine inside each block, self excluded by id.
@@ -132,14 +138,18 @@ def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequ
     Returns ``(*block, i, j, cos, *carried_i, *carried_j)``; ties go to the smaller id.
     ``floor`` drops neighbours below a similarity, which commutes with the limit.
     """
-    whole = not block
-    block = list(block) or ["_all"]
-    if whole:
-        vectors = vectors.withColumn("_all", F.lit(0))
-    rows = collapse_copies(vectors, [] if whole else block)
+    if block:
+        return nearest_of_copies(ranked_copies(vectors, block), k, block, carried, floor, tile_rows)
+    rows = ranked_copies(vectors).withColumn("_all", F.lit(0))
+    return nearest_of_copies(rows, k, ["_all"], carried, floor, tile_rows).drop("_all")
+
+
+def nearest_of_copies(rows: DataFrame, k: int, block: Sequence[str], carried: Sequence[str], floor: float,
+                      tile_rows: int = TILE_ROWS) -> DataFrame:
+    """:func:`nearest` for rows that carry ``vid`` and ``copy``."""
+    block = list(block)
     # nobody can have more than the first k + 1 of a set of copies among its neighbours
-    copy_order = Window.partitionBy(*block, "vid").orderBy("idx")
-    candidates = rows.withColumn("_copy", F.row_number().over(copy_order)).filter(F.col("_copy") <= k + 1).drop("_copy")
+    candidates = rows.filter(F.col("copy") <= k + 1).drop("copy")
     fields = {f.name: f.dataType.simpleString() for f in candidates.schema}
     schema = ", ".join([f"{b} {fields[b]}" for b in block] + ["vid long", "j long", "cos double"]
                        + [f"{c}_j {fields[c]}" for c in carried])
@@ -151,10 +161,9 @@ def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequ
     entry = F.struct("_rank", "j", "cos", *[f"{c}_j" for c in carried])
     lists = found.groupBy(*block, "vid").agg(F.sort_array(F.collect_list(entry)).alias("_near"))
     own = rows.select(*block, F.col("idx").alias("i"), "vid", *[F.col(c).alias(f"{c}_i") for c in carried])
-    out = (own.join(lists, [*block, "vid"])
-           .withColumn("_n", F.explode(F.slice(F.filter("_near", lambda n: n["j"] != F.col("i")), 1, k)))
-           .select(*block, "i", "_n.j", "_n.cos", *[f"{c}_i" for c in carried], *[f"_n.{c}_j" for c in carried]))
-    return out.drop("_all") if whole else out
+    return (own.join(lists, [*block, "vid"])
+            .withColumn("_n", F.explode(F.slice(F.filter("_near", lambda n: n["j"] != F.col("i")), 1, k)))
+            .select(*block, "i", "_n.j", "_n.cos", *[f"{c}_i" for c in carried], *[f"_n.{c}_j" for c in carried]))
 
 
 # --- radius joins ------------------------------------------------------------------
@@ -246,6 +255,7 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
     ``cosine``.  A row is core when at least ``min_samples`` rows, itself included,
     are in reach.  Returns ``(rows, links)``: ``rows`` is ``(*block, idx, vid, core)``
     and ``links`` is ``(src, dst)`` over ``vid``; a tile pair returns fewer links than rows.
+    Below ``min_samples`` 3 ``core`` only tells of the row's copies: a linked row is core.
     """
     whole = not block
     block = list(block) or ["_all"]
@@ -254,8 +264,10 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
     keys = [*block, "embedding"]
     distinct = vectors.groupBy(*keys).agg(F.min("idx").alias("vid"), F.count("*").alias("copies"))
     rows = vectors.join(distinct.select(*keys, "vid"), keys).select(*block, "idx", "vid")
-    if min_samples <= 1:
-        cores = distinct.withColumn("core", F.lit(True))
+    if min_samples <= 2:
+        # any link makes both its ends core, so one pass is enough
+        cores = distinct.withColumn("core", F.col("copies") >= min_samples)
+        active = distinct.withColumn("core", F.lit(True))
     else:
         fields = {f.name: f.dataType.simpleString() for f in distinct.schema}
         schema = ", ".join([f"{b} {fields[b]}" for b in block] + ["vid long", "degree long"])
@@ -263,8 +275,8 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
                    .applyInArrow(_degree_kernel(block, limit, cosine), schema)
                    .groupBy("vid").agg(F.sum("degree").alias("degree")))
         cores = distinct.join(degrees, "vid").withColumn("core", F.col("degree") >= min_samples)
-    # a row in reach of nothing but itself takes no part in the second pass
-    active = cores if min_samples <= 1 else cores.filter(F.col("degree") > F.col("copies"))
+        # a row in reach of nothing but its copies takes no part in the second pass
+        active = cores.filter(F.col("degree") > F.col("copies"))
     links = (tile_pairs(active, block, "vid", tile_rows).groupBy(*block, "ta", "tb")
              .applyInArrow(_forest_kernel(limit, cosine), "src long, dst long"))
     rows = rows.join(cores.select("vid", "core"), "vid")
