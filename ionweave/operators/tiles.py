@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.session import small_rows
+from ionweave.session import checkpoint, small_rows
 
 TILE_ROWS = 4096
 CHUNK_ROWS = 512
@@ -125,9 +125,13 @@ def _knn_kernel(block: Sequence[str], carried: Sequence[str], k: int, floor: flo
 
 
 def ranked_copies(vectors: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Adds ``vid`` and the 1-based number ``copy`` of a row among its copies, by id."""
+    """Adds ``vid`` and the 1-based number ``copy`` of a row among its copies, by id.
+
+    The result is read several times (block sizes, tiles, own rows), so it is checkpointed.
+    """
     rows = collapse_copies(vectors, within)
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(*within, "vid").orderBy("idx")))
+    order = Window.partitionBy(*within, "vid").orderBy("idx")
+    return checkpoint(rows.withColumn("copy", F.row_number().over(order)))
 
 
 def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequence[str] = (),
@@ -262,11 +266,11 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
     if whole:
         vectors = vectors.withColumn("_all", F.lit(0))
     keys = [*block, "embedding"]
-    distinct = vectors.groupBy(*keys).agg(F.min("idx").alias("vid"), F.count("*").alias("copies"))
-    rows = vectors.join(distinct.select(*keys, "vid"), keys).select(*block, "idx", "vid")
+    distinct = checkpoint(vectors.groupBy(*keys).agg(F.min("idx").alias("vid"), F.count("*").alias("copies")))
+    rows = vectors.join(distinct, keys).select(*block, "idx", "vid", "copies")
     if min_samples <= 2:
         # any link makes both its ends core, so one pass is enough
-        cores = distinct.withColumn("core", F.col("copies") >= min_samples)
+        rows = rows.withColumn("core", F.col("copies") >= min_samples)
         active = distinct.withColumn("core", F.lit(True))
     else:
         fields = {f.name: f.dataType.simpleString() for f in distinct.schema}
@@ -274,10 +278,12 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
         degrees = (tile_pairs(distinct, block, "vid", tile_rows).groupBy(*block, "ta", "tb")
                    .applyInArrow(_degree_kernel(block, limit, cosine), schema)
                    .groupBy("vid").agg(F.sum("degree").alias("degree")))
-        cores = distinct.join(degrees, "vid").withColumn("core", F.col("degree") >= min_samples)
+        degrees = checkpoint(degrees)
+        core = F.col("degree") >= min_samples
+        rows = rows.join(degrees, "vid").withColumn("core", core).drop("degree")
         # a row in reach of nothing but its copies takes no part in the second pass
-        active = cores.filter(F.col("degree") > F.col("copies"))
+        active = distinct.join(degrees, "vid").withColumn("core", core).filter(F.col("degree") > F.col("copies"))
     links = (tile_pairs(active, block, "vid", tile_rows).groupBy(*block, "ta", "tb")
              .applyInArrow(_forest_kernel(limit, cosine), "src long, dst long"))
-    rows = rows.join(cores.select("vid", "core"), "vid")
+    rows = rows.drop("copies")
     return (rows.drop("_all") if whole else rows), links
