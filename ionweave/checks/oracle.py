@@ -338,12 +338,12 @@ ORACLE: dict[str, str] = {
     "representative": _with("fx_vectors", COORD, CENTROID, select="""
         SELECT label, idx AS rep_idx FROM (SELECT label, idx, row_number() OVER (PARTITION BY label
           ORDER BY round(sim, 9) DESC, idx) AS r FROM sims) WHERE r = 1"""),
-    "knn_cosine": _with("fx_vectors", PAIRS, _near(10), select="SELECT i, j, round(cos, 6) AS cos FROM near"),
-    "directed_edges_ppm": _with("fx_vectors", PAIRS, _near(20), DIRECTED, select="SELECT i, j, round(w, 6) AS w FROM directed"),
-    "similarity_edges": _with(*EDGES, select="SELECT i, j, round(w, 6) AS w FROM edges"),
+    "knn_cosine": _with("fx_vectors", PAIRS, _near(10), select="SELECT i, j, cos FROM near"),
+    "directed_edges_ppm": _with("fx_vectors", PAIRS, _near(20), DIRECTED, select="SELECT i, j, w FROM directed"),
+    "similarity_edges": _with(*EDGES, select="SELECT i, j, w FROM edges"),
     "similarity_edges_da": _with("fx_vectors", PAIRS, _near(20), DIRECTED_DA, SYMMETRIC,
                                  select="SELECT i, j, round(w, 6) AS w FROM edges"),
-    "node_degree": _with(*EDGES, select="SELECT i, round(sum(w), 6) AS degree FROM edges GROUP BY i"),
+    "node_degree": _with(*EDGES, select="SELECT i, round(sum(w), 10) AS degree FROM edges GROUP BY i"),
     "connected_components": _with(*EDGES, CLOSURE, select="SELECT node, component FROM parts"),
     "component_labels_by_size": _with(
         *EDGES, CLOSURE, """kept AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS number
@@ -370,8 +370,8 @@ ORACLE: dict[str, str] = {
                      (SELECT avg(s) FROM sim WHERE a <> b) AS inter)""",
         select="SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(intra - inter, 6) AS separation FROM parts"),
     "lsh_codes": _with("fx_vectors", COORD, CODES, select="SELECT idx, cast(rep AS int) AS rep, code FROM codes"),
-    "lsh_candidates": _with(*_bucket_near(5), select="SELECT i, j, round(cos, 6) AS cos FROM near"),
-    "lsh_similarity_edges": _with(*_bucket_near(20), DIRECTED, SYMMETRIC, select="SELECT i, j, round(w, 6) AS w FROM edges"),
+    "lsh_candidates": _with(*_bucket_near(5), select="SELECT i, j, cos FROM near"),
+    "lsh_similarity_edges": _with(*_bucket_near(20), DIRECTED, SYMMETRIC, select="SELECT i, j, w FROM edges"),
     "vote_merge": _with(
         "fx_vectors", COORD, CODES, """voting AS (SELECT idx, rep, code FROM codes
             WHERE (rep, code) IN (SELECT (rep, code) FROM codes GROUP BY rep, code HAVING count(*) <= 200))""",

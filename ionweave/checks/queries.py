@@ -208,19 +208,19 @@ def representative(spark, d):
 
 @query
 def knn_cosine(spark, d):
-    return nearest(_vectors(spark, d).select("idx", "embedding"), 10).withColumn("cos", F.round("cos", 6))
+    return nearest(_vectors(spark, d).select("idx", "embedding"), 10)
 
 
 @query
 def directed_edges_ppm(spark, d):
     pairs = S.candidate_pairs(_vectors(spark, d), 20, floor=EDGE)
-    return S.directed_edges(pairs, EDGE_CFG).withColumn("w", F.round("w", 6))
+    return S.directed_edges(pairs, EDGE_CFG)
 
 
 @query
 def similarity_edges(spark, d):
     v = _vectors(spark, d)
-    return S.similarity_graph(v, EDGE_CFG, v.count()).withColumn("w", F.round("w", 6))
+    return S.similarity_graph(v, EDGE_CFG, v.count())
 
 
 @query
@@ -236,7 +236,7 @@ def _edges(spark, d):
 
 @query
 def node_degree(spark, d):
-    return G.degrees(_edges(spark, d)).withColumn("degree", F.round("degree", 6))
+    return G.degrees(_edges(spark, d)).withColumn("degree", F.round("degree", 10))
 
 
 @query
@@ -289,14 +289,14 @@ def lsh_codes(spark, d):
 @query
 def lsh_candidates(spark, d):
     coded = S.hash_codes(_vectors(spark, d), CODE_BITS, REPEATS, planes="hashed")
-    return S.candidate_pairs(coded, 5, coded=True).select("i", "j", F.round("cos", 6).alias("cos"))
+    return S.candidate_pairs(coded, 5, coded=True).select("i", "j", "cos")
 
 
 @query
 def lsh_similarity_edges(spark, d):
     coded = S.hash_codes(_vectors(spark, d), CODE_BITS, REPEATS, planes="hashed")
     pairs = S.candidate_pairs(coded, 20, coded=True, floor=EDGE)
-    return G.symmetric(S.directed_edges(pairs, EDGE_CFG)).withColumn("w", F.round("w", 6))
+    return G.symmetric(S.directed_edges(pairs, EDGE_CFG))
 
 
 @query
