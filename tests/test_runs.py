@@ -64,6 +64,7 @@ def test_all_result_files(spark, files):
     back = read_mgf(spark, [str(p) for p in sorted((files / "out" / "consensus_spectra.mgf").iterdir()) if p.name.startswith("part")])
     assert back.count() == 2 and all(r["title"].startswith("cluster_") for r in back.collect())
     summary = (files / "out" / "summary.txt").read_text()
+    assert "clustering" in (files / "out" / "run.log").read_text()
     assert "Input spectra" in summary and "9" in summary and "edge_threshold" in (files / "out" / "config.txt").read_text()
     plan.run(spark, cfg)  # resumes from the cached stages
     assert len([p for p in (files / "out" / "checkpoints").iterdir() if not p.name.startswith(".")]) == 2
