@@ -228,6 +228,35 @@ def _bucket_near(k: int) -> list[str]:
                any_value(zj) AS zj FROM bucketed WHERE r <= {k} GROUP BY i, j)"""]
 
 
+
+
+def _leaves(rows: str) -> list[str]:
+    """Leaf clusters of minimum size 2 per block of ``rows (block, vertex, embedding)``.
+
+    An edge belongs to the spanning tree when lower edges do not connect its ends.
+    """
+    return [f"""ranked AS (SELECT x.block, x.vertex AS a, y.vertex AS b, row_number() OVER (PARTITION BY x.block
+              ORDER BY round({_dist('x', 'y')}, 9), x.vertex, y.vertex) AS rk
+            FROM {rows} x JOIN {rows} y ON x.block = y.block AND x.vertex < y.vertex)""",
+            "adjacent AS (SELECT block, rk, a AS u, b AS v FROM ranked UNION ALL SELECT block, rk, b, a FROM ranked)",
+            """lower(block, rk, node) AS (SELECT block, rk, a FROM ranked UNION SELECT r.block, r.rk, j.v
+            FROM lower r JOIN adjacent j ON j.block = r.block AND j.u = r.node AND j.rk < r.rk)""",
+            """tree AS (SELECT t.block, t.a, t.b, t.rk FROM ranked t
+            LEFT JOIN lower r ON r.block = t.block AND r.rk = t.rk AND r.node = t.b WHERE r.node IS NULL)""",
+            """ends AS (SELECT block, a AS vertex, rk FROM tree UNION ALL SELECT block, b, rk FROM tree),
+        lowest AS (SELECT vertex, min(rk) AS low FROM ends GROUP BY vertex),
+        judged AS (SELECT t.*, la.low < t.rk AND lb.low < t.rk AS joins FROM tree t
+                   JOIN lowest la ON la.vertex = t.a JOIN lowest lb ON lb.vertex = t.b),
+        grown AS (SELECT a AS i, b AS j FROM judged WHERE NOT joins UNION ALL SELECT b, a FROM judged WHERE NOT joins),
+        spread(node, seen) AS (SELECT DISTINCT i, i FROM grown UNION SELECT r.node, e.j FROM spread r JOIN grown e ON e.i = r.seen),
+        pieces AS (SELECT node, min(seen) AS piece FROM spread GROUP BY node),
+        closing AS (SELECT p.piece, min(j.rk) AS closed FROM pieces p JOIN judged j ON j.joins AND (j.a = p.node OR j.b = p.node)
+                    GROUP BY p.piece),
+        inside AS (SELECT p.node AS vertex, p.piece FROM pieces p JOIN lowest l ON l.vertex = p.node
+                   JOIN closing c ON c.piece = p.piece WHERE l.low < c.closed),
+        leaves AS (SELECT vertex, min(vertex) OVER (PARTITION BY piece) AS label FROM inside)"""]
+
+
 # --- classes -----------------------------------------------------------------------
 
 BEST = """best AS (SELECT scan_id, peptide FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
@@ -363,6 +392,25 @@ ORACLE: dict[str, str] = {
             GROUP BY a.label, b.label HAVING 1 - sum(a.x * b.x) < 0.62::double)""", CLOSURE,
         select="""SELECT v.idx, coalesce(p.component, v.idx // 3) AS label FROM fx_vectors v
             LEFT JOIN parts p ON p.node = v.idx // 3"""),
+    "hdbscan_refine": _with(
+        "fx_vectors", "hrows AS (SELECT label AS block, idx AS vertex, embedding FROM fx_vectors)", *_leaves("hrows"),
+        select="SELECT h.vertex, coalesce(l.label, -1) AS label FROM hrows h LEFT JOIN leaves l ON l.vertex = h.vertex"),
+    "hdbscan_seeded": _with(
+        *EDGES, CLOSURE, "sized AS (SELECT node, component, count(*) OVER (PARTITION BY component) AS n FROM parts)",
+        """hrows AS (SELECT s.component AS block, v.idx AS vertex, v.embedding FROM sized s JOIN fx_vectors v ON v.idx = s.node
+             WHERE s.n > 6)""", *_leaves("hrows"),
+        select="""SELECT node AS idx, component AS label FROM sized WHERE n BETWEEN 2 AND 6
+            UNION ALL SELECT vertex, label FROM leaves"""),
+    "hdbscan_bucketed": _with(
+        "fx_vectors", COORD, CODES, f"""hrows AS (SELECT c.rep * 1000 + c.code AS block, v.idx * {REPEATS} + c.rep AS vertex, v.embedding
+             FROM codes c JOIN fx_vectors v ON v.idx = c.idx)""", *_leaves("hrows"),
+        f"""voting AS (SELECT vertex // {REPEATS} AS idx, vertex % {REPEATS} AS rep, label FROM leaves
+             WHERE label IN (SELECT label FROM leaves GROUP BY label HAVING count(*) <= 200))""",
+        """edges AS (SELECT a.idx AS i, b.idx AS j FROM voting a JOIN voting b ON a.label = b.label AND a.idx <> b.idx
+             GROUP BY a.idx, b.idx HAVING count(*) >= 2)""", CLOSURE,
+        select="SELECT v.idx, coalesce(p.component, -1) AS label FROM fx_vectors v LEFT JOIN parts p ON p.node = v.idx"),
+    # with more components than eigenvectors the spectral clusters are the components
+    "spectral_clusters": _with(*EDGES, CLOSURE, select="SELECT node AS idx, component AS label FROM parts"),
     "class_separation": _with(
         "fx_vectors", f"""sim AS (SELECT x.label AS a, y.label AS b, {XY.format(a='x', b='y')} AS s
             FROM fx_vectors x JOIN fx_vectors y ON x.idx < y.idx)""",

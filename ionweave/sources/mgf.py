@@ -15,6 +15,7 @@ from ionweave.functions import peaks as P
 from ionweave.functions import text as T
 
 RECORD_END = "\nEND IONS"
+BROADCAST_SPLITS = 100_000
 _BEGIN = r"(?im)^[ \t]*BEGIN IONS[ \t]*\r?$"
 _END = r"(?im)^[ \t]*END IONS[ \t]*\r?$"
 
@@ -125,8 +126,10 @@ def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int
         total, before = total + r["_n"], before + r["_n"]
     table = spark.createDataFrame(
         rows, "file_path string, split_start long, _first long, _total long, _before long")
+    # the table grows with the number of file splits only; beyond the limit it is a plain join
+    table = F.broadcast(table) if len(rows) <= BROADCAST_SPLITS else table
     offset = F.col("_mid") - F.col("_first")
-    out = (parsed.join(F.broadcast(table), ["file_path", "split_start"])
+    out = (parsed.join(table, ["file_path", "split_start"])
            .withColumn("idx", F.col("_total") + offset)
            .withColumn("_nth", F.col("_before") + offset + 1)
            .withColumn("scan_id", F.coalesce(F.nullif("title", F.lit("")),
