@@ -50,6 +50,17 @@ def test_clusters_of_two_files(spark, files, changes):
     assert set(clusters) == {3, 5} and clusters[5]["n_source_files"] == 2 and clusters[5]["confidence"] == "HIGH"
 
 
+def test_nothing_similar_is_all_noise(spark, files):
+    cfg = ClusterConfig(mgf_path=str(files / "in"), output_dir=str(files / "none"), embed_dim=16, edge_threshold=1.5, verbose=False)
+    result = plan.run(spark, cfg)
+    assert result.clusters.count() == 0 and result.consensus.count() == 0
+    assert spark.read.option("header", True).option("sep", "\t").csv(f"{cfg.output_dir}/noise_spectra.tsv").count() == 9
+    with pytest.raises(ValueError):
+        (files / "empty").mkdir()
+        (files / "empty" / "x.mgf").write_text("nothing here\n")
+        plan.run(spark, cfg.replace(mgf_path=str(files / "empty")))
+
+
 def test_all_result_files(spark, files):
     out = str(files / "out")
     cfg = ClusterConfig(mgf_path=str(files / "in"), output_dir=out, embed_dim=32, precursor_tol_ppm=20.0, verbose=False, resume=True,

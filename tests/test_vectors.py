@@ -122,3 +122,36 @@ def test_split_never_merges_and_merge_is_transitive(spark):
     assert dense == {0: 0, 1: -1, 2: 1, 3: 0}
     counts = R.label_changes(rows.select("idx", "label"), spark.createDataFrame([(0, -1)], "idx long, label long")).first()
     assert counts.asDict() == {"clusters_before": 2, "noise_before": 0, "clusters_after": 0, "noise_after": 1}
+
+
+def test_vector_expressions(spark):
+    from ionweave.functions import vectors as V
+    row = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, z array<float>").select(
+        V.dot("a", "a").alias("d"), V.norm("a").alias("n"), V.unit("a").alias("u"), V.unit("z").alias("zero"),
+        V.pack_sign_bits(F.array(F.lit(1.0), F.lit(-1.0), F.lit(0.0), F.lit(2.0))).alias("code"),
+        V.cosine_floor(F.lit(1.3)).alias("floor")).first()
+    assert (row["d"], row["n"], row["u"], row["zero"], row["code"], row["floor"]) == (25.0, 5.0, [0.6, 0.8], [0.0, 0.0], 9, 0.0)
+    assert abs(V.repeat_recall(0.55, 6) - 0.992) < 1e-3 and abs(V.angle_recall(0.0, 6) - 1.0) < 1e-12
+    assert [V.hash_bit_count(n) for n in (10, 506_000, 10 ** 12)] == [1, 8, 20]
+    assert abs(V.euclidean_radius(0.5) - 1.0) < 1e-12
+
+
+def test_bin_codes_equal_dense_planes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(b), float(v)) for i in range(20) for b, v in zip(rng.choice(72_500, 15, replace=False), rng.random(15))]
+    got = {r["idx"]: list(r["codes"]) for r in S.bin_hash_codes(
+        spark.createDataFrame(rows, "idx long, bin int, v double").repartition(4), 5, 2, seed=42).collect()}
+    for rep in range(2):
+        planes = np.random.default_rng(42 + rep).standard_normal((72_500, 5)).astype(np.float32).astype(float)
+        for i in range(20):
+            mine = [(b, v) for j, b, v in rows if j == i]
+            bits = sum(v * planes[b] for b, v in mine) > 0
+            assert got[i][rep] == int(bits @ (1 << np.arange(5)))
+
+
+def test_gaussian_codes_equal_plain_signs(spark):
+    x = unit_rows(30, 8, 5)
+    got = {r["idx"]: list(r["codes"]) for r in S.hash_codes(frame(spark, x), 4, 3, seed=7).collect()}
+    for rep in range(3):
+        bits = x @ S.gaussian_planes(8, 4, 7 + rep) > 0
+        assert [got[i][rep] for i in range(30)] == list(bits @ (1 << np.arange(4)))
