@@ -99,8 +99,9 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
     ``pairs`` has ``(pair_id, idx_a, idx_b, delta)``.  For every peak of a, a peak of b
     must lie within ``tol`` of it (unshifted), or of it moved by the delta either way
     (shifted).  The b side is reduced to the lowest and highest peak per cell a little
-    wider than ``tol``: those two decide whether any peak of the cell is in reach, so
-    the band test becomes an equality join that never lists peak pairs.
+    wider than ``tol``, known to the neighbouring cells too: those two decide whether any
+    peak of the cell is in reach, so the band test becomes an equality join that never
+    lists peak pairs.
     """
     def cell(col):
         return F.floor(col / F.lit(tol * 1.001))
@@ -108,7 +109,8 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
     pa = pairs.select("pair_id", F.col("idx_a").alias("idx"), "delta")
     pb = pairs.select("pair_id", F.col("idx_b").alias("idx"))
     b_cells = (peaks.join(pb, "idx").groupBy("pair_id", cell(F.col("mz")).alias("cell"))
-               .agg(F.min("mz").alias("lo"), F.max("mz").alias("hi")))
+               .agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))
+               .withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))))
     shifts = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0.0).alias("by")),
                      F.struct(F.lit(1).alias("kind"), F.col("delta").alias("by")),
                      F.struct(F.lit(2).alias("kind"), (-F.col("delta")).alias("by")))
@@ -116,7 +118,7 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
     probes = (peaks.join(pa, "idx").groupBy("pair_id", "delta", "mz").agg(F.count("*").alias("copies"))
               .withColumn("s", F.explode(shifts))
               .withColumn("at", F.col("mz") + F.col("s.by"))
-              .withColumn("cell", F.explode(F.array(cell(F.col("at")) - 1, cell(F.col("at")), cell(F.col("at")) + 1))))
+              .withColumn("cell", cell(F.col("at"))))
     near = (F.abs(F.col("lo") - F.col("at")) <= F.lit(tol)) | (F.abs(F.col("hi") - F.col("at")) <= F.lit(tol))
     hits = (probes.join(b_cells, ["pair_id", "cell"]).filter(near)
             .groupBy("pair_id", "mz", "copies")
