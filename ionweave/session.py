@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ def builder(app_name: str = "ionweave"):
     return b
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python tasks, wherever the driver was started."""
+    sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[1])
+    if sc.master.startswith("local"):
+        known = sc.environment.get("PYTHONPATH", "")
+        if root not in known.split(":"):
+            sc.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    elif not sc.environment.get("IONWEAVE_SHIPPED"):
+        target = Path(tempfile.mkdtemp(prefix="ionweave-package-")) / "ionweave.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for file in Path(root, "ionweave").rglob("*.py"):
+                out.write(file, file.relative_to(root))
+        sc.addPyFile(str(target))
+        sc.environment["IONWEAVE_SHIPPED"] = "1"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the cluster names it.
 

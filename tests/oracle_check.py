@@ -7,8 +7,9 @@ from pathlib import Path
 import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-from ionweave.checks.oracle import ORACLE  # noqa: E402
-from ionweave.checks.queries import QUERIES  # noqa: E402
+import __spark_entry__ as entry  # noqa: E402
+
+ORACLE, QUERIES = entry.oracle_sql(), entry.queries()
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
