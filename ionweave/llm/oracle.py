@@ -21,3 +21,14 @@ WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10)))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+ORACLE["op3_mixing"] = """
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY source),
+     total AS (SELECT sum(chars) AS c, sum(pow(chars, 0.5)) AS w FROM sizes),
+     rates AS (SELECT source, least(round(pow(chars, 0.5) / w * c / chars, 9), 200.0) AS rate FROM sizes, total),
+     steps AS (SELECT source, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k, rate FROM rates),
+     cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p FROM steps),
+     tables AS (SELECT source, list(p) AS cdf FROM cdf GROUP BY source),
+     drawn AS (SELECT d.*, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT::DOUBLE / pow(16, 13))) AS n
+               FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM drawn"""

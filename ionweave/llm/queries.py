@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import exact_dedup, line_dedup, token_counts
+from ionweave.llm import exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,18 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark, d):
+    docs = documents(spark, d)
+    return license_scan.digest(license_scan.scan(docs, license_scan.token_order(docs)))
+
+
+@query
+def op3_mixing(spark, d):
+    docs = documents(spark, d)
+    return mixing.replicate(docs, mixing.source_rates(docs))
+
+
 @query
 def op4_exact_dedup(spark, d):
     return exact_dedup.duplicate_groups(documents(spark, d))
@@ -28,6 +40,12 @@ def op6_token_counts(spark, d):
     return token_counts.token_totals(documents(spark, d), token_counts.tokenizer_path())
 
 
+@query
+def op8_secrets(spark, d):
+    docs = documents(spark, d)
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
 @query
 def op10_line_dedup(spark, d):
     out = line_dedup.drop_shared_lines(documents(spark, d))

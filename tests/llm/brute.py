@@ -1,0 +1,117 @@
+"""Plain single-machine versions of the text operators, for comparison."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TOKENS = re.compile(r"[^\x20\x09-\x0D]+")
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+SECRETS = [("assign", ASSIGN), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def license_base(text):
+    words = WORDS.findall(lower(text))
+    places = []
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        places += [(i, label) for i in range(len(words)) if words[i:i + len(p)] == p]
+    starts = [i for i, _ in places]
+    return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
+
+
+def template_matches(text, templates, threshold):
+    """Labels and best containment over lines, long lines in blocks of 64 words every 32."""
+    best, labels = 0.0, set()
+    for line in (text or "").split("\n"):
+        words = WORDS.findall(lower(line))
+        starts = range(0, max(1, len(words) - 32), 32) if len(words) > 64 else [0]
+        for s in starts:
+            block = set(words[s:s + 64])
+            for label, t in templates:
+                t = set(t.split())
+                share = len(t & block) / len(t)
+                if share >= threshold - 1e-9:
+                    labels.add(label)
+                    best = max(best, share)
+    return labels, best
+
+
+def secret_base(text):
+    text, spans = text or "", []
+    for k, (kind, pattern) in enumerate(SECRETS):
+        for m in pattern.finditer(text):
+            ok = len(m[2]) >= 8 if kind == "assign" else len(m[0]) >= (16 if kind == "access" else 32)
+            if ok:
+                spans.append((m.start(), k, m.end()))
+    spans.sort()
+    digest = ",".join(f"{SECRETS[k][0]}:{a}:{b}" for a, k, b in spans)
+    n = Counter(k for _, k, _ in spans)
+    return n[0], n[1], n[2], hashlib.sha256(digest.encode()).hexdigest(), digest
+
+
+def fingerprint(text, words=3):
+    import xxhash
+
+    w = TOKENS.findall(lower(text))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))]
+    count = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            count[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * count[b] > len(shingles))
+
+
+def components(ids, prints, radius=3):
+    parent = list(range(len(ids)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    low = {}
+    for i in range(len(ids)):
+        r = root(i)
+        low[r] = min(low.get(r, ids[i]), ids[i])
+    return [low[root(i)] for i in range(len(ids))]
+
+
+def lm_base(rows):
+    """rows (doc_id, text) -> {doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}."""
+    tokens = {d: [*TOKENS.findall(lower(t)), None] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
+    count = Counter()
+    for d, w in tokens.items():
+        if not held[d]:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    return {d: (held[d], len(w), sum(count[x] > 0 for x in w), n,
+                sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) for d, w in tokens.items()}
+
+
+def smith_waterman(a, b, match=2, miss=-1, gap=-1):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (match if x == y else miss), row[j + 1] + gap, new[j] + gap))
+        best, row = max(best, max(new)), new
+    return best
