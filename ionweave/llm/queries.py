@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts
+from ionweave.llm import exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts, toxicity
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def op1_license_scan(spark, d):
     return license_scan.digest(license_scan.scan(docs, license_scan.token_order(docs)))
 
 
+@query
+def op2_toxicity(spark, d):
+    docs, labels = documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    return toxicity.predictions(docs, toxicity.fit(docs, labels))
+
+
 @query
 def op3_mixing(spark, d):
     docs = documents(spark, d)
