@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts, toxicity
+from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts, toxicity
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op6_token_counts(spark, d):
     return token_counts.token_totals(documents(spark, d), token_counts.tokenizer_path())
 
 
+@query
+def op7_decontamination(spark, d):
+    return decontaminate.contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 @query
 def op8_secrets(spark, d):
     docs = documents(spark, d)
