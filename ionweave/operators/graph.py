@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,39 +26,43 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("i").agg(F.sum("w").alias("degree"))
 
 
+def smallest_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For ``n`` items and links ``u - v`` between them, the smallest item that each is connected with."""
+    labels = np.arange(n)
+    while len(u):
+        a, b = labels[u], labels[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            jumped = labels[labels]
+            if np.array_equal(jumped, labels):
+                break
+            labels = jumped
+    return labels
+
+
 def _contract(limit: int):
     """Replace the links of a task by a star per connected piece, ``limit`` links at a time."""
 
+    def stars(held):
+        u, v = (np.concatenate(x) for x in zip(*held))
+        items, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        labels = smallest_labels(len(items), place[:len(u)], place[len(u):])
+        member = np.flatnonzero(labels != np.arange(len(items)))
+        return pa.RecordBatch.from_pydict({"u": pa.array(items[member]), "v": pa.array(items[labels[member]])})
+
     def run(batches: Iterator[pa.RecordBatch]):
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def flush():
-            members = [x for x in parent if parent[x] != x]
-            out = pa.RecordBatch.from_pydict(
-                {"u": pa.array(members, pa.int64()), "v": pa.array([root(x) for x in members], pa.int64())})
-            parent.clear()
-            return out
-
-        seen = 0
+        held, seen = [], 0
         for batch in batches:
-            for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-                parent.setdefault(a, a)
-                parent.setdefault(b, b)
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            seen += batch.num_rows
+            if batch.num_rows:
+                held.append(tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("u", "v")))
+                seen += batch.num_rows
             if seen >= limit:
-                yield flush()
-                seen = 0
-        if parent:
-            yield flush()
+                yield stars(held)
+                held, seen = [], 0
+        if held:
+            yield stars(held)
 
     return run
 
