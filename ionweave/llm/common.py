@@ -35,3 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bucket(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a missing id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+
+
+#: A key with more than this share of the rows is hot; there are at most 1000 of them.
+HOT_SHARE = 1e-3
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row per key and the key's number of ``rows`` in ``weight``.
+
+    Keys with more than a thousandth of the ``total`` rows can only be a thousand; they are broadcast, so that their
+    rows stay where they are.  All other rows are shuffled to their keys.
+    """
+    limit = F.lit(total * HOT_SHARE)
+    hot, rest = F.broadcast(keyed.filter(F.col(weight) > limit)), keyed.filter(F.col(weight) <= limit)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))

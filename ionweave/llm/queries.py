@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, secrets, token_counts, toxicity
+from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, secrets, simhash, token_counts, toxicity
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op4_exact_dedup(spark, d):
     return exact_dedup.duplicate_groups(documents(spark, d))
 
 
+@query
+def op5_simhash(spark, d):
+    return simhash.near_duplicates(documents(spark, d))
+
+
 @query
 def op6_token_counts(spark, d):
     return token_counts.token_totals(documents(spark, d), token_counts.tokenizer_path())
