@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, secrets, simhash, token_counts, toxicity
+from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, secrets, simhash, token_counts, toxicity
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op8_secrets(spark, d):
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+@query
+def op9_lm_score(spark, d):
+    return lm_score.score_documents(documents(spark, d))
+
+
 @query
 def op10_line_dedup(spark, d):
     out = line_dedup.drop_shared_lines(documents(spark, d))
