@@ -1,28 +1,65 @@
-"""A training-text pipeline over ``documents``: every stage applies one text operator to what the one before kept."""
+"""A training-text pipeline over ``documents``: every stage applies one text operator to what the one before kept.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all of ``docs``.  Missing and empty texts, ties, repeated
+rows and empty tables are treated as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionweave.llm.common import documents, stored
+from ionweave.llm import decontaminate, mixing, simhash, toxicity
+from ionweave.llm.common import DOCUMENT_COLUMNS, documents, stored
 from ionweave.llm.line_dedup import drop_shared_lines
 from ionweave.session import ship_package
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go; the model learns from the labelled rows not held out."""
+    ship_package(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(DOCUMENT_COLUMNS), model).filter("score < 0.5").select(DOCUMENT_COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 or more characters that 3 or more documents share stay in the document with the largest id only."""
-    return drop_shared_lines(docs).select(docs.columns)
+    """Lines of 20 or more characters in 3 or more documents stay in the document with the largest id only."""
+    return drop_shared_lines(docs.select(DOCUMENT_COLUMNS)).select(DOCUMENT_COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    ship_package(spark)
+    return simhash.one_of_each_group(docs.select(DOCUMENT_COLUMNS))
+
 
-#: Stages are not all expressible in SQL; tests compare them with brute-force versions.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a test item, aligned word by word, go."""
+    ship_package(spark)
+    docs = docs.select(DOCUMENT_COLUMNS)
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without_contaminated(docs, found)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Poisson replication to weights that grow with the square root of a source's characters; ``copy`` counts from 1."""
+    docs = docs.select(DOCUMENT_COLUMNS)
+    return mixing.replicate(docs, mixing.source_rates(docs))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+
+#: Toxicity, SimHash and alignment can't be said in SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table; each result is written as Parquet and read again as the next one's input."""
-    ship_package(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ionweave.llm.common import bucket
+from ionweave.llm.common import bucket, stored
 
 # Look-alikes of Latin letters, and signs read as letters.
 HOMOGLYPHS = {
@@ -115,32 +115,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS
     return docs.select("doc_id", "text").join(drawn, "doc_id").select("part", "toxic", "text")
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = 8, min_lift: float = 2.5, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
-    """Log-odds of words and word beginnings that are much more frequent in toxic documents.
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """``(entry, toxic, clean, toxic_4, clean_4)``: documents with each word or word beginning, in all parts and in part 4.
 
-    Documents are counted once per distinct text.  An entry needs ``min_docs`` toxic documents and log-odds of
-    ``min_lift``.  Of a beginning and a longer one in nearly the same documents the longer stays; of the others, one that
-    a shorter beginning with the same odds includes is left out.
+    Documents are counted once per distinct text; the empty entry counts the documents.
     """
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            seen = {0: Counter(), 1: Counter()}
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            seen = {(toxic, last): Counter() for toxic in (0, 1) for last in (False, True)}
+            for toxic, part, text in zip(*(batch.column(n).to_pylist() for n in ("toxic", "part", "text"))):
                 words = set(fold(text).split())
                 entries = {f" {w} " for w in words}
                 entries.update(f" {w[:n]}" for w in words for n in STEM_CHARS if len(w) >= n)
-                seen[toxic].update(entries)
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["entry", "toxic", "clean"])
+                entries.add("")
+                seen[toxic, part == 4].update(entries)
+            keys = list(set().union(*seen.values()))
+            columns = [[seen[toxic, True][k] + (0 if last else seen[toxic, False][k]) for k in keys] for last in (False, True) for toxic in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, pa.int64()) for c in columns)],
+                                             names=["entry", "toxic", "clean", "toxic_4", "clean_4"])
 
-    texts = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.any_value("text").alias("text")).select("toxic", "text")
-    size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not size.get(1) or not size.get(0):
+    texts = (sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min(F.struct("part", "text")).alias("d"))
+             .select(F.col("toxic").cast("int").alias("toxic"), "d.part", "d.text"))
+    return (texts.mapInArrow(run, "entry string, toxic long, clean long, toxic_4 long, clean_4 long").groupBy("entry")
+            .agg(*(F.sum(n).alias(n) for n in ("toxic", "clean", "toxic_4", "clean_4"))))
+
+
+def learn_lexicon(counts: DataFrame, min_share: float = 0.004, min_docs: int = 3, min_lift: float = 2.5, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
+    """Log-odds of the entries ``(entry, toxic, clean)`` that are much more frequent in toxic documents.
+
+    An entry needs ``min_share`` of the toxic documents, ``min_docs`` at least, and log-odds of ``min_lift``.  Of a
+    beginning and a longer one in nearly the same documents the longer stays; of the others, one that a shorter
+    beginning with the same odds includes is left out.
+    """
+    size = counts.filter("entry = ''").select("toxic", "clean").first()
+    if size is None or not size["toxic"] or not size["clean"]:
         return {}
-    counts = texts.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lift = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
-    rows = (counts.filter(F.col("toxic") >= min_docs).withColumn("lift", lift).filter(F.col("lift") >= min_lift)
-            .orderBy(F.desc(F.col("lift") * F.col("toxic")), "entry").limit(max_entries).collect())
+    lift = F.log((F.col("toxic") + 0.5) / (size["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / (size["clean"] + 1.0))
+    rows = (counts.filter(F.col("toxic") >= max(min_docs, min_share * size["toxic"])).withColumn("lift", lift)
+            .filter(F.col("lift") >= min_lift).orderBy(F.desc(F.col("lift") * F.col("toxic")), "entry").limit(max_entries).collect())
     found = {r["entry"]: (r["lift"], r["toxic"]) for r in rows}
 
     def stems(entry: str) -> list[str]:
@@ -153,9 +165,13 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 8, min_lift: float = 2.5, m
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
-    """Lexicon from parts 1 to 3 of the sample, curve from part 4; labels are all that is learned from besides texts."""
+    """Lexicon from the whole sample; the curve from part 4 of it, matched with a lexicon of parts 1 to 3.
+
+    Labels are all that is learned from besides texts.
+    """
     sample = labelled_sample(docs, labels, limit)
-    weights = learn_lexicon(sample.filter("part <> 4"))
+    counts = stored(entry_counts(sample), "lexicon-counts")
+    weights = learn_lexicon(counts.select("entry", (F.col("toxic") - F.col("toxic_4")).alias("toxic"), (F.col("clean") - F.col("clean_4")).alias("clean")))
 
     def run(batches: Iterator[pa.RecordBatch]):
         matcher = Matcher(weights, EXCEPTIONS)
@@ -164,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
             x = [features(matcher.weight(f), f) for f in folded]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "a", "b"])
 
-    rows = sample.filter("part = 4").select("toxic", "text").mapInArrow(run, "toxic int, a double, b double").collect()
-    return Model(weights, _logistic([(r["a"], r["b"]) for r in rows], [r["toxic"] for r in rows]))
+    rows = sample.filter("part = 4").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, a double, b double").collect()
+    return Model(learn_lexicon(counts), _logistic([(r["a"], r["b"]) for r in rows], [r["toxic"] for r in rows]))
 
 
 def _logistic(points: list[tuple[float, float]], toxic: list[int], ridge: float = 1e-2) -> tuple[float, float, float]:
