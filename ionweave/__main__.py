@@ -12,10 +12,10 @@ from ionweave.config import ClusterConfig, PretrainConfig
 # Fixed flag names and the settings they stand for.
 CLUSTER_FLAGS = {
     "mgf": "mgf_path", "out": "output_dir", "mz-max": "mz_max", "bin-width": "bin_width", "top-k": "top_k_peaks",
-    "embed-dim": "embed_dim", "n-heads": "n_heads", "n-layers": "n_layers", "batch": "batch_size",
+    "embed-dim": "embed_dim", "n-heads": "n_heads", "n-layers": "n_layers", "method": "method",
     "precursor-tol": "precursor_tol_da", "precursor-tol-ppm": "precursor_tol_ppm", "edge-threshold": "edge_threshold",
-    "n-eigvec": "n_eigenvectors", "dbscan-eps": "dbscan_eps", "dbscan-min": "dbscan_min_samples", "jobs": "n_jobs",
-    "device": "device", "max-spectra": "max_spectra", "encoder-weights": "encoder_weights",
+    "n-eigvec": "n_eigenvectors", "dbscan-eps": "dbscan_eps", "dbscan-min": "dbscan_min_samples",
+    "max-spectra": "max_spectra", "encoder-weights": "encoder_weights",
 }
 CLUSTER_SWITCHES = {
     "no-dynamic-split": ("dynamic_split_enabled", False), "no-dynamic-merge": ("dynamic_merge_enabled", False),
@@ -24,7 +24,7 @@ CLUSTER_SWITCHES = {
 }
 PRETRAIN_FLAGS = {
     "mgf": "mgf_path", "psm": "psm_path", "format": "psm_format", "out": "output_path", "epochs": "epochs",
-    "batch": "batch_size", "pk-classes": "pk_classes_per_batch", "pk-samples": "pk_samples_per_class", "lr": "lr",
+    "pk-classes": "pk_classes_per_batch", "pk-samples": "pk_samples_per_class", "lr": "lr",
     "temp": "temperature", "lambda-uniform": "lambda_uniform", "lambda-uniform-warmup": "lambda_uniform_warmup_epochs",
     "weight-decay": "weight_decay", "fdr": "fdr_threshold", "min-spectra": "min_spectra_per_peptide",
     "val-split": "val_split", "patience": "early_stopping_patience",
@@ -91,11 +91,11 @@ def main(argv=None) -> None:
         from ionweave.plans.cluster import run
         run(spark, cluster_settings(args))
     elif args.command == "pretrain":
-        from ionweave.plans.pretrain import load, train
+        from ionweave.plans.pretrain import load, write_batches
         cfg = settings(PretrainConfig.command_line(), PRETRAIN_FLAGS, PRETRAIN_SWITCHES, args)
         if not cfg.mgf_path or not cfg.psm_path:
             raise SystemExit("--mgf and --psm are needed")
-        train(load(spark, cfg), cfg)
+        write_batches(load(spark, cfg), cfg)
     else:
         from ionweave.sources.store import describe_checkpoint
         describe_checkpoint(spark, args.path).show(truncate=False)

@@ -261,7 +261,8 @@ def _leaves(rows: str) -> list[str]:
 
 BEST = """best AS (SELECT scan_id, peptide FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
     ORDER BY score DESC, price DESC, line, part) AS r FROM fx_psm WHERE q_value <= {fdr}::double) WHERE r = 1)"""
-KEYED = """keyed AS (SELECT cast(idx AS varchar) AS scan_id, idx, precursor_charge FROM fx_spectra WHERE idx % 3 <> 0)"""
+KEYED = """keyed AS (SELECT cast(idx AS varchar) AS scan_id, idx, precursor_charge FROM fx_spectra)"""
+GOOD = """good AS (SELECT cast(idx AS varchar) AS scan_id FROM fx_peaks GROUP BY idx HAVING count(*) >= 5 AND max(mz) - min(mz) >= 250)"""
 MATCHED = ["fx_psm", "fx_spectra", BEST.format(fdr="0.05"), KEYED, """matched AS (
     SELECT b.scan_id, concat(b.peptide, '|z', k.precursor_charge) AS label FROM best b JOIN keyed k USING (scan_id))""",
            "sizes AS (SELECT label, count(*) AS class_size FROM matched GROUP BY label HAVING count(*) >= 3)"]
@@ -281,22 +282,31 @@ def _mix(*parts: str) -> str:
 
 
 def _pk(samples: str, classes_per_batch: int, k: int, seed: int, epoch: int) -> list[str]:
-    p = f"least({classes_per_batch}, n_classes)"
-    return [f"placed AS (SELECT label_idx, sample, row_number() OVER (ORDER BY label_idx, sample) - 1 AS place FROM {samples})",
+    return [f"""placed AS (SELECT label_idx, sample, row_number() OVER (ORDER BY label_idx, {_mix(str(seed), str(epoch), 'sample')}, sample) - 1
+                 AS place FROM {samples})""",
             "spans AS (SELECT label_idx, min(place) AS head, count(*) AS size FROM placed GROUP BY label_idx)",
-            "totals AS (SELECT (SELECT count(*) FROM spans) AS n_classes, (SELECT count(*) FROM placed) AS n)",
-            f"""slots AS (SELECT batch, slot, ({_mix(str(seed), str(epoch), 'batch')} % n_classes
-                   + slot * (1 + {_mix(str(seed + 1), str(epoch), 'batch')} % greatest(1, n_classes // {p}))) % n_classes AS label_idx
-                 FROM (SELECT n_classes, unnest(range(greatest(1, n // ({p} * {k})))) AS batch FROM totals),
-                      (SELECT unnest(range({p})) AS slot FROM totals))""",
-            f"""draws AS (SELECT batch, slot, draw, head + CASE WHEN size >= {k}
-                   THEN ({_mix(str(seed + 2), str(epoch), 'batch', 'slot')} % size
-                         + draw * (1 + {_mix(str(seed + 3), str(epoch), 'batch', 'slot')} % greatest(1, size // {k}))) % size
-                   ELSE {_mix(str(seed + 4), str(epoch), 'batch', 'slot', 'draw')} % size END AS place
-                 FROM slots JOIN spans USING (label_idx), (SELECT unnest(range({k})) AS draw))""",
+            f"""totals AS (SELECT *, greatest(1, n // (p * {k})) AS n_batches, greatest(1, n_classes // p) AS per_round FROM (
+                 SELECT count(*) AS n_classes, sum(size)::bigint AS n, least({classes_per_batch}, count(*)) AS p FROM spans))""",
+            f"""rounds AS (SELECT label_idx, head, size, r, row_number() OVER (PARTITION BY r
+                   ORDER BY {_mix(str(seed + 1), str(epoch), 'r', 'label_idx')}, label_idx) - 1 AS pos
+                 FROM spans, (SELECT unnest(range((n_batches - 1) // per_round + 1)) AS r FROM totals))""",
+            """slots AS (SELECT label_idx, head, size, r, r * per_round + pos // p AS batch, pos % p AS slot FROM rounds, totals
+                 WHERE pos < per_round * p AND r * per_round + pos // p < n_batches)""",
+            f"""draws AS (SELECT batch, slot, draw, head + (r * {k} + draw) % size AS place
+                 FROM slots, (SELECT unnest(range({k})) AS draw))""",
             "batches AS (SELECT batch, slot, draw, label_idx, sample FROM draws JOIN placed USING (place))"]
 
 
+# --- hashed signs ------------------------------------------------------------------
+
+FLOAT_PEAKS = """(SELECT idx, cast(cast(mz AS float) AS double) AS mz, cast(cast(intensity AS float) AS double) AS intensity FROM fx_peaks)"""
+BIN_CODES = """signs AS (SELECT idx, r, b, sum(CASE WHEN ((cast(bin AS bigint) + 1) * 48271 + ((b + 1) * 69621 + (r + 43) * 40692))
+        * (cast(bin AS bigint) + b * 7 + (r + 42) * 13 + 1) % 2147483647 // 64 % 2 = 0 THEN v ELSE -v END) AS s
+    FROM bins, (SELECT unnest(range(2)) AS r), (SELECT unnest(range(4)) AS b) GROUP BY idx, r, b)"""
+
+COMPONENTS_SELECT = """SELECT v.idx AS node, coalesce(p.component, v.idx) AS component
+    FROM fx_vectors v LEFT JOIN parts p ON p.node = v.idx"""
+
 ORACLE: dict[str, str] = {
     "mass_split_ppm": _with(*PPM, select="SELECT idx, label, cast(grp AS bigint) AS grp FROM grouped"),
     "mass_split_gap": _with("fx_spectra", MASSES, _gap("masses", 0.5),
@@ -368,22 +378,25 @@ ORACLE: dict[str, str] = {
         SELECT label, idx AS rep_idx FROM (SELECT label, idx, row_number() OVER (PARTITION BY label
           ORDER BY round(sim, 9) DESC, idx) AS r FROM sims) WHERE r = 1"""),
     "knn_cosine": _with("fx_vectors", PAIRS, _near(10), select="SELECT i, j, cos FROM near"),
+    "knn_cosine_tiled": _with("fx_vectors", PAIRS, _near(10), select="SELECT i, j, cos FROM near"),
     "directed_edges_ppm": _with("fx_vectors", PAIRS, _near(20), DIRECTED, select="SELECT i, j, w FROM directed"),
     "similarity_edges": _with(*EDGES, select="SELECT i, j, w FROM edges"),
     "similarity_edges_da": _with("fx_vectors", PAIRS, _near(20), DIRECTED_DA, SYMMETRIC,
                                  select="SELECT i, j, round(w, 6) AS w FROM edges"),
     "node_degree": _with(*EDGES, select="SELECT i, round(sum(w), 10) AS degree FROM edges GROUP BY i"),
-    "connected_components": _with(*EDGES, CLOSURE, select="SELECT node, component FROM parts"),
+    "connected_components": _with(*EDGES, CLOSURE, select=COMPONENTS_SELECT),
+    "connected_components_rounds": _with(*EDGES, CLOSURE, select=COMPONENTS_SELECT),
     "component_labels_by_size": _with(
         *EDGES, CLOSURE, """kept AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS number
             FROM parts GROUP BY component HAVING count(*) >= 3)""",
-        select="""SELECT v.idx, cast(coalesce(k.number, -1) AS int) AS label FROM fx_vectors v
+        select="""SELECT v.idx, cast(coalesce(k.number, -1) AS bigint) AS label FROM fx_vectors v
             LEFT JOIN parts p ON p.node = v.idx LEFT JOIN kept k ON k.component = p.component"""),
     "eps_components": _with(*_density(EPS, 2), select=DENSITY_SELECT),
+    "eps_components_tiled": _with(*_density(EPS, 2), select=DENSITY_SELECT),
     "density_core_border": _with(*_density(1.18, 4), select=DENSITY_SELECT),
     "dynamic_split": _with(
         *_density(1.2, 2, True), COORD, CENTROID,
-        """loose AS (SELECT label FROM sims GROUP BY label HAVING count(*) BETWEEN 4 AND 40000 AND 1 - avg(sim) > 0.04::double)""",
+        """loose AS (SELECT label FROM sims GROUP BY label HAVING count(*) >= 4 AND 1 - avg(sim) > 0.04::double)""",
         select="""SELECT v.idx, CASE WHEN v.label IN (SELECT label FROM loose) THEN coalesce(p.component, -1) ELSE v.label END AS label
             FROM fx_vectors v LEFT JOIN parts p ON p.node = v.idx"""),
     "dynamic_merge": _with(
@@ -395,22 +408,28 @@ ORACLE: dict[str, str] = {
     "hdbscan_refine": _with(
         "fx_vectors", "hrows AS (SELECT label AS block, idx AS vertex, embedding FROM fx_vectors)", *_leaves("hrows"),
         select="SELECT h.vertex, coalesce(l.label, -1) AS label FROM hrows h LEFT JOIN leaves l ON l.vertex = h.vertex"),
+    "cluster_stage_two": _with(
+        *EDGES, CLOSURE, """kept AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS number
+            FROM parts GROUP BY component HAVING count(*) >= 2)""",
+        select="""SELECT v.idx, cast(coalesce(k.number, -1) AS bigint) AS label FROM fx_vectors v
+            LEFT JOIN parts p ON p.node = v.idx LEFT JOIN kept k ON k.component = p.component"""),
     "hdbscan_seeded": _with(
         *EDGES, CLOSURE, "sized AS (SELECT node, component, count(*) OVER (PARTITION BY component) AS n FROM parts)",
         """hrows AS (SELECT s.component AS block, v.idx AS vertex, v.embedding FROM sized s JOIN fx_vectors v ON v.idx = s.node
              WHERE s.n > 6)""", *_leaves("hrows"),
-        select="""SELECT node AS idx, component AS label FROM sized WHERE n BETWEEN 2 AND 6
-            UNION ALL SELECT vertex, label FROM leaves"""),
+        """found AS (SELECT node AS idx, component AS label FROM sized WHERE n BETWEEN 2 AND 6
+            UNION ALL SELECT vertex, label FROM leaves)""",
+        select="SELECT v.idx, coalesce(f.label, -1) AS label FROM fx_vectors v LEFT JOIN found f ON f.idx = v.idx"),
     "hdbscan_bucketed": _with(
         "fx_vectors", COORD, CODES, f"""hrows AS (SELECT c.rep * 1000 + c.code AS block, v.idx * {REPEATS} + c.rep AS vertex, v.embedding
              FROM codes c JOIN fx_vectors v ON v.idx = c.idx)""", *_leaves("hrows"),
-        f"""voting AS (SELECT vertex // {REPEATS} AS idx, vertex % {REPEATS} AS rep, label FROM leaves
-             WHERE label IN (SELECT label FROM leaves GROUP BY label HAVING count(*) <= 200))""",
+        f"voting AS (SELECT vertex // {REPEATS} AS idx, vertex % {REPEATS} AS rep, label FROM leaves)",
         """edges AS (SELECT a.idx AS i, b.idx AS j FROM voting a JOIN voting b ON a.label = b.label AND a.idx <> b.idx
              GROUP BY a.idx, b.idx HAVING count(*) >= 2)""", CLOSURE,
         select="SELECT v.idx, coalesce(p.component, -1) AS label FROM fx_vectors v LEFT JOIN parts p ON p.node = v.idx"),
     # with more components than eigenvectors the spectral clusters are the components
-    "spectral_clusters": _with(*EDGES, CLOSURE, select="SELECT node AS idx, component AS label FROM parts"),
+    "spectral_clusters": _with(*EDGES, CLOSURE, select="""SELECT v.idx, coalesce(p.component, -1) AS label
+        FROM fx_vectors v LEFT JOIN parts p ON p.node = v.idx"""),
     "class_separation": _with(
         "fx_vectors", f"""sim AS (SELECT x.label AS a, y.label AS b, {XY.format(a='x', b='y')} AS s
             FROM fx_vectors x JOIN fx_vectors y ON x.idx < y.idx)""",
@@ -419,11 +438,11 @@ ORACLE: dict[str, str] = {
         select="SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(intra - inter, 6) AS separation FROM parts"),
     "lsh_codes": _with("fx_vectors", COORD, CODES, select="SELECT idx, cast(rep AS int) AS rep, code FROM codes"),
     "lsh_candidates": _with(*_bucket_near(5), select="SELECT i, j, cos FROM near"),
+    "lsh_candidates_tiled": _with(*_bucket_near(5), select="SELECT i, j, cos FROM near"),
     "lsh_similarity_edges": _with(*_bucket_near(20), DIRECTED, SYMMETRIC, select="SELECT i, j, w FROM edges"),
     "vote_merge": _with(
-        "fx_vectors", COORD, CODES, """voting AS (SELECT idx, rep, code FROM codes
-            WHERE (rep, code) IN (SELECT (rep, code) FROM codes GROUP BY rep, code HAVING count(*) <= 200))""",
-        """edges AS (SELECT a.idx AS i, b.idx AS j FROM voting a JOIN voting b ON a.rep = b.rep AND a.code = b.code
+        "fx_vectors", COORD, CODES,
+        """edges AS (SELECT a.idx AS i, b.idx AS j FROM codes a JOIN codes b ON a.rep = b.rep AND a.code = b.code
             AND a.idx <> b.idx GROUP BY a.idx, b.idx HAVING count(*) >= 5)""", CLOSURE,
         select="SELECT node, component FROM parts"),
     "encode_signed_projection": _with(*PROJECTED_PARTS, select="SELECT idx, cast(d AS int) AS pos, round(x, 6) AS value FROM emb"),
@@ -480,11 +499,11 @@ ORACLE: dict[str, str] = {
     "psm_comet": _with("fx_psm", select="SELECT DISTINCT scan_id, peptide FROM fx_psm WHERE q_value <= 0.02::double AND line <> 7"),
     "psm_join": _with("fx_psm", "fx_spectra", BEST.format(fdr="0.05"), KEYED, select="""
         SELECT scan_id, peptide, precursor_charge FROM best JOIN keyed USING (scan_id)"""),
-    "psm_unmatched": _with("fx_psm", "fx_spectra", BEST.format(fdr="0.05"), KEYED,
-                           select="SELECT scan_id, peptide FROM best WHERE scan_id NOT IN (SELECT scan_id FROM keyed)"),
-    "psm_match_counts": _with("fx_psm", "fx_spectra", BEST.format(fdr="0.05"), KEYED, select="""
+    "psm_unmatched": _with("fx_psm", "fx_peaks", BEST.format(fdr="0.05"), GOOD,
+                           select="SELECT scan_id, peptide FROM best WHERE scan_id NOT IN (SELECT scan_id FROM good)"),
+    "psm_match_counts": _with("fx_psm", "fx_peaks", BEST.format(fdr="0.05"), GOOD, select="""
         SELECT *, unmatched > matched AS mostly_unmatched FROM (
-          SELECT count(k.scan_id) AS matched, count(*) - count(k.scan_id) AS unmatched FROM best b LEFT JOIN keyed k USING (scan_id))"""),
+          SELECT count(k.scan_id) AS matched, count(*) - count(k.scan_id) AS unmatched FROM best b LEFT JOIN good k USING (scan_id))"""),
     "class_build": _with(*CLASSES, select="SELECT scan_id, label, label_idx, class_size FROM classes"),
     "class_limit": _with(
         *MATCHED, """picked AS (SELECT label, class_size, row_number() OVER (ORDER BY label) - 1 AS label_idx FROM (
@@ -517,3 +536,10 @@ ORACLE: dict[str, str] = {
         FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('controllerScans: "', doc_id, '" ', text)
             WHEN 1 THEN concat(text, ' newscan:', doc_id) WHEN 2 THEN concat(' ', doc_id, ' ') ELSE text END AS title FROM documents)""",
 }
+ORACLE["hdbscan_refine_distributed"] = ORACLE["hdbscan_refine"]
+ORACLE["bin_lsh_codes"] = _with(
+    "fx_peaks", SUP_TOP.format(peaks="fx_peaks"), BINS, BIN_CODES,
+    select="SELECT idx, cast(r AS int) AS rep, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END)::bigint AS code FROM signs GROUP BY idx, r")
+ORACLE["encode_random_projection"] = _with(
+    "fx_spectra", "fx_peaks", SUP_TOP.format(peaks=FLOAT_PEAKS), BINS, PROJECT,
+    select="SELECT idx, cast(d AS int) AS pos, round(x, 6) AS value FROM emb WHERE idx IN (SELECT idx FROM fx_peaks)")

@@ -25,7 +25,7 @@ from ionweave.operators.density_tree import bucketed_hdbscan, hdbscan_blocks, vo
 from ionweave.operators.encode import encode_projection, encode_tokens, random_parameters, signed_projection
 from ionweave.operators.spectral import spectral_embedding
 from ionweave.operators.tiles import nearest
-from ionweave.plans.cluster import component_labels, seeded_labels, stage_two
+from ionweave.plans.cluster import _complete, component_labels, seeded_labels, stage_two
 from ionweave.sources import psm as PSM
 from ionweave.sources import sinks
 from ionweave.sources.mgf import parse_blocks, split_records
@@ -211,6 +211,12 @@ def knn_cosine(spark, d):
     return nearest(_vectors(spark, d).select("idx", "embedding"), 10)
 
 
+@query
+def knn_cosine_tiled(spark, d):
+    """The same in many tile pairs."""
+    return nearest(_vectors(spark, d).select("idx", "embedding"), 10, tile_rows=64)
+
+
 @query
 def directed_edges_ppm(spark, d):
     pairs = S.candidate_pairs(_vectors(spark, d), 20, floor=EDGE)
@@ -241,8 +247,21 @@ def node_degree(spark, d):
 
 @query
 def connected_components(spark, d):
+    return _components(spark, d)
+
+
+def _components(spark, d, finish_links=G.FINISH_LINKS):
+    """Components of all vectors; one without a link is its own."""
     e = _edges(spark, d)
-    return G.connected_components(e.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    found = G.connected_components(e.select(F.col("i").alias("src"), F.col("j").alias("dst")), finish_links)
+    ids = _vectors(spark, d).select(F.col("idx").alias("node"))
+    return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+@query
+def connected_components_rounds(spark, d):
+    """The same by alternating rounds only."""
+    return _components(spark, d, 0)
 
 
 @query
@@ -258,6 +277,12 @@ def eps_components(spark, d):
     return density_clusters(_vectors(spark, d).select("idx", "embedding"), EPS, 2)
 
 
+@query
+def eps_components_tiled(spark, d):
+    """The same in many tile pairs."""
+    return density_clusters(_vectors(spark, d).select("idx", "embedding"), EPS, 2, tile_rows=64)
+
+
 @query
 def density_core_border(spark, d):
     return density_clusters(_vectors(spark, d).select("idx", "embedding"), 1.18, 4)
@@ -292,6 +317,13 @@ def lsh_candidates(spark, d):
     return S.candidate_pairs(coded, 5, coded=True).select("i", "j", "cos")
 
 
+@query
+def lsh_candidates_tiled(spark, d):
+    """The same in many tile pairs."""
+    coded = S.hash_codes(_vectors(spark, d), CODE_BITS, REPEATS, planes="hashed")
+    return S.candidate_pairs(coded, 5, coded=True, tile_rows=16).select("i", "j", "cos")
+
+
 @query
 def lsh_similarity_edges(spark, d):
     coded = S.hash_codes(_vectors(spark, d), CODE_BITS, REPEATS, planes="hashed")
@@ -342,7 +374,8 @@ def _vector_checks(df):
 
 @query
 def encode_random_projection(spark, d):
-    return _vector_checks(encode_projection(_spectrum_rows(spark, d), ClusterConfig(embed_dim=32)))
+    out = encode_projection(_spectrum_rows(spark, d), ClusterConfig(embed_dim=PROJECTED), "hashed")
+    return out.select("idx", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query
@@ -373,7 +406,7 @@ def bin_lsh_codes(spark, d):
 @query
 def spectral_clusters(spark, d):
     z = spectral_embedding(_edges(spark, d), 30)
-    return density_clusters(z, 0.15, 2, ["component"]).select("idx", "label")
+    return _complete(_vectors(spark, d).select("idx"), density_clusters(z, 0.15, 2, ["component"]).select("idx", "label"))
 
 
 @query
@@ -382,9 +415,16 @@ def hdbscan_refine(spark, d):
     return hdbscan_blocks(v.select("label", F.col("idx").alias("vertex"), "embedding"), ["label"])
 
 
+@query
+def hdbscan_refine_distributed(spark, d):
+    """The same by tile-pair trees and joins only."""
+    v = _vectors(spark, d)
+    return hdbscan_blocks(v.select("label", F.col("idx").alias("vertex"), "embedding"), ["label"], block_rows=20, tile_rows=64)
+
+
 @query
 def hdbscan_seeded(spark, d):
-    return seeded_labels(_edges(spark, d), _vectors(spark, d), EDGE_CFG)
+    return _complete(_vectors(spark, d).select("idx"), seeded_labels(_edges(spark, d), _vectors(spark, d), EDGE_CFG))
 
 
 @query
@@ -395,7 +435,15 @@ def hdbscan_bucketed(spark, d):
 
 @query
 def cluster_stage_two(spark, d):
-    return stage_two(_vectors(spark, d), EDGE_CFG.replace(dynamic_merge_enabled=True))
+    """All vectors through the dispatcher with components as clusters, without refinement."""
+    return stage_two(_vectors(spark, d), EDGE_CFG.replace(method="components", dynamic_split_enabled=False))
+
+
+@query
+def cluster_stage_two_bucketed(spark, d):
+    """All vectors through the dispatcher with bucketed clusters; only their number and sizes are comparable."""
+    cfg = EDGE_CFG.replace(method="bucketed", hd_target_bucket_size=100)
+    return stage_two(_vectors(spark, d), cfg)
 
 
 # --- reranking and result rows -----------------------------------------------------
@@ -520,8 +568,13 @@ def psm_comet(spark, d):
 
 
 def _keyed_spectra(spark, d):
-    return view(spark, d, "fx_spectra").filter("idx % 3 <> 0").select(
-        F.col("idx").cast("string").alias("scan_id"), "idx", "precursor_charge")
+    return view(spark, d, "fx_spectra").select(F.col("idx").cast("string").alias("scan_id"), "idx", "precursor_charge")
+
+
+def _good_spectra(spark, d):
+    """Spectra that pass the quality filter; matches to the others have no spectrum."""
+    good = PT.quality_filter(view(spark, d, "fx_peaks")).select("idx")
+    return _keyed_spectra(spark, d).join(good, "idx", "left_semi")
 
 
 def _best(spark, d):
@@ -536,12 +589,12 @@ def psm_join(spark, d):
 
 @query
 def psm_unmatched(spark, d):
-    return C.unmatched_psms(_best(spark, d), _keyed_spectra(spark, d))
+    return C.unmatched_psms(_best(spark, d), _good_spectra(spark, d))
 
 
 @query
 def psm_match_counts(spark, d):
-    return C.match_counts(_best(spark, d), _keyed_spectra(spark, d))
+    return C.match_counts(_best(spark, d), _good_spectra(spark, d))
 
 
 def _classes(spark, d):

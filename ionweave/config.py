@@ -33,28 +33,22 @@ class ClusterConfig:
     n_heads: int = 4
     n_layers: int = 2
     ff_dim: int = 256
-    batch_size: int = 2048
     use_transformer: bool = False
     encoder_weights: str = ""
     use_encoder: bool = True
-    device: str = "cpu"  # accepted for compatibility; kernels run on CPU tasks
     # similarity graph
     precursor_tol_da: float = 1.5
     precursor_tol_ppm: float = 10.0
     edge_threshold: float = 0.70
     ann_n_neighbours: int = 100
-    ann_query_chunk_size: int = 2000
-    max_edges_per_node: int = 50  # accepted, has no effect
     use_hd_prefilter: bool = False
-    hd_prefilter_min_n: int = 20_000
     hd_target_bucket_size: int = 2_000
-    hd_max_bits: int = 20
     hd_seed: int = 42
     hd_n_repeats: int = 6
     hd_bucketed_min_repeat_votes: Optional[int] = 2
     # clustering
+    method: str = ""  # spectral, components, seeded or bucketed; empty: seeded with use_hdbscan, else spectral
     n_eigenvectors: int = 30
-    large_n_threshold: int = 100_000
     dbscan_eps: float = 0.15
     dbscan_min_samples: int = 2
     split_var_threshold: float = 0.04
@@ -66,7 +60,6 @@ class ClusterConfig:
     use_hdbscan: bool = False
     hdbscan_min_cluster_size: int = 2
     hdbscan_min_samples: int = 1
-    hdbscan_epsilon: float = 0.0  # accepted, has no effect
     hdbscan_cluster_selection_method: str = "leaf"
     strict_reference: bool = True  # seeded path splits with the spectral-space limits
     gap_post_split: bool = False
@@ -79,7 +72,6 @@ class ClusterConfig:
     ptm_min_unshifted_matches: int = 2
     ptm_min_shifted_matches: int = 1
     # misc
-    n_jobs: int = -1  # accepted; Spark decides the parallelism
     seed: int = 42
 
     def replace(self, **changes) -> "ClusterConfig":
@@ -91,6 +83,13 @@ class ClusterConfig:
 
         return int(math.ceil((self.mz_max - self.mz_min) / self.bin_width))
 
+    @property
+    def stage_two_method(self) -> str:
+        method = self.method or ("seeded" if self.use_hdbscan else "spectral")
+        if method not in ("spectral", "components", "seeded", "bucketed"):
+            raise ValueError(f"unknown clustering method {method!r}")
+        return method
+
     @property
     def raw_split_eps(self) -> float:
         """Euclidean radius equal to the edge threshold's cosine on unit vectors."""
@@ -111,7 +110,6 @@ class ClusterConfig:
             dbscan_min_samples=2,
             edge_threshold=0.85,
             ann_n_neighbours=20,
-            ann_query_chunk_size=500,
         ).replace(**changes)
 
 
@@ -123,14 +121,12 @@ class PretrainConfig:
     output_path: str = "pretrained_encoder"
     mz_min: float = 50.0
     mz_max: float = 1500.0
-    bin_width: float = 0.02  # accepted, has no effect
     top_k_peaks: int = 150
     embed_dim: int = 128
     n_heads: int = 4
     n_layers: int = 2
     ff_dim: int = 256
     epochs: int = 30
-    batch_size: int = 512
     pk_classes_per_batch: int = 64
     pk_samples_per_class: int = 8
     lr: float = 5e-5

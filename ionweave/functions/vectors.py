@@ -45,10 +45,9 @@ def pack_sign_bits(values) -> Column:
     return F.aggregate(indexed, F.expr("0L"), lambda acc, x: acc + x)
 
 
-def hash_bit_count(n_rows: int, target_bucket: int = 2000, max_bits: int = 20) -> int:
-    """Bits so that a bucket holds about ``target_bucket`` rows, between 1 and ``max_bits``."""
-    bits = math.ceil(math.log2(max(2.0, n_rows / target_bucket)))
-    return max(1, min(bits, max_bits))
+def hash_bit_count(n_rows: int, target_bucket: int = 2000) -> int:
+    """Bits so that a bucket holds about ``target_bucket`` rows; a code is one 64-bit number, so at most 62."""
+    return min(62, max(1, math.ceil(math.log2(max(2.0, n_rows / target_bucket)))))
 
 
 def repeat_recall(single_table_recall: float, repeats: int) -> float:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionweave.config import PretrainConfig
 from ionweave.functions.text import base_peptide, class_label
-from ionweave.session import ordered_index
+from ionweave.session import checkpoint, ordered_index
 
 
 def match_psms(psm: DataFrame, spectra: DataFrame) -> DataFrame:
@@ -84,31 +84,27 @@ def pk_batches(samples: DataFrame, classes_per_batch: int = 64, samples_per_clas
                epoch: int = 0) -> DataFrame:
     """Batches ``(batch, slot, draw, label_idx, sample)`` of P classes with K samples each.
 
-    ``samples`` has ``(label_idx, sample)`` with dense class numbers.  Classes of a batch
-    differ; samples of a class differ unless it has fewer than K.  A batch takes classes
-    at an even stride from a seeded start, and samples likewise, so the work is one row
-    per slot whatever the size of the classes.
+    ``samples`` has ``(label_idx, sample)``.  An epoch goes through the classes in rounds: each round has a hash order
+    of its own, and a batch is the next P classes of it, so classes of a batch differ and any set can meet.  The samples
+    of a class have one hash order per epoch; round r takes the r-th K of them, from the start again at the end, so
+    samples differ unless the class has fewer than K.
     """
-    placed = ordered_index(samples.select("label_idx", "sample"), "label_idx", "sample", name="at")
-    classes = placed.groupBy("label_idx").agg(F.min("at").alias("first"), F.count("*").alias("size"))
-    n_classes, n = classes.count(), placed.count()
-    p = min(classes_per_batch, n_classes)
-    k = samples_per_class
-    n_batches = max(1, n // (p * k))
-    b, s = F.col("batch"), F.col("slot")
-    start = _mix(F.lit(seed), F.lit(epoch), b) % n_classes
-    stride = 1 + _mix(F.lit(seed + 1), F.lit(epoch), b) % max(1, n_classes // p)
-    slots = (placed.sparkSession.range(n_batches).withColumnRenamed("id", "batch")
-             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-             .withColumn("label_idx", ((start + s * stride) % n_classes).cast("bigint")))
-    d = F.col("draw")
-    begin = _mix(F.lit(seed + 2), F.lit(epoch), b, s) % F.col("size")
-    step = 1 + _mix(F.lit(seed + 3), F.lit(epoch), b, s) % F.greatest(F.lit(1), F.floor(F.col("size") / k))
-    anew = _mix(F.lit(seed + 4), F.lit(epoch), b, s, d) % F.col("size")
-    inside = F.when(F.col("size") >= k, (begin + d * step) % F.col("size")).otherwise(anew)
-    draws = (slots.join(classes, "label_idx").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-             .withColumn("at", (F.col("first") + inside).cast("bigint")))
-    return draws.select("batch", "slot", "draw", "at").join(placed, "at").select(
+    keyed = samples.select("label_idx", "sample").withColumn("_key", _mix(F.lit(seed), F.lit(epoch), F.col("sample")))
+    placed = ordered_index(keyed, "label_idx", "_key", "sample", name="at")
+    classes = checkpoint(placed.groupBy("label_idx").agg(F.min("at").alias("first"), F.count("*").alias("size")))
+    total = classes.agg(F.count("*").alias("classes"), F.sum("size").alias("n")).first()
+    n_classes, n, k = total["classes"], total["n"] or 0, samples_per_class
+    p = max(1, min(classes_per_batch, n_classes))
+    n_batches, per_round = max(1, n // (p * k)), max(1, n_classes // p)
+    rounds = classes.withColumn("round", F.explode(F.expr(f"sequence(0L, {(n_batches - 1) // per_round}L)")))
+    rounds = rounds.withColumn("_key", _mix(F.lit(seed + 1), F.lit(epoch), F.col("round"), F.col("label_idx")))
+    slots = ordered_index(rounds, "round", "_key", "label_idx", name="_place").withColumn(
+        "_place", F.col("_place") - F.col("round") * n_classes).filter(F.col("_place") < per_round * p)
+    slots = slots.select((F.col("round") * per_round + F.floor(F.col("_place") / p)).alias("batch"),
+                         (F.col("_place") % p).cast("int").alias("slot"), "round", "first", "size").filter(F.col("batch") < n_batches)
+    draws = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    at = F.col("first") + (F.col("round") * k + F.col("draw")) % F.col("size")
+    return draws.select("batch", "slot", "draw", at.alias("at")).join(placed, "at").select(
         "batch", "slot", "draw", "label_idx", "sample")
 
 

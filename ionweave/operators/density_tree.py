@@ -300,21 +300,16 @@ def hdbscan_blocks(rows: DataFrame, block: Sequence[str], min_size: int = 2, min
     return small.unionByName(big)
 
 
-VOTE_LIMIT = 200
-
-
-def vote_components(parts: DataFrame, repeats: int, min_votes: int, vote_limit: int = VOTE_LIMIT) -> DataFrame:
+def vote_components(parts: DataFrame, repeats: int, min_votes: int) -> DataFrame:
     """Components of rows that share a part in at least ``min_votes`` repeats.
 
     ``parts`` has ``(idx, rep, part)``.  Two rows agree in ``min_votes`` repeats exactly
     when they carry the same parts over some choice of that many repeats, so for each
     choice the rows of equal parts are linked to the first of them: the links grow with
-    the rows, and no pair is ever listed.  Parts above ``vote_limit`` members do not
-    vote; that is the rule of the operator.
+    the rows, and no pair is ever listed.  Parts of any size vote.  The number of choices,
+    ``repeats`` over ``min_votes``, is set by the two settings and not by the data.
     """
-    sizes = parts.groupBy("rep", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") <= vote_limit)
-    voting = parts.join(sizes.select("rep", "part"), ["rep", "part"])
-    wide = checkpoint(voting.groupBy("idx").pivot("rep", list(range(repeats))).agg(F.first("part")))
+    wide = checkpoint(parts.groupBy("idx").pivot("rep", list(range(repeats))).agg(F.first("part")))
     choices = F.array(*[
         F.when(F.concat(*[F.col(str(r)).isNotNull().cast("string") for r in pick]) == "true" * len(pick),
                F.struct(F.lit(n).alias("choice"), F.array(*[F.col(str(r)) for r in pick]).alias("parts")))
@@ -330,7 +325,7 @@ def votes_needed(setting, repeats: int) -> int:
 
 
 def bucketed_hdbscan(coded: DataFrame, repeats: int, min_size: int = 2, min_samples: int = 1,
-                     method: str = "leaf", min_votes=2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     method: str = "leaf", min_votes: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(idx, label)``: clusters per hash bucket and repeat, merged by votes.
 
     ``coded`` has ``(idx, embedding, codes)``.
@@ -342,7 +337,7 @@ def bucketed_hdbscan(coded: DataFrame, repeats: int, min_size: int = 2, min_samp
     parts = found.filter("label >= 0").select(
         F.floor(F.col("vertex") / repeats).alias("idx"), F.pmod("vertex", F.lit(repeats)).alias("rep"),
         F.col("label").alias("part"))
-    linked = vote_components(parts, repeats, votes_needed(min_votes, repeats))
+    linked = vote_components(parts, repeats, min_votes)
     sizes = linked.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
     kept = linked.join(sizes, "component").select(F.col("node").alias("idx"), F.col("component").alias("label"))
     return coded.select("idx").join(kept, "idx", "left").select(

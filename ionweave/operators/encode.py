@@ -69,24 +69,23 @@ def _projected(lists: DataFrame, dim: int, rows_of, kind) -> DataFrame:
     return lists.mapInArrow(run, f"idx long, embedding array<{name}>")
 
 
-def encode_projection(spectra: DataFrame, cfg: ClusterConfig) -> DataFrame:
+def encode_projection(spectra: DataFrame, cfg: ClusterConfig, planes: str = "gaussian") -> DataFrame:
     """``(idx, embedding)`` by projecting binned spectra.
 
-    Binning is done on the JVM side and stays sparse.  The projection has a fixed size
-    (bins x dimensions, 37 MB by default) and is broadcast.
+    Binning is done on the JVM side and stays sparse.  The normal projection has a fixed size
+    (bins x dimensions, 37 MB by default) and is broadcast; ``planes="hashed"`` takes signs
+    from an integer hash instead, in double precision.
     """
-    shared = spectra.sparkSession.sparkContext.broadcast(projection_matrix(cfg))
     sparse = spectra.select("idx", P.binned(P.zipped(), cfg.top_k_peaks, cfg.mz_min, cfg.bin_width,
                                             cfg.n_bins).alias("bins"))
+    if planes == "hashed":
+        return _projected(sparse, cfg.embed_dim, _hashed_signs(cfg.embed_dim), pa.float64())
+    shared = spectra.sparkSession.sparkContext.broadcast(projection_matrix(cfg))
     return _projected(sparse, cfg.embed_dim, lambda bins: shared.value[bins], pa.float32())
 
 
-def signed_projection(bins: DataFrame, dim: int) -> DataFrame:
-    """``(idx, embedding)`` from sparse bins ``(idx, bin, v)`` with integer-hash signs.
-
-    The projection is never materialised: the sign of a bin at an output position comes
-    from the two numbers.  A spectrum has at most top-k bins, which bounds its list.
-    """
+def _hashed_signs(dim: int):
+    """Rows of +1 and -1 for bins; never materialised for all of them."""
     a, b, c, m = _SIGN
     place = np.arange(dim, dtype=np.int64)[None, :]
 
@@ -94,8 +93,16 @@ def signed_projection(bins: DataFrame, dim: int) -> DataFrame:
         at = bins[:, None]
         return np.where((at * a + (place * b + c)) * (at + place + 1) % m // 64 % 2 == 0, 1.0, -1.0)
 
+    return signs
+
+
+def signed_projection(bins: DataFrame, dim: int) -> DataFrame:
+    """``(idx, embedding)`` from sparse bins ``(idx, bin, v)`` with integer-hash signs.
+
+    A spectrum has at most top-k bins, which bounds its list.
+    """
     lists = bins.groupBy("idx").agg(F.collect_list(F.struct("bin", "v")).alias("bins"))
-    return _projected(lists, dim, signs, pa.float64())
+    return _projected(lists, dim, _hashed_signs(dim), pa.float64())
 
 
 # --- transformer -------------------------------------------------------------------

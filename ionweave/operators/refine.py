@@ -17,22 +17,17 @@ from ionweave.operators.tiles import TILE_ROWS, reach_links
 from ionweave.session import ordered_index
 
 
-def split_limit(cfg: ClusterConfig) -> int:
-    return max(cfg.ann_query_chunk_size * 20, 20_000)
-
-
 def dynamic_split(rows: DataFrame, cfg: ClusterConfig, eps: float = None, var_threshold: float = None,
                   tile_rows: int = TILE_ROWS) -> DataFrame:
     """Re-cluster loose clusters of rows ``(idx, label, embedding)``; returns ``(idx, label)``.
 
-    A cluster of 4 up to :func:`split_limit` members whose variance is above the limit is
-    clustered by density on its own.  Larger ones stay as they are: that is the rule of
-    the operator, not a safeguard of ours.
+    A cluster of 4 or more members whose variance is above the limit is clustered by
+    density on its own, whatever its size.
     """
     eps = cfg.dbscan_eps if eps is None else eps
     var_threshold = cfg.split_var_threshold if var_threshold is None else var_threshold
     loose = (centroids(rows.filter("label >= 0"), ["label"])
-             .filter((F.col("n") >= 4) & (F.col("n") <= split_limit(cfg)) & (F.col("variance") > var_threshold))
+             .filter((F.col("n") >= 4) & (F.col("variance") > var_threshold))
              .select("label"))
     again = density_clusters(rows.join(loose, "label", "left_semi").select("idx", "label", "embedding")
                              .withColumnRenamed("label", "parent"),
@@ -63,7 +58,7 @@ def dense_labels(labels: DataFrame) -> DataFrame:
     names = labels.filter("label >= 0").select("label").distinct()
     numbers = ordered_index(names, "label", name="number")
     return labels.join(numbers, "label", "left").select(
-        "idx", F.coalesce("number", F.lit(-1).cast("bigint")).cast("int").alias("label"))
+        "idx", F.coalesce("number", F.lit(-1).cast("bigint")).alias("label"))
 
 
 def canonical_labels(labels: DataFrame) -> DataFrame:

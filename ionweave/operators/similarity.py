@@ -56,27 +56,18 @@ def hash_codes(vectors: DataFrame, bits: int, repeats: int, seed: int = 42, plan
 def bin_hash_codes(bins: DataFrame, bits: int, repeats: int, seed: int = 42) -> DataFrame:
     """Sign-bit codes straight from sparse bins ``(idx, bin, v)``, as ``(idx, codes)``.
 
-    The planes have one row per bin and are rebuilt from the seed in each task; partial
-    sums combine map-side, so a spectrum's bins need not meet before that.
+    The sign of a bin on a plane comes from an integer hash of both, as in :func:`hashed_planes`
+    with the seed as first repeat, so no plane is ever built; partial sums combine map-side.
     """
-    width = bits * repeats
-    n_bins = ClusterConfig().n_bins
+    a, b, c, m = _PLANE
+    pos = F.col("bin").cast("bigint")
 
-    def run(batches):
-        planes = np.concatenate([np.random.default_rng(seed + r).standard_normal((n_bins, bits)).astype(np.float32)
-                                 for r in range(repeats)], axis=1).astype(np.float64)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            idx, inverse = np.unique(batch.column("idx").to_numpy(), return_inverse=True)
-            part = planes[batch.column("bin").to_numpy()] * batch.column("v").to_numpy()[:, None]
-            total = np.zeros((len(idx), width))
-            np.add.at(total, inverse, part)
-            yield pa.RecordBatch.from_pydict({"idx": pa.array(idx), "part": vector_column(total)})
-
-    sums = (bins.select(F.col("idx").cast("bigint"), F.col("bin").cast("bigint"), "v")
-            .mapInArrow(run, "idx long, part array<double>").groupBy("idx")
-            .agg(*[F.sum(F.col("part")[p]).alias(f"_s{p}") for p in range(width)]))
+    def signed(rep, bit):
+        mixed = ((pos + 1) * a + F.lit((bit + 1) * b + (rep + 1) * c)) * (pos + F.lit(bit * 7 + rep * 13 + 1)) % m
+        return F.sum(F.when(F.floor(mixed / 64) % 2 == 0, F.col("v")).otherwise(-F.col("v")))
+
+    sums = bins.select(F.col("idx").cast("bigint").alias("idx"), "bin", "v").groupBy("idx").agg(
+        *[signed(seed + r, k).alias(f"_s{r * bits + k}") for r in range(repeats) for k in range(bits)])
     codes = []
     for r in range(repeats):
         code = F.lit(0).cast("bigint")
@@ -124,9 +115,9 @@ def similarity_graph(vectors: DataFrame, cfg: ClusterConfig, n_rows: int, bin_co
     cosine, so neighbours below the threshold are dropped while ranking.
     """
     k = max(1, min(cfg.ann_n_neighbours, n_rows - 1))
-    coded = cfg.use_hd_prefilter and n_rows > cfg.hd_prefilter_min_n
+    coded = cfg.use_hd_prefilter
     if coded:
-        bits = hash_bit_count(n_rows, cfg.hd_target_bucket_size, cfg.hd_max_bits)
+        bits = hash_bit_count(n_rows, cfg.hd_target_bucket_size)
         if cfg.use_encoder:
             vectors = hash_codes(vectors, bits, max(1, cfg.hd_n_repeats), cfg.hd_seed)
         else:

@@ -1,30 +1,24 @@
-"""Encoder training: samples, batches, gradients and validation are Spark jobs.
+"""Data side of encoder training: samples, splits, batches, and the measures of an encoder.
 
-The driver holds the model, the optimiser state and one summed gradient.
+Fitting the weights is left to a trainer that reads the batches; its encoder comes back as a parameter file.
 """
 
 from __future__ import annotations
 
 import logging
-from dataclasses import asdict, dataclass
-from typing import Optional
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.config import PretrainConfig
 from ionweave.functions.scoring import learning_rate, uniformity_weight
-from ionweave.operators.classes import pk_batches, split_peptides, split_psms, training_samples
+from ionweave.operators.classes import match_counts, pk_batches, split_peptides, split_psms, training_samples
 from ionweave.operators.contrastive import separation, training_tokens
 from ionweave.operators.encode import checked_parameters, encode_tokens
-from ionweave.operators.gradient import (AdamW, batch_gradient, flatten, initial_parameters, unflatten)
-from ionweave.operators.tiles import matrix, vector_column
 from ionweave.session import checkpoint
 from ionweave.sources.mgf import read_mgf, training_spectra
 from ionweave.sources.psm import read_psm
-from ionweave.sources.store import write_parameters
 
 log = logging.getLogger("ionweave")
 
@@ -58,6 +52,9 @@ class Patience:
 
 def prepare(spectra: DataFrame, psm: DataFrame, cfg: PretrainConfig) -> TrainingData:
     """Classes over all matches, split by peptide, then classes again on each side."""
+    counts = match_counts(psm, spectra).first()
+    if counts["mostly_unmatched"]:
+        log.warning("%d of %d matches have no spectrum: check that scan numbers agree", counts["unmatched"], counts["matched"] + counts["unmatched"])
     full = training_samples(psm, spectra, cfg)
     train, validation = split_psms(psm, split_peptides(full.select("label"), cfg.val_split, cfg.seed))
     return TrainingData(checkpoint(training_samples(train, spectra, cfg)),
@@ -85,93 +82,17 @@ def validate(data: DataFrame, cfg: PretrainConfig, parameters: dict) -> dict:
     return row.asDict()
 
 
-def _token_grid(lists):
-    """(grid, padding) of an Arrow column of token lists."""
-    count = lists.value_lengths().fill_null(0).to_numpy()
-    length = max(1, int(count.max()))
-    flat = lists.flatten()
-    row = np.repeat(np.arange(len(lists)), count)
-    col = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    grid = np.zeros((len(lists), length, 2))
-    grid[row, col, 0] = flat.field("norm_mz").to_numpy(zero_copy_only=False)
-    grid[row, col, 1] = flat.field("norm_int").to_numpy(zero_copy_only=False)
-    return grid, np.arange(length)[None, :] >= count[:, None]
-
-
-def _sum_gradients(parts: DataFrame) -> DataFrame:
-    """Add up (n, loss, supcon, uniform, grad) rows inside each task."""
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            scalars = np.stack([batch.column(c).to_numpy() for c in ("n", "loss", "supcon", "uniform")]).sum(1)
-            grad = matrix(batch.column("grad")).sum(0)
-            total = (scalars, grad) if total is None else (total[0] + scalars, total[1] + grad)
-        if total is not None:
-            s, g = total
-            yield pa.RecordBatch.from_pydict({
-                "n": [float(s[0])], "loss": [float(s[1])], "supcon": [float(s[2])], "uniform": [float(s[3])],
-                "grad": vector_column(g.reshape(1, -1))})
-
-    return parts.mapInArrow(run, "n double, loss double, supcon double, uniform double, grad array<double>")
-
-
-def mean_gradient(batches: DataFrame, cfg: PretrainConfig, vector: np.ndarray, uniformity: float, seed: int):
-    """Mean (loss, supcon, uniform) and gradient over all batches of ``batches``.
-
-    One task handles one batch at a time; sums are formed per task, then over a few
-    tasks, so a handful of model-sized rows reach the driver.
-    """
-    shared = batches.sparkSession.sparkContext.broadcast(vector)
-
-    def kernel(table: pa.Table) -> pa.Table:
-        grid, padding = _token_grid(table.column("tokens").combine_chunks())
-        batch = table.column("batch")[0].as_py()
-        loss, supcon, uniform, grad = batch_gradient(
-            grid, padding, table.column("label_idx").to_numpy(), unflatten(shared.value, cfg), cfg.n_heads,
-            cfg.temperature, uniformity, 0.1, seed + batch)
-        return pa.table({"n": [1.0], "loss": [loss], "supcon": [supcon], "uniform": [uniform],
-                         "grad": vector_column(flatten(grad, cfg).reshape(1, -1))})
-
-    parts = batches.groupBy("batch").applyInArrow(
-        kernel, "n double, loss double, supcon double, uniform double, grad array<double>")
-    rows = _sum_gradients(_sum_gradients(parts).repartition(8)).collect()
-    shared.unpersist()
-    n = sum(r["n"] for r in rows)
-    means = tuple(sum(r[c] for r in rows) / n for c in ("loss", "supcon", "uniform"))
-    return means, np.sum([r["grad"] for r in rows], axis=0) / n
-
-
-def train(data: TrainingData, cfg: PretrainConfig, batches_per_step: int = 1) -> Optional[dict]:
-    """Train until the validation separation stops improving; returns the best epoch's record.
-
-    With ``batches_per_step`` 1 the model changes after every batch.  A larger number
-    works on that many batches at once and changes the model by their mean gradient.
+def write_batches(data: TrainingData, cfg: PretrainConfig, epochs: int = None) -> list[str]:
+    """Write the token batches of every epoch as tables for a trainer; returns their paths.
+
+    A batch has P x K rows; its rows lie together, so a trainer reads batch after batch.  ``learning_rate`` and
+    ``uniformity`` are the epoch's settings.
     """
-    patience, best = Patience(cfg.early_stopping_patience), None
-    vector = flatten(initial_parameters(cfg), cfg)
-    optimizer = AdamW(cfg, cfg.weight_decay)
-    for epoch in range(cfg.epochs):
+    paths = []
+    for epoch in range(cfg.epochs if epochs is None else epochs):
         lr = learning_rate(epoch, cfg.epochs, cfg.lr, cfg.warmup_epochs)
         weight = uniformity_weight(epoch, cfg.lambda_uniform, cfg.lambda_uniform_warmup_epochs)
-        rows = checkpoint(epoch_batches(data.train, cfg, epoch))
-        n_batches = rows.agg(F.max("batch")).first()[0] + 1
-        history = []
-        for at in range(0, n_batches, batches_per_step):
-            some = rows.filter((F.col("batch") >= at) & (F.col("batch") < at + batches_per_step))
-            means, grad = mean_gradient(some, cfg, vector, weight, cfg.seed + epoch * n_batches)
-            vector = optimizer.update(vector, grad, lr)
-            history.append(means)
-        loss, supcon, uniform = np.mean(history, axis=0).tolist()
-        parameters = unflatten(vector, cfg)
-        measured = validate(data.validation, cfg, parameters)
-        log.info("epoch %d loss %.4f supcon %.4f uniform %.4f %s", epoch + 1, loss, supcon, uniform, measured)
-        if patience.better(epoch + 1, measured["separation"]):
-            best = {"epoch": epoch + 1, "train_loss": loss, "loss": loss, "val_intra_sim": measured["intra"],
-                    "val_inter_sim": measured["inter"], "val_separation": measured["separation"]}
-            write_parameters(cfg.output_path, parameters, cfg=asdict(cfg), **best)
-        elif patience.exhausted:
-            break
-    return best
+        rows = epoch_batches(data.train, cfg, epoch).withColumn("learning_rate", F.lit(lr)).withColumn("uniformity", F.lit(weight))
+        paths.append(f"{cfg.output_path}/epoch={epoch}")
+        rows.repartitionByRange("batch").sortWithinPartitions("batch", "slot", "draw").write.mode("overwrite").parquet(paths[-1])
+    return paths

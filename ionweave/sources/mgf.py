@@ -1,6 +1,6 @@
 """MGF text as spectrum rows.
 
-Files are read as text records that end at an ``END IONS`` line, so one large file is
+Files are read as text records that start at a ``BEGIN IONS`` line, so one large file is
 split over many tasks.  Parsing is column expressions only.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import peaks as P
 from ionweave.functions import text as T
+from ionweave.session import checkpoint, ordered_index
 
-RECORD_END = "\nEND IONS"
+RECORD_START = "\nBEGIN IONS"
 BROADCAST_SPLITS = 100_000
 _BEGIN = r"(?im)^[ \t]*BEGIN IONS[ \t]*\r?$"
 _END = r"(?im)^[ \t]*END IONS[ \t]*\r?$"
@@ -79,41 +80,49 @@ def parse_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
 
 
 def split_records(records: DataFrame, record: str = "value") -> DataFrame:
-    """Text records to ion blocks: one row per block, without the text between blocks."""
-    pieces = F.explode(F.split(record, _END))
+    """Text records to ion blocks: one row per block, without the text between blocks.
+
+    A block is what lies between its BEGIN and END lines, in any case; one without an END line is dropped.
+    """
+    ended = F.split(record, _END)
+    pieces = F.explode(F.slice(ended, F.lit(1), F.size(ended) - 1))
     return (records.withColumn("_piece", pieces)
             .filter(F.col("_piece").rlike(_BEGIN))
             .withColumn("block", F.element_at(F.split("_piece", _BEGIN), -1))
             .drop("_piece", record))
 
 
-def read_records(spark: SparkSession, files: Sequence[str], end: str = RECORD_END) -> DataFrame:
+def with_start(value: Column, start: str = RECORD_START) -> Column:
+    """The record with the BEGIN line that the separator consumed; the first record of a file has its own."""
+    return F.when(value.rlike(r"^[ \t]*\r?\n"), F.concat(F.lit(start), value)).otherwise(value)
+
+
+def read_records(spark: SparkSession, files: Sequence[str], start: str = RECORD_START) -> DataFrame:
     """Text records with file, split and order columns."""
-    raw = spark.read.option("lineSep", end).text(list(files))
-    # the separator consumed the END line, a piece of text needs it back to be a block
+    raw = spark.read.option("lineSep", start).text(list(files))
     return raw.select(
-        F.concat(F.col("value"), F.lit(end)).alias("value"),
+        with_start(F.col("value"), start).alias("value"),
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"))
 
 
 def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int = None,
-             count_empty: bool = False, keep_corrupt: bool = False, end: str = RECORD_END) -> DataFrame:
+             count_empty: bool = False, keep_corrupt: bool = False, start: str = RECORD_START) -> DataFrame:
     """Spectra ``(idx, scan_id, title, scans, precursor_mz, precursor_charge, mz, intensity, rt, source_file)``.
 
     ``idx`` follows file and text order.  A spectrum without a title is named by its
     number in the file, counting spectra with peaks (or all with ``count_empty``).
-    ``quality`` is ``(min_peaks, min_mz_range)``.  ``end`` may be changed for files
-    whose END lines are not in capitals; such lines are recognised anyway, but a file
+    ``quality`` is ``(min_peaks, min_mz_range)``.  ``start`` may be changed for files
+    whose BEGIN lines are not in capitals; such lines are recognised anyway, but a file
     with none in capitals is then one record.
     """
     files = expand_paths(spark, paths)
     named = [spark._jvm.org.apache.hadoop.fs.Path(f).getName() for f in files]
-    parsed = parse_blocks(split_records(read_records(spark, files, end)))
+    parsed = parse_blocks(split_records(read_records(spark, files, start)))
     if not count_empty:
         parsed = parsed.filter(F.size("mz") > 0)
-    # positions inside a task follow the text; nothing is shuffled to number the rows
-    parsed = parsed.withColumn("_mid", F.monotonically_increasing_id())
+    # positions inside a task follow the text; the parsed rows are kept, so the text is parsed once
+    parsed = checkpoint(parsed.withColumn("_mid", F.monotonically_increasing_id()))
     splits = (parsed.groupBy("file_path", "split_start").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
               .collect())  # one row per file split
     rank = {name: n for n, name in reversed(list(enumerate(named)))}
@@ -146,9 +155,9 @@ def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int
 
 
 def first_spectra(spectra: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` spectra in reading order."""
-    from ionweave.session import ordered_index
-    return ordered_index(spectra, "idx", name="_pos").filter(F.col("_pos") < n).drop("_pos")
+    """The first ``n`` spectra in reading order; only ids are ordered to find the last of them."""
+    last = ordered_index(spectra.select("idx"), "idx", name="_pos").filter(F.col("_pos") == n - 1).first()
+    return spectra if last is None else spectra.filter(F.col("idx") <= last["idx"])
 
 
 def training_spectra(spectra: DataFrame) -> DataFrame:

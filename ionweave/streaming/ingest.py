@@ -12,32 +12,35 @@ from pyspark.sql import functions as F
 from ionweave.config import ClusterConfig
 from ionweave.functions import peaks as P
 from ionweave.operators.encode import encode
-from ionweave.sources.mgf import RECORD_END, parse_blocks, split_records
+from ionweave.session import checkpoint
+from ionweave.sources.mgf import RECORD_START, parse_blocks, split_records, with_start
 
 
 def spectra_stream(spark: SparkSession, folder: str, cfg: ClusterConfig = ClusterConfig(),
-                   end: str = RECORD_END) -> DataFrame:
-    """Streaming spectra of the ``*.mgf`` files in a folder.
-
-    The id is a hash of file, title and precursor, so a restarted batch gives the same ids.
-    """
-    raw = (spark.readStream.option("lineSep", end).option("pathGlobFilter", "*.mgf").text(folder)
-           .select(F.concat(F.col("value"), F.lit(end)).alias("value"), F.col("_metadata.file_name").alias("source_file")))
+                   start: str = RECORD_START) -> DataFrame:
+    """Streaming spectra of the ``*.mgf`` files in a folder, without ids."""
+    raw = (spark.readStream.option("lineSep", start).option("pathGlobFilter", "*.mgf").text(folder)
+           .select(with_start(F.col("value"), start).alias("value"), F.col("_metadata.file_name").alias("source_file")))
     parsed = parse_blocks(split_records(raw)).filter((F.size("mz") > 0) & ~F.col("corrupt"))
     if cfg.quality_filter_enabled:
         parsed = parsed.filter(P.passes_quality("mz", cfg.quality_min_peaks, cfg.quality_min_mz_range))
     return parsed.select(
-        F.xxhash64("source_file", "title", "precursor_mz", "mz", "intensity").alias("idx"), F.col("title").alias("scan_id"),
+        F.col("title").alias("scan_id"),
         "precursor_mz", "precursor_charge", "mz", "intensity", "rt", "source_file")
 
 
 def start_ingest(spark: SparkSession, folder: str, target: str, state: str, cfg: ClusterConfig = ClusterConfig(),
                  once: bool = True):
-    """Append spectra with their vectors to the parquet table ``target``."""
+    """Append spectra with their vectors to the parquet table ``target``.
+
+    An id is batch, task and position: equal spectra stay apart, and a repeated batch replaces its own rows.
+    """
     spectra = spectra_stream(spark, folder, cfg)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.join(encode(batch, cfg), "idx")
+        number = F.monotonically_increasing_id() + F.lit(batch_id << 45).cast("bigint")
+        numbered = checkpoint(batch.withColumn("idx", number))  # the vectors must meet the same numbers
+        rows = numbered.join(encode(numbered, cfg), "idx")
         # one folder per batch: a repeated batch replaces its own output
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 

@@ -76,12 +76,12 @@ def test_large_block_route_equals_single_task(spark, min_samples):
         T.hdbscan_blocks(df, ["part"], min_size=3, block_rows=10)
 
 
-def test_votes_need_agreement_and_skip_large_parts(spark):
+def test_votes_need_agreement(spark):
     rows = [(1, 0, 7), (2, 0, 7), (1, 1, 8), (2, 1, 8), (3, 0, 7), (3, 1, 9), (4, 2, 5), (5, 2, 5)]
     rows += [(100 + i, r, 50 + r) for i in range(5) for r in range(3)]
     df = spark.createDataFrame(rows, "idx long, rep int, part long")
-    out = dict(map(tuple, T.vote_components(df, 3, 2, vote_limit=4).collect()))
-    assert out == {1: 1, 2: 1}
+    out = dict(map(tuple, T.vote_components(df, 3, 2).collect()))
+    assert out == {1: 1, 2: 1, **{100 + i: 100 for i in range(5)}}
     assert T.votes_needed(1, 6) == 2 and T.votes_needed(None, 6) == 4
 
 

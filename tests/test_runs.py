@@ -36,9 +36,9 @@ def files(tmp_path):
     return tmp_path
 
 
-@pytest.mark.parametrize("changes", [{"n_eigenvectors": 1}, {"large_n_threshold": 1}, {"use_hdbscan": True, "strict_reference": False},
-                                     {"use_hd_prefilter": True, "hd_prefilter_min_n": 2, "n_eigenvectors": 1},
-                                     {"use_hd_prefilter": True, "hd_prefilter_min_n": 2, "use_encoder": False, "large_n_threshold": 1}])
+@pytest.mark.parametrize("changes", [{"n_eigenvectors": 1}, {"method": "components"}, {"use_hdbscan": True, "strict_reference": False},
+                                     {"use_hd_prefilter": True, "n_eigenvectors": 1}, {"method": "bucketed"},
+                                     {"use_hd_prefilter": True, "use_encoder": False, "method": "components"}])
 def test_clusters_of_two_files(spark, files, changes):
     cfg = ClusterConfig(mgf_path=str(files / "in"), embed_dim=32, precursor_tol_ppm=20.0, verbose=False, **changes)
     result, labels, spectra = plan.cluster(spark, cfg)
@@ -149,6 +149,9 @@ def test_batches_have_distinct_classes_and_samples(spark):
         for c, draws in part.groupby("label_idx"):
             if c != 0:
                 assert draws["sample"].nunique() == 5
+    other = C.pk_batches(df, 4, 5, seed=1, epoch=1).toPandas()
+    sets = lambda x: {tuple(sorted(g.label_idx.unique())) for _, g in x.groupby("batch")}
+    assert sets(out) != sets(other) or not out.equals(other)
     again = C.pk_batches(df.repartition(3), 4, 5, seed=1).toPandas()
     key = ["batch", "slot", "draw"]
     assert out.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
@@ -168,35 +171,7 @@ def test_augmentation_is_seeded_and_bounded(spark):
     assert len(single) == 50
 
 
-def test_gradient_equals_finite_differences():
-    from ionweave.operators import gradient as D
-    from ionweave.operators.encode import transformer_forward
-    cfg = PretrainConfig(embed_dim=8, ff_dim=6, n_heads=2, n_layers=2)
-    par = D.initial_parameters(cfg)
-    rng = np.random.default_rng(0)
-    par = {n: v + rng.normal(size=v.shape) * 0.1 for n, v in par.items()}
-    tokens, label = rng.random((6, 4, 2)), np.array([0, 0, 1, 1, 2, 2])
-    pad = np.zeros((6, 4), bool)
-    pad[1, 2:] = True
-    args = (tokens, pad, label)
-    loss, supcon, spread, grad = D.batch_gradient(*args, par, 2, 0.2, 0.15)
-    flat, slope = D.flatten(par, cfg), D.flatten(grad, cfg)
-    for at in rng.choice(len(flat), 60, replace=False):
-        up, down = flat.copy(), flat.copy()
-        up[at] += 1e-5
-        down[at] -= 1e-5
-        want = (D.batch_gradient(*args, D.unflatten(up, cfg), 2, 0.2, 0.15)[0]
-                - D.batch_gradient(*args, D.unflatten(down, cfg), 2, 0.2, 0.15)[0]) / 2e-5
-        assert abs(want - slope[at]) < 1e-6 * max(1, abs(want))
-    backbone = transformer_forward(tokens, pad, par, 2)
-    head = np.maximum(backbone @ par["proj_head.0.weight"].T + par["proj_head.0.bias"], 0)
-    head = head @ par["proj_head.2.weight"].T + par["proj_head.2.bias"]
-    head /= np.linalg.norm(head, axis=1, keepdims=True)
-    a, b, _ = L.contrastive_loss(head, label, 0.2)
-    assert abs(a - supcon) < 1e-12 and abs(b - spread) < 1e-12
-
-
-def test_training_improves_separation(spark, tmp_path):
+def test_training_data_and_batches(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows, hits = [], []
     for c in range(8):
@@ -209,16 +184,25 @@ def test_training_improves_separation(spark, tmp_path):
     spectra = spark.createDataFrame(rows, "idx long, scan_id string, precursor_mz double, precursor_charge int, mz array<float>, intensity array<float>")
     psm = spark.createDataFrame(hits, "scan_id string, peptide string")
     cfg = PretrainConfig(embed_dim=16, ff_dim=16, n_heads=2, n_layers=1, epochs=3, lr=3e-3, warmup_epochs=1, val_split=0.4,
-                         pk_classes_per_batch=4, pk_samples_per_class=3, augment=False, output_path=str(tmp_path / "enc.npz"))
+                         pk_classes_per_batch=4, pk_samples_per_class=3, augment=False, output_path=str(tmp_path / "batches"))
     data = pretrain.prepare(spectra, psm, cfg)
     sides = [{r["label"].rsplit("|z", 1)[0] for r in part.collect()} for part in (data.train, data.validation)]
     assert not sides[0] & sides[1] and len(sides[0] | sides[1]) == 8
-    best = pretrain.train(data, cfg, batches_per_step=2)
-    assert best["val_separation"] > 0 and (tmp_path / "enc.npz").exists()
-    from ionweave.sources.store import describe_checkpoint
-    assert describe_checkpoint(spark, cfg.output_path).first()["epoch"] == best["epoch"]
+    paths = pretrain.write_batches(data, cfg, 2)
+    one, two = (spark.read.parquet(p) for p in paths)
+    assert one.count() == two.count() > 0 and one.first()["learning_rate"] > 0
+    assert set(map(str, one.select("batch", "slot", "label_idx").collect())) != set(map(str, two.select("batch", "slot", "label_idx").collect()))
+    from ionweave.operators.encode import random_parameters
+    from ionweave.sources.store import describe_checkpoint, write_parameters
+    weights = random_parameters(cfg)
+    assert set(pretrain.validate(data.validation, cfg, weights)) == {"intra", "inter", "separation"}
+    best = {"epoch": 2, "train_loss": 0.5, "loss": 0.5, "val_intra_sim": 0.9, "val_inter_sim": 0.1, "val_separation": 0.8}
+    from dataclasses import asdict
+    weights_path = str(tmp_path / "enc.npz")
+    write_parameters(weights_path, weights, cfg=asdict(cfg), **best)
+    assert describe_checkpoint(spark, weights_path).first()["epoch"] == 2
     p = pretrain.Patience(2)
     assert [p.better(i, v) for i, v in enumerate([1.0, 0.5, 2.0, 1.0, 1.0])] == [True, False, True, False, False] and p.exhausted
     from ionweave.plans.cluster import encode
     from ionweave.config import ClusterConfig as CC
-    assert encode(spectra, CC(embed_dim=16, ff_dim=16, n_heads=2, n_layers=1, encoder_weights=cfg.output_path)).count() == 40
+    assert encode(spectra, CC(embed_dim=16, ff_dim=16, n_heads=2, n_layers=1, encoder_weights=weights_path)).count() == 40

@@ -154,10 +154,10 @@ def test_presets():
 def test_command_line_settings():
     from ionweave import __main__ as cli
     args = cli.parser().parse_args(["cluster", "--mgf", "a,b", "--precursor-tol-ppm", "0", "--max-spectra", "7", "--quiet",
-                                    "--no-transformer", "--set", "use_hd_prefilter=true", "--set", "hd_max_bits=4"])
+                                    "--no-transformer", "--set", "use_hd_prefilter=true", "--set", "hd_n_repeats=4"])
     cfg = cli.cluster_settings(args)
     assert (cfg.mgf_path, cfg.precursor_tol_ppm, cfg.max_spectra, cfg.verbose) == ("a,b", 0.0, 7, False)
-    assert cfg.dynamic_merge_enabled and not cfg.use_transformer and cfg.use_hd_prefilter and cfg.hd_max_bits == 4
+    assert cfg.dynamic_merge_enabled and not cfg.use_transformer and cfg.use_hd_prefilter and cfg.hd_n_repeats == 4
     args = cli.parser().parse_args(["cluster", "--no-transformer", "--encoder-weights", "w.npz"])
     assert cli.cluster_settings(args).use_transformer
     with pytest.raises(SystemExit):

@@ -87,7 +87,7 @@ def test_hash_graph_finds_what_the_plain_one_finds(spark):
     x = np.repeat(base, 4, axis=0) + rng.normal(size=(120, 16)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = frame(spark, x).withColumn("precursor_mz", F.lit(600.0)).withColumn("precursor_charge", F.lit(2))
-    cfg = ClusterConfig(edge_threshold=0.9, hd_prefilter_min_n=10, hd_target_bucket_size=30)
+    cfg = ClusterConfig(edge_threshold=0.9, hd_target_bucket_size=30)
     plain = {tuple(r) for r in S.similarity_graph(df, cfg, 120).select("i", "j").collect()}
     coded = {tuple(r) for r in S.similarity_graph(df, cfg.replace(use_hd_prefilter=True), 120).select("i", "j").collect()}
     assert coded <= plain and len(coded) > 0.9 * len(plain)
@@ -132,7 +132,7 @@ def test_vector_expressions(spark):
         V.cosine_floor(F.lit(1.3)).alias("floor")).first()
     assert (row["d"], row["n"], row["u"], row["zero"], row["code"], row["floor"]) == (25.0, 5.0, [0.6, 0.8], [0.0, 0.0], 9, 0.0)
     assert abs(V.repeat_recall(0.55, 6) - 0.992) < 1e-3 and abs(V.angle_recall(0.0, 6) - 1.0) < 1e-12
-    assert [V.hash_bit_count(n) for n in (10, 506_000, 10 ** 12)] == [1, 8, 20]
+    assert [V.hash_bit_count(n) for n in (10, 506_000, 10 ** 12)] == [1, 8, 29]
     assert abs(V.euclidean_radius(0.5) - 1.0) < 1e-12
 
 
@@ -142,7 +142,7 @@ def test_bin_codes_equal_dense_planes(spark):
     got = {r["idx"]: list(r["codes"]) for r in S.bin_hash_codes(
         spark.createDataFrame(rows, "idx long, bin int, v double").repartition(4), 5, 2, seed=42).collect()}
     for rep in range(2):
-        planes = np.random.default_rng(42 + rep).standard_normal((72_500, 5)).astype(np.float32).astype(float)
+        planes = S.hashed_planes(72_500, 5, 42 + rep)
         for i in range(20):
             mine = [(b, v) for j, b, v in rows if j == i]
             bits = sum(v * planes[b] for b, v in mine) > 0
