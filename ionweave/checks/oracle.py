@@ -543,3 +543,10 @@ ORACLE["bin_lsh_codes"] = _with(
 ORACLE["encode_random_projection"] = _with(
     "fx_spectra", "fx_peaks", SUP_TOP.format(peaks=FLOAT_PEAKS), BINS, PROJECT,
     select="SELECT idx, cast(d AS int) AS pos, round(x, 6) AS value FROM emb WHERE idx IN (SELECT idx FROM fx_peaks)")
+ORACLE["spectral_eigenpairs"] = ORACLE["spectral_eigenpairs_iterated"] = _with(
+    *EDGES, CLOSURE, "deg AS (SELECT i, sum(w) AS d FROM edges GROUP BY i)",
+    """sizes AS (SELECT component, count(*) AS n FROM parts GROUP BY component)""",
+    """squares AS (SELECT p.component, sum(e.w * e.w / (a.d * b.d)) AS s FROM edges e JOIN deg a ON a.i = e.i JOIN deg b ON b.i = e.j
+         JOIN parts p ON p.node = e.i GROUP BY p.component)""",
+    select=f"""SELECT component, n, {D('n')} AS trace, round({D('n')} + s, 5) AS square_trace, {D('n')} AS lengths, {D(0)} AS apart
+        FROM sizes JOIN squares USING (component)""")

@@ -23,7 +23,7 @@ from ionweave.operators import similarity as S
 from ionweave.operators.density import density_clusters
 from ionweave.operators.density_tree import bucketed_hdbscan, hdbscan_blocks, vote_components
 from ionweave.operators.encode import encode_projection, encode_tokens, random_parameters, signed_projection
-from ionweave.operators.spectral import spectral_embedding
+from ionweave.operators.spectral import component_eigenpairs, scaled_components, spectral_embedding
 from ionweave.operators.tiles import nearest
 from ionweave.plans.cluster import _complete, component_labels, seeded_labels, stage_two
 from ionweave.sources import psm as PSM
@@ -409,6 +409,35 @@ def spectral_clusters(spark, d):
     return _complete(_vectors(spark, d).select("idx"), density_clusters(z, 0.15, 2, ["component"]).select("idx", "label"))
 
 
+def _eigen_checks(spark, d, dense_nodes):
+    """What the edges determine about all eigenpairs of a component: trace, squared trace, lengths, Rayleigh quotients."""
+    scaled, parts = scaled_components(_edges(spark, d))
+    solved = component_eigenpairs(scaled, parts, 10_000, dense_nodes)
+    values = solved.groupBy("component").agg(F.first("vals").alias("vals"), F.count("*").alias("n"),
+                                             F.sum(F.aggregate("vecs", F.lit(0.0), lambda s, x: s + x * x)).alias("lengths"))
+    ends = solved.select("component", F.col("idx"), F.posexplode("vecs").alias("pair", "v"))
+    quotient = (scaled.join(ends.withColumnsRenamed({"idx": "i", "v": "vi"}), ["component", "i"])
+                .join(ends.withColumnsRenamed({"idx": "j", "v": "vj"}), ["component", "j", "pair"])
+                .groupBy("component", "pair").agg((1.0 - F.sum(F.col("wn") * F.col("vi") * F.col("vj"))).alias("q")))
+    apart = (quotient.join(values.select("component", F.posexplode("vals").alias("pair", "value")), ["component", "pair"])
+             .groupBy("component").agg(F.max(F.abs(F.col("q") - F.col("value"))).alias("apart")))
+    total = lambda f: F.round(F.aggregate("vals", F.lit(0.0), f), 5)
+    return values.join(apart, "component").select(
+        "component", "n", total(lambda s, x: s + x).alias("trace"), total(lambda s, x: s + x * x).alias("square_trace"),
+        F.round("lengths", 5).alias("lengths"), (F.round("apart", 5) + 0.0).alias("apart"))
+
+
+@query
+def spectral_eigenpairs(spark, d):
+    return _eigen_checks(spark, d, 2_000)
+
+
+@query
+def spectral_eigenpairs_iterated(spark, d):
+    """The same by distributed iteration for every component of more than four nodes."""
+    return _eigen_checks(spark, d, 4)
+
+
 @query
 def hdbscan_refine(spark, d):
     v = _vectors(spark, d)

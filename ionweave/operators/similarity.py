@@ -94,7 +94,7 @@ def candidate_pairs(vectors: DataFrame, k: int, coded: bool = False, floor: floa
     if not coded:
         return nearest(vectors.select("idx", "embedding", *carried), k, (), carried, floor, tile_rows)
     # copies share their codes, so they are found once and not again in every repeat
-    rows = bucketed_rows(ranked_copies(vectors.select("idx", "embedding", *carried, "codes"), ["codes"]))
+    rows = bucketed_rows(ranked_copies(vectors.select("idx", "embedding", *carried, "codes"), k + 1, ["codes"]))
     near = nearest_of_copies(rows, k, ("rep", "code"), carried, floor, tile_rows)
     return near.groupBy("i", "j").agg(
         F.max("cos").alias("cos"), *[F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in carried for s in "ij"])

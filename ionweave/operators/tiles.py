@@ -23,6 +23,7 @@ from ionweave.session import checkpoint, small_rows
 TILE_ROWS = 4096
 CHUNK_ROWS = 512
 HOT_BLOCK_LIMIT = 100_000  # rows of block sizes that may be broadcast
+COPY_PARTS = 256  # parts of a set of copies that are ranked apart
 COSINE_DIGITS = 9  # similarities are rounded here so that ties rank the same everywhere
 
 
@@ -124,14 +125,20 @@ def _knn_kernel(block: Sequence[str], carried: Sequence[str], k: int, floor: flo
     return kernel
 
 
-def ranked_copies(vectors: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Adds ``vid`` and the 1-based number ``copy`` of a row among its copies, by id.
+def ranked_copies(vectors: DataFrame, keep: int, within: Sequence[str] = ()) -> DataFrame:
+    """Adds ``vid`` and the 1-based number ``copy`` of a row among the first ``keep`` of its copies, by id.
 
+    Later copies get ``keep + 1``.  They are ranked in parts by a hash of the id first, and only the first ``keep`` of
+    each part meet, so a vector that most rows share (zero vectors) is spread over many tasks.
     The result is read several times (block sizes, tiles, own rows), so it is checkpointed.
     """
-    rows = collapse_copies(vectors, within)
-    order = Window.partitionBy(*within, "vid").orderBy("idx")
-    return checkpoint(rows.withColumn("copy", F.row_number().over(order)))
+    rows = collapse_copies(vectors, within).withColumn("_part", F.pmod(F.xxhash64("idx"), F.lit(COPY_PARTS)))
+    part = Window.partitionBy(*within, "vid", "_part").orderBy("idx")
+    rows = checkpoint(rows.withColumn("_nth", F.row_number().over(part)).drop("_part"))
+    first = rows.filter(F.col("_nth") <= keep).withColumn("copy", F.least(
+        F.row_number().over(Window.partitionBy(*within, "vid").orderBy("idx")), F.lit(keep + 1)))
+    later = rows.filter(F.col("_nth") > keep).withColumn("copy", F.lit(keep + 1))
+    return checkpoint(first.unionByName(later).drop("_nth"))
 
 
 def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequence[str] = (),
@@ -143,8 +150,8 @@ def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequ
     ``floor`` drops neighbours below a similarity, which commutes with the limit.
     """
     if block:
-        return nearest_of_copies(ranked_copies(vectors, block), k, block, carried, floor, tile_rows)
-    rows = ranked_copies(vectors).withColumn("_all", F.lit(0))
+        return nearest_of_copies(ranked_copies(vectors, k + 1, block), k, block, carried, floor, tile_rows)
+    rows = ranked_copies(vectors, k + 1).withColumn("_all", F.lit(0))
     return nearest_of_copies(rows, k, ["_all"], carried, floor, tile_rows).drop("_all")
 
 
