@@ -18,15 +18,12 @@ from ionweave.operators.tiles import COSINE_DIGITS
 
 
 def mean_vectors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Member count and mean vector per key.
-
-    The sums per key and position combine map-side; a key has one row per position after that.
-    """
-    parts = (rows.select(*keys, F.posexplode("embedding").alias("_pos", "_x"))
-             .groupBy(*keys, "_pos").agg(F.count("*").alias("_n"), F.avg(F.col("_x").cast("double")).alias("_x")))
-    return parts.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_x"))), lambda p: p["_x"]).alias("mean"))
+    """Member count and mean vector per key: one sum per dimension, combined map-side, and one row per key."""
+    some = rows.select(F.size("embedding").alias("dim")).first()
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[
+        F.avg(F.col("embedding")[p].cast("double")).alias(f"_m{p}") for p in range(some["dim"] if some else 0)])
+    mean = [c for c in sums.columns if c.startswith("_m")]
+    return sums.select(*keys, "n", F.array(*mean).cast("array<double>").alias("mean"))
 
 
 def centroids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

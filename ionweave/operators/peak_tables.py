@@ -6,10 +6,13 @@ peaks never has to sit in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions import peaks as P
+from ionweave.session import checkpoint
 
 
 def explode_peaks(spectra: DataFrame) -> DataFrame:
@@ -98,36 +101,34 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
 
     ``pairs`` has ``(pair_id, idx_a, idx_b, delta)``.  For every peak of a, a peak of b
     must lie within ``tol`` of it (unshifted), or of it moved by the delta either way
-    (shifted).  The b side is reduced to the lowest and highest peak per cell a little
-    wider than ``tol``, known to the neighbouring cells too: those two decide whether any
-    peak of the cell is in reach, so the band test becomes an equality join that never
-    lists peak pairs.
+    (shifted).  Only spectra of a pair are looked at; their m/z lists (bounded by the
+    spectrum) meet the pairs, and the band test looks the sorted lists up.
     """
-    def cell(col):
-        return F.floor(col / F.lit(tol * 1.001))
-
-    pa = pairs.select("pair_id", F.col("idx_a").alias("idx"), "delta")
-    pb = pairs.select("pair_id", F.col("idx_b").alias("idx"))
-    b_cells = (peaks.join(pb, "idx").groupBy("pair_id", cell(F.col("mz")).alias("cell"))
-               .agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))
-               .withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))))
-    shifts = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0.0).alias("by")),
-                     F.struct(F.lit(1).alias("kind"), F.col("delta").alias("by")),
-                     F.struct(F.lit(2).alias("kind"), (-F.col("delta")).alias("by")))
-    # copies of one m/z inside a spectrum count one by one, so keep their number
-    probes = (peaks.join(pa, "idx").groupBy("pair_id", "delta", "mz").agg(F.count("*").alias("copies"))
-              .withColumn("s", F.explode(shifts))
-              .withColumn("at", F.col("mz") + F.col("s.by"))
-              .withColumn("cell", cell(F.col("at"))))
-    near = (F.abs(F.col("lo") - F.col("at")) <= F.lit(tol)) | (F.abs(F.col("hi") - F.col("at")) <= F.lit(tol))
-    hits = (probes.join(b_cells, ["pair_id", "cell"]).filter(near)
-            .groupBy("pair_id", "mz", "copies")
-            .agg(F.max((F.col("s.kind") == 0).cast("int")).alias("u"),
-                 F.max((F.col("s.kind") > 0).cast("int")).alias("s"))
-            .groupBy("pair_id")
-            .agg(F.sum(F.col("u") * F.col("copies")).alias("unshifted"),
-                 F.sum(F.col("s") * F.col("copies")).alias("shifted")))
-    return (pairs.join(hits, "pair_id", "left")
-            .withColumn("unshifted", F.coalesce("unshifted", F.lit(0).cast("bigint")))
-            .withColumn("shifted", F.coalesce("shifted", F.lit(0).cast("bigint")))
-            .withColumn("confirmed", (F.col("unshifted") >= min_unshifted) & (F.col("shifted") >= min_shifted)))
+    wanted = pairs.select(F.col("idx_a").alias("idx")).union(pairs.select(F.col("idx_b").alias("idx"))).distinct()
+    lists = checkpoint(peaks.join(wanted, "idx", "left_semi").groupBy("idx").agg(F.sort_array(F.collect_list(F.col("mz").cast("double"))).alias("_mz")))
+    rows = (pairs.join(lists.select(F.col("idx").alias("idx_a"), F.col("_mz").alias("_a")), "idx_a", "left")
+            .join(lists.select(F.col("idx").alias("idx_b"), F.col("_mz").alias("_b")), "idx_b", "left"))
+
+    def near(places: np.ndarray, peaks_b: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(peaks_b, places)
+        above, below = peaks_b[np.minimum(at, len(peaks_b) - 1)], peaks_b[np.maximum(at - 1, 0)]
+        return (np.abs(above - places) <= tol) | (np.abs(below - places) <= tol)
+
+    def run(batches):
+        for batch in batches:
+            shared, moved = [], []
+            for a, b, delta in zip(batch.column("_a"), batch.column("_b"), batch.column("delta").to_pylist()):
+                if not a.is_valid or not b.is_valid or delta is None:
+                    shared.append(0)
+                    moved.append(0)
+                    continue
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                shared.append(int(near(a, b).sum()))
+                moved.append(int((near(a + delta, b) | near(a - delta, b)).sum()))
+            kept = [n for n in batch.schema.names if n not in ("_a", "_b")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(shared, pa.int64()), pa.array(moved, pa.int64())],
+                                             names=[*kept, "unshifted", "shifted"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("_a", "_b"))
+    hits = rows.mapInArrow(run, f"{kinds}, unshifted long, shifted long").select(*pairs.columns, "unshifted", "shifted")
+    return hits.withColumn("confirmed", (F.col("unshifted") >= min_unshifted) & (F.col("shifted") >= min_shifted))

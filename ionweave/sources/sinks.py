@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ionweave.config import ClusterConfig
 from ionweave.functions.scoring import cluster_title
 from ionweave.operators.rerank import Reranked, output_order
+from ionweave.session import checkpoint
 
 # Fixed column order of the result tables.
 CLUSTER_COLUMNS = ["cluster_id", "parent_cluster_id", "scan_id", "source_file", "precursor_mz", "precursor_charge",
@@ -101,7 +102,7 @@ def write_noise(labels: DataFrame, spectra: DataFrame, folder: str) -> None:
 
 def write_consensus(result: Reranked, folder: str) -> int:
     """Write the consensus file in parts and return the number of spectra."""
-    blocks = consensus_blocks(result)
+    blocks = checkpoint(consensus_blocks(result))
     blocks.orderBy(*output_order()).select(F.concat("block", F.lit("\n")).alias("value")).write.mode("overwrite").text(
         f"{folder}/consensus_spectra.mgf")
     return blocks.count()
