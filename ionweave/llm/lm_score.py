@@ -24,7 +24,9 @@ from pyspark.taskcontext import TaskContext
 from ionweave.llm.common import stored
 from ionweave.llm.elias_fano import CONTEXT_BITS, Trie
 
-TOKENS_PER_SHARD = 4_000_000
+TOKENS_PER_SHARD = 3_000_000
+#: A task works on documents of about so many tokens at a time; a longer document is taken alone.
+CHUNK_TOKENS = 1_000_000
 HOT_SHARE = 1e-3
 END, BEGIN = b"\n", b"\t"  # no words: they hold a blank
 MU = 4.0
@@ -66,16 +68,30 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.dtype(chr(b[0])), offset=1)
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Ids and tokens of the batch's documents, a chunk at a time."""
+    ids, words, held = [], [], 0
+    for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+        ids.append(doc_id.as_py())
+        words.append(tokens(text.as_py()))
+        held += len(words[-1]) + 1
+        if held >= CHUNK_TOKENS:
+            yield ids, words
+            ids, words, held = [], [], 0
+    if ids:
+        yield ids, words
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(h, n)``: hash and count of every token of the training texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         known = _Hashes()
-        for batch in batches:
+        for ids, words in (chunk for batch in batches for chunk in _chunks(batch)):
             flat: list[int] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, own in zip(ids, words):
                 if is_training(doc_id):
-                    flat.extend(map(known.__getitem__, tokens(text)))
+                    flat.extend(map(known.__getitem__, own))
                     flat.append(known[END])
             h, n = np.unique(np.array(flat, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -89,10 +105,9 @@ def _emit(shards: int, hot: np.ndarray, id_type):
     def run(batches: Iterator[pa.RecordBatch]):
         known, number = _Hashes(), TaskContext.get().partitionId() << 32
         end, begin = known[END], known[BEGIN]
-        for batch in batches:
-            ids, lengths, flat = batch.column("doc_id").to_pylist(), [], []
-            for text in batch.column("text").to_pylist():
-                own = tokens(text)
+        for ids, chunk in (chunk for batch in batches for chunk in _chunks(batch)):
+            lengths, flat = [], []
+            for own in chunk:
                 flat.append(begin)
                 flat.extend(map(known.__getitem__, own))
                 flat.append(end)
@@ -100,7 +115,7 @@ def _emit(shards: int, hot: np.ndarray, id_type):
             size = np.array(lengths, np.int64)
             train = np.array([is_training(d) for d in ids], bool)
             everything = np.array(flat, np.uint64)
-            flat = None
+            del flat, chunk, own
             first = np.zeros(len(everything), bool)
             first[np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)[:len(ids)]] = True
             word, prev = everything[~first], everything[np.flatnonzero(~first) - 1]
@@ -110,6 +125,7 @@ def _emit(shards: int, hot: np.ndarray, id_type):
             shard = (spread % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((doc, context, word, shard))
             word, context, doc, shard = word[order], context[order], doc[order], shard[order]
+            del everything, prev, spread, order, first
             new_word = np.append(True, (word[1:] != word[:-1]) | (shard[1:] != shard[:-1]))
             new_pair = new_word | np.append(True, context[1:] != context[:-1])
             new_post = new_pair | np.append(True, doc[1:] != doc[:-1])
@@ -154,14 +170,20 @@ class _Part:
 
 def build_trie(parts: list[_Part], hot: np.ndarray, hot_counts: np.ndarray, p_scale: float, mu: float):
     """Trie of the training pairs of one shard, and the training count of each of its words."""
-    word = np.concatenate([np.empty(0, np.uint64), *(np.repeat(p.words, p.word_pairs) for p in parts)])
-    context = np.concatenate([np.empty(0, np.uint64), *(p.context for p in parts)])
-    count = np.concatenate([np.empty(0, np.int64), *(p.trained() for p in parts)])
-    seen = count > 0
-    words = np.unique(np.concatenate([word[seen], hot]))  # hot words are known in every shard
-    place = np.searchsorted(words, word[seen])
-    key, inverse = np.unique((place.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context[seen], return_inverse=True)
-    pair_count = np.bincount(inverse, count[seen], len(key)).astype(np.int64)
+    counts = [p.trained() for p in parts]
+    words = np.unique(np.concatenate([hot, *(np.repeat(p.words, p.word_pairs)[n > 0] for p, n in zip(parts, counts))]))
+    keys = [np.empty(0, np.uint64)]  # hot words are known in every shard
+    for p, n in zip(parts, counts):
+        owner = np.searchsorted(words, p.words).astype(np.uint64) << np.uint64(CONTEXT_BITS)
+        keys.append((np.repeat(owner, p.word_pairs) | p.context)[n > 0])
+    key = np.concatenate(keys)
+    del keys
+    order = np.argsort(key)
+    key, count = key[order], np.concatenate([np.empty(0, np.int64), *(n[n > 0] for n in counts)])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[:len(key)]
+    pair_count = np.add.reduceat(count, first) if len(first) else count
+    key = key[first]
+    del order, count, counts, first
     pair_word = (key >> np.uint64(CONTEXT_BITS)).astype(np.int64)
     word_count = np.bincount(pair_word, pair_count, len(words)).astype(np.int64)
     if len(hot):
