@@ -20,47 +20,59 @@ from ionweave.llm.license_scan import fold
 
 GRAM = 3
 #: Items whose grams travel with the tasks at once; more items are taken in blocks of this size.
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 5_000
 MATCH, MISS, GAP = 2, -1, -1
 
 
 class Grams:
-    """Word numbers and gram numbers of a set of test items."""
+    """Word numbers of a set of test items, and their word n-grams, matched in folded text by Aho-Corasick."""
 
     def __init__(self, items: dict[int, list[bytes]]):
         self.items = {k: w for k, w in items.items() if len(w) >= GRAM}
         self.words = {w: i for i, w in enumerate(sorted({w for ws in self.items.values() for w in ws}))}
-        self.base = len(self.words) + 1
-        self.of = {k: self.codes(w) for k, w in self.items.items()}
+        spelled = {k: [_text(w[i:i + GRAM]) for i in range(len(w) - GRAM + 1)] for k, w in self.items.items()}
+        self.names = sorted({g for gs in spelled.values() for g in gs})
+        number = {g: i for i, g in enumerate(self.names)}
+        self.of = {k: [number[g] for g in gs] for k, gs in spelled.items()}
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """One number per gram position; -1 where a word is in no item."""
-        ids = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        if len(ids) < GRAM:
-            return np.empty(0, np.int64)
-        code, known = np.zeros(len(ids) - GRAM + 1, np.int64), np.ones(len(ids) - GRAM + 1, bool)
-        for k in range(GRAM):
-            part = ids[k:len(ids) - GRAM + 1 + k]
-            code, known = code * self.base + part, known & (part >= 0)
-        return np.where(known, code, -1)
+    def matcher(self, wanted) -> "ahocorasick.Automaton":  # noqa: F821
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for g in wanted:
+            automaton.add_word(self.names[g], g)
+        automaton.make_automaton()
+        return automaton
 
 
 def _words(text: str | None) -> list[bytes]:
     return fold(text).split()
 
 
+def _text(words: list[bytes]) -> str:
+    """Words between single spaces, with a space at either end."""
+    return (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
+
+
+def _found(text: str, matcher) -> list[tuple[int, int]]:
+    """``(word, gram)`` for every gram in the text; grams end in the order of their words."""
+    out, word, last = [], 0, 0
+    for end, gram in matcher.iter(text) if len(matcher) else ():
+        word += text.count(" ", last, end)
+        last = end
+        out.append((word - GRAM, gram))
+    return out
+
+
 def gram_documents(docs: DataFrame, grams: Grams) -> tuple[dict[int, int], int]:
     """In how many rows each gram of the items occurs, and the number of rows; one sum per gram comes back."""
-    known = np.unique(np.concatenate([np.empty(0, np.int64), *grams.of.values()]))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        matcher = grams.matcher(range(len(grams.names)))
         for batch in batches:
             seen = Counter({-1: batch.num_rows})
             for text in batch.column("text").to_pylist():
-                code = grams.codes(_words(text))
-                code = code[code >= 0]
-                if len(code):
-                    seen.update(np.unique(code[np.isin(code, known)]).tolist())
+                seen.update({g for _, g in _found(_text(_words(text)), matcher)})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
 
     rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -77,29 +89,26 @@ def rare_seeds(grams: Grams, documents: dict[int, int], rows: int, share: float
     seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
     rare = max(10, int(share * rows))
     for item, codes in grams.of.items():
-        count = [documents.get(c, 0) for c in codes.tolist()]
+        count = [documents.get(c, 0) for c in codes]
         kept = {k for k, n in enumerate(count) if n <= rare}
         for at in range(max(1, len(count) - window + 1)):
             kept.add(min(range(at, min(at + window, len(count))), key=lambda k: (count[k], k)))
         for offset in sorted(kept):
-            seeds[int(codes[offset])].append((item, offset))
+            seeds[codes[offset]].append((item, offset))
     return dict(seeds)
 
 
 def passages(docs: DataFrame, grams: Grams, seeds: dict[int, list[tuple[int, int]]], slack: float = 0.25) -> DataFrame:
     """``(doc_id, item_id, start, passage)``: words around the seeds of one item that can belong to one copy of it."""
-    known = np.array(sorted(seeds), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        matcher = grams.matcher(seeds)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = _words(text)
-                code = grams.codes(words)
-                hits = np.flatnonzero(np.isin(code, known) & (code >= 0))
-                begun = defaultdict(list)
-                for at in hits.tolist():
-                    for item, offset in seeds[int(code[at])]:
+                words, begun = _words(text), defaultdict(list)
+                for at, gram in _found(_text(words), matcher):
+                    for item, offset in seeds[gram]:
                         begun[item].append(at - offset)
                 for item, starts in begun.items():
                     starts.sort()
@@ -172,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
     * Missing and empty texts match nothing; so do items of fewer than three words, and missing items.
     * Repeated rows give one result per id; items of one id are taken as the longest of them.  Empty tables give an
       empty table.  Further columns are not read.
-    * Items are taken in blocks of at most about 20,000, so what travels with the tasks is bounded; every block is
+    * Items are taken in blocks of at most about 5,000, so what travels with the tasks is bounded; every block is
       compared with all documents.  Passages hold an item's length, never a whole text, and are aligned where they
       are cut; a passage in a third of all documents is spread as they are.
     """
