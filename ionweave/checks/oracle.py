@@ -550,3 +550,22 @@ ORACLE["spectral_eigenpairs"] = ORACLE["spectral_eigenpairs_iterated"] = _with(
          JOIN parts p ON p.node = e.i GROUP BY p.component)""",
     select=f"""SELECT component, n, {D('n')} AS trace, round({D('n')} + s, 5) AS square_trace, {D('n')} AS lengths, {D(0)} AS apart
         FROM sizes JOIN squares USING (component)""")
+
+
+def _draw(salt: int) -> str:
+    return f"(({_mix('idx', 'i', '42', str(salt))} + 0.5::double) / 2147483647.0::double)"
+
+
+def _normal(salt: int) -> str:
+    return f"(sqrt(-2.0::double * ln({_draw(salt)})) * cos(2.0::double * pi() * {_draw(salt + 1)}))"
+
+
+ORACLE["augment_peaks"] = _with(
+    "fx_peaks", """placed AS (SELECT idx, cast(cast(mz AS float) AS double) AS mz, cast(cast(intensity AS float) AS double) AS intensity,
+        row_number() OVER (PARTITION BY idx ORDER BY mz, intensity) - 1 AS i FROM fx_peaks)""",
+    f"drawn AS (SELECT *, {_draw(1)} > 0.15::double AS stays FROM placed)",
+    "judged AS (SELECT *, bool_or(stays) OVER (PARTITION BY idx) AS kept_any FROM drawn)",
+    "kept AS (SELECT *, max(intensity) OVER (PARTITION BY idx) AS top FROM judged WHERE stays OR NOT kept_any)",
+    select=f"""SELECT idx, cast(row_number() OVER (PARTITION BY idx ORDER BY i) - 1 AS int) AS pos,
+        round(least(greatest(mz + {_normal(4)} * 0.01::double * 1450.0::double, 50.0::double), 1500.0::double), 4) AS mz,
+        round(greatest(intensity + {_normal(2)} * 0.08::double * top, 0.0::double), 4) AS intensity FROM kept""")

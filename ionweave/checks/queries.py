@@ -391,7 +391,8 @@ def transformer_encode(spark, d):
 def augment_peaks(spark, d):
     from ionweave.functions.peaks import zipped
     rows = _spectrum_rows(spark, d).withColumn("a", L.augmented(zipped(), F.col("idx")))
-    return rows.select("idx", F.size("mz").alias("n_before"), F.size("a").alias("n_after"))
+    return rows.select("idx", F.posexplode("a").alias("pos", "p")).select(
+        "idx", "pos", F.round("p.mz", 4).alias("mz"), F.round("p.intensity", 4).alias("intensity"))
 
 
 @query

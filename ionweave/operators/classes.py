@@ -68,7 +68,7 @@ def split_psms(psm: DataFrame, split: DataFrame):
     return train, psm.join(split.filter("is_val"), "peptide", "left_semi")
 
 
-def _mix(*parts):
+def mixed(*parts):
     """Seeded non-negative integer from integer columns, by plain arithmetic.
 
     Products stay below 2^63, so every SQL engine gets the same numbers.
@@ -89,7 +89,7 @@ def pk_batches(samples: DataFrame, classes_per_batch: int = 64, samples_per_clas
     of a class have one hash order per epoch; round r takes the r-th K of them, from the start again at the end, so
     samples differ unless the class has fewer than K.
     """
-    keyed = samples.select("label_idx", "sample").withColumn("_key", _mix(F.lit(seed), F.lit(epoch), F.col("sample")))
+    keyed = samples.select("label_idx", "sample").withColumn("_key", mixed(F.lit(seed), F.lit(epoch), F.col("sample")))
     placed = ordered_index(keyed, "label_idx", "_key", "sample", name="at")
     classes = checkpoint(placed.groupBy("label_idx").agg(F.min("at").alias("first"), F.count("*").alias("size")))
     total = classes.agg(F.count("*").alias("classes"), F.sum("size").alias("n")).first()
@@ -97,7 +97,7 @@ def pk_batches(samples: DataFrame, classes_per_batch: int = 64, samples_per_clas
     p = max(1, min(classes_per_batch, n_classes))
     n_batches, per_round = max(1, n // (p * k)), max(1, n_classes // p)
     rounds = classes.withColumn("round", F.explode(F.expr(f"sequence(0L, {(n_batches - 1) // per_round}L)")))
-    rounds = rounds.withColumn("_key", _mix(F.lit(seed + 1), F.lit(epoch), F.col("round"), F.col("label_idx")))
+    rounds = rounds.withColumn("_key", mixed(F.lit(seed + 1), F.lit(epoch), F.col("round"), F.col("label_idx")))
     slots = ordered_index(rounds, "round", "_key", "label_idx", name="_place").withColumn(
         "_place", F.col("_place") - F.col("round") * n_classes).filter(F.col("_place") < per_round * p)
     slots = slots.select((F.col("round") * per_round + F.floor(F.col("_place") / p)).alias("batch"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.functions import peaks as P
+from ionweave.operators.classes import mixed
 from ionweave.operators.tiles import matrix
 
 
@@ -75,8 +76,8 @@ def epoch_means(losses: DataFrame) -> DataFrame:
 
 
 def _uniform(seed: int, salt: int, *keys: Column) -> Column:
-    """Seeded value in (0, 1) that does not depend on partitioning."""
-    return (F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    """Seeded value in (0, 1) by integer arithmetic, the same in every engine and partitioning."""
+    return (mixed(*keys, F.lit(seed), F.lit(salt)) + 0.5) / F.lit(2147483647.0)
 
 
 def _normal(seed: int, salt: int, *keys: Column) -> Column:
