@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import BLANKS, ascii_lower, stored
+from ionweave.llm.common import BLANKS, ascii_lower, spread_join, stored
 
 
 def _lines(text):
@@ -30,9 +30,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     * An empty table stays empty.  Further columns are kept; ``n_lines`` and ``n_dropped`` are replaced.
     * Keys are compared by two 64-bit hashes together.
 
-    A key in a third of all documents is one row per document here, pre-aggregated for the
-    count; its side of the join back has no later use of the partitioning, so adaptive
-    execution splits it.
+    A key in a third of all documents is pre-aggregated for the count, and joined back where
+    its rows are.
     """
     docs = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -40,9 +39,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     keyed = lines.withColumn("_key", F.btrim("_line", F.lit(BLANKS))).filter(F.length("_key") >= min_chars)
     keyed = stored(keyed.select("doc_id", "_row", "_pos", F.xxhash64("_key").alias("_a"),
                                 F.xxhash64(F.lit(1), "_key").alias("_b")), "line-keys")
-    shared = (keyed.select("_a", "_b", "doc_id").distinct().groupBy("_a", "_b")
-              .agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper")).filter(F.col("_n") >= min_docs))
-    gone = (keyed.join(shared, ["_a", "_b"]).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
+    shared = (keyed.groupBy("_a", "_b", "doc_id").agg(F.count("*").alias("_n")).groupBy("_a", "_b")
+              .agg(F.count("*").alias("_docs"), F.sum("_n").alias("_rows"), F.max("doc_id").alias("_keeper")).filter(F.col("_docs") >= min_docs))
+    shared = stored(shared, "shared-lines")
+    gone = (spread_join(keyed, shared, ["_a", "_b"], "_rows", keyed.count()).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
             .groupBy("doc_id", "_row").agg(F.collect_set("_pos").alias("_gone")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_of"), "_gone")
     rows = docs.withColumn("text", text).withColumn("_row", F.xxhash64("text"))
