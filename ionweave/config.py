@@ -163,11 +163,15 @@ class PretrainConfig:
         return cls(lr=1e-4, warmup_epochs=3).replace(**changes)
 
 
-def preprocessing_mismatches(cluster: ClusterConfig, pretrain: PretrainConfig) -> list[str]:
+def preprocessing_mismatches(cluster: ClusterConfig, pretrain) -> list[str]:
     """Names of preprocessing settings that differ between training and clustering.
 
-    A non-empty list means the encoder would see other peaks than it was trained on.
+    ``pretrain`` is a :class:`PretrainConfig` or a dictionary of settings.  A non-empty list means the encoder would see
+    other peaks than it was trained on.
     """
+    if isinstance(pretrain, dict):
+        known = {f.name for f in dataclasses.fields(PretrainConfig)}
+        pretrain = PretrainConfig(**{k: v for k, v in pretrain.items() if k in known})
     shared = ("mz_min", "mz_max", "top_k_peaks", "remove_precursor_peaks",
               "precursor_removal_tol_da", "embed_dim", "n_heads", "n_layers", "ff_dim")
     return [name for name in shared if getattr(cluster, name) != getattr(pretrain, name)]

@@ -19,15 +19,21 @@ def separation(rows: DataFrame) -> DataFrame:
     (|sum|^2 - sum of |x|^2) / 2, so per-class sums replace the pairs.  Inside is the mean
     over classes with at least two rows, between the mean over all pairs of two classes.
     """
-    sums = (rows.select("label", F.posexplode("embedding").alias("pos", "x"))
-            .withColumn("x", F.col("x").cast("double")).groupBy("label", "pos")
-            .agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("sq")))
-    per_class = (sums.groupBy("label").agg(F.max("n").alias("n"), (F.sum(F.col("s") * F.col("s")) - F.sum("sq")).alias("inside"))
-                 .withColumn("pairs", F.col("n") * (F.col("n") - 1)))
+    some = rows.select(F.size("embedding").alias("dim")).first()
+    places = [f"_s{p}" for p in range(some["dim"] if some else 0)]
+    squares = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
+    sums = rows.withColumn("_sq", squares).groupBy("label").agg(
+        F.count("*").cast("double").alias("n"), F.sum("_sq").alias("sq"),
+        *[F.sum(F.col("embedding")[p].cast("double")).alias(name) for p, name in enumerate(places)])
+
+    def length(names):
+        return F.aggregate(F.array(*names).cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
+
+    per_class = sums.withColumn("inside", length(places) - F.col("sq")).withColumn("pairs", F.col("n") * (F.col("n") - 1))
     inside = per_class.agg(F.coalesce(F.avg(F.when(F.col("n") >= 2, F.col("inside") / F.col("pairs"))), F.lit(0.0)).alias("intra"),
                            F.sum("inside").alias("in_sum"), F.sum("pairs").alias("in_pairs"), F.sum("n").alias("total"))
-    whole = (sums.groupBy("pos").agg(F.sum("s").alias("s"), F.sum("sq").alias("sq"))
-             .agg((F.sum(F.col("s") * F.col("s")) - F.sum("sq")).alias("all_sum")))
+    whole = sums.agg(F.sum("sq").alias("sq"), *[F.sum(name).alias(name) for name in places]).select(
+        (length(places) - F.col("sq")).alias("all_sum"))
     pairs = F.col("total") * (F.col("total") - 1) - F.col("in_pairs")
     one = F.lit(1)  # both sides have a single row
     out = inside.withColumn("_k", one).join(whole.withColumn("_k", one), "_k").select(

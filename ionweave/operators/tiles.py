@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.operators.graph import smallest_labels
 from ionweave.session import checkpoint, small_rows
 
 TILE_ROWS = 4096
@@ -215,26 +216,6 @@ def _degree_kernel(block: Sequence[str], limit: float, cosine: bool):
     return kernel
 
 
-def _forest(rows: int, links) -> np.ndarray:
-    """Root per row after joining the given (source, targets) links."""
-    parent = np.arange(rows)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for source, targets in links:
-        a = root(source)
-        for other in np.unique(parent[targets]):
-            b = root(other)
-            if a != b:
-                a, b = min(a, b), max(a, b)
-                parent[b] = a
-    return np.array([root(x) for x in range(rows)], dtype=np.int64)
-
-
 def _forest_kernel(limit: float, cosine: bool):
     """Per tile pair: a spanning forest of the in-reach pairs with a core end."""
 
@@ -243,16 +224,15 @@ def _forest_kernel(limit: float, cosine: bool):
         vec, vid = matrix(table.column("embedding")), table.column("vid").to_numpy()
         core = table.column("core").to_numpy(zero_copy_only=False).astype(bool)
 
-        def links():
-            for at in range(0, len(left), CHUNK_ROWS):
-                part = left[at:at + CHUNK_ROWS]
-                near = _within(vec[part], vec[right], limit, cosine)
-                near &= core[part][:, None] | core[right][None, :]
-                for row, mask in zip(part, near):
-                    yield row, right[mask]
-
-        roots = _forest(table.num_rows, ((s, t) for s, t in links() if len(t)))
-        linked = roots != np.arange(len(roots))
+        rows = np.arange(table.num_rows)
+        roots = rows
+        for at in range(0, len(left), CHUNK_ROWS):
+            part = left[at:at + CHUNK_ROWS]
+            near = _within(vec[part], vec[right], limit, cosine)
+            near &= core[part][:, None] | core[right][None, :]
+            a, b = np.nonzero(near)
+            roots = smallest_labels(table.num_rows, np.concatenate([rows, part[a]]), np.concatenate([roots, right[b]]))
+        linked = roots != rows
         return pa.table({"src": vid[linked], "dst": vid[roots[linked]]})
 
     return kernel

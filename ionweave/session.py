@@ -103,10 +103,10 @@ def ordered_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
 def small_rows(df: DataFrame, max_rows: int):
     """``(count, local)``: the rows as a local, size-checked DataFrame.
 
-    ``local`` is None when there are none or more than ``max_rows``; only a count comes
-    back in those cases.
+    ``local`` is None when there are none or more than ``max_rows``; the count is then 0 or
+    ``max_rows + 1``, and the rows that came are dropped.
     """
-    n = df.count()
-    if n == 0 or n > max_rows:
-        return n, None
-    return n, df.sparkSession.createDataFrame(df.collect(), df.schema)
+    rows = df.limit(max_rows + 1).collect()
+    if not rows or len(rows) > max_rows:
+        return len(rows), None
+    return len(rows), df.sparkSession.createDataFrame(rows, df.schema)

@@ -11,6 +11,7 @@ from ionweave.config import ClusterConfig
 from ionweave.functions.scoring import cluster_title
 from ionweave.operators.rerank import Reranked, output_order
 from ionweave.session import checkpoint
+from ionweave.sources.store import write_bytes
 
 # Fixed column order of the result tables.
 CLUSTER_COLUMNS = ["cluster_id", "parent_cluster_id", "scan_id", "source_file", "precursor_mz", "precursor_charge",
@@ -132,13 +133,7 @@ def summary_text(row, elapsed: float, cfg: ClusterConfig) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small driver-side text file to any file system Spark knows."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
+    write_bytes(spark, path, text.encode("utf-8"))
 
 
 def write_summary(spark: SparkSession, summary: DataFrame, folder: str, elapsed: float, cfg: ClusterConfig) -> str:

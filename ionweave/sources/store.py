@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 from dataclasses import asdict
 
@@ -16,7 +17,7 @@ def fingerprint(spectra: DataFrame, cfg, stage: str) -> str:
     row = spectra.agg(F.count("*").alias("n"),
                       F.bit_xor(F.xxhash64(*[c for c in spectra.columns])).alias("x"),
                       F.sum(F.xxhash64(*[c for c in spectra.columns]).cast("decimal(38,0)")).alias("s")).first()
-    settings = {k: v for k, v in asdict(cfg).items() if k not in ("output_dir", "resume", "verbose", "n_jobs", "device")}
+    settings = {k: v for k, v in asdict(cfg).items() if k not in ("output_dir", "resume", "verbose")}
     text = json.dumps([stage, str(row["n"]), str(row["x"]), str(row["s"]), settings], default=str, sort_keys=True)
     return hashlib.sha256(text.encode()).hexdigest()[:20]
 
@@ -30,24 +31,37 @@ def cached(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small driver-side file to any file system Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_parameters(path: str, parameters: dict, **metadata) -> None:
-    """Save encoder parameters with their metadata in one file (a few megabytes)."""
+    """Save encoder parameters with their metadata in one file (a few megabytes), where Spark can read it."""
     arrays = {f"state/{name}": np.asarray(value) for name, value in parameters.items()}
-    with open(path, "wb") as out:
-        np.savez(out, metadata=np.array(json.dumps(metadata, default=str)), **arrays)
+    out = io.BytesIO()
+    np.savez(out, metadata=np.array(json.dumps(metadata, default=str)), **arrays)
+    write_bytes(SparkSession.builder.getOrCreate(), path, out.getvalue())
 
 
 def _load(path: str) -> tuple[dict, dict]:
+    spark = SparkSession.builder.getOrCreate()
+    data = io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first()["content"])
     if path.endswith((".pt", ".pth")):
         import torch  # optional: only for checkpoints of that kind
 
-        raw = torch.load(path, map_location="cpu", weights_only=False)
+        raw = torch.load(data, map_location="cpu", weights_only=True)
         state = raw.get("model_state_dict", raw)
         meta = {k: v for k, v in raw.items() if k != "model_state_dict"} if "model_state_dict" in raw else {}
         return {k: v.numpy() for k, v in state.items()}, meta
-    with np.load(path, allow_pickle=False) as data:
-        state = {n[len("state/"):]: data[n] for n in data.files if n.startswith("state/")}
-        meta = json.loads(str(data["metadata"])) if "metadata" in data.files else {}
+    with np.load(data, allow_pickle=False) as arrays:
+        state = {n[len("state/"):]: arrays[n] for n in arrays.files if n.startswith("state/")}
+        meta = json.loads(str(arrays["metadata"])) if "metadata" in arrays.files else {}
     return state, meta
 
 
@@ -55,6 +69,11 @@ def read_parameters(path: str) -> dict[str, np.ndarray]:
     return _load(path)[0]
 
 
+def training_settings(path: str) -> dict:
+    """Settings an encoder was trained with, as far as its file names them."""
+    return _load(path)[1].get("cfg") or {}
+
+
 def describe_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Metadata of a parameter file as one row."""
     state, meta = _load(path)
