@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import stored
+from ionweave.llm.common import spread_join, stored
 
 BLOCK_CHARS = 4096
 
@@ -25,25 +25,25 @@ def _named(distinct: DataFrame, *order: str, name: str) -> DataFrame:
 def _blocks(rows: DataFrame, block_chars: int, block_hash) -> DataFrame:
     cut = F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     cut = F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(cut)
-    return (rows.select("_id", "_sha", F.size(cut).alias("n"), F.posexplode(cut).alias("pos", "block"))
+    return (rows.select("_id", "_sha", "_chars", F.size(cut).alias("n"), F.posexplode(cut).alias("pos", "block"))
             .withColumn("h", block_hash(F.col("block"))))
 
 
-def block_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS, block_hash=F.xxhash64) -> DataFrame:
-    """``(_id, _sha, level, name)`` for rows ``(_id, _sha, _norm)``; equal ``(level, name)`` means equal ``_norm``.
+def block_identities(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """``(_id, _sha, level, name)``; equal ``(level, name)`` means equal texts.
 
-    Blocks are sorted by a 64-bit hash, and by their text where blocks differ but hash alike,
-    so texts cross the network once, pre-aggregated, to find the distinct blocks.
+    ``blocks`` has ``(_id, _sha, n, pos, block, h)``, and ``places`` the same without the texts, as a table.
+    Blocks are sorted by a 64-bit hash, and by their text where blocks differ but hash alike, so texts cross the
+    network once, pre-aggregated, to find the distinct blocks.
     """
-    blocks = _blocks(rows, block_chars, block_hash)
-    texts = blocks.select("h", "block").distinct()
-    hashes = stored(texts.groupBy("h").agg(F.count("*").alias("k")), "block-hashes")
-    simple = _named(hashes.filter("k = 1").select("h"), "h", name="block-names")
-    slim = blocks.select("_id", "_sha", "n", "pos", "h")
-    state = slim.join(simple, "h").select("_id", "_sha", "n", "pos", "name")
+    texts = blocks.groupBy("h", "block").agg(F.count("*").alias("rows"))
+    hashes = stored(texts.groupBy("h").agg(F.count("*").alias("k"), F.sum("rows").alias("rows")), "block-hashes")
+    simple = _named(hashes.filter("k = 1").select("h", "rows"), "h", name="block-names")
+    slim = places.select("_id", "_sha", "n", "pos", "h")
+    state = spread_join(slim, simple, ["h"], "rows", places.count()).select("_id", "_sha", "n", "pos", "name")
     clashes = hashes.filter("k > 1").select("h")
     if not clashes.isEmpty():  # different blocks with one hash: names by text, below all others
-        told = _named(texts.join(clashes, "h"), "h", "block", name="block-clashes")
+        told = _named(texts.join(clashes, "h").select("h", "block"), "h", "block", name="block-clashes")
         told = told.withColumn("name", -1 - F.col("name"))
         state = state.unionByName(blocks.join(told, ["h", "block"]).select("_id", "_sha", "n", "pos", "name"))
     state, level, done = stored(state.withColumn("level", F.lit(0)), "names-0"), 0, []
@@ -56,12 +56,12 @@ def block_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS, block_hash
         left = F.max(F.when(F.col("pos") % 2 == 0, F.col("name")))
         right = F.max(F.when(F.col("pos") % 2 == 1, F.col("name")))
         pairs = (rest.groupBy("_id", "_sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
-                 .agg(left.alias("a"), right.alias("b"), F.count("*").alias("parts"))
-                 .withColumn("b", F.when(F.col("b").isNull(), F.col("a")).otherwise(F.col("b")))
-                 .withColumn("two", (F.col("parts") > 1)).drop("parts"))
+                 .agg(left.alias("a"), right.alias("b"))
+                 .withColumn("two", F.col("b").isNotNull()).withColumn("b", F.coalesce("b", "a")))
         pairs = stored(pairs, f"pairs-{level}")
-        names = _named(pairs.select("a", "b", "two").distinct(), "a", "b", "two", name=f"pair-names-{level}")
-        state = stored(pairs.join(names, ["a", "b", "two"])
+        distinct = pairs.groupBy("a", "b", "two").agg(F.count("*").alias("rows"))
+        names = _named(distinct, "a", "b", "two", name=f"pair-names-{level}")
+        state = stored(spread_join(pairs, names, ["a", "b", "two"], "rows", pairs.count())
                        .select("_id", "_sha", "n", "pos", "name", F.lit(level).alias("level")), f"names-{level}")
     out = done[0]
     for more in done[1:]:
@@ -80,23 +80,22 @@ def duplicate_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash
       Rows with the same id and other texts are documents of their own.  A missing id comes after all others.
     * An empty table gives an empty table; further columns are not read.
 
-    Every shuffle that follows a hot text is a pre-aggregated count or a join whose large side adaptive
-    execution can split.
+    Hot blocks, pairs and groups are counted with partial sums, and joined back where their rows are.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     norm: Column = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
     base = docs.select(F.col("doc_id").alias("_id"), F.length(text).alias("_chars"), norm.alias("_norm"))
     base = base.withColumn("_sha", F.sha2(F.col("_norm"), 256))
-    names = block_identities(base.select("_id", "_sha", "_norm"), block_chars, block_hash)
-    # The naming knows a document by its id and digest; documents of one id and one digest share their identity.
-    docs_of = base.groupBy("_id", "_sha", "_chars").agg(F.count("*").alias("_copies"))
-    named = names.dropDuplicates(["_id", "_sha"])
-    rows = docs_of.join(named.withColumnsRenamed({"_id": "_nid", "_sha": "_nsha"}),
-                        F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_sha") == F.col("_nsha")))
+    # A document is known by its id and digest here; documents of one id and one digest share their identity.
+    blocks = _blocks(base, block_chars, block_hash)
+    places = stored(blocks.drop("block"), "block-places")
+    named = block_identities(blocks, places).dropDuplicates(["_id", "_sha"]).withColumnsRenamed({"_id": "_nid", "_sha": "_nsha"})
+    docs_of = places.filter("pos = 0").groupBy("_id", "_sha", "_chars").agg(F.count("*").alias("_copies"))
+    rows = docs_of.join(named, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_sha") == F.col("_nsha")))
     rows = stored(rows.select("_id", "_sha", "_chars", "_copies", "level", "name"), "identities")
     best = F.min(F.struct((-F.col("_chars")).alias("less"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
-    groups = rows.groupBy("level", "name").agg(F.sum("_copies").alias("group_size"), best.alias("best"))
-    return rows.join(groups, ["level", "name"]).select(
+    groups = rows.groupBy("level", "name").agg(F.sum("_copies").alias("group_size"), F.count("*").alias("_rows"), best.alias("best"))
+    return spread_join(rows, stored(groups, "identity-groups"), ["level", "name"], "_rows", rows.count()).select(
         F.col("_id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
         (F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_chars") == -F.col("best.less"))).alias("kept"),
         F.col("_sha").alias("text_sha256"))

@@ -7,14 +7,14 @@ import zlib
 
 import brute
 import pytest
-from conftest import ODD_TEXTS
+from brute import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from ionweave.llm import decontaminate, exact_dedup, line_dedup, mixing, token_counts, toxicity
 from ionweave.llm.common import documents
 
 SF = "/root/testdata/sf0.01"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, score string, n_lines string, _key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, score string, n_lines string, _gone string"
 
 
 def frame(spark, rows):
@@ -126,7 +126,7 @@ def dedup_want(rows):
 def test_exact_dedup_odd_rows_and_hash_clashes(spark, odd, block_hash, chars):
     docs, rows = odd
     long = ["ab" * 40, "ab" * 39 + "ba", "a b" * 27, "ab" * 40 + "  ", "abc" * 3000, "abc" * 3000 + "\n"]
-    rows = [(d, t) for d, t, _ in rows] + [(100 + i, t) for i, t in enumerate(long)]
+    rows = [(d, t) for d, t, _ in rows] + [(100 + i, t) for i, t in enumerate(long)] + [(100, long[0]), (102, long[2])]
     docs = frame(spark, [(d, t, "s") for d, t in rows])
     got = sorted((tuple(r) for r in exact_dedup.duplicate_groups(docs, chars, block_hash).collect()), key=repr)
     assert got == dedup_want(rows)

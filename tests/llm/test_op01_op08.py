@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from conftest import ODD_TEXTS
+from brute import ODD_TEXTS
 
 from ionweave.llm import license_scan, secrets
 from ionweave.llm.common import documents

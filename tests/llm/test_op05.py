@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import ODD_TEXTS
+from brute import ODD_TEXTS
 
 from ionweave.llm import simhash
 from ionweave.llm.common import documents

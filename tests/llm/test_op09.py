@@ -7,7 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import ODD_TEXTS
+from brute import ODD_TEXTS
 
 from ionweave.llm import elias_fano, lm_score
 from ionweave.llm.common import documents

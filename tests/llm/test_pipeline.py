@@ -108,3 +108,19 @@ def test_sources_are_mixed(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = sorted((r["doc_id"], r["copy"]) for r in P.run(spark, SF).collect())
     assert got == sorted((r["doc_id"], r["copy"]) for r in stages["source_mixing"][1])
+
+
+def test_stages_keep_further_columns_and_take_odd_rows(spark):
+    from brute import ODD_TEXTS
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines string, copy string, _gone int"
+    rows = [(i if i != 3 else None, t, None, "s" if i % 2 else None, None, "own", "own", "own", i) for i, t in enumerate([*ODD_TEXTS, ODD_TEXTS[-1]])]
+    docs = spark.createDataFrame(rows, names)
+    for frame in (docs, docs.limit(0)):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == docs.columns
+            kept = out.collect()
+            assert all((r["score"], r["n_lines"], r["copy"]) == ("own", "own", "own") for r in kept)
+            assert len(kept) == 0 or frame is docs
+        assert P.STAGES[-1][1](spark, frame, SF).columns == [c for c in docs.columns if c != "copy"] + ["copy"]
