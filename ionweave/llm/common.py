@@ -12,7 +12,6 @@ from ionweave.session import checkpoint_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +23,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that columns an operator adds can't clash with them."""
+    return F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+
+
+def row_fields(names: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row)[name].alias(name) for name in names]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

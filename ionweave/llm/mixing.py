@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import row_fields, stored, whole_row
+
 BITS = 13  # hexadecimal digits of the hash that make a number: 52 bits, exact in a double
 ROWS_TO_BROADCAST = 10_000
 SALTS = 64
@@ -44,7 +46,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     most 200.  A source without characters, and the documents without source unless named ``""``, follow the same
     rule: no characters, rate 0.
     """
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
+    sizes = stored(docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars")), "source-sizes")
     if weights is None:
         weight = F.pow("chars", F.lit(float(temperature)))
     else:
@@ -54,7 +56,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     total = sizes.agg(F.sum("chars").alias("c"), F.sum("weight").alias("w")).first()
     share = F.col("weight") / F.lit(total["w"] or 1.0) * F.lit((total["c"] or 0.0) * epochs) / F.col("chars")
     rate = F.when(F.col("chars") > 0, F.least(F.round(share, 9), F.lit(MAX_RATE))).otherwise(0.0)
-    return sizes.select("source", "chars", rate.alias("rate")).withColumn("cdf", poisson_table(F.col("rate")))
+    return stored(sizes.select("source", "chars", rate.alias("rate")).withColumn("cdf", poisson_table(F.col("rate"))), "source-rates")
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
@@ -69,7 +71,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     third of all rows is spread.  The one shuffle of the texts deals rows out by a hash of id and copy, and sorts
     by it: every partition is a random part in random order.
     """
-    docs = docs.drop("copy")
+    names = [name for name in docs.columns if name != "copy"]
+    docs = docs.select("doc_id", "source", whole_row(docs.select(names)).alias("row"))
     table = rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
     same = docs["source"].eqNullSafe(table["_source"])
     if table.limit(ROWS_TO_BROADCAST + 1).count() <= ROWS_TO_BROADCAST:
@@ -82,4 +85,4 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(1), F.col("_n")))
     rows = rows.withColumn("_n", count).filter("_n > 0").withColumn("copy", copies)
     order = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return rows.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").select(*docs.columns, "copy")
+    return rows.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").select(*row_fields(names), "copy")
