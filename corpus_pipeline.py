@@ -1,7 +1,8 @@
 """A training-text pipeline over ``documents``: every stage applies one text operator to what the one before kept.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all of ``docs``.  Missing and empty texts, ties, repeated
-rows and empty tables are treated as the operators' docstrings say.
+rows and empty tables are treated as the operators' docstrings say.  Further columns of ``docs`` come back unchanged,
+whatever their names; only the last stage adds a column, ``copy``, which replaces one of that name.
 """
 
 from __future__ import annotations
@@ -9,40 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ionweave.llm import decontaminate, mixing, simhash, toxicity
-from ionweave.llm.common import DOCUMENT_COLUMNS, documents, stored
+from ionweave.llm.common import documents, stored
 from ionweave.llm.line_dedup import drop_shared_lines
 from ionweave.session import ship_package
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and the names to give them back."""
+    moved = {name: f"_own_{name}" for name in names if name in docs.columns}
+    return docs.withColumnsRenamed(moved), {b: a for a, b in moved.items()}
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from the labelled rows not held out."""
     ship_package(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.select(DOCUMENT_COLUMNS), model).filter("score < 0.5").select(DOCUMENT_COLUMNS)
+    rows, back = _aside(docs, "score")
+    return toxicity.score(rows, model).filter("score < 0.5").drop("score").withColumnsRenamed(back).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 or more characters in 3 or more documents stay in the document with the largest id only."""
-    return drop_shared_lines(docs.select(DOCUMENT_COLUMNS)).select(DOCUMENT_COLUMNS)
+    rows, back = _aside(docs, "n_lines", "n_dropped")
+    return drop_shared_lines(rows).drop("n_lines", "n_dropped").withColumnsRenamed(back).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
     ship_package(spark)
-    return simhash.one_of_each_group(docs.select(DOCUMENT_COLUMNS))
+    return simhash.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a test item, aligned word by word, go."""
     ship_package(spark)
-    docs = docs.select(DOCUMENT_COLUMNS)
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.without_contaminated(docs, found)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson replication to weights that grow with the square root of a source's characters; ``copy`` counts from 1."""
-    docs = docs.select(DOCUMENT_COLUMNS)
     return mixing.replicate(docs, mixing.source_rates(docs))
 
 

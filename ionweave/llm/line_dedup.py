@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import BLANKS, ascii_lower, spread_join, stored
+from ionweave.llm.common import BLANKS, ascii_lower, spread_join, stored, whole_row
 
 
 def _lines(text):
@@ -34,7 +34,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     its rows are.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, names = F.coalesce(F.col("text"), F.lit("")), docs.columns
     lines = docs.select("doc_id", F.xxhash64(text).alias("_row"), F.posexplode(_lines(ascii_lower(text))).alias("_pos", "_line"))
     keyed = lines.withColumn("_key", F.btrim("_line", F.lit(BLANKS))).filter(F.length("_key") >= min_chars)
     keyed = stored(keyed.select("doc_id", "_row", "_pos", F.xxhash64("_key").alias("_a"),
@@ -45,11 +45,12 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     gone = (spread_join(keyed, shared, ["_a", "_b"], "_rows", keyed.count()).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
             .groupBy("doc_id", "_row").agg(F.collect_set("_pos").alias("_gone")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_of"), "_gone")
-    rows = docs.withColumn("text", text).withColumn("_row", F.xxhash64("text"))
+    rows = docs.select(whole_row(docs).alias("row"), "doc_id", F.xxhash64(text).alias("_row"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_row"] == gone["_of"]), "left")
-    split = _lines(F.col("text"))
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    split = _lines(text)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone"), lambda i: split[i])
-    return (rows.withColumn("n_lines", F.size(split).cast("bigint"))
-            .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-            .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-            .select(*docs.columns, "n_lines", "n_dropped"))
+    left = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text")
+    return rows.select(*[left if name == "text" else F.col("row")[name].alias(name) for name in names],
+                       F.size(split).cast("bigint").alias("n_lines"),
+                       F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"))

@@ -105,9 +105,10 @@ def _sigmoid(z):
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """``(part, toxic, text)`` of about ``limit`` labelled rows that are not held out, drawn by a hash of the id.
 
-    The labels drawn are few by construction, and counted before they are broadcast; were they more, a plain join is used.
+    Of several labels of one id the larger counts.  The labels drawn are few by construction, and counted before they are
+    broadcast; were they more, a plain join is used.
     """
-    known = labels.filter("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"]).withColumn("part", bucket(F.col("doc_id"))).filter("part <> 0")
+    known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", bucket(F.col("doc_id"))).filter("part <> 0")
     share = min(1.0, limit / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
     if drawn.limit(2 * limit + 1).count() <= 2 * limit:
@@ -140,19 +141,20 @@ def entry_counts(sample: DataFrame) -> DataFrame:
             .agg(*(F.sum(n).alias(n) for n in ("toxic", "clean", "toxic_4", "clean_4"))))
 
 
-def learn_lexicon(counts: DataFrame, min_share: float = 0.004, min_docs: int = 3, min_lift: float = 2.5, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
+def learn_lexicon(counts: DataFrame, min_share: float = 0.004, min_lift: float = 2.5, min_z: float = 3.1, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
     """Log-odds of the entries ``(entry, toxic, clean)`` that are much more frequent in toxic documents.
 
-    An entry needs ``min_share`` of the toxic documents, ``min_docs`` at least, and log-odds of ``min_lift``.  Of a
-    beginning and a longer one in nearly the same documents the longer stays; of the others, one that a shorter
+    An entry needs ``min_share`` of the toxic documents, log-odds of ``min_lift``, and these ``min_z`` standard
+    deviations above zero, so that a small sample doesn't fill the lexicon with chance.  Of a beginning and a longer one in nearly the same documents the longer stays; of the others, one that a shorter
     beginning with the same odds includes is left out.
     """
     size = counts.filter("entry = ''").select("toxic", "clean").first()
     if size is None or not size["toxic"] or not size["clean"]:
         return {}
     lift = F.log((F.col("toxic") + 0.5) / (size["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / (size["clean"] + 1.0))
-    rows = (counts.filter(F.col("toxic") >= max(min_docs, min_share * size["toxic"])).withColumn("lift", lift)
-            .filter(F.col("lift") >= min_lift).orderBy(F.desc(F.col("lift") * F.col("toxic")), "entry").limit(max_entries).collect())
+    deviation = F.sqrt(1.0 / (F.col("toxic") + 0.5) + 1.0 / (F.col("clean") + 0.5))
+    rows = (counts.filter((F.col("entry") != "") & (F.col("toxic") >= min_share * size["toxic"])).withColumn("lift", lift)
+            .filter((F.col("lift") >= min_lift) & (F.col("lift") >= min_z * deviation)).orderBy(F.desc(F.col("lift") * F.col("toxic")), "entry").limit(max_entries).collect())
     found = {r["entry"]: (r["lift"], r["toxic"]) for r in rows}
 
     def stems(entry: str) -> list[str]:
