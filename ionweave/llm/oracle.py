@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ionweave.llm.common import LOWER, UPPER
+from ionweave.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
 
 ORACLE: dict[str, str] = {}
 
@@ -32,3 +33,32 @@ WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS chars F
      drawn AS (SELECT d.*, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT::DOUBLE / pow(16, 13))) AS n
                FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM drawn"""
+
+
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLACES = ", ".join(
+    f"list_transform(list_filter(range(len(words)), lambda i: words[i + 1:i + {len(p.split())}] = {_list(p)}), lambda i: {{'at': i, 'label': '{label}'}})"
+    for p, label in PHRASES.items())
+_TEMPLATES = ", ".join(f"('{label}', {_list(' '.join(dict.fromkeys(t.split())))})" for label, t in TEMPLATES)
+
+ORACLE["op1_license_scan"] = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+     w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
+     base AS (SELECT doc_id, len(words) AS n_words, flatten([{_PLACES}]) AS places FROM w),
+     lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS words FROM w),
+     starts AS (SELECT doc_id, words, unnest(CASE WHEN len(words) > {BLOCK_WORDS}
+                  THEN range(0, greatest(1, len(words) - {BLOCK_STEP}), {BLOCK_STEP}) ELSE [0] END) AS s FROM lines),
+     blocks AS (SELECT doc_id, words[s + 1:s + {BLOCK_WORDS}] AS block FROM starts),
+     templates(label, tokens) AS (VALUES {_TEMPLATES}),
+     shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(block), tokens))::DOUBLE / len(tokens) AS share FROM blocks, templates),
+     found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM shares WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda p: p.at)) AS first_word,
+       list_max(list_transform(places, lambda p: p.at)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda p: p.label), coalesce(labels, [])))), ',') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM base LEFT JOIN found USING (doc_id)"""
