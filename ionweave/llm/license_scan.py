@@ -117,12 +117,20 @@ def _blocks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, words[start:start + BLOCK_WORDS]
 
 
+def _runs(words: list[bytes], longest: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Overlapping blocks of the whole text across line feeds, so that every run of ``longest`` words is inside one."""
+    size = BLOCK_STEP + max(BLOCK_STEP, longest)
+    for start in range(0, max(1, len(words) - size + BLOCK_STEP), BLOCK_STEP):
+        yield start, words[start:start + size]
+
+
 def scan(docs: DataFrame, order: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, n_words, places, blocks)`` per row: base phrases, and blocks that contain a template.
 
     ``places`` has ``(start, label)`` for every place where a base phrase's words stand consecutively, ``blocks``
     has ``(start, label, containment)`` for every block and template with a containment of at least ``threshold``.
-    Words count from 0 over the whole text; a block is a line, or overlapping 64 words of a longer line.
+    Words count from 0 over the whole text; a block is a line, or overlapping 64 words of a longer line, and also
+    overlapping 64 words (more if a template has over 32) of a text of several lines, so that a notice may be wrapped.
 
     A missing or empty text has no words.  Every row comes back once, repeated rows too; an empty table stays
     empty; further columns are not read.  Templates and their token order are fixed and small, so they travel
@@ -132,6 +140,7 @@ def scan(docs: DataFrame, order: dict[bytes, int], templates=TEMPLATES, threshol
     def run(batches: Iterator[pa.RecordBatch]):
         index = TemplateIndex(order, templates, threshold)
         first = index.prefix.keys()
+        longest = max((len(t.split()) for _, t in templates), default=0)
         pair = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
         triple = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
         for batch in batches:
@@ -149,6 +158,10 @@ def scan(docs: DataFrame, order: dict[bytes, int], templates=TEMPLATES, threshol
                             for start, block in _blocks(own):
                                 hits += [{"start": base + start, "label": index.labels[k], "containment": c} for k, c in index.matches(block)]
                         base += len(own)
+                    if len(words) > len(own):  # the last line isn't all there is
+                        for start, block in _runs(words, longest):
+                            if not first.isdisjoint(block):
+                                hits += [{"start": start, "label": index.labels[k], "containment": c} for k, c in index.matches(block)]
                 blocks.append(hits)
                 found = []
                 if b"license" in folded or b"cc" in folded:
