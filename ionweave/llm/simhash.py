@@ -22,6 +22,8 @@ from ionweave.operators.graph import connected_components, smallest_labels
 #: Rows of a block that one task compares with as many others; larger blocks are cut into tiles.
 TILE_ROWS = 4096
 LANES = 65_536
+#: Rows of a candidate group whose shingle sets one task compares with as many others.
+SET_ROWS = 512
 HOT_KEYS_TO_BROADCAST = 100_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,17 +70,47 @@ def _names(width: int) -> list[str]:
     return [f"f{k}" for k in range(width)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
-    """``(doc_id, f0, ...)``: fingerprints as signed 64-bit words; a text without words has zeros."""
+def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, digests: bool = False) -> DataFrame:
+    """``(doc_id, f0, ...)``: fingerprints as signed 64-bit words; a text without words has zeros.
+
+    With ``digests`` also ``s0, s1``, the digest of :func:`shingle_set`.
+    """
+    names = _names(width) + ["s0", "s1"] * digests
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            rows = [simhash(shingle_hashes(t, words), width) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            rows = [simhash(shingle_hashes(t, words), width) for t in texts]
             table = np.array(rows, np.uint64).reshape(len(rows), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(table[:, k]) for k in range(width))], names=["doc_id", *_names(width)])
+            columns = [pa.array(table[:, k]) for k in range(width)]
+            if digests:
+                columns += [pa.array(x, pa.int64()) for x in zip(*(shingle_set(t, words)[1:] for t in texts))] or [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} long" for n in _names(width))]))
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names)]))
+
+
+def shingle_set(text: str | None, words: int) -> tuple[np.ndarray, int, int]:
+    """Distinct shingle hashes, sorted, and a digest of them in two signed words."""
+    import xxhash
+
+    own = np.unique(shingle_hashes(text, words))
+    digest = xxhash.xxh128_intdigest(own.tobytes(), 42)
+    return own, _signed(digest >> 64), _signed(digest & 0xFFFFFFFFFFFFFFFF)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(s0, s1, shingles)`` per row: the digest of :func:`shingle_set` and the set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0].tobytes() for r in rows], pa.binary())],
+                names=["s0", "s1", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "s0 long, s1 long, shingles binary")
 
 
 # --- candidate blocks ---------------------------------------------------------------
@@ -267,6 +299,19 @@ def _compare(width: int, radius: int):
     return run
 
 
+def _tiled(keyed: DataFrame, tile_rows: int, name: str) -> DataFrame:
+    """``keyed`` with tiles ``a`` and ``b``: every row of a block of several tiles once for each pair its own tile is in."""
+    large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows)
+                   .select("key", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles")), name)
+    if large.count() <= HOT_KEYS_TO_BROADCAST:
+        large = F.broadcast(large)
+    tiles = F.coalesce("tiles", F.lit(1))
+    own = F.pmod(F.xxhash64(F.lit("tile"), "node"), tiles).cast("int")
+    return (keyed.join(large, "key", "left").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .select(*keyed.columns, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
+
+
 def near_links(nodes: DataFrame, masks: list[list[int]], radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(src, dst)``: links that connect the ``nodes`` ``(node, f0, ...)`` as all pairs within ``radius`` that share a block do.
 
@@ -274,15 +319,7 @@ def near_links(nodes: DataFrame, masks: list[list[int]], radius: int, tile_rows:
     """
     width = len(masks[0])
     keyed = nodes.select("node", *_names(width), F.explode(_block_keys(masks)).alias("key"))
-    large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows)
-                   .select("key", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles")), "large-blocks")
-    if large.count() <= HOT_KEYS_TO_BROADCAST:
-        large = F.broadcast(large)
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64(F.lit("tile"), "node"), tiles).cast("int")
-    rows = (keyed.join(large, "key", "left").withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-            .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", *_names(width)))
+    rows = _tiled(keyed, tile_rows, "large-blocks").select("key", "a", "b", "node", *_names(width))
     dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return dealt.mapInArrow(_compare(width, radius), "src long, dst long")
 
@@ -297,12 +334,89 @@ def near_groups(prints: DataFrame, masks: list[list[int]], radius: int) -> DataF
     prints = stored(prints, "fingerprints")
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("low"), F.count("*").alias("held"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
-    joined = connected_components(near_links(nodes, masks, radius))
+    return _in_components(prints, nodes, names, connected_components(near_links(nodes, masks, radius)))
+
+
+def _in_components(prints: DataFrame, nodes: DataFrame, keys: list[str], joined: DataFrame) -> DataFrame:
+    """``doc_id``, ``keys`` and ``component_id`` of ``prints``, whose distinct ``keys`` are ``nodes``, linked as ``joined`` says."""
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = stored(whole.select("node", "low", "held", "component", *names), "fingerprint-components")
+    whole = stored(whole.select("node", "low", "held", "component", *keys), "fingerprint-components")
     lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes"))
-    named = spread_join(whole, lowest, ["component"], "nodes", whole.count()).select(*names, "component_id", "held")
-    return spread_join(prints, stored(named, "fingerprint-names"), names, "held", prints.count()).select("doc_id", *names, "component_id")
+    named = spread_join(whole, lowest, ["component"], "nodes", whole.count()).select(*keys, "component_id", "held")
+    return spread_join(prints, stored(named, "fingerprint-names"), keys, "held", prints.count()).select("doc_id", *keys, "component_id")
+
+
+# --- exact similarity ---------------------------------------------------------------
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first row that links of at least this Jaccard similarity reach, for each of the sets of distinct hashes.
+
+    Rows that are already joined aren't compared again, so a group of near copies costs little more than one pass.
+    """
+    labels, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    row, ends = np.repeat(labels, sizes), np.cumsum(sizes)
+    marked = np.zeros(len(values), bool)
+    for i in range(len(sets) - 1):
+        if (labels[i + 1:] == labels[i]).all():
+            continue
+        own, later = token[ends[i] - sizes[i]:ends[i]], slice(ends[i], None)
+        marked[own] = True
+        common = np.bincount(row[later][marked[token[later]]], minlength=len(sets))[i + 1:]
+        marked[own] = False
+        hit = np.flatnonzero(common * (1 + similarity) >= similarity * (sizes[i] + sizes[i + 1:]) - 1e-9) + i + 1
+        if len(hit):
+            met = np.unique(labels[np.append(hit, i)])
+            labels[np.isin(labels, met)] = met[0]
+    return labels
+
+
+def _compare_sets(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]):
+        def links(node, sets):
+            labels = alike(sets, similarity)
+            at = np.flatnonzero(labels != np.arange(len(labels)))
+            node = np.array(node, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[labels[at]])], names=["src", "dst"])
+
+        last, node, sets = None, [], []
+        for batch in batches:
+            for key, a, b, n, own in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "node", "shingles"))):
+                if (key, a, b) != last:
+                    if len(node) > 1:
+                        yield links(node, sets)
+                    last, node, sets = (key, a, b), [], []
+                node.append(n)
+                sets.append(np.frombuffer(own, np.uint64))
+        if len(node) > 1:
+            yield links(node, sets)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, masks: list[list[int]], radius: int, words: int, similarity: float, set_rows: int = SET_ROWS) -> DataFrame:
+    """``(doc_id, s0, s1, component_id)``: groups that links of at least ``similarity`` of the shingle sets make.
+
+    Fingerprints only say where to look: within the groups that links of at most ``radius`` bits make, all pairs of
+    sets are compared exactly, and only pairs with the similarity are links.  Texts with equal sets are one node.
+    Groups above ``set_rows`` sets are cut into tiles, and every pair of tiles is one unit of work.  The sets are of
+    64-bit hashes and are made again, from the texts, for one row of each node that has a candidate partner.
+    """
+    names, keys = _names(len(masks[0])), ["s0", "s1"]
+    prints = stored(fingerprints(docs, words, len(masks[0]), digests=True), "fingerprints")
+    nodes = prints.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count("*").alias("held"), F.min(F.struct(*names)).alias("print"))
+    nodes = nodes.select(*keys, "low", "held", *[F.col("print")[n].alias(n) for n in names])
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
+    near = connected_components(near_links(nodes, masks, radius)).withColumnRenamed("component", "key")
+    near = stored(nodes.join(near, "node").select(*keys, "low", "node", "key"), "candidate-groups")
+    low = near.select("low").distinct()
+    texts = docs.join(low, docs["doc_id"].eqNullSafe(low["low"]), "left_semi")
+    sets = shingle_sets(texts, words).join(near.drop("low"), keys).select("key", "node", "shingles")
+    sets = stored(sets, "candidate-sets")
+    dealt = _tiled(sets, set_rows, "large-groups").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    linked = dealt.select("key", "a", "b", "node", "shingles").mapInArrow(_compare_sets(similarity), "src long, dst long")
+    return _in_components(prints, nodes, keys, connected_components(linked))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 6) -> DataFrame:
@@ -315,22 +429,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints for similarity 0.8 on five words: 256 bits, of which similar texts differ in about 15 %.
-WIDE = {"words": 5, "width": 4, "radius": 50, "tables": 40, "bits": 16}
+#: Wide fingerprints for similarity 0.8 on five words: 256 bits, of which such texts differ in about 15 %.
+WIDE = {"words": 5, "width": 4, "radius": 56, "tables": 64, "bits": 16}
+SIMILARITY = 0.8
 
 
 def one_of_each_group(docs: DataFrame, words: int = WIDE["words"], width: int = WIDE["width"], radius: int = WIDE["radius"],
-                      tables: int = WIDE["tables"], bits: int = WIDE["bits"]) -> DataFrame:
-    """``docs`` without the near copies: of texts that wide fingerprints link, the row with the smallest id stays.
+                      tables: int = WIDE["tables"], bits: int = WIDE["bits"], similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the near copies: of texts that links of at least ``similarity`` join, the row with the smallest id stays.
 
-    At a resemblance of 0.8 on five-word shingles fingerprints agree in about 85 % of their bits, so 40 blocks of 16 of
-    256 bits bring 95 % of such pairs together, and 99.8 % at 0.9; at 0.8 they differ in 39 bits on average, with a
-    standard deviation of 6, so a radius of 50 keeps 97 % of them.
+    Wide fingerprints find the candidates, and an exact comparison of the sets of shingles decides.  At a resemblance
+    of 0.8 on five-word shingles fingerprints agree in about 85 % of their bits, so 64 blocks of 16 of 256 bits should
+    bring 99 % of such pairs together; they differ in 39 bits on average, with a standard deviation of 6, so a radius
+    of 56 should keep 99.8 % of them.  The search isn't complete: what it misses stays.
     ``bits`` should grow by one per doubling of a corpus beyond 10^8 texts, with ``tables`` in proportion to 1.18 per bit.
 
     Rows without words are near copies of each other.  Rows that share the kept id all stay; rows without an id stay
     if no other row is in their group.  An empty table stays empty; further columns are kept.
     """
-    groups = near_groups(fingerprints(docs, words, width), sampled_masks(tables, bits, width), radius)
+    groups = similar_groups(docs, sampled_masks(tables, bits, width), radius, words, similarity)
     gone = groups.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

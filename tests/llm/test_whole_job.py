@@ -1,6 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
-from ionweave.llm import license_scan
+import random
+
+import brute
+import numpy as np
+import pytest
+
+from ionweave.llm import license_scan, simhash
+from ionweave.llm.common import documents
+
+SF = "/root/testdata/sf0.01"
 
 MIT = """/*
  * Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -27,3 +36,69 @@ def test_a_template_longer_than_the_step_fits_a_block(spark):
         runs = list(license_scan._runs([b"x"] * shift + [w.encode() for w in words] + [b"y"] * 90, 50))
         assert any({w.encode() for w in words} <= set(b) for _, b in runs)
         assert sum(b[-1] == b"y" for _, b in runs) > 0
+
+
+def shingles(text, n=5):
+    w = brute.TOKENS.findall(brute.lower(text))
+    return {" ".join(w[i:i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(words, r, k):
+    """Every block of words changed once, in k places."""
+    out = list(words)
+    for at in r.sample(range(len(words)), k):
+        out[at] = f"new{r.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("set_rows", [3, 512])
+def test_only_similar_texts_are_grouped(spark, set_rows):
+    r = random.Random(4)
+    base = [f"word{r.randrange(5000)}" for _ in range(300)]
+    rows = [" ".join(edited(base, r, 12)) for _ in range(14)]  # a template: fingerprints are near, similarity is about 0.66
+    chain = [[f"text{r.randrange(5000)}" for _ in range(300)]]
+    for _ in range(4):
+        chain.append(edited(chain[-1], r, 4))
+    rows += [" ".join(w) for w in chain] + [" ".join(chain[0])]
+    sets = [shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
+    masks = simhash.sampled_masks(64, 16, 4)
+    docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(rows)], "doc_id long, text string, s0 string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs, masks, 56, 5, 0.8, set_rows).collect()}
+    assert got == dict(enumerate(parent))
+    assert len(set(parent)) == 15
+    assert {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()} == set(parent)
+
+
+def test_alike_matches_brute_force():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.choice(40, size)).astype(np.uint64) for size in r.integers(20, 90, 120)] + [np.empty(0, np.uint64)]
+    labels = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard(set(sets[i].tolist()), set(sets[j].tolist()) | set()) >= 0.8 if len(sets[i]) + len(sets[j]) else True:
+                a, b = sorted((labels[i], labels[j]))
+                labels[labels == b] = a
+    assert simhash.alike(sets, 0.8).tolist() == labels.tolist()
+    assert 1 < len(set(labels.tolist())) < len(sets)
+
+
+def test_pipeline_removes_near_copies_only(spark):
+    docs = documents(spark, SF)
+    sets = {x["doc_id"]: shingles(x["text"]) for x in docs.collect()}
+    kept = {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()}
+    index = {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            index.setdefault(s, []).append(d)
+    pairs = {(a, b) for g in index.values() for i, a in enumerate(g) for b in g[i + 1:] if jaccard(sets[a], sets[b]) >= 0.8}
+    assert sets.keys() - kept <= {x for p in pairs for x in p}
+    assert sum(a in kept and b in kept for a, b in pairs) <= 0.02 * len(pairs)
