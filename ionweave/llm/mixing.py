@@ -15,7 +15,8 @@ from ionweave.llm.common import row_fields, stored, whole_row
 BITS = 13  # hexadecimal digits of the hash that make a number: 52 bits, exact in a double
 ROWS_TO_BROADCAST = 10_000
 SALTS = 64
-MAX_RATE = 200.0
+#: Highest mean of one draw; a higher rate is the sum of several draws, whose counts are again Poisson distributed.
+DRAW_RATE = 200.0
 
 
 def unit(*parts: Column) -> Column:
@@ -38,12 +39,21 @@ def poisson_count(u: Column, table: Column) -> Column:
     return F.size(F.filter(table, lambda c: c <= u))
 
 
+def copies_of(seed: int, doc_id: Column, draws: Column, table: Column) -> Column:
+    """Sum of ``draws`` counts from ``table``, the first at the hash of seed and id, the others with their number too."""
+    more = F.aggregate(F.sequence(F.lit(2), F.greatest(draws, F.lit(2))), F.lit(0).cast("long"),
+                       lambda n, k: n + poisson_count(unit(F.lit(seed), doc_id, k), table))
+    first = poisson_count(unit(F.lit(seed), doc_id), table)
+    return F.when(draws > 1, first + more).otherwise(first)
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """``(source, chars, rate, cdf)``: mean copies per document that bring each source to its target share of characters.
+    """``(source, chars, rate, draws, cdf)``: mean copies per document that bring each source to its target share of characters.
 
     ``weights`` names target weights (a source not named gets none); without it the weight of a source is its
-    characters to the power ``temperature``.  ``epochs`` scales the total.  Rates are rounded to 9 digits and at
-    most 200.  A source without characters, and the documents without source unless named ``""``, follow the same
+    characters to the power ``temperature``.  ``epochs`` scales the total.  Rates are rounded to 9 digits and
+    have no upper limit: ``cdf`` is that of the rate over ``draws``, the number of draws of a mean of at most 200 that are
+    added up.  A source without characters, and the documents without source unless named ``""``, follow the same
     rule: no characters, rate 0.
     """
     sizes = stored(docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars")), "source-sizes")
@@ -55,8 +65,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     sizes = sizes.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
     total = sizes.agg(F.sum("chars").alias("c"), F.sum("weight").alias("w")).first()
     share = F.col("weight") / F.lit(total["w"] or 1.0) * F.lit((total["c"] or 0.0) * epochs) / F.col("chars")
-    rate = F.when(F.col("chars") > 0, F.least(F.round(share, 9), F.lit(MAX_RATE))).otherwise(0.0)
-    return stored(sizes.select("source", "chars", rate.alias("rate")).withColumn("cdf", poisson_table(F.col("rate"))), "source-rates")
+    rate = F.when(F.col("chars") > 0, F.round(share, 9)).otherwise(0.0)
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_RATE)).cast("int")
+    rates = sizes.select("source", "chars", rate.alias("rate")).withColumn("draws", draws)
+    return stored(rates.withColumn("cdf", poisson_table(F.col("rate") / F.col("draws"))), "source-rates")
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
@@ -73,7 +85,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     """
     names = [name for name in docs.columns if name != "copy"]
     docs = docs.select("doc_id", "source", whole_row(docs.select(names)).alias("row"))
-    table = rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
+    table = rates.select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
     same = docs["source"].eqNullSafe(table["_source"])
     if table.limit(ROWS_TO_BROADCAST + 1).count() <= ROWS_TO_BROADCAST:
         rows = docs.join(F.broadcast(table), same)
@@ -81,7 +93,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
         table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = docs.withColumn("_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         rows = salted.join(table, salted["source"].eqNullSafe(table["_source"]) & (salted["_salt_of"] == table["_salt"]))
-    count = poisson_count(unit(F.lit(seed), F.col("doc_id")), F.col("_cdf"))
+    count = copies_of(seed, F.col("doc_id"), F.col("_draws"), F.col("_cdf")).cast("int")
     copies = F.explode(F.sequence(F.lit(1), F.col("_n")))
     rows = rows.withColumn("_n", count).filter("_n > 0").withColumn("copy", copies)
     order = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))

@@ -5,8 +5,9 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ionweave.llm import license_scan, simhash
+from ionweave.llm import license_scan, mixing, simhash
 from ionweave.llm.common import documents
 
 SF = "/root/testdata/sf0.01"
@@ -102,3 +103,16 @@ def test_pipeline_removes_near_copies_only(spark):
     pairs = {(a, b) for g in index.values() for i, a in enumerate(g) for b in g[i + 1:] if jaccard(sets[a], sets[b]) >= 0.8}
     assert sets.keys() - kept <= {x for p in pairs for x in p}
     assert sum(a in kept and b in kept for a, b in pairs) <= 0.02 * len(pairs)
+
+
+def test_small_sources_reach_their_weight(spark):
+    rows = [(k, "x" * 20_000, "big") for k in range(100)] + [(1000 + k, "y" * 10, "small") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rates = mixing.source_rates(docs, weights={"big": 0.9, "small": 0.1})
+    rate = {r["source"]: r["rate"] for r in rates.collect()}
+    assert rate["small"] == pytest.approx(0.1 * 2_000_200 / 200)  # about 1000
+    counts = {r["doc_id"]: r["n"] for r in mixing.replicate(docs, rates).filter("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    n = np.array(list(counts.values()))
+    assert len(n) == 20 and len(set(counts.values())) > 10
+    assert abs(n.mean() - rate["small"]) < 4 * (rate["small"] / 20) ** 0.5
+    assert 0.3 < n.var(ddof=1) / rate["small"] < 2.5
