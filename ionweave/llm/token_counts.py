@@ -79,9 +79,6 @@ class PrefixCounter:
             counts.append(n)
         return ends, counts
 
-    def total(self, text: str) -> int:
-        return sum(map(self.counts.__getitem__, self.pieces(text)))
-
     # --- inside a piece ---------------------------------------------------------------
 
     @property
@@ -184,19 +181,12 @@ def prefix_index(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_totals(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit)``: the last count of the index, without keeping the index.
+    """``(doc_id, n_bytes, n_tokens, over_limit)``: the index's last count, and whether it has a count above ``limit``.
 
     Edge cases are those of :func:`prefix_index`.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        c = counter(path)
-        for batch in batches:
-            n = pa.array([c.total(t or "") for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return _sized(docs).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    counts = F.col("piece_counts")
+    return prefix_index(docs, path).select("doc_id", "n_bytes", F.element_at(counts, -1).alias("n_tokens"), F.exists(counts, lambda n: n > limit).alias("over_limit"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:

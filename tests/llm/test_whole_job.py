@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionweave.llm import license_scan, mixing, simhash
+from ionweave.llm import license_scan, mixing, simhash, token_counts
 from ionweave.llm.common import documents
 
 SF = "/root/testdata/sf0.01"
@@ -116,3 +116,14 @@ def test_small_sources_reach_their_weight(spark):
     assert len(n) == 20 and len(set(counts.values())) > 10
     assert abs(n.mean() - rate["small"]) < 4 * (rate["small"] / 20) ** 0.5
     assert 0.3 < n.var(ddof=1) / rate["small"] < 2.5
+
+
+def test_token_totals_come_from_the_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three"), (2, ""), (3, None), (4, "word " * 50)], "doc_id long, text string")
+    path = token_counts.tokenizer_path()
+    index = token_counts.prefix_index(docs, path)
+    want = {r["doc_id"]: r["piece_counts"] for r in index.collect()}
+    monkeypatch.setattr(token_counts, "prefix_index", lambda d, p: index.withColumn("piece_counts", F.transform("piece_counts", lambda n: n + 1)))
+    got = {r["doc_id"]: (r["n_tokens"], r["over_limit"]) for r in token_counts.token_totals(docs, path, limit=4).collect()}
+    assert got == {d: (c[-1] + 1, c[-1] + 1 > 4) for d, c in want.items()}
+    assert {over for _, over in got.values()} == {True, False}
