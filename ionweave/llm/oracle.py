@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ionweave.llm.common import LOWER, UPPER
 from ionweave.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+from ionweave.llm.spelling import DELETE_EVERY, FORM_RATIO, LEAST_COUNT, LEAST_LETTERS
+from ionweave.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 ORACLE: dict[str, str] = {}
 
@@ -62,3 +64,62 @@ SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, l
        array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda p: p.label), coalesce(labels, [])))), ',') AS labels,
        coalesce(score, 0.0)::DOUBLE AS score
 FROM base LEFT JOIN found USING (doc_id)"""
+
+
+def _codes_sql() -> str:
+    """Rounds as a chain of tables: ``a`` has every part's nearest entry, ``b`` the entries after the round."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT p.row, p.part, b.entry, sum((p.v - b.v) * (p.v - b.v)) AS dist
+          FROM p JOIN b{r} b USING (part, pos) GROUP BY ALL),
+     a{r} AS MATERIALIZED (SELECT row, part, min(dist) AS dist, arg_min(entry, (dist, entry)) AS entry FROM d{r} GROUP BY ALL)""")
+        if r < ROUNDS:
+            steps.append(f"""s{r} AS (SELECT part, entry, pos, sum(v) AS s, count(*) AS c FROM p JOIN a{r} USING (row, part) GROUP BY ALL),
+     b{r + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % c) + c) % c) // c, v)::BIGINT AS v
+          FROM b{r} LEFT JOIN s{r} USING (part, entry, pos))""")
+    chain = ",\n     ".join(steps)
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, ints) AS row, vec_id, label, ints FROM
+         (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+     p AS MATERIALIZED (SELECT row, i // (len(ints) // {PARTS}) AS part, i % (len(ints) // {PARTS}) AS pos, ints[i + 1] AS v
+          FROM k, unnest(range(len(ints))) AS u(i)),
+     b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, v FROM p WHERE row <= {ENTRIES}),
+     {chain},
+     codes AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{ROUNDS} GROUP BY row),
+     books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN codes USING (row), books"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+
+# The checksum is linear in the bits of a text: a table of each byte's part by its place from the end, xored, and the checksum
+# of as many zero bytes.
+ORACLE["op12_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+     counted AS (SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY ALL),
+     steps AS (SELECT i::BIGINT AS b, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+               UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+     tab AS MATERIALIZED (SELECT b, v FROM steps WHERE k = 8),
+     longest AS (SELECT max(length(x) // 2) AS n FROM counted),
+     part AS (SELECT 0 AS k, b, v FROM tab
+              UNION ALL SELECT k + 1, part.b, xor(part.v >> 8, tab.v) FROM part JOIN tab ON tab.b = part.v & 255 WHERE k < (SELECT n FROM longest)),
+     zeros AS (SELECT 0 AS n, 4294967295 AS v
+               UNION ALL SELECT n + 1, xor(zeros.v >> 8, tab.v) FROM zeros JOIN tab ON tab.b = zeros.v & 255 WHERE n < (SELECT n FROM longest)),
+     bytes AS (SELECT doc_id, run, length(x) // 2 - 1 - i AS k, ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT AS b FROM counted, unnest(range(length(x) // 2)) u(i)),
+     sums AS (SELECT doc_id, run, bit_xor(v) AS s FROM bytes JOIN part USING (k, b) GROUP BY ALL),
+     hashed AS (SELECT counted.run, c, xor(s, xor(4294967295, zeros.v)) AS h FROM counted JOIN sums ON sums.run = counted.run AND sums.doc_id IS NOT DISTINCT FROM counted.doc_id
+                JOIN zeros ON zeros.n = length(x) // 2),
+     seen AS (SELECT CASE WHEN h % {DELETE_EVERY} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM hashed),
+     words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM seen WHERE length(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(c) >= {LEAST_COUNT}),
+     less AS MATERIALIZED (SELECT word, i, word[1:i] || word[i + 2:] AS rest FROM words, unnest(range(length(word))) u(i)),
+     near AS (SELECT a.word, b.word AS other FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+              UNION SELECT word, rest FROM less SEMI JOIN words ON words.word = less.rest
+              UNION SELECT rest, word FROM less SEMI JOIN words ON words.word = less.rest),
+     best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+     chosen AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {FORM_RATIO} * n THEN form END AS form,
+                             CASE WHEN form_n >= {FORM_RATIO} * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+     walk AS (SELECT word, word AS root FROM chosen WHERE form IS NULL
+              UNION ALL SELECT chosen.word, walk.root FROM chosen JOIN walk ON chosen.form = walk.word)
+SELECT word, form, root, n, n_near, form_n FROM chosen JOIN walk USING (word)"""

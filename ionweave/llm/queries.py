@@ -7,7 +7,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, secrets, simhash, token_counts, toxicity
+from ionweave.llm import (
+    decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, packing, secrets, simhash, spelling, token_counts, toxicity,
+    vector_codes,
+)
 from ionweave.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +74,18 @@ def op9_lm_score(spark, d):
 def op10_line_dedup(spark, d):
     out = line_dedup.drop_shared_lines(documents(spark, d))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_vector_codes(spark, d):
+    return vector_codes.compressed(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return spelling.variants(documents(spark, d))
+
+
+@query
+def op13_best_fit_packing(spark, d):
+    return packing.packed_documents(documents(spark, d), packing.tokenizer_path())

@@ -25,5 +25,5 @@ def test_one_query_per_operator_and_the_pipeline():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(names)
