@@ -8,6 +8,8 @@ where a round hardly joins anything any more.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from functools import lru_cache
 from typing import Iterator
@@ -35,23 +37,51 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _alphabet() -> dict[int, str]:
+    """The printable stand-in of every byte: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _WordIds(dict):
-    """Little-endian ids of words between white space, as bytes; short words are kept until the table is full.
+    """Little-endian ids of words between white space, as bytes.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order.  Words of
+    printable ASCII and Latin-1 letters, without a special token's mark, are cut as the tokenizer's pattern does and go to
+    its merges directly.  Short words are kept; a full table becomes the older one, from which words in use come back.
     """
 
+    plain = re.compile("(?:(?!<\\|)[!-~À-ÖØ-öø-ÿ])+")
+    #: The tokenizer's pattern where only these characters occur (fixed value).
+    cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    alphabet = _alphabet()
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = self.tokenizer.model.tokenize
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, word: str) -> list[int]:
+        if len(word) > CACHED_BYTES or not self.plain.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        pieces = self.cut.findall(word.lower())
+        if not word.isascii():
+            pieces = [piece.encode().decode("latin-1").translate(self.alphabet) for piece in pieces]
+        return [t.id for piece in pieces for t in self.merges(piece)]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.pop(word, None)
+        if ids is None:
+            found = self._ids(word.decode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

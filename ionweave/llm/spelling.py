@@ -10,7 +10,6 @@ themselves; they give a state with one edit for two different children (replaced
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from typing import Iterator
@@ -19,31 +18,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import LOWER, UPPER, stored
+from ionweave.llm.common import stored
 
 LEAST_LETTERS, LEAST_COUNT, DELETE_EVERY, FORM_RATIO = 5, 3, 97, 2
-RUN = re.compile("[a-zÀ-ÿ]+")
-_BREAK = re.compile("[^a-zÀ-ÿ]")
-_LOWER = str.maketrans(UPPER, LOWER)
-#: Code points of a text looked at in one go, and words counted in a task before they are handed on.
+#: One byte per code point: letters A to Z lower-cased, the other letters of runs as they are, anything else a space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
+#: Code points of a text cut in one go, and words counted in a task before they are handed on.
 SLICE_CHARS, HELD_WORDS = 1 << 20, 300_000
 
 
 def _runs(text: str) -> Counter:
-    """Counts of the lower-cased runs of letters; long texts are cut between runs."""
-    text = text.lower() if text.isascii() else text.translate(_LOWER)
-    counts, at = Counter(), 0
-    while at < len(text):
-        stop = _BREAK.search(text, at + SLICE_CHARS)
-        end = stop.start() if stop else len(text)
-        counts.update(RUN.findall(text, at, end))
+    """Counts of the lower-cased runs of letters, in Latin-1; long texts are taken in slices that end between runs."""
+    letters, counts, at = text.encode("latin-1", "replace").translate(LETTERS), Counter(), 0
+    while at < len(letters):
+        end = letters.find(b" ", at + SLICE_CHARS)
+        end = len(letters) if end < 0 else end
+        counts.update(letters[at:end].split())
         at = end
     return counts
 
 
-def _with_deletion(word: str, seed: int, every: int) -> str:
+def _with_deletion(word: bytes, seed: int, every: int) -> bytes:
     """``word``, or, for one hash in ``every``, ``word`` without the code point that the hash names."""
-    h = zlib.crc32(word.encode(), seed)
+    h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), seed)
     if h % every:
         return word
     at = h % len(word)
@@ -54,7 +51,7 @@ def word_counts(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
     """``(word, n)`` as a table: the words of all texts, counted in the tasks before they are shuffled."""
 
     def rows(counts: Counter):
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([word.decode("latin-1") for word in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: Counter = Counter()
@@ -138,7 +135,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         replaced, inserted = open_.filter("gap = 0").drop("gap"), open_.filter("gap = 1").drop("gap")
         deeper = edges.filter("not one").select("child")
         edges_above = edges
-        alive = alive.join(deeper, F.substring("word", 1, depth + 1) == F.col("child"), "left_semi")
+        alive = words.select("word").join(deeper, F.substring("word", 1, depth + 1) == F.col("child"), "left_semi")
         depth += 1
         if deeper.isEmpty() and open_.isEmpty():
             break
