@@ -32,11 +32,11 @@ def row_fields(names: list[str], row: str = "row") -> list[Column]:
     return [F.col(row)[name].alias(name) for name in names]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back, which cuts its lineage."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder, in folders by ``parts``, and read it back; this cuts its lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

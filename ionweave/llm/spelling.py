@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, found by walking a trie of all words against itself.
 
-The trie is a table of edges ``(node, char, child)`` per level, where a node is named by its prefix.  A state of the walk is
-``(prefix, position, node, edits)``: ``prefix`` stands for every word that begins with it, so words share their states as
-long as they share their letters, and no node has more states than there are prefixes one edit away from its own.  Per level
-the states are joined with the edges below ``prefix`` and those below ``node``.  States without an edit are the nodes
-themselves; they give a state with one edit for two different children (replaced) and for a child against its parent
-(inserted, which is deleted when read the other way).  A node with one word below is that word, and two of these end at once.
+The trie is a table of edges ``(node, char, child)``, where a node is named by its prefix.  A state of the walk is ``(prefix,
+position, node, edits)``: ``prefix`` stands for every word that begins with it, so words share their states as long as they share
+their letters, and no node has more states than there are prefixes one edit away from its own.  Level by level the states are
+joined with the edges below ``prefix`` and those below ``node``.  States without an edit are the nodes themselves; they give a
+state with one edit for two different children (replaced) and for a child against its parent (inserted, which is deleted
+when read the other way).  A node with one word below is that word, and two of these end at once.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from collections import Counter
 from typing import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.llm.common import stored
+from ionweave.session import sorted_slices
 
 LEAST_LETTERS, LEAST_COUNT, DELETE_EVERY, FORM_RATIO = 5, 3, 97, 2
 #: One byte per code point: letters A to Z lower-cased, the other letters of runs as they are, anything else a space.
@@ -72,73 +74,125 @@ def word_counts(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
     return stored(counted.filter(F.col("n") >= least_count), "words")
 
 
-def _char(text: Column, at: int) -> Column:
+def _char(text: Column, at: Column) -> Column:
     """The code point at ``at`` (from 0); empty behind the end."""
-    return F.substring(text, at + 1, 1)
+    return F.substring(text, at + 1, F.lit(1))
 
 
-def _level(words: DataFrame, depth: int) -> DataFrame:
-    """Edges from the nodes of ``depth`` that have several words below: ``(node, ch, child, one)``.
+def _shared(a: str, b: str) -> int:
+    """Code points that both words begin with."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
-    ``child`` is the longer prefix, or, where ``one`` says so, the only word below; the end of a word is the empty ``ch``.
+
+def own_depths(words: DataFrame) -> DataFrame:
+    """``(word, own)``: the length from which on a word's prefix is no other word's.
+
+    Words are sorted in slices; only the first and the last word of a slice are handed to its neighbours.
     """
-    edges = (words.groupBy(F.substring("word", 1, depth).alias("node"), _char(F.col("word"), depth).alias("ch"))
-             .agg(F.min("word").alias("word"), F.count("*").alias("n")))
-    one = (F.col("n") == 1) | (F.col("ch") == "")
-    return stored(edges.select("node", "ch", F.when(one, F.col("word")).otherwise(F.concat("node", "ch")).alias("child"), one.alias("one")), f"edges-{depth}")
+    slices = sorted_slices(words.select("word"), "word")
+
+    def bounds(batches: Iterator[pa.RecordBatch]):
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                first, last = first or batch.column(0)[0].as_py(), batch.column(0)[-1].as_py()
+        if first:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([TaskContext.get().partitionId()], pa.int64()), "first": [first], "last": [last]})
 
+    ends = sorted(slices.mapInArrow(bounds, "slice long, first string, last string").collect(), key=lambda r: r["slice"])
+    before = {b["slice"]: a["last"] for a, b in zip(ends, ends[1:])}
+    after = {a["slice"]: b["first"] for a, b in zip(ends, ends[1:])}
 
-def _below(states: DataFrame, side: str, edges: DataFrame, depth: int, char: str) -> DataFrame:
-    """States with ``side`` moved down one edge, whose code point comes as ``char``; it has to agree if it is there already."""
-    joins = edges.select(F.col("node").alias(side), F.col("ch").alias(char), F.col("child").alias("_to"), F.col("one").alias("_one"))
-    keys = [side, char] if char in states.columns else [side]
-    inner = states.filter(~F.col(f"{side}_one")).join(joins, keys).drop(side, f"{side}_one").withColumnsRenamed({"_to": side, "_one": f"{side}_one"})
-    alone = states.filter(f"{side}_one")
-    own = _char(F.col(side), depth)
-    alone = alone.filter(F.col(char) == own) if char in states.columns else alone.withColumn(char, own)
-    return inner.unionByName(alone)
+    def run(batches: Iterator[pa.RecordBatch]):
+        here = TaskContext.get().partitionId()
+        last, held = before.get(here, ""), None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            if held is not None:
+                names.insert(0, held)
+            held = names.pop() if names else held
+            if names:
+                shared = [_shared(x, y) for x, y in zip([last, *names], [*names, held])]
+                last = names[-1]
+                yield pa.RecordBatch.from_pydict({"word": names, "own": pa.array([1 + max(p) for p in zip(shared, shared[1:])], pa.int32())})
+        if held is not None:
+            own = 1 + max(_shared(last, held), _shared(held, after.get(here, "")))
+            yield pa.RecordBatch.from_pydict({"word": [held], "own": pa.array([own], pa.int32())})
+
+    return slices.mapInArrow(run, "word string, own int")
+
+
+def trie(words: DataFrame) -> DataFrame:
+    """Nodes with several words below, ``(node, depth, kids)``, as a table with a part per depth.
+
+    ``kids`` are the edges ``(ch, child, one)``, at most one per letter: ``child`` is the longer prefix or, where ``one`` says
+    so, the only word below; the end of a word is the empty ``ch``.  Edges are collected in the tasks before they meet.
+    """
+    depth = F.explode(F.sequence(F.lit(0), F.col("own") - 1))
+    at = own_depths(words).select("word", "own", depth.alias("depth"))
+    node, ch = F.substring(F.col("word"), F.lit(1), F.col("depth")), _char(F.col("word"), F.col("depth"))
+    one = (F.col("depth") + 1 >= F.col("own")) | (ch == "")
+    kid = F.struct(ch.alias("ch"), F.when(one, F.col("word")).otherwise(F.concat(node, ch)).alias("child"), one.alias("one"))
+    return stored(at.groupBy(node.alias("node"), "depth").agg(F.collect_set(kid).alias("kids")), "trie", "depth")
 
 
-def _tail(text: str, depth: int) -> Column:
-    return F.substring(F.col(text), depth + 1, 2**31 - 1)
+def _kids(states: DataFrame, side: str, nodes: DataFrame, small: bool, depth: Column) -> DataFrame:
+    """``states`` with ``kids_<side>``; a word that is alone has the one edge that it spells itself.
+
+    A word must not meet a node of its name, so it gets a key that no node has.
+    """
+    alone = F.col(f"{side}_one")
+    keyed = states.withColumn("_key", F.when(alone, F.concat(F.lit("!"), side)).otherwise(F.col(side)))
+    table = nodes.select(F.col("node").alias("_key"), F.col("kids").alias("_kids"))
+    found = keyed.join(F.broadcast(table) if small else table.hint("merge"), "_key", "left")
+    own = F.array(F.struct(_char(F.col(side), depth).alias("ch"), F.col(side).alias("child"), F.lit(True).alias("one")))
+    return found.withColumn(f"kids_{side}", F.when(alone, own).otherwise(F.col("_kids"))).drop("_key", "_kids")
+
+
+def _tail(text: str, depth: Column) -> Column:
+    return F.substring(F.col(text), depth + 1, F.length(text))
+
+
+#: Nodes of a depth that may be broadcast; each has at most as many edges as there are letters.
+NODES_TO_BROADCAST = 10_000
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(a, b)`` as a table: all pairs of different words of a table ``(word, …)`` one edit apart, each in one order.
 
-    ``words`` has distinct words.  There are as many levels as the longest prefix that two words share, and one more.
-    A pair comes back once, although a doubled letter can be inserted in two places.
+    ``words`` has distinct words.  There are as many levels as the longest prefix that two words share, and a few more
+    where letters repeat.  A pair comes back once, although a doubled letter can be inserted in two places.
     """
-    alive, depth, found = words.select("word"), 0, []
-    replaced = inserted = None
-    while True:
-        edges = _level(alive, depth)
-        grown = []
-        if inserted is not None:  # a stands at the level above its partner
-            moved = _below(_below(inserted, "a", edges_above, depth - 1, "ch"), "b", edges, depth, "ch").withColumn("gap", F.lit(1))
-            grown.append(moved)
-        if replaced is not None:
-            grown.append(_below(_below(replaced, "a", edges, depth, "ch"), "b", edges, depth, "ch").withColumn("gap", F.lit(0)))
-        e, o = edges.select("node", "ch", F.col("child").alias("a"), F.col("one").alias("a_one")), edges.select("node", F.col("ch").alias("oh"), F.col("child").alias("b"), F.col("one").alias("b_one"))
-        two = e.join(o, "node").filter((F.col("ch") != "") & (F.col("oh") > F.col("ch"))).drop("node", "oh").withColumn("gap", F.lit(0))
-        down = edges.filter("ch <> ''").select(F.lit("?").alias("ch"), F.col("node").alias("a"), F.lit(False).alias("a_one"), F.col("child").alias("b"), F.col("one").alias("b_one"), F.lit(1).alias("gap"))
+    nodes = trie(words)
+    counts = {r["depth"]: r["n"] for r in nodes.groupBy("depth").agg(F.count("*").alias("n")).collect()}
+    small = lambda *depths: sum(counts.get(d, 0) for d in depths) <= NODES_TO_BROADCAST
+    depth, found, open_ = 0, [], None
+    while depth in counts or open_ is not None and not open_.isEmpty():
+        here = nodes.filter(F.col("depth") == depth).select("node", "kids")
+        kid = here.select("node", "kids", F.explode("kids").alias("p")).filter("p.ch <> ''")
+        two = kid.select("p", F.explode("kids").alias("q")).filter("q.ch > p.ch").select(
+            "p.ch", F.col("p.child").alias("a"), F.col("p.one").alias("a_one"), F.col("q.child").alias("b"), F.col("q.one").alias("b_one"), F.lit(0).alias("gap"))
+        down = kid.select("p.ch", F.col("node").alias("a"), F.lit(False).alias("a_one"), F.col("p.child").alias("b"), F.col("p.one").alias("b_one"), F.lit(1).alias("gap"))
         states = two.unionByName(down)
-        for more in grown:
-            states = states.unionByName(more)
-        # Here a stands below depth + 1 - gap code points and b below depth + 1; an empty ch means that both have ended.
-        tail_a = F.when(F.col("gap") == 0, _tail("a", depth + 1)).otherwise(_tail("a", depth))
+        if open_ is not None:
+            # prefixes of two lengths can't be equal, so both depths of ``a`` are looked up at once
+            both = nodes.filter(F.col("depth").isin(depth, depth - 1)).select("node", "kids")
+            met = _kids(open_, "a", both, small(depth, depth - 1), F.lit(depth) - F.col("gap"))
+            met = _kids(met, "b", here, small(depth), F.lit(depth))
+            met = met.select("gap", "kids_b", F.explode("kids_a").alias("p"))
+            met = met.select("gap", "p", F.explode(F.filter("kids_b", lambda q: q["ch"] == F.col("p.ch"))).alias("q"))
+            states = states.unionByName(met.select(
+                "p.ch", F.col("p.child").alias("a"), F.col("p.one").alias("a_one"), F.col("q.child").alias("b"), F.col("q.one").alias("b_one"), "gap"))
+        # Here b stands below depth + 1 code points and a below ``gap`` fewer; an empty ch means that both have ended.
         both = F.col("a_one") & F.col("b_one")
-        kept = states.filter(F.when(F.col("ch") == "", F.lit(True)).when(both, tail_a == _tail("b", depth + 1)).otherwise(True))
-        kept = stored(kept.withColumn("done", (F.col("ch") == "") | both), f"states-{depth}")
+        same = _tail("a", F.lit(depth + 1) - F.col("gap")) == _tail("b", F.lit(depth + 1))
+        kept = states.filter((F.col("ch") == "") | ~both | same).withColumn("done", (F.col("ch") == "") | both)
+        kept = stored(kept.drop("ch"), f"states-{depth}")
         found.append(kept.filter("done").select("a", "b"))
-        open_ = kept.filter("not done").drop("ch", "done")
-        replaced, inserted = open_.filter("gap = 0").drop("gap"), open_.filter("gap = 1").drop("gap")
-        deeper = edges.filter("not one").select("child")
-        edges_above = edges
-        alive = words.select("word").join(deeper, F.substring("word", 1, depth + 1) == F.col("child"), "left_semi")
+        open_ = kept.filter("not done").drop("done")
         depth += 1
-        if deeper.isEmpty() and open_.isEmpty():
-            break
+    if not found:
+        return words.select(F.col("word").alias("a"), F.col("word").alias("b")).limit(0)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
