@@ -257,6 +257,44 @@ def _leaves(rows: str) -> list[str]:
         leaves AS (SELECT vertex, min(vertex) OVER (PARTITION BY piece) AS label FROM inside)"""]
 
 
+def _condensed(rows: str, least: int, method: str) -> list[str]:
+    """``found (vertex, label)``: clusters of any minimum size, from the ranks at which rows of a block meet in its tree.
+
+    A cluster is named by the rank it opens at; ``t`` is the rank at which a row's group has ``least`` rows.
+    """
+    return [*_leaves(rows)[:4], f"""tadj AS (SELECT block, a AS u, b AS v, rk FROM tree UNION ALL SELECT block, b, a, rk FROM tree),
+        lam AS (SELECT t.block, t.rk, 1.0::double / greatest(round({_dist('x', 'y')}, 9), 1e-12::double) AS lam
+                FROM tree t JOIN {rows} x ON x.vertex = t.a JOIN {rows} y ON y.vertex = t.b),
+        walk(block, i, j, prev, top) AS (SELECT block, vertex, vertex, -1::bigint, 0::bigint FROM {rows}
+            UNION ALL SELECT w.block, w.i, t.v, w.j, greatest(w.top, t.rk) FROM walk w JOIN tadj t ON t.block = w.block AND t.u = w.j AND t.v <> w.prev),
+        meet AS MATERIALIZED (SELECT block, i, j, top FROM walk),
+        entry AS MATERIALIZED (SELECT block, i AS v, list_sort(list(top))[{least}] AS t FROM meet GROUP BY block, i HAVING count(*) >= {least}),
+        kinds AS (SELECT e.*, ea.t < e.rk AND eb.t < e.rk AS joins, ea.t = e.rk AND eb.t = e.rk AS opens
+                  FROM tree e JOIN entry ea ON ea.v = e.a JOIN entry eb ON eb.v = e.b),
+        opened AS (SELECT o.block, o.rk, o.a, o.opens AS leaf,
+                     (SELECT min(j.rk) FROM kinds j JOIN meet m ON m.i = j.a WHERE j.block = o.block AND j.joins AND j.rk > o.rk AND m.j = o.a AND m.top <= j.rk) AS close
+                   FROM kinds o WHERE o.joins OR o.opens),
+        clusters AS MATERIALIZED (SELECT o.block, o.rk, any_value(o.leaf) AS leaf, any_value(o.close) AS close,
+                     sum(l.lam) - any_value(c.lam) * count(*) AS own, row_number() OVER (PARTITION BY o.block ORDER BY o.rk) AS n
+                   FROM opened o JOIN meet m ON m.i = o.a AND (o.close IS NULL OR m.top < o.close) JOIN entry e ON e.v = m.j
+                   JOIN lam l ON l.block = o.block AND l.rk = greatest(o.rk, e.t) LEFT JOIN lam c ON c.block = o.block AND c.rk = o.close
+                   GROUP BY o.block, o.rk),
+        own_of AS (SELECT e.block, e.v, max(o.rk) AS rk FROM entry e JOIN meet m ON m.i = e.v JOIN opened o ON o.a = m.j AND o.rk <= e.t AND m.top <= e.t
+                   GROUP BY e.block, e.v)""",
+            """kids AS MATERIALIZED (SELECT p.block, p.n, p.rk, p.close, p.own, coalesce((SELECT list(k.rk) FROM clusters k WHERE k.block = p.block AND k.close = p.rk), []) AS below FROM clusters p),
+        summed(block, n, worth) AS (SELECT DISTINCT block, 0::bigint, MAP([-1::bigint], [0.0::double]) FROM clusters
+            UNION ALL SELECT s.block, k.n, map_concat(s.worth, MAP([k.rk], [CASE WHEN k.close IS NULL THEN 0.0::double
+                ELSE greatest(k.own, coalesce(list_sum(list_transform(k.below, lambda x: s.worth[x])), 0.0::double)) END]))
+            FROM summed s JOIN kids k ON k.block = s.block AND k.n = s.n + 1),
+        final AS (SELECT block, arg_max(worth, n) AS worth FROM summed GROUP BY block),
+        kept AS (SELECT k.block, k.rk FROM (SELECT k.*, coalesce(list_sum(list_transform(k.below, lambda x: f.worth[x])), 0.0::double) AS sum FROM kids k JOIN final f USING (block)) k
+                 WHERE k.close IS NOT NULL AND k.own >= k.sum - 1e-9::double * greatest(abs(k.own), abs(k.sum))),
+        above(block, rk, up) AS (SELECT block, rk, rk FROM clusters UNION ALL SELECT a.block, a.rk, c.close FROM above a JOIN clusters c ON c.block = a.block AND c.rk = a.up WHERE c.close IS NOT NULL),
+        picked AS (SELECT a.block, a.rk, max(a.up) AS up FROM above a JOIN kept k ON k.block = a.block AND k.rk = a.up GROUP BY a.block, a.rk)"""
+            if method == "eom" else "picked AS (SELECT block, rk, rk AS up FROM clusters WHERE leaf AND close IS NOT NULL)",
+            "found AS (SELECT o.v AS vertex, min(o.v) OVER (PARTITION BY o.block, p.up) AS label FROM own_of o JOIN picked p ON p.block = o.block AND p.rk = o.rk)"]
+
+
 # --- classes -----------------------------------------------------------------------
 
 BEST = """best AS (SELECT scan_id, peptide FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
@@ -537,6 +575,10 @@ ORACLE: dict[str, str] = {
             WHEN 1 THEN concat(text, ' newscan:', doc_id) WHEN 2 THEN concat(' ', doc_id, ' ') ELSE text END AS title FROM documents)""",
 }
 ORACLE["hdbscan_refine_distributed"] = ORACLE["hdbscan_refine"]
+for _name, _least, _method in (("hdbscan_leaf_five", 5, "leaf"), ("hdbscan_mass", 2, "eom"), ("hdbscan_mass_five", 5, "eom")):
+    ORACLE[_name] = ORACLE[f"{_name}_distributed"] = _with(
+        "fx_vectors", "hrows AS (SELECT label AS block, idx AS vertex, embedding FROM fx_vectors)", *_condensed("hrows", _least, _method),
+        select="SELECT h.vertex, coalesce(l.label, -1) AS label FROM hrows h LEFT JOIN found l ON l.vertex = h.vertex")
 ORACLE["bin_lsh_codes"] = _with(
     "fx_peaks", SUP_TOP.format(peaks="fx_peaks"), BINS, BIN_CODES,
     select="SELECT idx, cast(r AS int) AS rep, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END)::bigint AS code FROM signs GROUP BY idx, r")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.operators.condensed_tree import TIE, leaf_clusters, mass_clusters
 from ionweave.operators.graph import connected_components
 from ionweave.operators.tiles import COSINE_DIGITS, matrix, tile_pairs
 from ionweave.session import checkpoint
@@ -130,7 +131,7 @@ def tree_clusters(n: int, edges, ids: np.ndarray, min_size: int, method: str = "
         for c in range(len(up)):  # children come before their parent
             own = weight_sum[c] - birth[c] * size[c]
             below = sum(worth[k] for k in kids[c])
-            keep[c] = c not in tops and own >= below
+            keep[c] = c not in tops and own >= below - TIE * max(abs(own), abs(below))
             worth[c] = own if keep[c] else below
         stack = list(tops)
         while stack:
@@ -247,35 +248,6 @@ def _core_table(rows: DataFrame, block: Sequence[str], k: int, tile_rows: int) -
             .groupBy("vertex").agg(F.max("d").alias("core")))
 
 
-def leaf_clusters(tree: DataFrame) -> DataFrame:
-    """Leaf clusters of minimum size 2 from spanning-tree edges, as ``(vertex, label)``.
-
-    With minimum size 2 the decision is local.  An edge joins two clusters exactly when
-    both its ends have a lower edge; without those edges every remaining piece grows
-    around one closest pair.  The piece is closed by the lowest joining edge that
-    touches it, and a row whose own lowest edge comes later is noise.  A piece that no
-    joining edge touches is the whole block and is not selected.
-    """
-    rank = F.struct("w", "a", "b")
-    ends = tree.select(F.col("a").alias("vertex"), rank.alias("e")).union(
-        tree.select(F.col("b").alias("vertex"), rank.alias("e")))
-    lowest = ends.groupBy("vertex").agg(F.min("e").alias("low"))
-    la = lowest.select(F.col("vertex").alias("a"), F.col("low").alias("low_a"))
-    lb = lowest.select(F.col("vertex").alias("b"), F.col("low").alias("low_b"))
-    judged = checkpoint(tree.join(la, "a").join(lb, "b")
-                        .withColumn("joins", (F.col("low_a") < rank) & (F.col("low_b") < rank)))
-    grown = judged.filter(~F.col("joins"))
-    parts = connected_components(grown.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    joins = judged.filter("joins")
-    touched = joins.select(F.col("a").alias("node"), rank.alias("e")).union(
-        joins.select(F.col("b").alias("node"), rank.alias("e")))
-    closing = touched.join(parts, "node").groupBy("component").agg(F.min("e").alias("closed"))
-    inside = (lowest.join(parts, lowest["vertex"] == parts["node"]).join(closing, "component")
-              .filter(F.col("low") < F.col("closed")))
-    names = inside.groupBy("component").agg(F.min("vertex").alias("label"))
-    return inside.join(names, "component").select("vertex", "label")
-
-
 def hdbscan_blocks(rows: DataFrame, block: Sequence[str], min_size: int = 2, min_samples: int = 1,
                    method: str = "leaf", block_rows: int = BLOCK_ROWS,
                    tile_rows: int = TREE_TILE_ROWS) -> DataFrame:
@@ -289,13 +261,11 @@ def hdbscan_blocks(rows: DataFrame, block: Sequence[str], min_size: int = 2, min
     kernel = _block_kernel(min_size, min_samples, method)
     if large.isEmpty():
         return rows.groupBy(*block).applyInArrow(kernel, "vertex long, label long")
-    if min_size != 2 or method != "leaf":
-        raise NotImplementedError(
-            f"a block has more than {block_rows} rows: only leaf clusters of minimum size 2 are distributed")
     small = rows.join(large, block, "left_anti").groupBy(*block).applyInArrow(kernel, "vertex long, label long")
     big = rows.join(large, block, "left_semi")
-    leaves = leaf_clusters(distributed_tree(big, block, min_samples, tile_rows))
-    big = big.select("vertex").join(leaves, "vertex", "left").select(
+    tree = checkpoint(distributed_tree(big, block, min_samples, tile_rows))
+    found = leaf_clusters(tree, min_size) if method == "leaf" else mass_clusters(tree, min_size)
+    big = big.select("vertex").join(found, "vertex", "left").select(
         "vertex", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
     return small.unionByName(big)
 
