@@ -1,11 +1,10 @@
 """Splitting clusters into precursor-mass groups.
 
-Both rules walk a cluster's masses in ascending order.  To keep one very large cluster
-from running in one task, the distinct masses are range-partitioned into sorted slices,
-every slice is walked on its own, and the open group at the end of a slice is handed to
-the next one.  The hand-over is repeated until no slice's input changes; the first slice
-needs none, so every round settles at least one more slice, and a break in the masses
-settles all that follow at once.
+Both rules walk a cluster's masses in ascending order.  To keep one very large cluster from running in one task, the distinct
+masses are range-partitioned into sorted slices.  A slice is summarised as a function: given the group that is open before
+it, which one is open after it.  By gap that is the same group or a group of its own; by anchor it is a step function of the
+incoming anchor, since anchors that the slice treats alike lead to one last anchor.  The functions are applied one after the other
+on the driver, and then every slice is walked once with the group that it starts in.
 """
 
 from __future__ import annotations
@@ -76,65 +75,111 @@ def walk_anchor(label, mass, ppm: float, carry: Optional[Open]):
     return starts, Open(int(label[-1]), float(starts[-1]), float(mass[-1]))
 
 
-def _walk(batches: Iterator[pa.RecordBatch], step, carry: Optional[Open]):
-    """Walk one slice batch by batch; yields (batch, starts, open group)."""
-    state = carry
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        label = batch.column("label").to_numpy(zero_copy_only=False)
-        mass = batch.column("mass").to_numpy(zero_copy_only=False)
-        starts, state = step(label, mass, state)
-        yield batch, starts, state
-
-
-def _slice_starts(slices: DataFrame, step) -> DataFrame:
-    """``(label, mass, start)`` for the sorted slices."""
-
-    def summary(carries):
-        def run(batches):
-            pid = TaskContext.get().partitionId()
-            head, tail = None, None
-            for batch, _, state in _walk(batches, step, carries.get(pid)):
-                head = batch.column("label")[0].as_py() if head is None else head
-                tail = state
-            if tail is not None:
-                yield pa.RecordBatch.from_pydict({
-                    "pid": [pid], "head": [head], "label": [tail.label], "start": [tail.start], "last": [tail.last]})
-        return run
-
-    # one row per slice comes back; after the first round only slices with a new input run
-    carries: dict[int, Open] = {}
-    known, todo = {}, slices
-    while True:
-        for row in todo.mapInArrow(summary(carries),
-                                   "pid long, head long, label long, start double, last double").collect():
-            known[row["pid"]] = row
-        rows = [known[pid] for pid in sorted(known)]
-        updated = {}
-        for before, row in zip(rows, rows[1:]):
-            if before["label"] == row["head"]:
-                updated[row["pid"]] = Open(before["label"], before["start"], before["last"])
-        changed = [pid for pid, carry in updated.items() if carries.get(pid) != carry]
-        carries = updated
-        if not changed:
-            break
-        todo = slices.filter(F.spark_partition_id().isin(changed))
-
-    def assign(batches):
-        pid = TaskContext.get().partitionId()
-        for batch, starts, _ in _walk(batches, step, carries.get(pid)):
+def next_anchors(mass: np.ndarray, ppm: float) -> np.ndarray:
+    """Position of the first mass out of reach of every mass, for ascending masses."""
+    reach = mass * ppm * 1e-6
+    after = np.searchsorted(mass, mass + reach, side="right")
+    padded = np.append(mass, np.inf)
+    while True:  # rounding of mass + reach
+        low = (after < len(mass)) & (padded[after] - mass <= reach)
+        high = ~low & (mass[after - 1] - mass > reach)
+        if not low.any() and not high.any():
+            return after
+        after = after + low - high
+
+
+@dataclass(frozen=True)
+class GapRule:
+    """Groups end at a step above ``gap``."""
+
+    gap: float
+
+    def walk(self, label, mass, carry: Optional[Open]):
+        return walk_gap(label, mass, self.gap, carry)
+
+    def breaks(self, mass: np.ndarray) -> bool:
+        return bool((np.diff(mass) > self.gap).any())
+
+    def steps(self, mass: np.ndarray) -> tuple[list, list]:
+        return [], []
+
+    def hand(self, row, carry: Open) -> float:
+        return carry.start if row["first"] - carry.last <= self.gap else row["start"]
+
+
+@dataclass(frozen=True)
+class AnchorRule:
+    """Groups span at most ``ppm`` above their lightest mass."""
+
+    ppm: float
+
+    def walk(self, label, mass, carry: Optional[Open]):
+        return walk_anchor(label, mass, self.ppm, carry)
+
+    def breaks(self, mass: np.ndarray) -> bool:
+        return bool((np.diff(mass) > mass[:-1] * self.ppm * 1e-6).any())
+
+    def steps(self, mass: np.ndarray) -> tuple[list, list]:
+        """``(entries, anchors)``: where a walk's first own anchor is at most ``entries[k]``, its last one is ``anchors[k]``.
+
+        Only anchors within reach of the first mass can come in, so only own anchors in one more reach can be the first.
+        """
+        after = next_anchors(mass, self.ppm)
+        last = np.where(after >= len(mass), np.arange(len(mass)), after)
+        while True:
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        width = min(len(mass), int(after[0]) + 1)
+        ends = np.append(np.flatnonzero(np.diff(last[:width])), width - 1)
+        return mass[ends].tolist(), mass[last[ends]].tolist()
+
+    def hand(self, row, carry: Open) -> float:
+        reach = carry.start * self.ppm * 1e-6
+        return next((anchor for entry, anchor in zip(row["entries"], row["anchors"]) if entry - carry.start > reach), carry.start)
+
+
+def _slice_starts(slices: DataFrame, rule) -> DataFrame:
+    """``(label, mass, start)`` for the sorted slices: one job for their summaries, one walk."""
+
+    def summary(batches: Iterator[pa.RecordBatch]):
+        held = [(b.column("label").to_numpy(zero_copy_only=False), b.column("mass").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if held:
+            label, mass = (np.concatenate(part) for part in zip(*held))
+            starts, state = rule.walk(label, mass, None)
+            whole = label[0] == label[-1] and not rule.breaks(mass)
+            entries, anchors = rule.steps(mass) if whole else ([], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("mass"), pa.array(starts, pa.float64())],
-                names=["label", "mass", "start"])
+                [pa.array([x]) for x in (TaskContext.get().partitionId(), int(label[0]), float(mass[0]), bool(whole))]
+                + [pa.array([x]) for x in (state.label, state.start, state.last)] + [pa.array([x], pa.list_(pa.float64())) for x in (entries, anchors)],
+                names=["pid", "head", "first", "whole", "label", "start", "last", "entries", "anchors"])
+
+    schema = "pid long, head long, first double, whole boolean, label long, start double, last double, entries array<double>, anchors array<double>"
+    carries: dict[int, Open] = {}
+    carry: Optional[Open] = None
+    for row in sorted(slices.mapInArrow(summary, schema).collect(), key=lambda r: r["pid"]):
+        mine = carry is not None and carry.label == row["head"]
+        if mine:
+            carries[row["pid"]] = carry
+        carry = Open(row["label"], rule.hand(row, carry) if mine and row["whole"] else row["start"], row["last"])
+
+    def assign(batches: Iterator[pa.RecordBatch]):
+        state = carries.get(TaskContext.get().partitionId())
+        for batch in batches:
+            if batch.num_rows:
+                label, mass = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("label", "mass"))
+                starts, state = rule.walk(label, mass, state)
+                yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("mass"), pa.array(starts, pa.float64())],
+                                                 names=["label", "mass", "start"])
 
     return slices.mapInArrow(assign, "label long, mass double, start double")
 
 
-def _split(rows: DataFrame, step) -> DataFrame:
+def _split(rows: DataFrame, rule) -> DataFrame:
     # many rows of one cluster may share a mass: walk the distinct masses only
     distinct = rows.groupBy(F.col("label").cast("bigint").alias("label"), "mass").agg(F.count("*").alias("_n"))
-    starts = _slice_starts(sorted_slices(distinct.select("label", "mass"), "label", "mass"), step)
+    starts = _slice_starts(sorted_slices(distinct.select("label", "mass"), "label", "mass"), rule)
     return rows.join(starts, ["label", "mass"])
 
 
@@ -145,7 +190,7 @@ def anchored_groups(rows: DataFrame, ppm: float) -> DataFrame:
     group of its own, told apart by ``solo``.
     """
     rows = rows.withColumn("label", F.col("label").cast("bigint"))
-    plain = _split(rows.filter(F.col("mass") >= 0), lambda lab, m, c: walk_anchor(lab, m, ppm, c))
+    plain = _split(rows.filter(F.col("mass") >= 0), AnchorRule(ppm))
     solo = rows.filter(F.col("mass") < 0).withColumn("start", F.col("mass")).withColumn("solo", F.col("idx"))
     return plain.withColumn("solo", F.lit(-1).cast("bigint")).unionByName(solo)
 
@@ -153,7 +198,7 @@ def anchored_groups(rows: DataFrame, ppm: float) -> DataFrame:
 def gap_groups(rows: DataFrame, gap: float) -> DataFrame:
     """Adds the group key for groups that end at a mass step above ``gap``."""
     rows = rows.withColumn("label", F.col("label").cast("bigint"))
-    return (_split(rows, lambda lab, m, c: walk_gap(lab, m, gap, c))
+    return (_split(rows, GapRule(gap))
             .withColumn("solo", F.lit(-1).cast("bigint")))
 
 

@@ -44,6 +44,34 @@ def test_walks_in_slices_equal_one_walk(pairs, width):
     assert np.array_equal(np.concatenate(got), whole)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=80, unique=True), st.integers(1, 30), st.sampled_from([1e-3, 1e-4, 0.0037]))
+def test_slices_as_functions_equal_one_walk(places, width, unit):
+    mass = np.sort(np.array([500 + p * unit for p in places]))
+    for rule, want in ((W.AnchorRule(10), plain_anchor(mass, 10)), (W.GapRule(unit * 1.5), W.walk_gap(np.zeros(len(mass), int), mass, unit * 1.5, None)[0])):
+        carry = None
+        for at in range(0, len(mass), width):
+            part = mass[at:at + width]
+            _, alone = rule.walk(np.zeros(len(part), int), part, None)
+            whole = not rule.breaks(part)
+            entries, anchors = rule.steps(part) if whole else ([], [])
+            row = {"first": part[0], "start": alone.start, "entries": entries, "anchors": anchors}
+            carry = W.Open(0, rule.hand(row, carry) if carry is not None and whole else alone.start, float(part[-1]))
+            assert carry.start == want[min(at + width, len(mass)) - 1]
+
+
+def test_dense_cluster_over_64_slices_takes_one_collect(spark, no_coalescing, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.range(20_000).selectExpr("7L AS label", "id AS idx", "500 + id * 0.00001D AS mass")
+    slices, calls, collect = df.repartitionByRange(64, "mass").sortWithinPartitions("mass").checkpoint(), [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: calls.append(1) or collect(self))
+    out = W._slice_starts(slices.select("label", "mass"), W.AnchorRule(10.0))
+    assert len(calls) == 1 and slices.rdd.getNumPartitions() == 64
+    rows = sorted((r["mass"], r["start"]) for r in collect(out))
+    assert np.array_equal([s for _, s in rows], plain_anchor([m for m, _ in rows], 10))
+
+
 @pytest.fixture()
 def no_coalescing(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
