@@ -23,19 +23,27 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Notices as their licenses word them, with the labels of this method.
+# Notices as their licenses word them: label, words, and the words among them that name the license and have to be there.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2 0", "apache"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ""),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general"),
+    ("lgpl", "this work is licensed under the gnu lesser general public license version 3", "gnu lesser"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser"),
+    ("agpl", "this work is licensed under the gnu affero general public license version 3", "gnu affero"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons noderivatives"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
 ]
 THRESHOLD = 0.8
 BLOCK_WORDS, BLOCK_STEP = 64, 32
@@ -55,7 +63,7 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
 
     One partial count per batch is shuffled; what reaches the driver is one row per template token.
     """
-    vocabulary = frozenset(w for _, t in templates for w in t.encode().split())
+    vocabulary = frozenset(w for _, t, _ in templates for w in t.encode().split())
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -73,8 +81,9 @@ class TemplateIndex:
     """Prefix index of the templates in a global token order."""
 
     def __init__(self, order: dict[bytes, int], templates, threshold: float):
-        self.order, self.labels = order, [label for label, _ in templates]
-        self.sets = [frozenset(t.encode().split()) for _, t in templates]
+        self.order, self.labels = order, [label for label, _, _ in templates]
+        self.sets = [frozenset(t.encode().split()) for _, t, _ in templates]
+        self.marks = [frozenset(m.encode().split()) for _, _, m in templates]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, s in enumerate(self.sets):
@@ -82,15 +91,25 @@ class TemplateIndex:
                 self.prefix.setdefault(w, []).append((k, i))
 
     def matches(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """``(template, containment)`` of all templates that the block contains to the threshold."""
+        """``(template, containment)`` of the templates that the block contains to the threshold, their marks included.
+
+        Of two licenses, one whose words in the block are all among the other's, and fewer, is left out: the text
+        has a word more, such as "lesser", that the other license's notice has too.
+        """
         block = sorted(self.order.keys() & set(words), key=self.order.__getitem__)
         met: Counter = Counter()
         for j, w in enumerate(block):
             for k, i in self.prefix.get(w, ()):
                 left = min(len(self.sets[k]) - i - 1, len(block) - j - 1)  # positional filter, with the length filter in it
                 met[k] = met[k] + 1 if met[k] >= 0 and met[k] + 1 + left >= self.need[k] else -len(block) - 1
-        found = [(k, len(self.sets[k].intersection(block)), len(self.sets[k])) for k, n in met.items() if n > 0]
-        return [(k, n / size) for k, n, size in found if n >= self.need[k]]
+        found = [(k, self.sets[k].intersection(block)) for k, n in met.items() if n > 0]
+        found = [(k, own) for k, own in found if len(own) >= self.need[k] and self.marks[k] <= own]
+        return [(k, len(own) / len(self.sets[k])) for k, own in found
+                if not any(own < other and self.labels[k] != self.labels[o] for o, other in found)]
+
+
+def longest_template(templates=TEMPLATES) -> int:
+    return max((len(t.split()) for _, t, _ in templates), default=0)
 
 
 def _places(joined: bytes) -> list[tuple[int, str]]:
@@ -128,7 +147,8 @@ def scan(docs: DataFrame, order: dict[bytes, int], templates=TEMPLATES, threshol
     """``(doc_id, n_words, places, blocks)`` per row: base phrases, and blocks that contain a template.
 
     ``places`` has ``(start, label)`` for every place where a base phrase's words stand consecutively, ``blocks``
-    has ``(start, label, containment)`` for every block and template with a containment of at least ``threshold``.
+    has ``(start, label, containment)`` for every block and template with a containment of at least ``threshold`` that
+    has the template's naming words; of two licenses in a block, the one with only a part of the other's words goes.
     Words count from 0 over the whole text; a block is a line, or overlapping 64 words of a longer line, and also
     overlapping 64 words (more if a template has over 32) of a text of several lines, so that a notice may be wrapped.
 
@@ -140,7 +160,7 @@ def scan(docs: DataFrame, order: dict[bytes, int], templates=TEMPLATES, threshol
     def run(batches: Iterator[pa.RecordBatch]):
         index = TemplateIndex(order, templates, threshold)
         first = index.prefix.keys()
-        longest = max((len(t.split()) for _, t in templates), default=0)
+        longest = longest_template(templates)
         pair = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
         triple = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
         for batch in batches:

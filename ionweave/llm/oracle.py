@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ionweave.llm.common import LOWER, UPPER
-from ionweave.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+from ionweave.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, longest_template
 from ionweave.llm.spelling import DELETE_EVERY, FORM_RATIO, LEAST_COUNT, LEAST_LETTERS
 from ionweave.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
@@ -45,19 +45,24 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PLACES = ", ".join(
     f"list_transform(list_filter(range(len(words)), lambda i: words[i + 1:i + {len(p.split())}] = {_list(p)}), lambda i: {{'at': i, 'label': '{label}'}})"
     for p, label in PHRASES.items())
-_TEMPLATES = ", ".join(f"('{label}', {_list(' '.join(dict.fromkeys(t.split())))})" for label, t in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(' '.join(dict.fromkeys(t.split())))}, {_list(marks)})" for label, t, marks in TEMPLATES)
+_RUN_WORDS = BLOCK_STEP + max(BLOCK_STEP, longest_template())
 
 ORACLE["op1_license_scan"] = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
      w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
      base AS (SELECT doc_id, len(words) AS n_words, flatten([{_PLACES}]) AS places FROM w),
      lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS words FROM w),
-     starts AS (SELECT doc_id, words, unnest(CASE WHEN len(words) > {BLOCK_WORDS}
-                  THEN range(0, greatest(1, len(words) - {BLOCK_STEP}), {BLOCK_STEP}) ELSE [0] END) AS s FROM lines),
-     blocks AS (SELECT doc_id, words[s + 1:s + {BLOCK_WORDS}] AS block FROM starts),
-     templates(label, tokens) AS (VALUES {_TEMPLATES}),
-     shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(block), tokens))::DOUBLE / len(tokens) AS share FROM blocks, templates),
-     found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM shares WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+     wrapped AS (SELECT doc_id, words FROM w WHERE len(words) > len(regexp_extract_all(string_split(t, chr(10))[-1], '{_WORD}'))),
+     starts AS (SELECT doc_id, words, {BLOCK_WORDS} AS size, unnest(CASE WHEN len(words) > {BLOCK_WORDS}
+                  THEN range(0, greatest(1, len(words) - {BLOCK_STEP}), {BLOCK_STEP}) ELSE [0] END) AS s FROM lines
+                UNION ALL SELECT doc_id, words, {_RUN_WORDS}, unnest(range(0, greatest(1, len(words) - {_RUN_WORDS} + {BLOCK_STEP}), {BLOCK_STEP})) FROM wrapped),
+     blocks AS (SELECT doc_id, row_number() OVER () AS block, list_distinct(words[s + 1:s + size]) AS tokens FROM starts),
+     templates(label, tokens, marks) AS (VALUES {_TEMPLATES}),
+     hits AS (SELECT doc_id, block, label, list_intersect(b.tokens, t.tokens) AS own, len(t.tokens) AS size, marks FROM blocks b, templates t),
+     kept AS MATERIALIZED (SELECT * FROM hits WHERE len(own)::DOUBLE / size >= {THRESHOLD} - 1e-9 AND list_has_all(own, marks)),
+     best AS (SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.block = k.block AND o.label <> k.label AND len(o.own) > len(k.own) AND list_has_all(o.own, k.own))),
+     found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(len(own)::DOUBLE / size) AS score FROM best GROUP BY doc_id)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda p: p.at)) AS first_word,
        list_max(list_transform(places, lambda p: p.at)) AS last_word,
        array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') AS base_labels,

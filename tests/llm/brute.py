@@ -30,19 +30,26 @@ def license_base(text):
 
 
 def template_matches(text, templates, threshold):
-    """Labels and best containment over lines, long lines in blocks of 64 words every 32."""
+    """Labels and best containment over lines and, in texts of several lines, over runs of the whole text."""
+    lines = [WORDS.findall(lower(line)) for line in (text or "").split("\n")]
+    words = [w for line in lines for w in line]
+    blocks = []
+    for line in lines:
+        blocks += [line[s:s + 64] for s in (range(0, max(1, len(line) - 32), 32) if len(line) > 64 else [0])]
+    if len(words) > len(lines[-1]):
+        size = 32 + max(32, max(len(t.split()) for _, t, _ in templates))
+        blocks += [words[s:s + size] for s in range(0, max(1, len(words) - size + 32), 32)]
     best, labels = 0.0, set()
-    for line in (text or "").split("\n"):
-        words = WORDS.findall(lower(line))
-        starts = range(0, max(1, len(words) - 32), 32) if len(words) > 64 else [0]
-        for s in starts:
-            block = set(words[s:s + 64])
-            for label, t in templates:
-                t = set(t.split())
-                share = len(t & block) / len(t)
-                if share >= threshold - 1e-9:
-                    labels.add(label)
-                    best = max(best, share)
+    for block in map(set, blocks):
+        hits = []
+        for label, t, marks in templates:
+            t = set(t.split())
+            if len(t & block) / len(t) >= threshold - 1e-9 and set(marks.split()) <= block:
+                hits.append((label, t & block, len(t & block) / len(t)))
+        for label, own, share in hits:
+            if not any(own < other and label != name for name, other, _ in hits):
+                labels.add(label)
+                best = max(best, share)
     return labels, best
 
 

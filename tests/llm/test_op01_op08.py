@@ -79,3 +79,46 @@ def test_secrets_odd_rows(spark):
     found = secrets.scan(docs, secrets.train(docs))
     assert secret_rows(found) == sorted(((i if i != 3 else None, *brute.secret_base(t)[:4]) for i, t in enumerate(ODD_TEXTS)), key=repr)
     assert secrets.scan(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
+
+
+def labels_of(text):
+    words = license_scan.fold(text).split()
+    order = {w: k for k, w in enumerate(sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.encode().split()}))}
+    index = license_scan.TemplateIndex(order, license_scan.TEMPLATES, license_scan.THRESHOLD)
+    return {index.labels[k] for k, _ in index.matches(words)}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under CC BY-NC 4.0", {"cc-by-nc"}),
+    ("released under the apache license", set()),
+    ("released under the bsd license", set()),
+    ("This work is licensed under the GNU Lesser General Public License version 3", {"lgpl"}),
+    ("licensed under the gnu lesser general public license version 3", set()),
+    ("licensed under the mozilla license version 2 0", set()),
+    ("licensed under the eclipse public license version 2 0", set()),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", {"lgpl"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", {"gpl"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by"}),
+])
+def test_licenses_are_told_apart(text, want):
+    assert labels_of(text) == want
+
+
+def test_no_changed_word_makes_another_license():
+    for label, template, marks in license_scan.TEMPLATES:
+        words = template.split()
+        assert labels_of(template) == {label}
+        for at, word in enumerate(words):
+            got = labels_of(" ".join([*words[:at], "other", *words[at + 1:]]))
+            related = {"lgpl": {"gpl"}, "agpl": {"gpl"}, "cc-by-nc": {"cc-by"}, "cc-by-sa": {"cc-by"}, "cc-by-nd": {"cc-by"}}.get(label, set())
+            assert got <= {label} | related
+            assert label not in got or words.count(word) > 1 or word not in marks.split()
+
+
+def test_license_texts_wrapped_over_lines(spark):
+    texts = ["Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files", "x\n" * 40 + "Released under\nthe MIT\nlicense\n" + "y\n" * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_rows(license_scan.scan(docs, license_scan.token_order(docs)))
+    assert got == license_want(list(enumerate(texts)))
+    assert [r[1][5] for r in got] == ["mit", "mit"]
