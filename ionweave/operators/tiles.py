@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.operators.graph import smallest_labels
+from ionweave.operators.tile_index import tile_index
 from ionweave.session import checkpoint, small_rows
 
 TILE_ROWS = 4096
@@ -156,6 +157,26 @@ def nearest(vectors: DataFrame, k: int, block: Sequence[str] = (), carried: Sequ
     return nearest_of_copies(rows, k, ["_all"], carried, floor, tile_rows).drop("_all")
 
 
+def knn_reach(index, inside: DataFrame, k: int, floor: float) -> DataFrame:
+    """``(tile, own)``: the distance within which the ``k`` most similar rows of each row of a tile lie.
+
+    ``inside`` has the neighbours in the own tile.  A similarity of 0 or less says nothing about the distance.
+    """
+    worst = inside.groupBy("vid").agg(F.count("*").alias("n"), F.min("cos").alias("cos"))
+    known = F.when(F.col("n") >= k, F.greatest("cos", F.lit(floor))).otherwise(F.lit(floor))
+    queries = index.rows.filter((F.col("tile") > 0) & (F.col("idx") == F.col("vid"))).select("tile", "vid")
+    least = queries.join(worst, "vid", "left").groupBy("tile").agg(F.min(F.coalesce(known, F.lit(floor))).alias("cos"))
+    own = F.when(F.col("cos") > 0, F.sqrt(F.greatest(2.0 - 2.0 * (F.col("cos") - 1e-8), F.lit(0.0)))).otherwise(float("inf"))
+    reach = least.select("tile", own.alias("own"))
+    return index.tiles.select("tile").join(reach, "tile", "left").select("tile", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
+def radius_pairs(df: DataFrame, block: Sequence[str], row_id: str, tile_rows: int, reach: float) -> DataFrame:
+    """:func:`tile_pairs` without the pairs of tiles that have no rows within ``reach`` of each other."""
+    index = tile_index(df, block, row_id, tile_rows)
+    return tile_pairs(df, block, row_id, tile_rows) if index is None else index.dealt(index.pairs(F.lit(reach)))
+
+
 def nearest_of_copies(rows: DataFrame, k: int, block: Sequence[str], carried: Sequence[str], floor: float,
                       tile_rows: int = TILE_ROWS) -> DataFrame:
     """:func:`nearest` for rows that carry ``vid`` and ``copy``."""
@@ -165,8 +186,16 @@ def nearest_of_copies(rows: DataFrame, k: int, block: Sequence[str], carried: Se
     fields = {f.name: f.dataType.simpleString() for f in candidates.schema}
     schema = ", ".join([f"{b} {fields[b]}" for b in block] + ["vid long", "j long", "cos double"]
                        + [f"{c}_j {fields[c]}" for c in carried])
-    partial = (tile_pairs(candidates, block, "idx", tile_rows).groupBy(*block, "ta", "tb")
-               .applyInArrow(_knn_kernel(block, carried, k + 1, floor), schema))
+    kernel = _knn_kernel(block, carried, k + 1, floor)
+    index = tile_index(candidates, block, "idx", tile_rows)
+    if index is None:
+        partial = tile_pairs(candidates, block, "idx", tile_rows).groupBy(*block, "ta", "tb").applyInArrow(kernel, schema)
+    else:
+        # every tile with itself first: the worst of the best k + 1 bounds how far the others have to be looked for
+        alone = index.rows.withColumn("ta", F.col("tile")).withColumn("tb", F.col("tile"))
+        inside = checkpoint(alone.groupBy(*block, "ta", "tb").applyInArrow(kernel, schema))
+        pairs = index.pairs(F.greatest("own", "other_own"), knn_reach(index, inside, k + 1, floor)).filter("ta < tb")
+        partial = inside.unionByName(index.dealt(pairs, own=False).groupBy(*block, "ta", "tb").applyInArrow(kernel, schema))
     ranked = Window.partitionBy(*block, "vid").orderBy(F.desc("cos"), "j")
     found = partial.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k + 1)
     # at most k + 1 entries per vector
@@ -252,6 +281,7 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
     block = list(block) or ["_all"]
     if whole:
         vectors = vectors.withColumn("_all", F.lit(0))
+    reach = (2.0 * max(limit, 0.0)) ** 0.5 if cosine else limit
     keys = [*block, "embedding"]
     distinct = checkpoint(vectors.groupBy(*keys).agg(F.min("idx").alias("vid"), F.count("*").alias("copies")))
     rows = vectors.join(distinct, keys).select(*block, "idx", "vid", "copies")
@@ -262,7 +292,7 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
     else:
         fields = {f.name: f.dataType.simpleString() for f in distinct.schema}
         schema = ", ".join([f"{b} {fields[b]}" for b in block] + ["vid long", "degree long"])
-        degrees = (tile_pairs(distinct, block, "vid", tile_rows).groupBy(*block, "ta", "tb")
+        degrees = (radius_pairs(distinct, block, "vid", tile_rows, reach).groupBy(*block, "ta", "tb")
                    .applyInArrow(_degree_kernel(block, limit, cosine), schema)
                    .groupBy("vid").agg(F.sum("degree").alias("degree")))
         degrees = checkpoint(degrees)
@@ -270,7 +300,7 @@ def reach_links(vectors: DataFrame, limit: float, block: Sequence[str] = (), min
         rows = rows.join(degrees, "vid").withColumn("core", core).drop("degree")
         # a row in reach of nothing but its copies takes no part in the second pass
         active = distinct.join(degrees, "vid").withColumn("core", core).filter(F.col("degree") > F.col("copies"))
-    links = (tile_pairs(active, block, "vid", tile_rows).groupBy(*block, "ta", "tb")
+    links = (radius_pairs(active, block, "vid", tile_rows, reach).groupBy(*block, "ta", "tb")
              .applyInArrow(_forest_kernel(limit, cosine), "src long, dst long"))
     rows = rows.drop("copies")
     return (rows.drop("_all") if whole else rows), links

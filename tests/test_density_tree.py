@@ -72,8 +72,36 @@ def test_large_block_route_equals_single_task(spark, min_samples):
     one = dict(map(tuple, T.hdbscan_blocks(df, ["part"], min_samples=min_samples).collect()))
     two = dict(map(tuple, T.hdbscan_blocks(df, ["part"], min_samples=min_samples, block_rows=10, tile_rows=40).collect()))
     assert one == two and len(one) == 190
-    with pytest.raises(NotImplementedError):
-        T.hdbscan_blocks(df, ["part"], min_size=3, block_rows=10)
+
+
+@pytest.mark.parametrize("min_size, method", [(4, "leaf"), (2, "eom"), (5, "eom")])
+def test_contracted_tree_equals_single_task(spark, min_size, method):
+    rng = np.random.default_rng(min_size)
+    x = np.concatenate([rng.normal(size=(60, 2)), rng.normal(size=(30, 2)) * 0.1 + rng.integers(0, 6, (30, 2)), np.cumsum(rng.random((40, 2)), 0) / 10])
+    x = np.concatenate([x, x[:10]])
+    ids = rng.permutation(5000)[:len(x)]
+    df = spark.createDataFrame([(int(i % 2), int(i), [float(v) for v in r]) for i, r in zip(ids, x)],
+                               "part int, vertex long, embedding array<double>")
+    one = dict(map(tuple, T.hdbscan_blocks(df, ["part"], min_size, method=method).collect()))
+    two = dict(map(tuple, T.hdbscan_blocks(df, ["part"], min_size, method=method, block_rows=10, tile_rows=60).collect()))
+    assert one == two and len({*one.values()}) > 2
+
+
+def test_running_values_cross_slices(spark):
+    from ionweave.operators.scan import NEVER, Running, running
+    from ionweave.session import sorted_slices
+
+    rng = np.random.default_rng(0)
+    rows = [(int(g), i, float(rng.normal()), float(rng.normal()) if rng.random() < 0.3 else NEVER) for i, g in enumerate(np.sort(rng.integers(0, 4, 400)))]
+    slices = sorted_slices(spark.createDataFrame(rows, "seg long, i long, add double, least double").repartition(7), "seg", "i")
+    got = {r["i"]: r for r in running(slices, "seg", [Running("y", "add", "least"), Running("s", "add")]).collect()}
+    seg = y = s = None
+    for g, i, add, least in rows:
+        if g != seg:
+            seg, y, s = g, 0.0, 0.0
+        assert (got[i]["y_before"], got[i]["s_before"]) == pytest.approx((y, s))
+        y, s = max(least, y + add), s + add
+        assert (got[i]["y"], got[i]["s"]) == pytest.approx((y, s))
 
 
 def test_votes_need_agreement(spark):
