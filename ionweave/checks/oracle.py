@@ -576,9 +576,11 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["hdbscan_refine_distributed"] = ORACLE["hdbscan_refine"]
 for _name, _least, _method in (("hdbscan_leaf_five", 5, "leaf"), ("hdbscan_mass", 2, "eom"), ("hdbscan_mass_five", 5, "eom")):
-    ORACLE[_name] = ORACLE[f"{_name}_distributed"] = _with(
+    ORACLE[_name] = _with(
         "fx_vectors", "hrows AS (SELECT label AS block, idx AS vertex, embedding FROM fx_vectors)", *_condensed("hrows", _least, _method),
         select="SELECT h.vertex, coalesce(l.label, -1) AS label FROM hrows h LEFT JOIN found l ON l.vertex = h.vertex")
+for _name in ("hdbscan_leaf_five", "hdbscan_mass_five"):
+    ORACLE[f"{_name}_distributed"] = ORACLE[_name]
 ORACLE["bin_lsh_codes"] = _with(
     "fx_peaks", SUP_TOP.format(peaks="fx_peaks"), BINS, BIN_CODES,
     select="SELECT idx, cast(r AS int) AS rep, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END)::bigint AS code FROM signs GROUP BY idx, r")

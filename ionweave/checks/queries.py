@@ -452,19 +452,20 @@ def hdbscan_refine_distributed(spark, d):
     return hdbscan_blocks(v.select("label", F.col("idx").alias("vertex"), "embedding"), ["label"], block_rows=20, tile_rows=64)
 
 
-def _condensed(name: str, min_size: int, method: str) -> None:
-    """The two routes for one minimum size and selection: one task per block, and tile-pair trees contracted by joins."""
+def _condensed(name: str, min_size: int, method: str, both: bool = True) -> None:
+    """The routes for one minimum size and selection: one task per block, and tile-pair trees contracted by joins."""
 
     def blocks(spark, d, **limits):
         v = _vectors(spark, d).select("label", F.col("idx").alias("vertex"), "embedding")
         return hdbscan_blocks(v, ["label"], min_size, method=method, **limits)
 
     QUERIES[name] = blocks
-    QUERIES[f"{name}_distributed"] = lambda spark, d: blocks(spark, d, block_rows=20, tile_rows=64)
+    if both:
+        QUERIES[f"{name}_distributed"] = lambda spark, d: blocks(spark, d, block_rows=20, tile_rows=64)
 
 
 _condensed("hdbscan_leaf_five", 5, "leaf")
-_condensed("hdbscan_mass", 2, "eom")
+_condensed("hdbscan_mass", 2, "eom", both=False)
 _condensed("hdbscan_mass_five", 5, "eom")
 
 

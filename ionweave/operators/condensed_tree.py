@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ionweave.operators.graph import connected_components
 from ionweave.operators.scan import NEVER, Running, running
-from ionweave.session import checkpoint, sorted_slices
+from ionweave.session import sorted_slices, written
 
 #: A parent whose own weight falls short of its children's by no more than this share of it is kept, as at equality.
 TIE = 1e-9
@@ -55,21 +55,21 @@ def contract(edges: DataFrame) -> Level:
     low = _ends(edges).groupBy("node").agg(F.min("r").alias("low"))
     judged = (edges.join(low.withColumnsRenamed({"node": "x", "low": "low_x"}), "x")
               .join(low.withColumnsRenamed({"node": "y", "low": "low_y"}), "y"))
-    judged = checkpoint(judged.withColumn("branch", (F.col("low_x") < F.col("r")) & (F.col("low_y") < F.col("r"))))
-    parts = checkpoint(connected_components(judged.filter("not branch").select(F.col("x").alias("src"), F.col("y").alias("dst"))))
+    judged = written(judged.withColumn("branch", (F.col("low_x") < F.col("r")) & (F.col("low_y") < F.col("r"))))
+    parts = written(connected_components(judged.filter("not branch").select(F.col("x").alias("src"), F.col("y").alias("dst"))))
     closed = _ends(judged.filter("branch")).join(parts, "node").groupBy("component").agg(F.min("r").alias("closed"))
     leaves = judged.select(F.col("x").alias("node"), "r", (F.col("low_x") == F.col("r")).alias("leaf")).unionByName(
         judged.select(F.col("y").alias("node"), "r", (F.col("low_y") == F.col("r")).alias("leaf"))).filter("leaf")
     taken = leaves.join(parts, "node").join(closed, "component", "left").filter(F.col("closed").isNull() | (F.col("r") < F.col("closed")))
     names = taken.groupBy("component").agg(F.min("node").alias("piece"), F.first("closed").alias("closed"))
-    absorbed = checkpoint(taken.select("component", "node", "r").join(names, "component").select("node", "piece", "r", "closed"))
+    absorbed = written(taken.select("component", "node", "r").join(names, "component").select("node", "piece", "r", "closed"))
     moved = absorbed.select("node", "piece")
     rest = edges.join(absorbed.select("r").distinct(), "r", "left_anti")
     for side in ("x", "y"):
         rest = (rest.join(moved.withColumnRenamed("node", side), side, "left")
                 .withColumn(side, F.coalesce("piece", side)).drop("piece"))
     ends = absorbed.filter("closed is not null").select("piece", "closed").distinct()
-    return Level(absorbed.drop("closed"), checkpoint(rest.select("x", "y", "r")), ends)
+    return Level(absorbed.drop("closed"), written(rest.select("x", "y", "r")), ends)
 
 
 def reach_ranks(tree: DataFrame, min_size: int) -> DataFrame:
@@ -80,29 +80,29 @@ def reach_ranks(tree: DataFrame, min_size: int) -> DataFrame:
     edges = tree.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("r"))
     if min_size <= 2:
         return _ends(edges).groupBy(F.col("node").alias("vertex")).agg(F.min("r").alias("t"))
-    edges = checkpoint(edges)
+    edges = written(edges)
     where = _ends(edges).select(F.col("node").alias("vertex"), "node").distinct()
-    sizes = checkpoint(where.select("node", F.lit(1).cast("long").alias("n")))
-    where, found = checkpoint(where), None
+    sizes = written(where.select("node", F.lit(1).cast("long").alias("n")))
+    where, found = written(where), None
     while not edges.isEmpty():
         level = contract(edges)
         members = level.absorbed.join(sizes, "node")
         steps = members.groupBy("piece", "r").agg(F.sum("n").cast("double").alias("more"))
         grown = running(sorted_slices(steps, "piece", "r"), "piece", [Running("size", "more")])
-        pieces = checkpoint(grown.groupBy("piece").agg(F.min(F.when(F.col("size") >= min_size, F.col("r"))).alias("crossing"),
+        pieces = written(grown.groupBy("piece").agg(F.min(F.when(F.col("size") >= min_size, F.col("r"))).alias("crossing"),
                                                        F.max("size").cast("long").alias("n")))
         told = (members.filter(F.col("n") < min_size).join(pieces.select("piece", "crossing"), "piece").filter("crossing is not null")
                 .select("node", F.when(F.col("r") < F.col("crossing"), F.col("crossing")).otherwise(F.col("r")).alias("t")))
-        told = checkpoint(where.join(told, "node").select("vertex", "t", "node"))
+        told = written(where.join(told, "node").select("vertex", "t", "node"))
         found = told.drop("node") if found is None else found.unionByName(told.drop("node"))
         moved = level.absorbed.select("node", "piece")
-        where = checkpoint(where.join(told.select("vertex"), "vertex", "left_anti").join(moved, "node", "left")
+        where = written(where.join(told.select("vertex"), "vertex", "left_anti").join(moved, "node", "left")
                            .select("vertex", F.coalesce("piece", "node").alias("node")))
-        sizes = checkpoint(sizes.join(moved, "node", "left_anti").unionByName(pieces.select(F.col("piece").alias("node"), "n")))
+        sizes = written(sizes.join(moved, "node", "left_anti").unionByName(pieces.select(F.col("piece").alias("node"), "n")))
         small = sizes.filter(F.col("n") < min_size).select("node")
         open_ = level.rest.join(small.withColumnsRenamed({"node": "x"}).withColumn("sx", F.lit(True)), "x", "left")
         open_ = open_.join(small.withColumnsRenamed({"node": "y"}).withColumn("sy", F.lit(True)), "y", "left")
-        edges = checkpoint(open_.filter("sx or sy").select("x", "y", "r"))
+        edges = written(open_.filter("sx or sy").select("x", "y", "r"))
     if found is None:
         return where.select("vertex", F.lit(None).cast(tree.select(F.struct("w", "a", "b")).schema[0].dataType).alias("t")).limit(0)
     return found
@@ -110,17 +110,17 @@ def reach_ranks(tree: DataFrame, min_size: int) -> DataFrame:
 
 def _pieces(tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """Rows ``(vertex, t, piece)``, and the edges ``(x, y, r)`` that join two clusters, between pieces."""
-    reached = checkpoint(reach_ranks(tree, min_size))
+    reached = written(reach_ranks(tree, min_size))
     rank = F.struct("w", "a", "b")
     judged = (tree.join(reached.withColumnsRenamed({"vertex": "a", "t": "ta"}), "a")
               .join(reached.withColumnsRenamed({"vertex": "b", "t": "tb"}), "b")
               .withColumn("joins", (F.col("ta") < rank) & (F.col("tb") < rank)))
-    judged = checkpoint(judged)
+    judged = written(judged)
     parts = connected_components(judged.filter("not joins").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    parts = checkpoint(parts.select(F.col("node").alias("vertex"), F.col("component").alias("piece")))
+    parts = written(parts.select(F.col("node").alias("vertex"), F.col("component").alias("piece")))
     ends = parts.withColumnsRenamed({"vertex": "a", "piece": "x"}), parts.withColumnsRenamed({"vertex": "b", "piece": "y"})
     joins = judged.filter("joins").select("a", "b", rank.alias("r")).join(ends[0], "a").join(ends[1], "b")
-    return checkpoint(reached.join(parts, "vertex")), checkpoint(joins.select("x", "y", "r"))
+    return written(reached.join(parts, "vertex")), written(joins.select("x", "y", "r"))
 
 
 def _named(rows: DataFrame, cluster: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _climb(nodes: DataFrame, events: DataFrame, edges: DataFrame, number: int):
     level = contract(edges)
     closing = level.absorbed.join(nodes, "node").withColumn("own", F.col("total") - weight(F.col("r")) * F.col("size"))
     closing = closing.withColumn("keep", _kept(F.col("own"), F.col("below")))
-    closing = checkpoint(closing.withColumn("worth", F.when(F.col("keep"), F.col("own")).otherwise(F.col("below"))))
+    closing = written(closing.withColumn("worth", F.when(F.col("keep"), F.col("own")).otherwise(F.col("below"))))
     at_edges = closing.groupBy("piece", "r").agg(F.sum("size").alias("more"), F.sum("worth").alias("more_worth"), F.lit(1.0).alias("edge"))
     pending = events.join(level.absorbed.select("node", "piece"), "node").join(level.closed, "piece", "left")
     now = pending.filter(F.col("closed").isNull() | (F.col("t") < F.col("closed"))).select("piece", "t", "n")
@@ -170,7 +170,7 @@ def _climb(nodes: DataFrame, events: DataFrame, edges: DataFrame, number: int):
     total = running(sized, "piece", [Running("total", "add_total", "open_total")])
     own = F.when(edge & (F.col("k") > 1), F.col("total_before") - lam * F.col("size_before")).otherwise(NEVER)
     total = total.withColumn("own", own).withColumn("least", F.col("own") + F.col("more_worth"))
-    steps = checkpoint(running(total, "piece", [Running("below", "more_worth", "least")]))
+    steps = written(running(total, "piece", [Running("below", "more_worth", "least")]))
     last = F.max_by(F.struct("size", "total", "below", "k"), F.struct("r"))
     tops = steps.groupBy("piece").agg(last.alias("s")).select(
         F.col("piece").alias("node"), _cluster(number, "piece", F.col("s.k")).alias("cluster"), "s.size", "s.total", "s.below")
@@ -181,8 +181,8 @@ def _climb(nodes: DataFrame, events: DataFrame, edges: DataFrame, number: int):
     chain = _Chain(judged, taken.select("node", "piece", "k", "cluster", "keep"), done)
     moved = level.absorbed.select("node", "piece")
     left = events.join(moved, "node", "left").withColumn("node", F.coalesce("piece", "node")).drop("piece")
-    left = checkpoint(left.join(now.select("t"), "t", "left_anti"))
-    nodes = checkpoint(nodes.join(moved, "node", "left_anti").unionByName(tops))
+    left = written(left.join(now.select("t"), "t", "left_anti"))
+    nodes = written(nodes.join(moved, "node", "left_anti").unionByName(tops))
     return chain, nodes, left, level.rest
 
 
@@ -190,10 +190,10 @@ def mass_clusters(tree: DataFrame, min_size: int) -> DataFrame:
     """Clusters by excess of mass from spanning-tree edges, as ``(vertex, label)``; the top cluster is not selected."""
     rows, edges = _pieces(tree, max(2, min_size))
     closed = _ends(edges).groupBy(F.col("node").alias("piece")).agg(F.min("r").alias("closed"))
-    rows = checkpoint(rows.join(closed, "piece", "left").withColumn("inside", F.col("closed").isNull() | (F.col("t") < F.col("closed"))))
+    rows = written(rows.join(closed, "piece", "left").withColumn("inside", F.col("closed").isNull() | (F.col("t") < F.col("closed"))))
     leaves = rows.filter("inside").groupBy("piece").agg(F.count("*").cast("double").alias("size"), F.sum(weight(F.col("t"))).alias("total"))
-    nodes = checkpoint(leaves.select(F.col("piece").alias("node"), _cluster(0, "piece", F.lit(0)).alias("cluster"), "size", "total", F.lit(0.0).alias("below")))
-    events = checkpoint(rows.filter("not inside").groupBy(F.col("piece").alias("node"), "t").agg(F.count("*").alias("n")))
+    nodes = written(leaves.select(F.col("piece").alias("node"), _cluster(0, "piece", F.lit(0)).alias("cluster"), "size", "total", F.lit(0.0).alias("below")))
+    events = written(rows.filter("not inside").groupBy(F.col("piece").alias("node"), "t").agg(F.count("*").alias("n")))
     chains = []
     while not edges.isEmpty():
         chain, nodes, events, edges = _climb(nodes, events, edges, len(chains) + 1)
@@ -214,7 +214,7 @@ def mass_clusters(tree: DataFrame, min_size: int) -> DataFrame:
             "node", F.coalesce(choice("k"), F.when(F.col("keep"), F.col("cluster"))).alias("chosen"))
         met = chain.events.join(own, "piece").select("t", choice("k").alias("chosen")).filter("chosen is not null")
         late = met if late is None else late.unionByName(met)
-        chosen = checkpoint(chosen.join(chain.steps.select(F.col("piece").alias("node")), "node", "left_anti").unionByName(taken))
+        chosen = written(chosen.join(chain.steps.select(F.col("piece").alias("node")), "node", "left_anti").unionByName(taken))
     inside = rows.filter("inside").join(chosen.filter("chosen is not null").withColumnRenamed("node", "piece"), "piece").select("vertex", "chosen")
     if late is not None:
         inside = inside.unionByName(rows.filter("not inside").join(late, "t").select("vertex", "chosen"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ionweave.operators.condensed_tree import TIE, leaf_clusters, mass_clusters
 from ionweave.operators.graph import connected_components
 from ionweave.operators.tiles import COSINE_DIGITS, matrix, tile_pairs
-from ionweave.session import checkpoint
+from ionweave.session import written
 
 BLOCK_ROWS = 5_000
 TREE_TILE_ROWS = 2_048
@@ -195,11 +195,11 @@ def distributed_tree(rows: DataFrame, block: Sequence[str], min_samples: int = 1
         stars = None
     found = (tile_pairs(points, block, "vertex", tile_rows).groupBy(*block, "ta", "tb")
              .applyInArrow(_tree_kernel(), "a long, b long, w double"))
-    pool = checkpoint(found.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")))
+    pool = written(found.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")))
     tree = None
     while True:
         both = pool.select("ca", "w", "a", "b").union(pool.select(F.col("cb"), "w", "a", "b"))
-        picked = checkpoint(both.groupBy("ca").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        picked = written(both.groupBy("ca").agg(F.min(F.struct("w", "a", "b")).alias("e"))
                             .select("e.w", "e.a", "e.b").distinct())
         if picked.isEmpty():
             break
@@ -210,7 +210,7 @@ def distributed_tree(rows: DataFrame, block: Sequence[str], min_samples: int = 1
         pool = (pool.join(parts.select(F.col("node").alias("ca"), F.col("component").alias("na")), "ca")
                 .join(parts.select(F.col("node").alias("cb"), F.col("component").alias("nb")), "cb")
                 .filter("na <> nb").select("a", "b", "w", F.col("na").alias("ca"), F.col("nb").alias("cb")))
-        pool = checkpoint(pool)
+        pool = written(pool)
     edges = found.limit(0) if tree is None else tree.select("a", "b", "w")
     return edges if stars is None else edges.unionByName(stars)
 
@@ -263,7 +263,7 @@ def hdbscan_blocks(rows: DataFrame, block: Sequence[str], min_size: int = 2, min
         return rows.groupBy(*block).applyInArrow(kernel, "vertex long, label long")
     small = rows.join(large, block, "left_anti").groupBy(*block).applyInArrow(kernel, "vertex long, label long")
     big = rows.join(large, block, "left_semi")
-    tree = checkpoint(distributed_tree(big, block, min_samples, tile_rows))
+    tree = written(distributed_tree(big, block, min_samples, tile_rows))
     found = leaf_clusters(tree, min_size) if method == "leaf" else mass_clusters(tree, min_size)
     big = big.select("vertex").join(found, "vertex", "left").select(
         "vertex", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
@@ -279,7 +279,7 @@ def vote_components(parts: DataFrame, repeats: int, min_votes: int) -> DataFrame
     the rows, and no pair is ever listed.  Parts of any size vote.  The number of choices,
     ``repeats`` over ``min_votes``, is set by the two settings and not by the data.
     """
-    wide = checkpoint(parts.groupBy("idx").pivot("rep", list(range(repeats))).agg(F.first("part")))
+    wide = written(parts.groupBy("idx").pivot("rep", list(range(repeats))).agg(F.first("part")))
     choices = F.array(*[
         F.when(F.concat(*[F.col(str(r)).isNotNull().cast("string") for r in pick]) == "true" * len(pick),
                F.struct(F.lit(n).alias("choice"), F.array(*[F.col(str(r)) for r in pick]).alias("parts")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.session import checkpoint
+from ionweave.session import written
 
 #: At most this many links are finished in one task; more are handled by the rounds.
 FINISH_LINKS = 1_000_000
@@ -80,10 +80,10 @@ def connected_components(links: DataFrame, finish_links: int = FINISH_LINKS) ->
     A remainder of proven small size is then finished in one task; a larger one goes
     through alternating rounds that attach the larger, then the smaller neighbours of a
     node to the smallest one (large-star and small-star, Kiveris et al. 2014).  Each
-    round is checkpointed.
+    round is written as a table.
     """
     pairs = links.select(F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v"))
-    state = checkpoint(_lower(pairs.filter("u <> v")).mapInArrow(_contract(CONTRACT_LINKS), "u long, v long"))
+    state = written(_lower(pairs.filter("u <> v")).mapInArrow(_contract(CONTRACT_LINKS), "u long, v long"))
     if state.limit(finish_links + 1).count() <= finish_links:
         stars = state.coalesce(1).mapInArrow(_contract(finish_links + 1), "u long, v long")
     else:
@@ -93,12 +93,12 @@ def connected_components(links: DataFrame, finish_links: int = FINISH_LINKS) ->
             low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
             large = (both.filter(F.col("v") > F.col("u")).join(low, "u")
                      .select(F.col("v").alias("u"), F.col("m").alias("v")))
-            large = checkpoint(_lower(large))
+            large = written(_lower(large))
             low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = (large.join(low, "u").select("v", "m").filter("v <> m")
                      .select(F.col("v").alias("u"), F.col("m").alias("v"))
                      .union(low.select("u", F.col("m").alias("v"))))
-            state = checkpoint(_lower(small))
+            state = written(_lower(small))
             sign = state.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"),
                              F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
             if sign == before:

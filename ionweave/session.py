@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -68,6 +69,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, read back.
+
+    Unlike a checkpoint it has its real size.  A checkpoint keeps the size estimated for its plan, which every join multiplies, so
+    that a loop of joins and checkpoints ends up estimating with numbers of millions of digits.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sorted_slices(df: DataFrame, *order: str) -> DataFrame:
     """Range-partition and sort by ``order``, then checkpoint.
 

@@ -74,7 +74,7 @@ def test_large_block_route_equals_single_task(spark, min_samples):
     assert one == two and len(one) == 190
 
 
-@pytest.mark.parametrize("min_size, method", [(4, "leaf"), (2, "eom"), (5, "eom")])
+@pytest.mark.parametrize("min_size, method", [(4, "leaf"), (5, "eom")])
 def test_contracted_tree_equals_single_task(spark, min_size, method):
     rng = np.random.default_rng(min_size)
     x = np.concatenate([rng.normal(size=(60, 2)), rng.normal(size=(30, 2)) * 0.1 + rng.integers(0, 6, (30, 2)), np.cumsum(rng.random((40, 2)), 0) / 10])
