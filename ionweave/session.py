@@ -90,12 +90,12 @@ def sorted_slices(df: DataFrame, *order: str) -> DataFrame:
     return checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order))
 
 
-def ordered_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
-    """Add a dense 0-based position in the total order given by ``order``.
+def dense_positions(fixed: DataFrame, name: str = "pos") -> DataFrame:
+    """Number the rows of a checkpointed table from 0, in the order of its partitions.
 
-    Only one count per slice reaches the driver; no single task sees all rows.
+    Only one count per partition reaches the driver.
     """
-    slices = sorted_slices(df, *order).withColumn("_mid", F.monotonically_increasing_id())
+    slices = fixed.withColumn("_mid", F.monotonically_increasing_id())
     slice_id = F.shiftright("_mid", 33)
     counts = {
         row["_slice"]: row["_n"]
@@ -112,6 +112,11 @@ def ordered_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return slices.withColumn(name, base + within).drop("_mid")
 
 
+def ordered_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """Add a dense 0-based position in the total order given by ``order``; no single task sees all rows."""
+    return dense_positions(sorted_slices(df, *order), name)
+
+
 def small_rows(df: DataFrame, max_rows: int):
     """``(count, local)``: the rows as a local, size-checked DataFrame.
 

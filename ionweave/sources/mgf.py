@@ -6,7 +6,9 @@ split over many tasks.  Parsing is column expressions only.
 
 from __future__ import annotations
 
-from typing import Sequence
+import re
+from typing import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,23 @@ def read_records(spark: SparkSession, files: Sequence[str], start: str = RECORD_
         F.col("_metadata.file_block_start").alias("split_start"))
 
 
+def file_ranks(files: Sequence[str], seen: Iterable[str]) -> dict[str, int]:
+    """Place of every path in ``seen``, as Spark names it, among ``files``, as they were given.
+
+    A path given without scheme and host is found by the end of the full one; files of one name in two folders keep their order.
+    """
+    def plain(path: str) -> str:
+        return re.sub("^file:/+", "/", path)
+
+    given = {plain(f): n for n, f in reversed(list(enumerate(files)))}
+
+    def place(path: str) -> int:
+        full = plain(unquote(path))
+        return given[full] if full in given else min((n for f, n in given.items() if full.endswith(f)), default=len(given))
+
+    return {path: place(path) for path in seen}
+
+
 def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int = None,
              count_empty: bool = False, keep_corrupt: bool = False, start: str = RECORD_START) -> DataFrame:
     """Spectra ``(idx, scan_id, title, scans, precursor_mz, precursor_charge, mz, intensity, rt, source_file)``.
@@ -117,7 +136,6 @@ def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int
     with none in capitals is then one record.
     """
     files = expand_paths(spark, paths)
-    named = [spark._jvm.org.apache.hadoop.fs.Path(f).getName() for f in files]
     parsed = parse_blocks(split_records(read_records(spark, files, start)))
     if not count_empty:
         parsed = parsed.filter(F.size("mz") > 0)
@@ -125,8 +143,8 @@ def read_mgf(spark: SparkSession, paths, quality: tuple = None, max_spectra: int
     parsed = checkpoint(parsed.withColumn("_mid", F.monotonically_increasing_id()))
     splits = (parsed.groupBy("file_path", "split_start").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
               .collect())  # one row per file split
-    rank = {name: n for n, name in reversed(list(enumerate(named)))}
-    splits.sort(key=lambda r: (rank.get(r["file_path"].rsplit("/", 1)[-1], len(rank)), r["file_path"], r["split_start"]))
+    rank = file_ranks(files, {r["file_path"] for r in splits})
+    splits.sort(key=lambda r: (rank[r["file_path"]], r["file_path"], r["split_start"]))
     rows, total, before, current = [], 0, 0, None
     for r in splits:
         before = before if r["file_path"] == current else 0

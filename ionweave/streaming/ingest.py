@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ionweave.config import ClusterConfig
 from ionweave.functions import peaks as P
 from ionweave.operators.encode import encode
-from ionweave.session import checkpoint
+from ionweave.session import checkpoint, dense_positions
 from ionweave.sources.mgf import RECORD_START, parse_blocks, split_records, with_start
 
+#: Rows of a batch have numbers below 2^33.
+BATCH_SHIFT = 33
+
 
 def spectra_stream(spark: SparkSession, folder: str, cfg: ClusterConfig = ClusterConfig(),
                    start: str = RECORD_START) -> DataFrame:
@@ -33,13 +36,14 @@ def start_ingest(spark: SparkSession, folder: str, target: str, state: str, cfg:
                  once: bool = True):
     """Append spectra with their vectors to the parquet table ``target``.
 
-    An id is batch, task and position: equal spectra stay apart, and a repeated batch replaces its own rows.
+    An id is the batch in the upper 30 bits and a dense number in the batch in the lower 33: equal spectra stay apart, however
+    many tasks a batch has, and a repeated batch replaces its own rows.
     """
     spectra = spectra_stream(spark, folder, cfg)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        number = F.monotonically_increasing_id() + F.lit(batch_id << 45).cast("bigint")
-        numbered = checkpoint(batch.withColumn("idx", number))  # the vectors must meet the same numbers
+        fixed = checkpoint(batch)  # the vectors must meet the same numbers
+        numbered = dense_positions(fixed, "idx").withColumn("idx", F.col("idx") + F.lit(batch_id << BATCH_SHIFT).cast("bigint"))
         rows = numbered.join(encode(numbered, cfg), "idx")
         # one folder per batch: a repeated batch replaces its own output
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")

@@ -117,6 +117,15 @@ def test_streamed_files_are_encoded_once(spark, files):
     start_ingest(*args).awaitTermination()
     table = spark.read.parquet(str(files / "table"))
     assert table.count() == 10 and table.select("idx").distinct().count() == 10
+    numbers = {b: sorted(r["idx"] - (b << 33) for r in table.filter(f"batch = {b}").collect()) for b in (0, 1)}
+    assert numbers == {0: list(range(9)), 1: [0]}
+
+
+def test_positions_are_dense_over_many_partitions(spark):
+    from ionweave.session import checkpoint, dense_positions
+
+    out = dense_positions(checkpoint(spark.range(500).repartition(37).filter("id % 7 <> 0")), "n").select("n").collect()
+    assert sorted(r["n"] for r in out) == list(range(len(out)))
 
 
 # --- training ----------------------------------------------------------------------

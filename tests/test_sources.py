@@ -162,3 +162,16 @@ def test_command_line_settings():
     assert cli.cluster_settings(args).use_transformer
     with pytest.raises(SystemExit):
         cli.cluster_settings(cli.parser().parse_args(["cluster", "--set", "nothing=1"]))
+
+
+def test_files_of_one_name_keep_the_order_they_were_given_in(spark, tmp_path):
+    from ionweave.sources.mgf import file_ranks, read_mgf
+
+    paths = []
+    for folder, title in (("z", "first"), ("a b", "second")):
+        (tmp_path / folder).mkdir()
+        path = tmp_path / folder / "run.mgf"
+        path.write_text(f"BEGIN IONS\nTITLE={title}\nPEPMASS=500\n100 1\n200 2\nEND IONS\n")
+        paths.append(str(path))
+    assert [r["scan_id"] for r in read_mgf(spark, paths).orderBy("idx").collect()] == ["first", "second"]
+    assert file_ranks(["hdfs://n/b/x.mgf", "/a/x.mgf"], ["hdfs://n/a/x.mgf", "hdfs://n/b/x.mgf"]) == {"hdfs://n/a/x.mgf": 1, "hdfs://n/b/x.mgf": 0}
