@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ionweave.llm.common import LOWER, UPPER
 from ionweave.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, longest_template
+from ionweave.llm.mixing import DRAW_RATE
 from ionweave.llm.spelling import DELETE_EVERY, FORM_RATIO, LEAST_COUNT, LEAST_LETTERS
 from ionweave.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
@@ -25,16 +26,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-ORACLE["op3_mixing"] = """
+ORACLE["op3_mixing"] = f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY source),
      total AS (SELECT sum(chars) AS c, sum(pow(chars, 0.5)) AS w FROM sizes),
-     rates AS (SELECT source, least(round(pow(chars, 0.5) / w * c / chars, 9), 200.0) AS rate FROM sizes, total),
-     steps AS (SELECT source, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k, rate FROM rates),
-     cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p FROM steps),
-     tables AS (SELECT source, list(p) AS cdf FROM cdf GROUP BY source),
-     drawn AS (SELECT d.*, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT::DOUBLE / pow(16, 13))) AS n
-               FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM drawn"""
+     rates AS (SELECT source, CASE WHEN chars > 0 THEN round(pow(chars, 0.5) / w * c / chars, 9) ELSE 0.0::DOUBLE END AS rate FROM sizes, total),
+     means AS (SELECT source, greatest(1, ceil(rate / {DRAW_RATE}::DOUBLE))::BIGINT AS draws, rate / greatest(1, ceil(rate / {DRAW_RATE}::DOUBLE)) AS mean FROM rates),
+     steps AS (SELECT source, draws, mean, unnest(range(0, cast(ceil(mean + 12 * sqrt(mean) + 30) AS BIGINT) + 1)) AS k FROM means),
+     cdf AS (SELECT source, draws, sum(CASE WHEN mean > 0 THEN exp(k * ln(mean) - mean - lgamma(k + 1)) ELSE (k = 0)::DOUBLE END)
+               OVER (PARTITION BY source ORDER BY k) AS p FROM steps),
+     tables AS (SELECT source, draws, list(p) AS cdf FROM cdf GROUP BY source, draws),
+     draw AS (SELECT d.*, cdf, unnest(range(1, draws + 1)) AS k FROM (SELECT row_number() OVER () AS row, * FROM documents) d
+              JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+     hashed AS (SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, '') || CASE WHEN k > 1 THEN '|' || k ELSE '' END) AS h FROM draw),
+     drawn AS (SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cdf, lambda c: c <= ('0x' || substr(h, 1, 13))::BIGINT::DOUBLE / pow(16, 13)))) AS n
+               FROM hashed GROUP BY row, doc_id, text, lang, source, n_chars)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INTEGER AS copy FROM drawn"""
 
 
 def _list(words: str) -> str:
