@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import spread_join, stored
 
 BLOCK_CHARS = 4096
+#: Rows alike in id, text and length travel as one row with a count; they are told apart again in runs of this many.
+COPY_RUN = 65_536
 
 
 def _named(distinct: DataFrame, *order: str, name: str) -> DataFrame:
@@ -70,14 +72,15 @@ def block_identities(blocks: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash=F.xxhash64) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per document.
+    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per input row; one row of every group is ``kept``.
 
     Texts are equal when identical without the blanks space, tab, LF, VT, FF and CR.  Of equal texts
     the longest original stays (code points), then the smallest id.
 
     * A missing text is the empty text; all empty texts are one group.
-    * Rows with the same id and the same text are one document: one row, counted as often in ``group_size``.
-      Rows with the same id and other texts are documents of their own.  A missing id comes after all others.
+    * Rows with the same id are documents of their own, repeated rows too: each comes back, and of equally good ones with the
+      smallest id one is kept.  A missing id comes after all others; where all ids of a group are missing, ``keep_id`` is.
+    * A text of any length is a row of its blocks, and is named in as many rounds as the number of its blocks has bits.
     * An empty table gives an empty table; further columns are not read.
 
     Hot blocks, pairs and groups are counted with partial sums, and joined back where their rows are.
@@ -95,7 +98,11 @@ def duplicate_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash
     rows = stored(rows.select("_id", "_sha", "_chars", "_copies", "level", "name"), "identities")
     best = F.min(F.struct((-F.col("_chars")).alias("less"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
     groups = rows.groupBy("level", "name").agg(F.sum("_copies").alias("group_size"), F.count("*").alias("_rows"), best.alias("best"))
-    return spread_join(rows, stored(groups, "identity-groups"), ["level", "name"], "_rows", rows.count()).select(
+    out = spread_join(rows, stored(groups, "identity-groups"), ["level", "name"], "_rows", rows.count())
+    best_row = F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_chars") == -F.col("best.less"))
+    run = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {COPY_RUN}")))
+    out = out.withColumn("_run", run).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPY_RUN), F.col("_copies") - F.col("_run") * COPY_RUN))))
+    return out.select(
         F.col("_id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_chars") == -F.col("best.less"))).alias("kept"),
-        F.col("_sha").alias("text_sha256"))
+        (best_row & (F.col("_run") == 0) & (F.col("_copy") == 1)).alias("kept"), F.col("_sha").alias("text_sha256"))

@@ -14,7 +14,8 @@ ORACLE["op4_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
      g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)"""
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) = 1 AS kept,
+       sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)"""
 
 ORACLE["op10_line_dedup"] = rf"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

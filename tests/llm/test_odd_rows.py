@@ -110,14 +110,12 @@ def dedup_want(rows):
     def norm(t):
         return re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
-    groups, docs = {}, {}
-    for d, t in rows:
-        groups.setdefault(norm(t), []).append((-len(t or ""), d is None, d or 0, d))
-        docs[d, norm(t), len(t or "")] = 1
-    out = []
-    for d, n, size in docs:
-        best = min(groups[n])
-        out.append((d, best[3], len(groups[n]), d == best[3] and size == -best[0], hashlib.sha256(n.encode()).hexdigest()))
+    groups = {}
+    for at, (d, t) in enumerate(rows):
+        groups.setdefault(norm(t), []).append((-len(t or ""), d is None, d or 0, at))
+    best = {n: min(g) for n, g in groups.items()}
+    out = [(d, rows[best[norm(t)][3]][0], len(groups[norm(t)]), at == best[norm(t)][3], hashlib.sha256(norm(t).encode()).hexdigest())
+           for at, (d, t) in enumerate(rows)]
     return sorted(out, key=repr)
 
 
@@ -127,9 +125,11 @@ def test_exact_dedup_odd_rows_and_hash_clashes(spark, odd, block_hash, chars):
     docs, rows = odd
     long = ["ab" * 40, "ab" * 39 + "ba", "a b" * 27, "ab" * 40 + "  ", "abc" * 3000, "abc" * 3000 + "\n"]
     rows = [(d, t) for d, t, _ in rows] + [(100 + i, t) for i, t in enumerate(long)] + [(100, long[0]), (102, long[2])]
+    rows += [(1, "a b"), (1, "a b"), (2, "ab"), (None, None), (None, "z z"), (None, "z z"), (7, "q"), (7, "q "), (7, "q ")]
     docs = frame(spark, [(d, t, "s") for d, t in rows])
     got = sorted((tuple(r) for r in exact_dedup.duplicate_groups(docs, chars, block_hash).collect()), key=repr)
     assert got == dedup_want(rows)
+    assert sum(r[3] for r in got) == len({r[4] for r in got})
     assert exact_dedup.duplicate_groups(docs.limit(0)).count() == 0
 
 
@@ -236,3 +236,21 @@ def test_edited_passages_are_found_in_common_and_rare_places(spark):
     assert left.count() == docs.count() - len({d for d, _ in want}) - 1
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_exact_dedup_rows_equal_the_sql(spark, tmp_path, monkeypatch):
+    """Repeated rows, missing ids and texts, in the query and its SQL alike; a run of copies may end anywhere."""
+    import duckdb
+    from oracle_check import rows
+
+    from ionweave.llm.oracle import ORACLE
+    from ionweave.llm.queries import QUERIES
+
+    monkeypatch.setattr(exact_dedup, "COPY_RUN", 4)
+    docs = [(1, "a b"), (1, "a b"), (2, "ab"), (None, None), (3, ""), (None, "zz"), (None, "z z"), *[(9, "many copies")] * 13, (8, "manycopies")]
+    frame(spark, [(d, t, "s") for d, t in docs]).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["op4_exact_dedup"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    res = con.execute(ORACLE["op4_exact_dedup"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in res.description], res.fetchall())
