@@ -403,6 +403,8 @@ def bin_lsh_codes(spark, d):
 
 # --- hierarchical and spectral clustering ------------------------------------------
 
+EIGENPAIRS = 31  # k + 1 with the default k
+
 
 @query
 def spectral_clusters(spark, d):
@@ -411,21 +413,30 @@ def spectral_clusters(spark, d):
 
 
 def _eigen_checks(spark, d, dense_nodes):
-    """What the edges determine about all eigenpairs of a component: trace, squared trace, lengths, Rayleigh quotients."""
+    """What the edges determine about the k + 1 smallest eigenpairs of a component, for k as in production.
+
+    ``residual`` is the largest ``|N v - (1 - value) v|``, ``apart`` the largest distance of a Rayleigh quotient, ``lengths`` the
+    sum of squared lengths, ``probe`` the squared length of ``sum (p + 1) v_p``, which is ``sum (p + 1)^2`` for vectors at right
+    angles.  Where the component has no further pairs, their trace and squared trace are compared too.
+    """
     scaled, parts = scaled_components(_edges(spark, d))
-    solved = component_eigenpairs(scaled, parts, 10_000, dense_nodes)
-    values = solved.groupBy("component").agg(F.first("vals").alias("vals"), F.count("*").alias("n"),
-                                             F.sum(F.aggregate("vecs", F.lit(0.0), lambda s, x: s + x * x)).alias("lengths"))
-    ends = solved.select("component", F.col("idx"), F.posexplode("vecs").alias("pair", "v"))
-    quotient = (scaled.join(ends.withColumnsRenamed({"idx": "i", "v": "vi"}), ["component", "i"])
-                .join(ends.withColumnsRenamed({"idx": "j", "v": "vj"}), ["component", "j", "pair"])
-                .groupBy("component", "pair").agg((1.0 - F.sum(F.col("wn") * F.col("vi") * F.col("vj"))).alias("q")))
-    apart = (quotient.join(values.select("component", F.posexplode("vals").alias("pair", "value")), ["component", "pair"])
-             .groupBy("component").agg(F.max(F.abs(F.col("q") - F.col("value"))).alias("apart")))
-    total = lambda f: F.round(F.aggregate("vals", F.lit(0.0), f), 5)
-    return values.join(apart, "component").select(
-        "component", "n", total(lambda s, x: s + x).alias("trace"), total(lambda s, x: s + x * x).alias("square_trace"),
-        F.round("lengths", 5).alias("lengths"), (F.round("apart", 5) + 0.0).alias("apart"))
+    solved = component_eigenpairs(scaled, parts, EIGENPAIRS, dense_nodes)
+    mixed = F.aggregate(F.transform("vecs", lambda x, p: (p + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    values = solved.groupBy("component").agg(
+        F.first("vals").alias("vals"), F.count("*").alias("n"), F.sum(mixed * mixed).alias("probe"),
+        F.sum(F.aggregate("vecs", F.lit(0.0), lambda s, x: s + x * x)).alias("lengths"))
+    ends = solved.select("component", "idx", F.posexplode(F.arrays_zip("vals", "vecs")).alias("pair", "e"))
+    image = (scaled.join(ends.select(F.col("idx").alias("j"), "pair", F.col("e.vecs").alias("v")), "j")
+             .groupBy(F.col("i").alias("idx"), "pair").agg(F.sum(F.col("wn") * F.col("v")).alias("nv")))
+    off = F.col("nv") - (1.0 - F.col("e.vals")) * F.col("e.vecs")
+    per_pair = ends.join(image, ["idx", "pair"]).groupBy("component", "pair").agg(
+        F.sqrt(F.sum(off * off)).alias("r"), F.abs(1.0 - F.sum(F.col("e.vecs") * F.col("nv")) - F.first("e.vals")).alias("q"))
+    worst = per_pair.groupBy("component").agg(F.max("r").alias("r"), F.max("q").alias("q"), F.count("*").alias("pairs"))
+    total = lambda f: F.when(F.col("n") <= EIGENPAIRS, F.round(F.aggregate("vals", F.lit(0.0), f), 5))
+    return values.join(worst, "component").select(
+        "component", "n", "pairs", total(lambda s, x: s + x).alias("trace"), total(lambda s, x: s + x * x).alias("square_trace"),
+        F.round("lengths", 5).alias("lengths"), F.round("probe", 4).alias("probe"), (F.round("q", 5) + 0.0).alias("apart"),
+        (F.round("r", 4) + 0.0).alias("residual"))
 
 
 @query

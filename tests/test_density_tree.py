@@ -147,6 +147,34 @@ def test_subspace_route_finds_the_same_space(spark):
     assert np.abs(one @ one.T - two @ two.T).max() < 1e-3
 
 
+def test_large_components_are_solved_together(spark):
+    """Two rings and a small clique in one iteration; the smaller ones are locked before the slow ring."""
+    from ionweave.operators.spectral import component_eigenpairs, scaled_components
+
+    def ring(n, at):
+        return [(at + i, at + (i + s) % n, 1.0) for i in range(n) for s in (1, n - 1)]
+
+    rows = ring(80, 0) + ring(24, 1000) + [(2000 + i, 2000 + j, 1.0) for i in range(6) for j in range(6) if i != j]
+    scaled, parts = scaled_components(spark.createDataFrame(rows, "i long, j long, w double"))
+    out = component_eigenpairs(scaled, parts, 5, dense_nodes=4).toPandas()
+    for at, n in ((0, 80), (1000, 24)):
+        got = out[out.component == at]
+        want = np.sort(1 - np.cos(2 * np.pi * np.arange(n) / n))[:5]
+        assert len(got) == n and np.abs(np.array(got.vals.iloc[0]) - want).max() < 1e-6
+        v = np.stack(got.vecs)
+        assert np.abs(v.T @ v - np.eye(5)).max() < 1e-6
+    assert np.array(out[out.component == 2000].vals.iloc[0]) == pytest.approx([0, 1.2, 1.2, 1.2, 1.2])
+
+
+def test_iteration_without_enough_rounds_raises(spark):
+    from ionweave.operators import spectral
+
+    rows = [(i, (i + s) % 60, 1.0) for i in range(60) for s in (1, 59)]
+    scaled, parts = spectral.scaled_components(spark.createDataFrame(rows, "i long, j long, w double"))
+    with pytest.raises(spectral.NotConverged):
+        spectral.iterated_eigenpairs(scaled, parts.select("component", "n"), 3, max_rounds=1)
+
+
 def test_components_stay_apart_in_spectral_space(spark):
     w = np.ones((4, 4)) - np.eye(4)
     both = edges_of(spark, w).union(edges_of(spark, w, 10))
