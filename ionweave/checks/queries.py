@@ -335,7 +335,7 @@ def lsh_similarity_edges(spark, d):
 def vote_merge(spark, d):
     coded = S.hash_codes(_vectors(spark, d).select("idx", "embedding"), CODE_BITS, REPEATS, planes="hashed")
     parts = S.bucketed_rows(coded.select("idx", "codes")).select("idx", "rep", F.col("code").alias("part"))
-    return vote_components(parts, REPEATS, 5)
+    return vote_components(parts, 5)
 
 
 # --- encoders ----------------------------------------------------------------------

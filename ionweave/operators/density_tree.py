@@ -9,7 +9,6 @@ two tiles' worth of edges each, and the rest is joins and aggregations.
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.operators.condensed_tree import TIE, leaf_clusters, mass_clusters
+from ionweave.operators.agreement import agreement_links
 from ionweave.operators.graph import connected_components
 from ionweave.operators.tiles import COSINE_DIGITS, matrix, tile_pairs
 from ionweave.session import written
@@ -270,23 +270,12 @@ def hdbscan_blocks(rows: DataFrame, block: Sequence[str], min_size: int = 2, min
     return small.unionByName(big)
 
 
-def vote_components(parts: DataFrame, repeats: int, min_votes: int) -> DataFrame:
-    """Components of rows that share a part in at least ``min_votes`` repeats.
+def vote_components(parts: DataFrame, min_votes: int) -> DataFrame:
+    """Components ``(node, component)`` of rows that share a part in at least ``min_votes`` repeats.
 
-    ``parts`` has ``(idx, rep, part)``.  Two rows agree in ``min_votes`` repeats exactly
-    when they carry the same parts over some choice of that many repeats, so for each
-    choice the rows of equal parts are linked to the first of them: the links grow with
-    the rows, and no pair is ever listed.  Parts of any size vote.  The number of choices,
-    ``repeats`` over ``min_votes``, is set by the two settings and not by the data.
+    ``parts`` has ``(idx, rep, part)``.  Parts of any size vote, and any number of repeats; see :mod:`ionweave.operators.agreement`.
     """
-    wide = written(parts.groupBy("idx").pivot("rep", list(range(repeats))).agg(F.first("part")))
-    choices = F.array(*[
-        F.when(F.concat(*[F.col(str(r)).isNotNull().cast("string") for r in pick]) == "true" * len(pick),
-               F.struct(F.lit(n).alias("choice"), F.array(*[F.col(str(r)) for r in pick]).alias("parts")))
-        for n, pick in enumerate(combinations(range(repeats), min_votes))])
-    keyed = wide.select("idx", F.explode(choices).alias("key")).filter(F.col("key").isNotNull())
-    firsts = keyed.groupBy("key").agg(F.min("idx").alias("dst"), F.count("*").alias("_n")).filter("_n > 1")
-    return connected_components(keyed.join(firsts, "key").select(F.col("idx").alias("src"), "dst"))
+    return connected_components(agreement_links(parts, min_votes))
 
 
 def votes_needed(setting, repeats: int) -> int:
@@ -307,7 +296,7 @@ def bucketed_hdbscan(coded: DataFrame, repeats: int, min_size: int = 2, min_samp
     parts = found.filter("label >= 0").select(
         F.floor(F.col("vertex") / repeats).alias("idx"), F.pmod("vertex", F.lit(repeats)).alias("rep"),
         F.col("label").alias("part"))
-    linked = vote_components(parts, repeats, min_votes)
+    linked = vote_components(parts, min_votes)
     sizes = linked.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
     kept = linked.join(sizes, "component").select(F.col("node").alias("idx"), F.col("component").alias("label"))
     return coded.select("idx").join(kept, "idx", "left").select(

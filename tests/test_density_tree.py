@@ -108,11 +108,44 @@ def test_votes_need_agreement(spark):
     rows = [(1, 0, 7), (2, 0, 7), (1, 1, 8), (2, 1, 8), (3, 0, 7), (3, 1, 9), (4, 2, 5), (5, 2, 5)]
     rows += [(100 + i, r, 50 + r) for i in range(5) for r in range(3)]
     df = spark.createDataFrame(rows, "idx long, rep int, part long")
-    out = dict(map(tuple, T.vote_components(df, 3, 2).collect()))
+    out = dict(map(tuple, T.vote_components(df, 2).collect()))
     assert out == {1: 1, 2: 1, **{100 + i: 100 for i in range(5)}}
     assert T.votes_needed(1, 6) == 2 and T.votes_needed(None, 6) == 4
 
 
+def agreement_want(rows, votes):
+    """Smallest row reachable over pairs with enough common parts, by comparing all pairs."""
+    sets = {}
+    for idx, rep, part in rows:
+        sets.setdefault(idx, set()).add((rep, part))
+    names = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= votes and names[a] != names[b]:
+                low, high = sorted((names[a], names[b]))
+                names = {i: low if n == high else n for i, n in names.items()}
+    return {i: n for i, n in names.items() if sum(m == n for m in names.values()) > 1}
+
+
+@pytest.mark.parametrize("repeats, votes, group_rows", [(20, 10, 2_000), (6, 2, 3), (5, 5, 2), (4, 1, 2), (7, 3, 2)])
+def test_agreement_join_equals_all_pairs(spark, repeats, votes, group_rows):
+    """Hot parts, copies, rows without some repeats; small ``group_rows`` send large groups through every depth."""
+    from ionweave.operators.agreement import agreement_links
+    from ionweave.operators.graph import connected_components
+
+    rng = np.random.default_rng(repeats)
+    base = rng.integers(0, 40, (12, repeats))
+    rows = []
+    for i in range(90):
+        codes = np.where(rng.random(repeats) < 0.35, rng.integers(0, 40, repeats), base[rng.integers(0, 12)])
+        codes[0] = 7 if i % 3 else codes[0]  # one part holds two thirds of the rows
+        rows += [(i, r, int(c)) for r, c in enumerate(codes) if rng.random() < 0.95]
+    rows += [(200 + i, r, p) for i in range(6) for _, r, p in rows[:repeats] if _ == 0] + rows[:5]
+    df = spark.createDataFrame([*rows, (None, 0, 7), (300, 0, None)], "idx long, rep int, part long")
+    got = dict(map(tuple, connected_components(agreement_links(df, votes, group_rows)).collect()))
+    assert got == agreement_want(rows, votes)
+
+
 def ring_of_groups(n, size, rng):
     w = np.zeros((n, n))
     for i in range(n):
