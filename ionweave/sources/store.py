@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.sources.archive import read_archive
+
 
 def fingerprint(spectra: DataFrame, cfg, stage: str) -> str:
     """Key of a cached stage: the settings that matter and a digest of the input rows."""
@@ -53,12 +55,10 @@ def _load(path: str) -> tuple[dict, dict]:
     spark = SparkSession.builder.getOrCreate()
     data = io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first()["content"])
     if path.endswith((".pt", ".pth")):
-        import torch  # optional: only for checkpoints of that kind
-
-        raw = torch.load(data, map_location="cpu", weights_only=True)
+        raw = read_archive(data.getvalue())
         state = raw.get("model_state_dict", raw)
         meta = {k: v for k, v in raw.items() if k != "model_state_dict"} if "model_state_dict" in raw else {}
-        return {k: v.numpy() for k, v in state.items()}, meta
+        return {k: np.asarray(v) for k, v in state.items()}, meta
     with np.load(data, allow_pickle=False) as arrays:
         state = {n[len("state/"):]: arrays[n] for n in arrays.files if n.startswith("state/")}
         meta = json.loads(str(arrays["metadata"])) if "metadata" in arrays.files else {}

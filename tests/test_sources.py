@@ -175,3 +175,84 @@ def test_files_of_one_name_keep_the_order_they_were_given_in(spark, tmp_path):
         paths.append(str(path))
     assert [r["scan_id"] for r in read_mgf(spark, paths).orderBy("idx").collect()] == ["first", "second"]
     assert file_ranks(["hdfs://n/b/x.mgf", "/a/x.mgf"], ["hdfs://n/a/x.mgf", "hdfs://n/b/x.mgf"]) == {"hdfs://n/a/x.mgf": 1, "hdfs://n/b/x.mgf": 0}
+
+
+def written_archive(path, state, storages, byteorder=b"little"):
+    """A ``.pt`` file by hand: names are written as pickled globals, tensors as calls on storage references."""
+    import struct
+    import zipfile
+
+    def text(s):
+        return b"X" + struct.pack("<I", len(s.encode())) + s.encode()
+
+    def number(i):
+        return b"J" + struct.pack("<i", i)
+
+    def tup(*items):
+        return b"(" + b"".join(items) + b"t"
+
+    def tensor(kind, key, count, offset, size, stride):
+        pid = tup(text("storage"), f"ctorch\n{kind}\n".encode(), text(key), text("cpu"), number(count)) + b"Q"
+        hooks = b"ccollections\nOrderedDict\n)R"
+        return b"ctorch._utils\n_rebuild_tensor_v2\n" + tup(pid, number(offset), tup(*map(number, size)), tup(*map(number, stride)), b"\x89", hooks) + b"R"
+
+    items = b"".join(text(k) + tensor(*v) for k, v in state.items())
+    meta = text("epoch") + number(3) + text("cfg") + b"}" + text("embed_dim") + number(4) + b"s" + text("train_loss") + b"G" + struct.pack(">d", 0.5)
+    body = b"\x80\x02}(" + text("model_state_dict") + b"ccollections\nOrderedDict\n)R(" + items + b"u" + meta + b"u."
+    with zipfile.ZipFile(path, "w") as out:
+        out.writestr("m/data.pkl", body)
+        out.writestr("m/byteorder", byteorder)
+        for key, data in storages.items():
+            out.writestr(f"m/data/{key}", data)
+
+
+def test_parameter_archive_without_its_library(spark, tmp_path):
+    import numpy as np
+
+    from ionweave.sources import store
+
+    values = np.arange(12, dtype="<f4")
+    half = (np.array([1.5, -2.0], np.float32).view(np.uint32) >> 16).astype("<u2")
+    state = {"w": ("FloatStorage", "0", 12, 2, (2, 3), (5, 1)), "turned": ("FloatStorage", "0", 12, 0, (3, 4), (1, 3)),
+             "h": ("BFloat16Storage", "1", 2, 0, (2,), (1,)), "none": ("LongStorage", "2", 0, 0, (0, 3), (3, 1))}
+    path = str(tmp_path / "model.pt")
+    written_archive(path, state, {"0": values.tobytes(), "1": half.tobytes(), "2": b""})
+    got = store.read_parameters(path)
+    assert got["w"].tolist() == [[2, 3, 4], [7, 8, 9]]
+    assert got["turned"].tolist() == values.reshape(4, 3).T.tolist()
+    assert got["h"].tolist() == [1.5, -2.0] and got["none"].shape == (0, 3)
+    assert store.training_settings(path) == {"embed_dim": 4}
+    row = store.describe_checkpoint(spark, path).first()
+    assert (row["epoch"], row["train_loss"], row["n_tensors"], row["n_parameters"]) == (3, 0.5, 4, 20)
+
+
+def test_parameter_archive_refuses_everything_else(tmp_path):
+    import io
+    import os
+    import pickle
+    import zipfile
+
+    from ionweave.sources.archive import ArchiveError, read_archive
+
+    class Call:
+        def __reduce__(self):
+            return os.getcwd, ()
+
+    def zipped(body):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("m/data.pkl", body)
+        return out.getvalue()
+
+    long = tmp_path / "long.pt"
+    written_archive(long, {"w": ("FloatStorage", "0", 2, 0, (2, 2), (2, 1))}, {"0": b"\0" * 8})
+    negative = tmp_path / "negative.pt"
+    written_archive(negative, {"w": ("FloatStorage", "0", 2, 1, (2,), (-1,))}, {"0": b"\0" * 8})
+    unknown = tmp_path / "unknown.pt"
+    written_archive(unknown, {"w": ("QInt8Storage", "0", 2, 0, (2,), (1,))}, {"0": b"\0" * 8})
+    cases = [zipped(pickle.dumps(Call(), 2)), zipped(pickle.dumps(os.getcwd, 4)), zipped(pickle.dumps({1, 2}, 4)), zipped(b"\x80\x02}"),
+             zipped(b""), b"no zip file", long.read_bytes(), negative.read_bytes(), unknown.read_bytes()]
+    for data in cases:
+        with pytest.raises(ArchiveError):
+            read_archive(data)
+    assert read_archive(zipped(pickle.dumps({"a": [1, 2.5, None, True, "x"]}, 2))) == {"a": [1, 2.5, None, True, "x"]}
