@@ -366,12 +366,6 @@ def _spectrum_rows(spark, d):
         F.transform("p", lambda x: x["intensity"].cast("float")).alias("intensity"))
 
 
-def _vector_checks(df):
-    """One row per spectrum: length of the vector and its norm."""
-    from ionweave.functions.vectors import norm
-    return df.select("idx", F.size("embedding").alias("dim"), F.round(norm("embedding"), 4).alias("norm"))
-
-
 @query
 def encode_random_projection(spark, d):
     out = encode_projection(_spectrum_rows(spark, d), ClusterConfig(embed_dim=PROJECTED), "hashed")
@@ -384,7 +378,8 @@ def transformer_encode(spark, d):
     rows = PT.peak_tokens(view(spark, d, "fx_peaks"), 150).groupBy("idx").agg(
         F.sort_array(F.collect_list(F.struct("pos", "norm_mz", "norm_int"))).alias("t"))
     tokens = rows.select("idx", F.transform("t", lambda t: F.struct(t["norm_mz"].alias("norm_mz"), t["norm_int"].alias("norm_int"))).alias("tokens"))
-    return _vector_checks(encode_tokens(tokens, cfg, random_parameters(cfg)))
+    out = encode_tokens(tokens, cfg, random_parameters(cfg))
+    return out.select("idx", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 4))
 
 
 @query

@@ -115,3 +115,48 @@ def test_transformer_is_unit_and_ignores_padding(spark):
     assert np.allclose(out, shuffled)
     got = encode(spectra(spark), cfg.replace(use_transformer=True))
     assert got.count() == 20 and len(got.first()["embedding"]) == 16
+
+
+def plain_encoder(tokens, par, heads):
+    """One spectrum at a time and one query token at a time, without padding, batches or masks."""
+    def normal(x, name):
+        return np.array([(r - r.mean()) / np.sqrt(r.var() + 1e-5) for r in x]) * par[name + ".weight"] + par[name + ".bias"]
+
+    def affine(x, weight, bias):
+        return np.array([par[weight] @ r + par[bias] for r in x])
+
+    x, layer = affine(tokens, "input_proj.weight", "input_proj.bias"), 0
+    while f"encoder.layers.{layer}.norm1.weight" in par:
+        p = f"encoder.layers.{layer}."
+        qkv = affine(normal(x, p + "norm1"), p + "self_attn.in_proj_weight", p + "self_attn.in_proj_bias")
+        d = x.shape[1]
+        size, mixed = d // heads, np.zeros_like(x)
+        for h in range(heads):
+            q, k, v = (qkv[:, at * d + h * size:at * d + (h + 1) * size] for at in range(3))
+            for t in range(len(x)):
+                weight = np.exp(k @ q[t] / size ** 0.5)
+                mixed[t, h * size:(h + 1) * size] = weight @ v / weight.sum()
+        x = x + affine(mixed, p + "self_attn.out_proj.weight", p + "self_attn.out_proj.bias")
+        inner = np.maximum(affine(normal(x, p + "norm2"), p + "linear1.weight", p + "linear1.bias"), 0)
+        x = x + affine(inner, p + "linear2.weight", p + "linear2.bias")
+        layer += 1
+    out = normal(affine([x.mean(0)], "proj_norm.0.weight", "proj_norm.0.bias"), "proj_norm.1")[0]
+    return out / np.linalg.norm(out)
+
+
+def test_transformer_query_equals_a_plain_forward_pass(spark):
+    from ionweave.checks.fixtures import view
+    from ionweave.checks.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in QUERIES["transformer_encode"](spark, sf).collect():
+        got.setdefault(r["idx"], {})[r["pos"]] = r["value"]
+    tokens = {}
+    for r in PT.peak_tokens(view(spark, sf, "fx_peaks"), 150).orderBy("idx", "pos").collect():
+        tokens.setdefault(r["idx"], []).append((r["norm_mz"], r["norm_int"]))
+    cfg = ClusterConfig(embed_dim=32, ff_dim=64)
+    assert set(got) == set(tokens) and len(got) > 10
+    for idx, pairs in tokens.items():
+        want = plain_encoder(np.array(pairs), random_parameters(cfg), cfg.n_heads)
+        assert np.abs(np.array([got[idx][p] for p in range(32)]) - want).max() < 1e-4
