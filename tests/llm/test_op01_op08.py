@@ -1,5 +1,9 @@
 """License scan and secret scan against plain versions."""
 
+import random
+import re
+import string
+
 import brute
 import pytest
 from brute import ODD_TEXTS
@@ -67,11 +71,58 @@ def test_secrets_match_brute_force(spark, docs):
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
-def test_model_tells_random_strings_from_words(spark, docs):
+def plain_parts(value, ratios, limit):
+    """Random parts of a run by a plain loop."""
+    value = re.sub(secrets.UUID, lambda m: "\u00b7" * 36, value)
+    total = top = begin = end = 0
+    out = []
+    for i, (a, b) in enumerate(zip(value, value[1:])):
+        total += ratios[ord(a) * 128 + ord(b)] if max(a, b) < "\x80" else -1e9
+        if total <= 0 or total < top - limit:
+            out += [(begin, end)] if top >= limit and end - begin >= 8 else []
+            total, top, begin, end = 0, 0, i + 1, i + 1
+        elif total > top:
+            top, end = total, i + 2
+    return out + ([(begin, end)] if top >= limit and end - begin >= 8 else [])
+
+
+ORDINARY_NAMES = [
+    "getConnectionManagerFactoryBuilderInstance", "number_of_training_examples_per_batch", "3f2504e0-4f89-41d3-9a0c-0305e82c3301",
+    "https://example.com/index", "/usr/local/share/applications/config/settings.json", "AbstractSingletonProxyFactoryBean", "MAX_RETRY_COUNT",
+    "spark-sql-shuffle-partitions", "pneumonoultramicroscopic", "user_id=12345", "/api/v2/customers/orders/history", "2023-01-15T12", "4785380592391139",
+    "----------------", "================", "application/x-www-form-urlencoded", "x86_64-linux-gnu", "/files/3f2504e0-4f89-41d3-9a0c-0305e82c3301/index",
+]
+
+
+def test_model_tells_random_strings_from_names(spark, docs):
+    ratios = secrets.train(docs)
+    r = random.Random(5)
+    alphabets = {"letters and digits": string.ascii_letters + string.digits, "hex": "0123456789abcdef"}
+    made = {(name, n): ["".join(r.choices(alphabet, k=n)) for _ in range(60)] for name, alphabet in alphabets.items() for n in (10, 12, 16, 24, 40, 64)}
+    behind = ["/reports/archive/latest/" + "".join(r.choices(alphabets["letters and digits"], k=24)) for _ in range(60)]
+    texts = [*(v for vs in made.values() for v in vs), *behind, *ORDINARY_NAMES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == secrets.KINDS.index("random")] for r in secrets.scan(docs, ratios).collect()}
+    runs = [[(m.start() + a, m.start() + b) for m in re.finditer(secrets.CANDIDATE.replace("}+", "}"), t) for a, b in plain_parts(m[0], ratios, 10.0)] for t in texts]
+    assert [spans[k] for k in range(len(texts))] == runs
+    at = 0
+    for (name, n), vs in made.items():
+        share = sum(bool(spans[k]) for k in range(at, at + len(vs))) / len(vs)
+        assert share >= (0.9 if n >= 16 else 0.75 if n >= 12 else 0.6), (name, n, share)
+        at += len(vs)
+    for k in range(at, at + len(behind)):
+        assert spans[k] and spans[k][-1][1] > 40 and spans[k][-1][0] > 15
+    assert [texts[k] for k in range(at + len(behind), len(texts)) if spans[k]] == []
+
+
+def test_random_parts_beside_other_characters(spark, docs):
     ratios = secrets.train(docs)
-    frame = spark.createDataFrame([("9f8a7c3e5d1b0a2f4c6e", True), ("onererandingthattheonion", False), ("é", False), ("", False)], "s string, random boolean")
-    rows = frame.withColumn("score", secrets.random_score(frame["s"], ratios)).collect()
-    assert all((r["score"] > 6) == r["random"] for r in rows)
+    key = "qX7vZ2kP9sW4mB8tY3nL6"
+    texts = ["é " * 4000 + key + " é" * 4000, f"{key}é{key}", "", None, f"word {key}"]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()}
+    assert got[2] == got[3] == []
+    for k, starts in ((0, [8000]), (1, [0, 22]), (4, [5])):
+        assert len(got[k]) == len(starts) and all(s <= a < b <= s + 21 for s, (a, b) in zip(starts, got[k]))
 
 
 def test_secrets_odd_rows(spark):
