@@ -238,6 +238,59 @@ def test_edited_passages_are_found_in_common_and_rare_places(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_contaminated(texts, items, threshold=0.5):
+    """Full alignment of every text with every item, no seeds; items of one or two words as a whole."""
+    out = set()
+    for d, text in texts:
+        words = brute.WORDS.findall(brute.lower(text))
+        for k, item in items.items():
+            if item and brute.smith_waterman(item, words) >= 2 * len(item) * (threshold if len(item) > 2 else 1):
+                out.add((d, k))
+    return out
+
+
+@pytest.mark.parametrize("letters", [3, 12])
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_every_alignment_above_the_threshold_is_found(spark, monkeypatch, letters, threshold):
+    """Words changed, left out and added anywhere, few and many different words, texts cut into parts."""
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 150)
+    r = random.Random(letters)
+    vocabulary = ["".join(r.choice("abcdefghijkl"[:letters]) for _ in range(4)) for _ in range(40 if letters == 3 else 2000)]
+    items = {k: [r.choice(vocabulary) for _ in range(n)] for k, n in enumerate([1, 2, 2, 3, 4, 7, 12, 19, 19, 30, 45])}
+    texts = []
+    for d in range(150):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(0, 700 if d % 20 == 0 else 60))]
+        for k in r.sample(sorted(items), d % 3):
+            copy = list(items[k])
+            if d % 2:
+                copy[2::3] = [r.choice(vocabulary) for _ in copy[2::3]]
+            else:
+                copy = [w for w in copy if r.random() > 0.25]
+                for _ in range(len(copy) // 5):
+                    copy.insert(r.randrange(len(copy)), r.choice(vocabulary))
+            at = r.randrange(len(words) + 1)
+            words[at:at] = copy
+        texts.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, [(d, t, "s") for d, t in texts]), bench, threshold).collect()
+    want = plain_contaminated(texts, items, threshold)
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want
+    assert len(found) == len(want) > 30
+    long_only = decontaminate.contaminated(frame(spark, [(d, t, "s") for d, t in texts]), bench, threshold, least_words=3)
+    assert {(x["doc_id"], x["item_id"]) for x in long_only.collect()} == {(d, k) for d, k in want if len(items[k]) > 2}
+
+
+def test_short_items_and_changed_thirds(spark):
+    item = [f"w{i}" for i in range(19)]
+    copy = [w if i % 3 else f"x{i}" for i, w in enumerate(item)]
+    copy[0] = item[0]
+    bench = spark.createDataFrame([(1, "what now"), (2, " ".join(item)), (3, "!!")], "item_id long, text string")
+    texts = [(1, "x what now y", "s"), (2, "what then now", "s"), (3, "so " + " ".join(copy) + " end", "s"), (3, "so " + " ".join(copy) + " end", "s"), (4, " ".join([*item, *item]), "s")]
+    found = {(x["doc_id"], x["item_id"]): (x["score"], x["start"]) for x in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert found.keys() == {(1, 1), (3, 2), (4, 2)}
+    assert found[1, 1][0] == found[4, 2][0] == 1 and found[4, 2][1] == 0
+
+
 def test_exact_dedup_rows_equal_the_sql(spark, tmp_path, monkeypatch):
     """Repeated rows, missing ids and texts, in the query and its SQL alike; a run of copies may end anywhere."""
     import duckdb
