@@ -42,9 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a test item, aligned word by word, go."""
+    """Documents that hold at least half of a test item of three or more words, aligned word by word, go."""
     ship_package(spark)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=3)
     return decontaminate.without_contaminated(docs, found)
 
 
