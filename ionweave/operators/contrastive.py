@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions import peaks as P
@@ -91,27 +91,53 @@ def _normal(seed: int, salt: int, *keys: Column) -> Column:
     return radius * F.cos(2.0 * np.pi * _uniform(seed, salt + 1, *keys))
 
 
+def _changed(mz, intensity, place, top, key, noise, jitter, mz_min, mz_max, seed) -> Column:
+    if noise > 0:
+        intensity = F.greatest(intensity + _normal(seed, 2, key, place) * noise * top, F.lit(0.0))
+    if jitter > 0:
+        mz = F.least(F.greatest(mz + _normal(seed, 4, key, place) * jitter * (mz_max - mz_min), F.lit(mz_min)), F.lit(mz_max))
+    return F.struct(mz.alias("mz"), intensity.alias("intensity"))
+
+
 def augmented(peaks: Column, key: Column, drop: float = 0.15, noise: float = 0.08, jitter: float = 0.01,
               mz_min: float = 50.0, mz_max: float = 1500.0, seed: int = 42) -> Column:
     """Peaks with random loss, intensity noise and m/z jitter, seeded by ``key`` and position.
 
     Never drops every peak.  The jitter is relative to the m/z range, not in dalton.
     """
+    # an expression that lambdas mention is worked out at every mention; as the element of an array it is worked out once
+    def once(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def change(p, top):
+        return _changed(p["mz"], p["intensity"], p["i"], top, key, noise, jitter, mz_min, mz_max, seed)
+
+    def changed(kept):
+        return once(F.array_max(F.transform(kept, lambda p: p["intensity"])),
+                    lambda top: F.transform(kept, lambda p: change(p, top)))
+
     placed = F.transform(peaks, lambda p, i: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"), i.alias("i")))
-    kept = F.filter(placed, lambda p: _uniform(seed, 1, key, p["i"]) > drop) if drop > 0 else placed
-    kept = F.when(F.size(kept) > 0, kept).otherwise(placed)
-    top = F.array_max(F.transform(kept, lambda p: p["intensity"]))
-
-    def change(p):
-        mz, intensity = p["mz"], p["intensity"]
-        if noise > 0:
-            intensity = F.greatest(intensity + _normal(seed, 2, key, p["i"]) * noise * top, F.lit(0.0))
-        if jitter > 0:
-            mz = F.least(F.greatest(mz + _normal(seed, 4, key, p["i"]) * jitter * (mz_max - mz_min), F.lit(mz_min)),
-                         F.lit(mz_max))
-        return F.struct(mz.alias("mz"), intensity.alias("intensity"))
-
-    return F.transform(kept, change)
+    if drop <= 0:
+        return once(placed, changed)
+    return once(placed, lambda all_: once(
+        F.filter(all_, lambda p: _uniform(seed, 1, key, p["i"]) > drop),
+        lambda some: once(F.when(F.size(some) > 0, some).otherwise(all_), changed)))
+
+
+def augmented_peaks(peaks: DataFrame, drop: float = 0.15, noise: float = 0.08, jitter: float = 0.01, mz_min: float = 50.0,
+                    mz_max: float = 1500.0, seed: int = 42) -> DataFrame:
+    """:func:`augmented` for a long table ``(idx, i, mz, intensity)``, as ``(idx, pos, mz, intensity)``.
+
+    ``i`` is the place of a peak in its spectrum, which seeds the draws.  These are compiled expressions over rows, one
+    shuffle in all, and no spectrum has to be one row.
+    """
+    whole = Window.partitionBy("idx")
+    judged = peaks.withColumn("_stays", _uniform(seed, 1, F.col("idx"), F.col("i")) > drop if drop > 0 else F.lit(True))
+    kept = judged.withColumn("_any", F.max("_stays").over(whole)).filter("_stays or not _any")
+    kept = kept.withColumn("_top", F.max("intensity").over(whole)).withColumn(
+        "pos", (F.row_number().over(whole.orderBy("i")) - 1).cast("int"))
+    new = _changed(F.col("mz"), F.col("intensity"), F.col("i"), F.col("_top"), F.col("idx"), noise, jitter, mz_min, mz_max, seed)
+    return kept.select("idx", "pos", new.alias("_p")).select("idx", "pos", "_p.mz", "_p.intensity")
 
 
 def training_tokens(samples: DataFrame, cfg, augment: bool, epoch: int = 0) -> DataFrame:

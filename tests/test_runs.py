@@ -180,6 +180,21 @@ def test_augmentation_is_seeded_and_bounded(spark):
     assert len(single) == 50
 
 
+def test_long_table_augments_as_arrays_do_and_names_its_parts_once(spark):
+    from pyspark.sql import functions as F
+    from ionweave.operators.contrastive import augmented, augmented_peaks
+
+    rows = [(k, i, 100.0 + 7.5 * i, float((i * 37 + k) % 90)) for k in range(60) for i in range(1 + k % 9)]
+    long = spark.createDataFrame(rows, "idx long, i int, mz double, intensity double")
+    arrays = long.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("i", "mz", "intensity"))).alias("a"))
+    arrays = arrays.select("idx", F.transform("a", lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"))).alias("a"))
+    column = augmented(F.col("a"), F.col("idx"), drop=0.6)
+    one = arrays.select("idx", F.posexplode(column).alias("pos", "p")).select("idx", "pos", "p.mz", "p.intensity")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, augmented_peaks(long, drop=0.6).collect()))
+    # the draws of a peak occur once each: one that decides on it, two for the intensity and two for the m/z
+    assert str(column).count("2.147483647E9") == 5
+
+
 def test_training_data_and_batches(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows, hits = [], []
