@@ -81,3 +81,14 @@ def test_rows_that_pivots_cannot_tell_apart_are_cut_by_hash(spark, same):
     index = tile_index(frame(spark, np.full((300, 3), same)), ["b"], "idx", 50)
     assert index.rows.select("tile").distinct().count() == 6
     assert index.pairs(F.lit(0.0)).count() == 21
+
+
+def test_copies_of_a_row_stay_few_however_small_the_tiles(spark):
+    from ionweave.operators.tile_index import MAX_TILES
+    from ionweave.operators.tiles import radius_pairs, tile_pairs
+    x = np.random.default_rng(5).standard_normal((1_500, 6))
+    rows = frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True)).withColumn("b", F.lit(0))
+    assert tile_pairs(rows, ["b"], "idx", 2).count() <= MAX_TILES * 1_500
+    assert radius_pairs(rows, ["b"], "idx", 2, 3.0).count() <= 6 * MAX_TILES * 1_500
+    small = rows.filter("idx < 40")  # a block of up to that many tiles keeps the size asked for
+    assert tile_pairs(small, ["b"], "idx", 2).agg(F.max("tb")).first()[0] == 19
