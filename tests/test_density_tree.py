@@ -199,6 +199,31 @@ def test_large_components_are_solved_together(spark):
     assert np.array(out[out.component == 2000].vals.iloc[0]) == pytest.approx([0, 1.2, 1.2, 1.2, 1.2])
 
 
+def test_iteration_in_a_task_equals_dense_eigenvectors(spark):
+    from ionweave.operators.spectral import component_eigenpairs, scaled_components
+
+    edges = edges_of(spark, ring_of_groups(120, 40, np.random.default_rng(4)))
+    scaled, parts = scaled_components(edges)
+    dense, task = (component_eigenpairs(scaled, parts, 4, **limits).orderBy("idx").toPandas()
+                   for limits in ({}, {"dense_nodes": 50, "task_links": 1_000_000}))
+    assert np.abs(np.array(dense.vals[0]) - np.array(task.vals[0])).max() < 1e-7
+    one, two = np.stack(dense.vecs)[:, :3], np.stack(task.vecs)[:, :3]
+    assert np.abs(one @ one.T - two @ two.T).max() < 1e-3
+
+
+@pytest.mark.parametrize("dense_nodes", [2_000, 4])
+def test_all_pairs_of_a_component_are_found(spark, dense_nodes):
+    """Of a path of 45 nodes, more than the k + 1 smallest."""
+    from ionweave.operators.spectral import component_eigenpairs, scaled_components
+
+    path = [(i + a, i + b, 1.0) for i in range(44) for a, b in ((0, 1), (1, 0))]
+    scaled, parts = scaled_components(spark.createDataFrame(path, "i long, j long, w double"))
+    out = component_eigenpairs(scaled, parts, None, dense_nodes).toPandas()
+    v = np.stack(out.vecs)
+    assert v.shape == (45, 45) and np.abs(v.T @ v - np.eye(45)).max() < 1e-6
+    assert sum(out.vals[0]) == pytest.approx(45, abs=1e-5)
+
+
 def test_iteration_without_enough_rounds_raises(spark):
     from ionweave.operators import spectral
 
