@@ -211,6 +211,24 @@ def test_iteration_in_a_task_equals_dense_eigenvectors(spark):
     assert np.abs(one @ one.T - two @ two.T).max() < 1e-3
 
 
+def test_filter_does_not_drown_the_basis_in_the_largest_vector():
+    """A random graph: one value of 1 and a dense rest far below it, as neighbour graphs of a large table have."""
+    import pyarrow as pa
+    from ionweave.operators import spectral
+
+    rng = np.random.default_rng(8)
+    w = np.triu(rng.random((600, 600)) < 0.05, 1).astype(float)
+    w += w.T
+    d = np.maximum(w.sum(1), 1)
+    wn = w / np.sqrt(np.outer(d, d))
+    i, j = np.nonzero(w)
+    got = spectral._task_kernel(12, max_rounds=60)(pa.table({"component": np.zeros(len(i), np.int64), "i": i, "j": j, "wn": wn[i, j]}))
+    want = np.sort(1 - np.linalg.eigvalsh(wn))[:12]
+    assert np.abs(np.array(got.column("vals")[0].as_py()) - want).max() < 1e-7
+    steps = spectral._filter_steps(np.r_[1.0, np.linspace(0.7, 0.69, 40)], 31)
+    assert np.cosh(steps * np.arccosh((2 + 0.31) / 1.69)) <= spectral.SUM_GAIN
+
+
 @pytest.mark.parametrize("dense_nodes", [2_000, 4])
 def test_all_pairs_of_a_component_are_found(spark, dense_nodes):
     """Of a path of 45 nodes, more than the k + 1 smallest."""
