@@ -45,7 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold at least half of a test item of three or more words, aligned word by word, go."""
     ship_package(spark)
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=3)
-    return decontaminate.without_contaminated(docs, found)
+    # as a table, so that texts are not aligned and shuffled at the same time
+    return decontaminate.without_contaminated(docs, stored(found, "pipeline-contaminated"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ SHORT = 3
 #: Items whose words travel with the tasks at once; more items are taken in blocks of this size.
 ITEMS_AT_ONCE = 5_000
 MATCH, MISS, GAP = 2, -1, -1
+#: Rows whose texts a task unpacks at once.
+ROWS_AT_ONCE = 500
 #: Words of documents that a task looks at together.
 WORDS_AT_ONCE = 300_000
 
@@ -87,11 +89,17 @@ class Items:
         return int(np.cumsum(change).max())
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def word_documents(docs: DataFrame, items: Items) -> dict[int, int]:
     """In how many rows each word of the items occurs; one sum per word comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _parts(batches):
             seen: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 seen.update(items.words.keys() & set(_words(text)))
@@ -155,7 +163,7 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _parts(batches):
             out, ids, texts, starts, held = [], [], [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = _words(text)

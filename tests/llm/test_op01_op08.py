@@ -174,3 +174,13 @@ def test_license_texts_wrapped_over_lines(spark):
     got = license_rows(license_scan.scan(docs, license_scan.token_order(docs)))
     assert got == license_want(list(enumerate(texts)))
     assert [r[1][5] for r in got] == ["mit", "mit"]
+
+
+def test_decontamination_unpacks_few_texts_at_once():
+    import pyarrow as pa
+    from ionweave.llm import decontaminate as D
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3 * D.ROWS_AT_ONCE + 7)), "text": ["a b"] * (3 * D.ROWS_AT_ONCE + 7)})
+    parts = list(D._parts(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [D.ROWS_AT_ONCE] * 3 + [7]
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == batch.column("doc_id").to_pylist()
