@@ -144,8 +144,8 @@ def _beginnings(place: np.ndarray, group: np.ndarray, times: np.ndarray, span) -
     return np.maximum(np.where(used, place[before], -1 << 40), place - span) + 1, place + 1
 
 
-def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """``(doc_id, item_id, start, passage)``: words that can hold a copy of an item, with enough of its words close together."""
+def passages(items: Items):
+    """What makes ``(doc_id, item_id, start, passage)`` of documents: words that can hold a copy of an item, with enough of its words close together."""
 
     def cut(ids: list, starts: list[int], texts: list[list[bytes]]) -> list[tuple]:
         gap = 2 * int(items.span.max(initial=0)) + 1  # so that no stretch reaches from one text into the next
@@ -181,8 +181,7 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column("doc_id").type), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.string()))]],
                                              names=["doc_id", "item_id", "start", "passage"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, start long, passage string")
+    return run
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -205,8 +204,8 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best
 
 
-def aligned(found: DataFrame, wanted: Items, cells: int = 2_000_000) -> DataFrame:
-    """``found`` with ``score``: the alignment score over that of a full match, 0 to 1."""
+def aligned(wanted: Items, cells: int = 2_000_000):
+    """What gives passages their ``score``: the alignment score over that of a full match, 0 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         ids = wanted.codes
@@ -223,10 +222,17 @@ def aligned(found: DataFrame, wanted: Items, cells: int = 2_000_000) -> DataFram
                 for k, s in zip(part, best.tolist()):
                     score[k] = s / (MATCH * len(ids[items[k]]))
                 at += take
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            kept = [n for n in batch.schema.names if n != "passage"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(score, pa.float64())], names=[*kept, "score"])
+
+    return run
 
-    kinds = ", ".join(f"{n} {t}" for n, t in found.dtypes)
-    return found.mapInArrow(run, f"{kinds}, score double")
+
+def aligned_passages(docs: DataFrame, wanted: Items) -> DataFrame:
+    """``(doc_id, item_id, start, score)``: passages are cut and aligned by one Python worker of a task, not by two at a time."""
+    cut, align = passages(wanted), aligned(wanted)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: align(cut(batches)), f"doc_id {kind}, item_id long, start long, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least_words: int = 1) -> DataFrame:
@@ -254,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         wanted = Items({k: w for k, w in words.items() if len(w) >= least_words}, threshold)
         wanted.seeds(word_documents(docs, wanted))
         short = [k for k, n in zip(wanted.ids, wanted.size) if n < SHORT]
-        found = aligned(passages(docs, wanted), wanted).filter((F.col("score") >= threshold - 1e-9) & (~F.col("item_id").isin(short) | (F.col("score") == 1)))
+        found = aligned_passages(docs, wanted).filter((F.col("score") >= threshold - 1e-9) & (~F.col("item_id").isin(short) | (F.col("score") == 1)))
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("s"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.s")).alias("start"))

@@ -209,6 +209,14 @@ def test_smith_waterman_matches_plain_version():
     assert got.tolist() == [brute.smith_waterman(a, b) for a, b in pairs]
 
 
+def test_passages_are_cut_and_aligned_by_one_worker(spark):
+    docs = frame(spark, [(1, "one two three four five", "s"), (2, "six", "s")])
+    bench = spark.createDataFrame([(7, "two three four five")], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r)[:3] for r in found.collect()] == [(1, 7, 1.0)]
+
+
 def test_edited_passages_are_found_in_common_and_rare_places(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(5))
