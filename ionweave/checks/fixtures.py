@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.session import dealt_out
+
 # One definition serves Spark and the SQL oracle; names of functions used are common to both.
 VIEWS = {
     "fx_spectra": """
@@ -56,6 +58,8 @@ SOURCES = {
     "fx_vectors": ["embeddings"],
     "fx_psm": ["lineitem", "part"],
 }
+# Keys by which large tables of a view are dealt out before they are joined.
+DEALT = {"fx_peaks": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +68,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: table(spark, sf_dir, t) for t in SOURCES[name]}
+    if name in DEALT:
+        frames = dealt_out(frames, DEALT[name])
     text = VIEWS[name]
     for t in frames:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}} AS {t}").replace(f"JOIN {t} ", f"JOIN {{{t}}} AS {t} ")

@@ -160,3 +160,20 @@ def test_transformer_query_equals_a_plain_forward_pass(spark):
     for idx, pairs in tokens.items():
         want = plain_encoder(np.array(pairs), random_parameters(cfg), cfg.n_heads)
         assert np.abs(np.array([got[idx][p] for p in range(32)]) - want).max() < 1e-4
+
+
+def test_dealt_tables_keep_tasks_bounded_through_the_peaks_of_a_spectrum(spark):
+    from ionweave.operators.peak_tables import bin_spectra
+    from ionweave.session import dealt_out
+
+    lines = spark.range(1000).selectExpr("id % 200 AS l", "100.0D + id AS mz", "1.0D + id AS intensity")
+    orders = spark.range(200).selectExpr("id AS o")
+    keys = {"lines": "l", "orders": "o"}
+    small = dealt_out({"lines": lines, "orders": orders}, keys)
+    assert small["lines"] is lines and small["orders"] is orders
+    dealt = dealt_out({"lines": lines, "orders": orders}, keys, task_rows=20)
+    peaks = dealt["lines"].join(dealt["orders"].hint("merge"), F.col("l") == F.col("o")).select(F.col("l").alias("idx"), "mz", "intensity")
+    got = bin_spectra(peaks)
+    assert got.rdd.getNumPartitions() == 50  # 1000 rows in tasks of 20, whatever spark.sql.shuffle.partitions is
+    want = bin_spectra(lines.select(F.col("l").alias("idx"), "mz", "intensity"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
