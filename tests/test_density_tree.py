@@ -271,3 +271,17 @@ def test_groups_inside_two_components_are_found(spark):
     groups = [range(5), range(5, 10), range(20, 25), range(25, 30)]
     assert [len({label[i] for i in g}) for g in groups] == [1, 1, 1, 1]
     assert len(set(label.values())) == 4
+
+
+def test_large_written_tables_are_not_sent_through_the_driver(spark, monkeypatch):
+    from ionweave import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    left, right = (session.written(spark.range(20).selectExpr("id", f"id * 2 AS {name}")) for name in "ab")
+    joined = left.join(right, "id")
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 20
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(0, i, (rng.normal(size=4) + 6 * (i % 3)).tolist()) for i in range(60)], "label int, vertex long, embedding array<double>")
+    found = [sorted(map(tuple, T.hdbscan_blocks(rows, ["label"], 5, method="eom", block_rows=n, tile_rows=16).collect())) for n in (100, 5)]
+    assert found[0] == found[1]
