@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ionweave.llm import decontaminate, mixing, simhash, toxicity
-from ionweave.llm.common import documents, stored
+from ionweave.llm.common import documents, small_batches, stored
 from ionweave.llm.line_dedup import drop_shared_lines
 from ionweave.session import ship_package
 
@@ -24,6 +24,7 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from the labelled rows not held out."""
     ship_package(spark)
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, back = _aside(docs, "score")
     return toxicity.score(rows, model).filter("score < 0.5").drop("score").withColumnsRenamed(back).select(docs.columns)
@@ -38,12 +39,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
     ship_package(spark)
+    small_batches(spark)
     return simhash.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a test item of three or more words, aligned word by word, go."""
     ship_package(spark)
+    small_batches(spark)
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=3)
     # as a table, so that texts are not aligned and shuffled at the same time
     return decontaminate.without_contaminated(docs, stored(found, "pipeline-contaminated"))

@@ -124,3 +124,27 @@ def test_stages_keep_further_columns_and_take_odd_rows(spark):
             assert all((r["score"], r["n_lines"], r["copy"]) == ("own", "own", "own") for r in kept)
             assert len(kept) == 0 or frame is docs
         assert P.STAGES[-1][1](spark, frame, SF).columns == [c for c in docs.columns if c != "copy"] + ["copy"]
+
+
+def test_texts_travel_in_small_batches(spark):
+    """A batch for Python is bounded in bytes, however many rows a task has; the session's own limit wins."""
+    import pyarrow as pa
+
+    from ionweave.llm.common import TEXT_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    P.toxicity_filter(spark, documents(spark, SF), SF)
+    assert int(spark.conf.get(key).rstrip("b")) == TEXT_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text")
+    got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 30_000_000 and max(got) <= 1.1 * TEXT_BYTES
+    spark.conf.set(key, 1 << 20)
+    small_batches(spark)
+    assert int(spark.conf.get(key).rstrip("b")) == 1 << 20
+    spark.conf.unset(key)
