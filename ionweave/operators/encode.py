@@ -90,8 +90,9 @@ def _hashed_signs(dim: int):
     place = np.arange(dim, dtype=np.int64)[None, :]
 
     def signs(bins):
-        at = bins[:, None]
-        return np.where((at * a + (place * b + c)) * (at + place + 1) % m // 64 % 2 == 0, 1.0, -1.0)
+        own, back = np.unique(bins, return_inverse=True)  # spectra share bins; a row is made once for a batch
+        at = own[:, None]
+        return np.where((at * a + (place * b + c)) * (at + place + 1) % m // 64 % 2 == 0, 1.0, -1.0)[back]
 
     return signs
 

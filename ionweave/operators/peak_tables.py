@@ -46,14 +46,16 @@ def strongest_peaks(peaks: DataFrame, k: int = 150) -> DataFrame:
     return peaks.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _with_peak_max(top: DataFrame) -> DataFrame:
-    # at most k rows per spectrum are left here, so this window is bounded
-    return top.withColumn("peak_max", F.max("intensity").over(Window.partitionBy("idx")))
+def _strongest_with_max(peaks: DataFrame, k: int) -> DataFrame:
+    """:func:`strongest_peaks` with ``peak_max``: the first of the ranking has it, so one sorted pass gives both."""
+    w = Window.partitionBy("idx").orderBy(F.desc("intensity"), "mz")
+    first = F.first("intensity").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return peaks.withColumns({"rank": F.row_number().over(w), "peak_max": first}).filter(F.col("rank") <= k)
 
 
 def peak_tokens(peaks: DataFrame, k: int = 150, mz_min: float = 50.0, mz_max: float = 1500.0) -> DataFrame:
     """One row per token: position in m/z order, scaled m/z, scaled intensity."""
-    top = _with_peak_max(strongest_peaks(peaks, k))
+    top = _strongest_with_max(peaks, k)
     order = Window.partitionBy("idx").orderBy("mz", "rank")
     return top.select(
         "idx", (F.row_number().over(order) - 1).alias("pos"),
@@ -64,7 +66,7 @@ def peak_tokens(peaks: DataFrame, k: int = 150, mz_min: float = 50.0, mz_max: fl
 def bin_spectra(peaks: DataFrame, k: int = 150, mz_min: float = 50.0, width: float = 0.02,
                 n_bins: int = 72_500) -> DataFrame:
     """Sparse binned spectra: per bin the largest scaled intensity."""
-    top = _with_peak_max(strongest_peaks(peaks, k))
+    top = _strongest_with_max(peaks, k)
     return (top.select("idx", P.bin_index("mz", mz_min, width).alias("bin"),
                        P.sqrt_scaled(F.col("intensity"), F.col("peak_max")).alias("v"))
             .filter((F.col("bin") >= 0) & (F.col("bin") < n_bins))
@@ -95,6 +97,29 @@ def consensus_peaks(members: DataFrame, peaks: DataFrame, mz_min: float = 50.0,
             .select("cluster_id", "bin", (F.col("acc_mz") / F.col("acc")).alias("mz"), "intensity"))
 
 
+#: Peaks of pairs that a task compares at once.
+PEAKS_AT_ONCE = 300_000
+
+
+def near_peaks(pair: np.ndarray, places: np.ndarray, peaks: np.ndarray, sizes: np.ndarray, tol: float) -> np.ndarray:
+    """Whether a place has a peak of its pair within ``tol``; ``peaks`` are the pairs' sorted lists of ``sizes`` in a row.
+
+    Places and peaks are sorted together, so that all pairs are looked up at once.
+    """
+    ends = np.cumsum(sizes)
+    owner = np.concatenate([pair, np.repeat(np.arange(len(sizes)), sizes)])
+    is_peak = np.arange(len(owner)) >= len(places)
+    order = np.lexsort((is_peak, np.concatenate([places, peaks]), owner))
+    below = np.empty(len(owner), np.int64)
+    below[order] = np.cumsum(is_peak[order])  # peaks before a place, those of earlier pairs included
+    at, low, high = below[:len(places)], (ends - sizes)[pair], ends[pair] - 1
+    some = high >= low
+    out = np.zeros(len(places), bool)
+    at, low, high, places = at[some], low[some], high[some], places[some]
+    out[some] = (np.abs(peaks[np.minimum(at, high)] - places) <= tol) | (np.abs(peaks[np.maximum(at - 1, low)] - places) <= tol)
+    return out
+
+
 def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
                           min_unshifted: int = 2, min_shifted: int = 1) -> DataFrame:
     """Adds ``unshifted``, ``shifted`` and ``confirmed`` to pairs of spectra.
@@ -109,24 +134,23 @@ def fragment_confirmation(pairs: DataFrame, peaks: DataFrame, tol: float = 0.02,
     rows = (pairs.join(lists.select(F.col("idx").alias("idx_a"), F.col("_mz").alias("_a")), "idx_a", "left")
             .join(lists.select(F.col("idx").alias("idx_b"), F.col("_mz").alias("_b")), "idx_b", "left"))
 
-    def near(places: np.ndarray, peaks_b: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(peaks_b, places)
-        above, below = peaks_b[np.minimum(at, len(peaks_b) - 1)], peaks_b[np.maximum(at - 1, 0)]
-        return (np.abs(above - places) <= tol) | (np.abs(below - places) <= tol)
-
     def run(batches):
         for batch in batches:
-            shared, moved = [], []
-            for a, b, delta in zip(batch.column("_a"), batch.column("_b"), batch.column("delta").to_pylist()):
-                if not a.is_valid or not b.is_valid or delta is None:
-                    shared.append(0)
-                    moved.append(0)
-                    continue
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                shared.append(int(near(a, b).sum()))
-                moved.append(int((near(a + delta, b) | near(a - delta, b)).sum()))
+            shared, moved = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            valid = np.logical_and.reduce([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in ("_a", "_b", "delta")])
+            sizes = sum(batch.column(n).value_lengths().fill_null(0).to_numpy() for n in ("_a", "_b"))
+            rows_in, step = np.flatnonzero(valid), np.cumsum(sizes[valid]) // PEAKS_AT_ONCE
+            for at in np.split(rows_in, np.flatnonzero(np.diff(step)) + 1) if len(rows_in) else []:
+                part = batch.take(pa.array(at))
+                a, b = (part.column(n) for n in ("_a", "_b"))
+                pair = np.repeat(np.arange(len(at)), a.value_lengths().to_numpy())
+                delta = part.column("delta").to_numpy().astype(np.float64)[pair]
+                places, lists = a.flatten().to_numpy(), (b.flatten().to_numpy(), b.value_lengths().to_numpy())
+                shared[at] = np.bincount(pair[near_peaks(pair, places, *lists, tol)], minlength=len(at))
+                either = near_peaks(pair, places + delta, *lists, tol) | near_peaks(pair, places - delta, *lists, tol)
+                moved[at] = np.bincount(pair[either], minlength=len(at))
             kept = [n for n in batch.schema.names if n not in ("_a", "_b")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(shared, pa.int64()), pa.array(moved, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(shared), pa.array(moved)],
                                              names=[*kept, "unshifted", "shifted"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("_a", "_b"))

@@ -38,16 +38,16 @@ def cluster_rows(result: Reranked, spectra: DataFrame) -> DataFrame:
     """One text row per cluster member, with its sort keys ``quality``, ``pos`` and ``idx``."""
     members = result.members.select("cluster_id", "idx").join(
         spectra.select("idx", "scan_id", "source_file", "precursor_mz", "precursor_charge"), "idx")
-    clusters = result.clusters.drop("label")
-    rows = members.join(clusters, "cluster_id")
-    return rows.select(
-        F.col("quality_score").alias("quality"), "pos", "idx", "cluster_id", "parent_cluster_id", "scan_id",
-        "source_file", _decimals("precursor_mz").alias("precursor_mz"), "precursor_charge",
+    # texts of a cluster are made once, before its members come in
+    clusters = result.clusters.select(
+        F.col("quality_score").alias("quality"), "pos", "cluster_id", "parent_cluster_id",
         _short("quality_score").alias("quality_score"), "confidence", _flag("ptm_flag").alias("ptm_flag"),
         "ptm_delta_label", _decimals("ptm_delta_mass").alias("ptm_delta_mass"),
         _flag("heterogeneous_flag").alias("heterogeneous_flag"), "n_source_files",
         _decimals("within_var").alias("within_var"),
         _decimals("mean_similarity").alias("mean_similarity"))
+    rows = members.withColumn("precursor_mz", _decimals("precursor_mz")).join(clusters, "cluster_id")
+    return rows.select("quality", "pos", "idx", *CLUSTER_COLUMNS)
 
 
 def noise_rows(labels: DataFrame, spectra: DataFrame) -> DataFrame:

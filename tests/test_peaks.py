@@ -177,3 +177,23 @@ def test_dealt_tables_keep_tasks_bounded_through_the_peaks_of_a_spectrum(spark):
     assert got.rdd.getNumPartitions() == 50  # 1000 rows in tasks of 20, whatever spark.sql.shuffle.partitions is
     want = bin_spectra(lines.select(F.col("l").alias("idx"), "mz", "intensity"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_compared_together_equal_pairs_compared_one_by_one():
+    """Lists of many pairs, empty ones and equal places included, are looked up at once as one after the other."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    a, b = ([np.sort(draw.integers(0, 40, draw.integers(0, 9)) * 0.01) for _ in range(300)] for _ in range(2))
+    pair = np.repeat(np.arange(300), [len(x) for x in a])
+    got = PT.near_peaks(pair, np.concatenate(a), np.concatenate(b), np.array([len(x) for x in b]), 0.02)
+    want = [len(y) > 0 and bool((np.abs(y - p) <= 0.02).any()) for x, y in zip(a, b) for p in x]
+    assert got.tolist() == want
+
+
+def test_peak_maximum_needs_no_second_pass(spark):
+    peaks = spark.createDataFrame([(1, 100.0, 4.0), (1, 101.0, 9.0), (1, 102.0, 9.0), (2, 100.0, None), (None, 100.0, 1.0)], "idx long, mz double, intensity double")
+    plan = PT.bin_spectra(peaks, 2)._jdf.queryExecution().executedPlan().toString()
+    assert len({line.split("Window [", 1)[1] for line in plan.split("\n") if "Window [" in line}) == 1
+    top = {(r["idx"], r["mz"]): r["peak_max"] for r in PT._strongest_with_max(peaks, 2).collect()}
+    assert top == {(1, 101.0): 9.0, (1, 102.0): 9.0, (2, 100.0): None, (None, 100.0): 1.0}
