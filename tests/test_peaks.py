@@ -197,3 +197,11 @@ def test_peak_maximum_needs_no_second_pass(spark):
     assert len({line.split("Window [", 1)[1] for line in plan.split("\n") if "Window [" in line}) == 1
     top = {(r["idx"], r["mz"]): r["peak_max"] for r in PT._strongest_with_max(peaks, 2).collect()}
     assert top == {(1, 101.0): 9.0, (1, 102.0): 9.0, (2, 100.0): None, (None, 100.0): 1.0}
+
+
+def test_spectrum_without_places_is_never_confirmed(spark):
+    """Spectra whose peaks all lack a place have an empty list; their pairs come back with zero hits."""
+    peaks = spark.createDataFrame([(1, 100.0), (1, 200.0), (2, None), (3, 100.01)], "idx long, mz double").withColumn("intensity", F.lit(1.0))
+    pairs = spark.createDataFrame([(1, 1, 2, 5.0), (2, 2, 1, 5.0), (3, 1, 3, 0.0), (4, 1, 9, 5.0), (5, 1, 3, None)], "pair_id long, idx_a long, idx_b long, delta double")
+    got = {r["pair_id"]: (r["unshifted"], r["shifted"]) for r in PT.fragment_confirmation(pairs, peaks).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 1), 4: (0, 0), 5: (0, 0)}
