@@ -285,3 +285,71 @@ def test_large_written_tables_are_not_sent_through_the_driver(spark, monkeypatch
     rows = spark.createDataFrame([(0, i, (rng.normal(size=4) + 6 * (i % 3)).tolist()) for i in range(60)], "label int, vertex long, embedding array<double>")
     found = [sorted(map(tuple, T.hdbscan_blocks(rows, ["label"], 5, method="eom", block_rows=n, tile_rows=16).collect())) for n in (100, 5)]
     assert found[0] == found[1]
+
+
+def test_all_eigenpairs_in_bands(spark, monkeypatch):
+    """Two components wider than a task's matrix: many slabs, parts and blocks, one eigenvalue 59 times."""
+    from ionweave.operators import band, spectral
+
+    n, rng = 300, np.random.default_rng(3)
+    w = np.triu(rng.uniform(size=(n, n)) * (rng.uniform(size=(n, n)) < 0.03), 1)
+    w[200:260, 200:260] = np.triu(np.ones((60, 60)), 1)
+    w += np.diag(np.full(n - 1, 0.1), 1)
+    i, j = np.nonzero(w + w.T)
+    rows = [(int(9000 - 7 * a), int(9000 - 7 * b), float((w + w.T)[a, b])) for a, b in zip(i, j)]
+    rows += [(a, a + d, 1.0) for a in range(41) for d in (-1, 1) if 0 <= a + d < 41]
+    scaled, parts = spectral.scaled_components(spark.createDataFrame(rows, "i long, j long, w double"))
+    whole = band.all_eigenpairs
+    monkeypatch.setattr(spectral, "ITERATED_NODES", 30)
+    monkeypatch.setattr(band, "NARROWEST", 1e-5)
+    monkeypatch.setattr(spectral, "all_eigenpairs", lambda e, s: whole(e, s, band=40, part_pairs=64, searched=160, block_pairs=128))
+    blocks = spectral.eigenpair_blocks(scaled, parts, 4).persist()
+    found, links = blocks.toPandas(), scaled.toPandas()
+    assert sorted(found.groupby("component")["first"].nunique()) == [1, 3]
+    for component, own in found.groupby("component"):
+        e = links[links.component == component]
+        nodes = np.unique(e.i)
+        lap = np.eye(len(nodes))
+        lap[np.searchsorted(nodes, e.i), np.searchsorted(nodes, e.j)] -= e.wn
+        own = [g.sort_values("idx") for _, g in own.groupby("first")]
+        vecs, vals = np.hstack([np.stack(g.vecs) for g in own]), np.concatenate([g.vals.iloc[0] for g in own])
+        assert all((g.idx.to_numpy() == nodes).all() for g in own)
+        np.testing.assert_allclose(vals, np.linalg.eigvalsh(lap), atol=2e-8)
+        np.testing.assert_allclose(vecs.T @ vecs, np.eye(len(nodes)), atol=1e-8)
+        np.testing.assert_allclose(lap @ vecs, vecs * vals, atol=1e-7)
+    errors = spectral.pair_errors(scaled, blocks).toPandas()
+    assert len(errors) == n + 41 and errors.r.max() < 1e-6 and errors.q.max() < 1e-7
+
+
+def test_all_eigenpairs_are_planned_alike_for_any_width(spark, monkeypatch):
+    """The plan that the driver holds must not grow with the nodes of a component."""
+    from ionweave.operators import spectral
+
+    rows = [(a, a + d, 1.0) for a in range(40) for d in (-1, 1) if 0 <= a + d < 40]
+    scaled, parts = spectral.scaled_components(spark.createDataFrame(rows, "i long, j long, w double"))
+    asked = []
+    monkeypatch.setattr(spectral, "ITERATED_NODES", 30)
+    monkeypatch.setattr(spectral, "all_eigenpairs", lambda e, s: asked.append(s.first()["n"]) or spark.createDataFrame(
+        [(0, 0, 0, [0.0], [1.0])], "component long, first long, idx long, vals array<double>, vecs array<double>"))
+    monkeypatch.setattr(spectral, "iterated_eigenpairs", lambda *a, **k: pytest.fail("one sum per node"))
+    spectral.eigenpair_blocks(scaled, parts, 4)
+    assert asked == [40]
+
+
+@pytest.mark.parametrize("size", [(50, 8), (5, 8), (8, 8)])
+def test_reflectors_and_shifts(size):
+    from ionweave.operators import band
+
+    panel = np.random.default_rng(1).normal(size=size)
+    panel[:, 3] = 0
+    v, t, r = band.reflectors(panel)
+    q = np.eye(size[0]) - v @ t @ v.T
+    np.testing.assert_allclose(q @ q.T, np.eye(size[0]), atol=1e-12)
+    np.testing.assert_allclose(q[:, :len(r)] @ r, panel, atol=1e-12)
+    # the first pivot vanishes at the middle of the part, so the inverse is taken beside it
+    m = band.BlockTridiagonal([np.eye(2), np.eye(2)], [np.array([[0.5, 0.1], [0.0, 0.4]])])
+    vals = np.linalg.eigvalsh(m.times(np.eye(4)))
+    assert m.below(1.0001) == 2
+    got, vecs = m.between(1 - 0.70001, 1 + 0.7, 0, 4, 4)
+    np.testing.assert_allclose(got, vals, atol=1e-12)
+    np.testing.assert_allclose(vecs.T @ vecs, np.eye(4), atol=1e-12)
