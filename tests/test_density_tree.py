@@ -353,3 +353,27 @@ def test_reflectors_and_shifts(size):
     got, vecs = m.between(1 - 0.70001, 1 + 0.7, 0, 4, 4)
     np.testing.assert_allclose(got, vals, atol=1e-12)
     np.testing.assert_allclose(vecs.T @ vecs, np.eye(4), atol=1e-12)
+
+
+def test_a_round_is_filtered_alike_in_tasks_and_by_joins(spark, monkeypatch):
+    """Two components; by joins each step is a job, in tasks all steps of a round are one."""
+    from ionweave.operators import spectral
+
+    rows = [(c * 100 + a, c * 100 + (a + d) % 30, 1.0 + 0.1 * ((a + (a + d) % 30) % 3))
+            for c in (0, 1) for a in range(30) for d in (-1, 1, 5, -5)]
+    scaled, _ = spectral.scaled_components(spark.createDataFrame(rows, "i long, j long, w double"))
+    basis = scaled.select("component", F.col("i").alias("idx")).distinct().select(
+        "component", "idx", F.lit(0).alias("slice"), F.lit(1).alias("slices"),
+        F.transform(F.sequence(F.lit(1), F.lit(6)), lambda p: F.sin(p * F.col("idx").cast("double"))).alias("y")).persist()
+    low = scaled.select("component").distinct().withColumn("low", F.lit(0.2) + F.col("component") / 1000)
+    sides, jobs, written = [], [], spectral.written
+    for run in (spectral._filtered, spectral._filtered_in_tasks):
+        jobs.append(0)
+        monkeypatch.setattr(spectral, "written", lambda df: jobs.__setitem__(-1, jobs[-1] + 1) or written(df))
+        sides.append(run(scaled, basis, low, 6, 5).orderBy("component", "idx").toPandas())
+    assert (sides[0].idx == sides[1].idx).all() and list(sides[0].columns) == list(sides[1].columns)
+    np.testing.assert_allclose(np.stack(sides[0].y), np.stack(sides[1].y), atol=1e-12)
+    assert jobs == [5, 2]
+    monkeypatch.setattr(spectral, "_filtered", lambda *a: pytest.fail("one job per step"))
+    sizes = scaled.groupBy("component").agg(F.countDistinct("i").alias("n"))
+    assert spectral.iterated_eigenpairs(scaled, sizes, 2).count() == 60
